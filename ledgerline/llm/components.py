@@ -1,0 +1,32 @@
+"""Connected components by label propagation with shortcuts, on DataFrames alone."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stash
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, label) for every node of ``edges`` (a long, b long); label: the smallest id reachable.
+
+    A round takes the smallest label among a node's neighbours and then the label
+    of its label; each is a join and a min, combined before the shuffle, so a hub
+    costs one row for each task. Rounds end when no label changes; every round is
+    a table in the shared folder, so a lost executor costs no earlier round.
+    Self-loops and repeated edges are harmless; no edges give no rows.
+    """
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    links = stash(both.where("u <> v").distinct(), "cc-links")
+    labels = stash(links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("v")).select("id", F.least("id", "v").alias("label"), F.lit(True).alias("moved")), "cc-labels")
+    while labels.where("moved").limit(1).count():
+        near = links.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
+        hooked = labels.select("id", F.col("label").alias("old")).join(near, "id", "left").select("id", "old", F.least("old", "near").alias("label"))
+        hooked = stash(hooked, "cc-hooked")
+        up = hooked.select(F.col("id").alias("label"), F.col("label").alias("above"))
+        labels = stash(
+            hooked.join(up, "label", "left").select("id", F.least("label", "above").alias("to"), "old").select("id", F.col("to").alias("label"), (F.col("to") != F.col("old")).alias("moved")),
+            "cc-labels",
+        )
+    return labels.select("id", "label")
