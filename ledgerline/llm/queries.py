@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.session import read, ship
 
-from . import mixing, packing, quality, sharding, simhash, token_counts
+from . import chat, fingerprints, mixing, packing, quality, sharding, simhash, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,10 +26,24 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_counts(docs, token_counts.load_pieces(vocabulary("piece_bpe_32k.model"))).select("doc_id", "n_tokens")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.convert_pages(spark, read(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date")
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.probe(spark))
+    return chat.digests(chat.examples(turns))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -59,7 +73,7 @@ def _shipped(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_token_counts, op5_packing, op7_simhash, op8_sharding, op9_mixing, op10_quality_rules)
+    found = (op1_token_counts, op3_warc, op4_chat_formatting, op5_packing, op6_fingerprints, op7_simhash, op8_sharding, op9_mixing, op10_quality_rules)
     return {q.__name__: _shipped(q) for q in found}
 
 
@@ -100,4 +114,27 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from f
 """
 
-ORACLES: dict[str, str] = {"op10_quality_rules": _QUALITY}
+#: Examples hold whole prefixes, so a conversation's characters count once for each later example.
+_CHAT = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (
+  select *, regexp_replace(text, '(<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<<ROLE>>|<</ROLE>>|<s>|</s>)', '\\\1', 'g') as body from t),
+r as (
+  select *, case role when 'system' then '<<SYS>> ' || body || ' <</SYS>>' when 'user' then '[INST] ' || body || ' [/INST]'
+    when 'assistant' then '<s> ' || body || ' </s>' else '<<ROLE>> ' || hex(role) || ' ' || body || ' <</ROLE>>' end || chr(10) as rendered
+  from e),
+p as (
+  select *, sum(length(rendered)) over w as upto, row_number() over w as n, count(*) over (partition by conv_id) as total
+  from r window w as (partition by conv_id order by turn nulls first, role, text))
+select conv_id, max(total) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by n) filter (where role = 'assistant'), '')) as loss_sha256,
+       (sum(upto) filter (where role = 'assistant' or n = total))::bigint as formatted_chars,
+       count(*) filter (where role = 'assistant' or n = total) as n_examples
+from p group by conv_id
+"""
+
+ORACLES: dict[str, str] = {"op4_chat_formatting": _CHAT, "op10_quality_rules": _QUALITY}
