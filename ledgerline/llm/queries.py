@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.session import read, ship
 
-from . import chat, fingerprints, mixing, packing, quality, sharding, simhash, token_counts, warc
+from . import chat, fingerprints, mixing, packing, pii, quality, sharding, simhash, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_counts(docs, token_counts.load_pieces(vocabulary("piece_bpe_32k.model"))).select("doc_id", "n_tokens")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.convert_pages(spark, read(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date")
@@ -73,7 +77,7 @@ def _shipped(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_token_counts, op3_warc, op4_chat_formatting, op5_packing, op6_fingerprints, op7_simhash, op8_sharding, op9_mixing, op10_quality_rules)
+    found = (op1_token_counts, op2_pii, op3_warc, op4_chat_formatting, op5_packing, op6_fingerprints, op7_simhash, op8_sharding, op9_mixing, op10_quality_rules)
     return {q.__name__: _shipped(q) for q in found}
 
 
