@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import mixing, packing, quality, simhash
+from ledgerline.llm import mixing, packing, pii, quality, simhash
 from ledgerline.llm.common import fresh_name, stash
 from ledgerline.llm.queries import vocabulary
 from ledgerline.session import read, ship
@@ -26,6 +26,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.survivors(docs)
 
 
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data becomes its kind in brackets; no document goes."""
+    return pii.redact(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.mix(docs)
@@ -39,7 +44,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("PII", redact_pii),
     ("mix sources", mix_sources),
     ("best-fit packing", pack_sequences),
 ]
