@@ -5,20 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .session import read
+from .plans import calendar, feeds, market, spending, vouchers  # noqa: F401  (each registers its queries)
+from .plans.registry import ORACLES, QUERIES
 
-FLAGSHIP = "members"
-
-
-def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("member")).distinct()
+FLAGSHIP = "setup_scan"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"members": members}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"members": "select distinct cast(user_id as varchar) as member from events"}
+    return dict(ORACLES)
