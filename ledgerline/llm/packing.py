@@ -17,13 +17,16 @@ capacity are cut, every other document stays whole.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,50 +34,132 @@ from .common import stash
 
 CAPACITY = 4096
 END_ID = 1
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 REMEMBERED_CHARS = 64
+#: Bytes of text looked up together.
+AT_ONCE = 4 << 20
 #: Pieces of a packing partition, at most about: bounds the memory of a task.
 PART_PIECES = 50_000
 MAX_ROUNDS = 8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_WORDS: dict[str, tuple[object, dict[str, bytes]]] = {}
+#: Special strings of the tokenizer file are matched as written: texts with this mark keep their case.
+SPECIAL = "<|"
 
 
-def _tokenizer(path: str):
-    """The tokenizer of a file and the ids of words met so far, one for each worker."""
-    if path not in _WORDS:
+#: Lower-case words of these letters are one token run each, with or without one sign after them.
+PLAIN = re.compile(r"^(?:([a-zß-öø-ÿ]+)([.,]?)|.*)$", re.MULTILINE)
+WORD_END = "</w>"
+
+
+class Words:
+    """Token ids of words, as bytes, for one tokenizer file.
+
+    Two generations of at most REMEMBERED words each: when the younger is full it
+    becomes the older, and words found there are taken up again. Plain words are
+    coded many at a time; their last tokens, which carry the word end, show where
+    one stops. Other words are coded one by one.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        _WORDS[path] = Tokenizer.from_file(path), {}
-    return _WORDS[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        # Plain words need neither normalising nor splitting other than at spaces.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        parts = json.loads(self.tokenizer.to_str())
+        #: Whether the file lower-cases, drops white space and marks word ends; else whole texts are coded.
+        self.by_words = parts["model"].get("end_of_word_suffix") == WORD_END and '"Lowercase"' in json.dumps(parts["normalizer"])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.signs = dict(zip(("", ".", ","), self.each(["", ".", ","]), strict=True))
 
+    def each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-def token_bytes(texts: list[str], path: str) -> Iterator[bytes]:
-    """Little-endian 32-bit ids of each text.
+    def plain(self, words: list[str]) -> Iterator[bytes]:
+        step = 512
+        some = [words[at : at + step] for at in range(0, len(words), step)]
+        for own, e in zip(some, self.model.encode_batch_fast([" ".join(x) for x in some], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) != len(own):
+                yield from self.each(own)
+                continue
+            whole, start = ids.tobytes(), 0
+            for cut in cuts:
+                yield whole[4 * start : 4 * cut]
+                start = cut
 
-    The tokenizer's normaliser and splitter never join characters across ASCII
-    white space, so a text's ids are those of its words, one after the other.
-    """
-    tokenizer, known = _tokenizer(path)
-    step = 256
-    for at in range(0, len(texts), step):
-        split = [x.encode("utf-8", "surrogatepass").split() for x in texts[at : at + step]]
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        spare: dict[bytes, bytes] = {}
-        for first in range(0, len(new), 4096):
-            some = new[first : first + 4096]
-            coded = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            for w, e in zip(some, coded, strict=True):
-                (known if len(w) <= REMEMBERED_CHARS else spare)[w] = np.array(e.ids, "<u4").tobytes()
-        for words in split:
-            if spare:
-                yield b"".join([known.get(w) or spare.get(w, b"") for w in words])
-            else:
-                yield b"".join(map(known.__getitem__, words))
+    def code(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words not met before."""
+        shapes = PLAIN.findall("\n".join(words))
+        bare = list({core for core, _ in shapes if core})
+        ids = dict(zip(bare, self.plain(bare), strict=True))
+        odd = [k for k, (core, _) in enumerate(shapes) if not core]
+        other = dict(zip(odd, self.each([words[k] for k in odd]), strict=True)) if odd else {}
+        return {w: ids[core] + self.signs[sign] if core else other[k] for k, (w, (core, sign)) in enumerate(zip(words, shapes, strict=True))}
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some different words."""
+        table = dict(zip(words, map(self.young.get, words), strict=True))
+        missing = [w for w, ids in table.items() if ids is None]
+        if self.old:
+            again = {w: self.old[w] for w in missing if w in self.old}
+            self.young.update(again)
+            table.update(again)
+            missing = [w for w in missing if w not in again]
+        if missing:
+            new = self.code(missing)
+            table.update(new)
+            self.young.update(new if max(map(len, missing)) <= REMEMBERED_CHARS else {w: ids for w, ids in new.items() if len(w) <= REMEMBERED_CHARS})
+            if len(self.young) > REMEMBERED:
+                self.old, self.young = self.young, {}
+        return list(table.values())
+
+    def texts(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text.
+
+        A tokenizer of whole words never joins characters across ASCII white space,
+        so a text's ids are those of its words, one after the other. Arrow splits
+        the texts and numbers their words; each different word is looked up once.
+        """
+        low = pc.if_else(pc.match_substring(texts, SPECIAL), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(low)
+        coded = split.flatten().dictionary_encode()
+        words = self.ids(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, words), np.int32, len(words)) // 4
+        every = np.frombuffer(b"".join(words), "<u4")
+        at = coded.indices.to_numpy()
+        size = sizes[at]
+        ends = np.zeros(len(at) + 1, np.int32)
+        np.cumsum(size, out=ends[1:])
+        first = np.cumsum(sizes, dtype=np.int32) - sizes
+        tokens = every[np.repeat(first[at] - ends[:-1], size) + np.arange(ends[-1], dtype=np.int32)]
+        cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            yield tokens[s:e].tobytes()
+
+
+_WORDS: dict[str, Words] = {}
+
+
+def token_bytes(texts: pa.Array, path: str) -> Iterator[bytes]:
+    """Little-endian 32-bit ids of each text (none null), a few megabytes of text at a time."""
+    words = _WORDS.get(path) or _WORDS.setdefault(path, Words(path))
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        done = sizes[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(sizes, done + AT_ONCE, "right")))
+        some = texts.slice(at, stop - at)
+        yield from words.texts(some) if words.by_words else words.each(some.to_pylist())
+        at = stop
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -85,7 +170,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            texts = [x or "" for x in batch.column("text").to_pylist()]
+            texts = pc.fill_null(batch.column("text"), "")
             rows: list[tuple] = []
             for doc_id, coded in zip(ids, token_bytes(texts, path), strict=True):
                 coded += last
