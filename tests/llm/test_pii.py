@@ -1,0 +1,90 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerline.llm import pii
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def passes(kind, m):
+    d = re.sub("[^0-9]", "", m)
+    return {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.split(".")), "card": 16 <= len(d) <= 19 and luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+
+
+def brute(text):
+    return {k: [(m.start(), m.end()) for m in re.finditer(p, text) if passes(k, m[0])] for k, p in BASE.items()}
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return pii.train(spark)
+
+
+def test_base_spans_are_brute_force(spark, model):
+    r = random.Random(8)
+    pieces = ["a@b.co", "x.y%z+1@h-i.j.k", "@", "a@b", "..", "1.2.3.4", "256.1.1.1", "0001.02.003.255", "4111111111111111", "4111 1111-1111 1111", "4111  1111", "+1 (555) 010-9999", "+44.20.7946.0958", "+12", "é", "🙂", " ", " ", "\n", "-", "9", "c_d@e.f", "a" * 50]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randrange(25))) for _ in range(250)] + ["", None, "7" * 3000, "a" * 3000 + "@b.c", ("a@b.co " * 700), "1.2.3.4.5.6.7.8.9"]
+    docs = spark.createDataFrame([(i, t, "x", 3) for i, t in enumerate(texts)], "doc_id long, text string, spans string, n_ip int")
+    for g in pii.find(docs, model).collect():
+        want = brute(texts[g.doc_id] or "")
+        listed = ",".join(f"{k}:{s}:{e}" for k in pii.KINDS for s, e in want[k])
+        assert [g.n_email, g.n_ip, g.n_card, g.n_phone] == [len(want[k]) for k in pii.KINDS], texts[g.doc_id]
+        assert g.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        every = g.spans.split(",") if g.spans else []
+        assert set(listed.split(",")) - {""} <= set(every)
+        assert every == sorted(every, key=lambda s: (pii.KINDS.index(s.split(":")[0]), int(s.split(":")[1])))
+
+
+def test_variants_are_found_and_look_alikes_left(spark, model):
+    found = ["mail bob [at] example [dot] com now", "from 10.1.2[.]3 now", "card 4111.1111.1111.1111 ok", "call (212) 555-1234 now"]
+    clean = ["order 4929123412341235 was", "version 1.2.3.4.5 is", "on 2020-10-11 12-30-11 we", "meet at noon. then go", "token = \"bc0d31ba76f17e56642e875\"", "see 3. 14. 15. 92 there"]
+    docs = spark.createDataFrame(list(enumerate(found + clean)), "doc_id long, text string")
+    more = {g.doc_id: g.n_more_email + g.n_more_ip + g.n_more_card + g.n_more_phone for g in pii.find(docs, model).collect()}
+    assert [more[k] for k in range(len(found))] == [1] * len(found)
+    assert [more[len(found) + k] for k in range(len(clean))] == [0] * len(clean)
+
+
+def test_held_out_accuracy(spark, model):
+    rows = pii.sample(1200, seed=77)
+    docs = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {g.doc_id: g for g in pii.find(docs, model).collect()}
+    right = wrong = missed = 0
+    for i, (kind, _, label) in enumerate(rows):
+        hit = got[i][f"n_more_{kind}"] + got[i][f"n_{kind}"] > 0
+        right += hit and label
+        wrong += hit and not label and got[i][f"n_{kind}"] == 0
+        missed += bool(label) and not hit
+    assert right / (right + wrong) > 0.97 and right / (right + missed) > 0.85
+
+
+def test_trees_in_sql_are_the_trees(spark, model):
+    r = np.random.default_rng(1)
+    x = r.integers(0, 20, (50, len(pii.FEATURES))).astype(float)
+    df = spark.createDataFrame([tuple(map(float, row)) for row in x], [*pii.FEATURES]).select(F.struct(*pii.FEATURES).alias("f"))
+    got = [v.p for v in df.select("f", model.column(F.col("f")).alias("p")).collect()]
+    assert np.allclose(got, 1 / (1 + np.exp(-model.margin(x))))
+
+
+def test_redact(spark, model):
+    text = "🙂 a@b.co and 1.2.3.4, +1 (555) 010-9999."
+    docs = spark.createDataFrame([(1, text, 41, "e"), (2, None, None, "e"), (3, "clean", 5, "e"), (3, "clean", 5, "e")], "doc_id long, text string, n_chars long, pii_gate string")
+    out = pii.redact(docs, model)
+    assert out.columns == docs.columns
+    rows = sorted(out.collect(), key=lambda r: r.doc_id)
+    assert rows[0].text == "🙂 [EMAIL] and [IP], [PHONE]." and rows[0].n_chars == len(rows[0].text)
+    assert rows[1].text is None and rows[2].text == "clean" and len(rows) == 4
+    assert pii.redact(docs.limit(0), model).count() == 0
