@@ -109,7 +109,7 @@ b as (
 f as (
   select *,
     (case when n_words < 50 then 1 else 0 end) + (case when 100 * n_repeat_words > 50 * n_words then 2 else 0 end)
-    + (case when 10 * n_symbols > n_words then 4 else 0 end) + (case when 10 * n_dup_lines > 3 * n_lines then 8 else 0 end)
+    + (case when 10 * n_symbols > n_words then 4 else 0 end) + (case when n_dup_lines >= 5 and 10 * n_dup_lines > 3 * n_lines then 8 else 0 end)
     + (case when word_chars < 2 * n_words then 16 else 0 end) + (case when word_chars > 15 * n_words then 32 else 0 end)
     + (case when n_words > 100000 then 64 else 0 end) as bits
   from b)
