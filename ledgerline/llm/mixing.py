@@ -30,7 +30,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 EPOCHS = 2
 #: Documents of a slice, about.
-SLICE = 20_000
+SLICE = 2_000
 
 
 def size_of(text: Column) -> Column:
