@@ -3,10 +3,11 @@
 Documents become token pieces of at most ``capacity`` tokens. Pieces are dealt
 over partitions of a bounded number of pieces; each partition is packed by
 best-fit decreasing, and dual-feasible functions give a lower bound of the bins
-that its pieces need. A partition whose bins meet the bound is certified and
-done. The others keep their full bins and exchange the documents of the rest:
-these are dealt anew over fewer partitions and packed again, until all are
-certified or a round saves nothing.
+that its pieces need. A partition over its bound keeps its full bins and exchanges
+the documents of the rest; one that meets its bound exchanges those of its loosest
+bins, for bounds of parts add up to more than the bound of the whole. What is
+exchanged is dealt anew over fewer partitions and packed again, until all bins
+together meet the bound of all pieces or a round saves nothing.
 
 Defined results: a null or empty text is the end token alone, one piece of one
 token; repeated rows are packed as often as they occur; ties in length are
@@ -41,6 +42,8 @@ AT_ONCE = 4 << 20
 #: Pieces of a packing partition, at most about: bounds the memory of a task.
 PART_PIECES = 50_000
 MAX_ROUNDS = 8
+#: Bins of a partition at its bound are exchanged if they are filled less than this.
+LOOSE = 0.98
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Special strings of the tokenizer file are matched as written: texts with this mark keep their case.
@@ -212,11 +215,11 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return where, offset, np.array(fill, np.int64)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """Bins that the lengths need at least: the best of three families of dual-feasible functions."""
+def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY, counts: np.ndarray | None = None) -> int:
+    """Bins that the lengths (each ``counts`` times) need at least: the best of three families of dual-feasible functions."""
     if not len(lengths):
         return 0
-    n = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    n = np.bincount(lengths, counts, minlength=capacity + 1).round().astype(np.int64)
     x = np.arange(capacity + 1, dtype=np.int64)
     bound = -(-int((n * x).sum()) // capacity)
     # Large counts whole, small not at all: f(x) = C over C - e, 0 under e, else x.
@@ -238,7 +241,7 @@ def _pack(capacity: int):
         lengths = rows["length"].to_numpy(np.int64)
         where, offset, fill = best_fit_decreasing(lengths, capacity)
         gap = len(fill) - lower_bound(lengths, capacity)
-        released = (fill < capacity)[where] if gap > 0 else np.zeros(len(rows), bool)
+        released = (fill < (capacity if gap > 0 else LOOSE * capacity))[where]
         return rows.assign(bin=where, offset=offset, gap=gap, released=released)
 
     return pack
@@ -250,24 +253,27 @@ def pack(table: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIE
     ``gap`` is the number of bins over the lower bound in that round: 0 where the
     number of sequences is proven least for the partition's pieces.
     """
+    sizes = table.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``capacity`` rows
+    bound = lower_bound(np.array([r.length for r in sizes]), capacity, np.array([r.n for r in sizes], np.int64)) if sizes else 0
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     schema = PIECES + ", part long, bin long, offset long, gap long, released boolean"
     finished: list[DataFrame] = []
     left, n = table.select(*names), table.count()
     bins_before: int | None = None
+    kept = 0
     for round_no in range(max_rounds):
-        # Half as many partitions a round: what each could not fill meets more.
         parts = max(1, -(-n // part_pieces))
         dealt = left.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(round_no)), F.lit(parts)))
         packed = stash(dealt.groupBy("part").applyInPandas(_pack(capacity), schema), f"pack-{round_no}")
-        state = packed.groupBy("part").agg(F.max("gap").alias("gap"), F.sum(F.col("released").cast("long")).alias("n"), F.countDistinct(F.when(F.col("released"), F.col("bin"))).alias("bins"))
-        gaps, n, bins = state.agg(F.coalesce(F.sum((F.col("gap") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bins"), F.lit(0))).first()
+        state = packed.groupBy("part").agg(F.max("gap").alias("gap"), F.sum(F.col("released").cast("long")).alias("n"), F.countDistinct(F.when(F.col("released"), F.col("bin"))).alias("bins"), F.countDistinct("bin").alias("made"))
+        n, bins, made = state.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "bins", "made")]).first()
         numbered = packed.withColumn("sequence_id", (F.lit(round_no).cast("long") * parts + F.col("part")) * F.lit(1 << 32) + F.col("bin") if round_no == 0 else F.lit(round_no) * F.lit(1 << 56) + F.col("part") * F.lit(1 << 32) + F.col("bin"))
-        alone = gaps <= 1 and parts == 1
-        last = not gaps or alone or (bins_before is not None and bins >= bins_before) or round_no == max_rounds - 1
+        saved = bins_before is None or made < bins_before
+        last = kept + made <= bound or parts == 1 or not bins or not saved or round_no == max_rounds - 1
         finished.append(numbered if last else numbered.where(~F.col("released")))
         if last:
             break
+        kept += made - bins
         bins_before, left = bins, packed.where("released").select(*names)
     out = finished[0]
     for more in finished[1:]:
