@@ -13,7 +13,7 @@ whole source, however large.
 Defined results: a null or empty text has size 0 and nothing to take; null
 sources are one source, after all others; equal keys are ordered by doc_id and
 text hash; rows that repeat a document wholly tie, and are taken or left by their
-order in the slice; an empty table gives an empty result; extra columns are not
+order in the slice (``mix`` takes each of them as often as the most taken); an empty table gives an empty result; extra columns are not
 read, except by ``mix``, which passes them on.
 """
 

@@ -32,7 +32,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.convert_pages(spark, read(spark, sf_dir, "pages"))
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "warc_date")
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,4 +141,19 @@ select conv_id, max(total) as n_turns, sha256(string_agg(role || chr(10) || text
 from p group by conv_id
 """
 
-ORACLES: dict[str, str] = {"op4_chat_formatting": _CHAT, "op10_quality_rules": _QUALITY}
+#: SHA-1 in base 32: five hexadecimal digits are four characters.
+_WARC = """
+with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as s from pages),
+d as (
+  select page_id, octet_length(encode(h)) as payload_bytes, s,
+         array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           ((cast('0x' || substr(s, 5 * (i // 4) + 1, 5) as integer) >> cast(15 - 5 * (i % 4) as integer)) & 31) + 1, 1)), '') as payload_digest
+  from p),
+f as (select s, min(page_id) as first_id from d group by s)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+       case when page_id = first_id then 'response' else 'revisit' end as record_type,
+       case when page_id <> first_id then first_id end as refers_to, '2020-01-01T00:00:00Z' as warc_date
+from d join f using (s)
+"""
+
+ORACLES: dict[str, str] = {"op3_warc": _WARC, "op4_chat_formatting": _CHAT, "op10_quality_rules": _QUALITY}
