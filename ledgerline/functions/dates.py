@@ -61,7 +61,7 @@ def minutes_of(clock: Column) -> Column:
 
 
 def day_shift(from_month: Column, from_day: Column, to_month: Column, to_day: Column) -> Column:
-    """Days between month/day labels on 31-day months; a negative shift counts as 1 (kept as the reference has it)."""
+    """Days between month/day labels on 31-day months; a negative shift counts as 1 (an oddity kept on purpose)."""
     shift = (to_month * 31 + to_day) - (from_month * 31 + from_day)
     return F.when(shift < 0, 1).otherwise(shift).cast("int")
 

@@ -99,5 +99,5 @@ def changed_since_reported(readings: DataFrame, thresholds: DataFrame) -> DataFr
         F.max("as_of").alias("as_of"), F.max_by("value", "as_of").alias("value"),
         F.max_by(F.when(F.col("notified_at").isNotNull(), F.col("value")), F.when(F.col("notified_at").isNotNull(), F.col("as_of"))).alias("reported"),
     )
-    joined = state.join(F.broadcast(thresholds), "series")
+    joined = state.join(thresholds, "series")
     return joined.where(F.col("reported").isNotNull() & (F.abs(F.col("value") - F.col("reported")) + 1e-12 >= F.col("move")))

@@ -111,7 +111,7 @@ def select_outbound(options: DataFrame, cap: int) -> DataFrame:
 def cells(returns: DataFrame, keys: list[str]) -> DataFrame:
     """Cheapest return of each bucket and number of stops, its airline carried along.
 
-    ``n_itineraries`` counts the bucket whatever the stops, as the reference does.
+    ``n_itineraries`` counts the bucket whatever the stops: an oddity kept on purpose.
     """
     priced = returns.where("price is not null")
     per = priced.groupBy(*keys, "ret_bucket", "ret_stops").agg(F.min(F.struct("price", "id", "ret_airline")).alias("b"), F.count("*").alias("n"))

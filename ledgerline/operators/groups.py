@@ -33,7 +33,7 @@ def sector_view(members: DataFrame, returns: DataFrame) -> DataFrame:
 
 def standing(view: DataFrame, members: DataFrame, returns: DataFrame) -> DataFrame:
     """Each priced member against its group; ``carried``: it went with a group that moved as one."""
-    rows = members.join(returns.where("ret is not null"), "ticker").join(F.broadcast(view), "sector").where("median_return is not null")
+    rows = members.join(returns.where("ret is not null"), "ticker").join(view, "sector").where("median_return is not null")
     gap = F.col("ret") - F.col("median_return")
     position = F.when(gap > IN_LINE, "leading").when(gap < -IN_LINE, "lagging").otherwise("in_line")
     return rows.select("sector", "ticker", F.col("ret").alias("own_return"), "median_return", gap.alias("gap"), position.alias("position"), "cohesion", ((F.col("cohesion") == "bloc") & (position == "in_line")).alias("carried"))

@@ -31,7 +31,8 @@ def category_summary(expenses: DataFrame) -> DataFrame:
     """total, n and share of each category; the share from unrounded sums."""
     by = totals_by(expenses, "category")
     # One row a category: the grand total comes from them, not from the expenses again.
-    return by.crossJoin(F.broadcast(by.agg(F.sum(money(F.col("total"))).cast("double").alias("all")))).select("category", "total", "n", (100.0 * F.try_divide(F.col("total"), F.col("all"))).alias("pct"))
+    whole = F.sum(money(F.col("total"))).over(Window.partitionBy()).cast("double")
+    return by.select("category", "total", "n", (100.0 * F.try_divide(F.col("total"), whole)).alias("pct"))
 
 
 def top_days(expenses: DataFrame, limit: int = 5) -> DataFrame:
@@ -78,7 +79,7 @@ def stacked(by_month: DataFrame, by_category: DataFrame) -> DataFrame:
     """Bars of a month stacked by the year's rank of their category."""
     ranks = by_category.select("category", F.row_number().over(Window.orderBy(F.desc("total"), "category")).alias("rank"))
     w = Window.partitionBy("month").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    return by_month.join(F.broadcast(ranks), "category").select("month", "category", "total", "rank", F.coalesce(F.sum(money(F.col("total"))).over(w), F.lit(0)).cast("double").alias("bottom"))
+    return by_month.join(ranks, "category").select("month", "category", "total", "rank", F.coalesce(F.sum(money(F.col("total"))).over(w), F.lit(0)).cast("double").alias("bottom"))
 
 
 def latest_expenses(expenses: DataFrame, limit: int = 20) -> DataFrame:

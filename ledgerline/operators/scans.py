@@ -115,4 +115,4 @@ def next_open(tickers: DataFrame, sessions: DataFrame, after: Column) -> DataFra
     """The next opening of each ticker's market, from a calendar (market, open_at)."""
     labelled = tickers.withColumn("market", market_of(F.col("ticker"))["market"])
     upcoming = sessions.where(F.col("open_at") > after).groupBy("market").agg(F.min("open_at").alias("open_at"))
-    return labelled.join(F.broadcast(upcoming), "market", "left")
+    return labelled.join(upcoming, "market", "left")

@@ -155,10 +155,10 @@ def yield_curve(spark, sf):
     return asof.same_day_spread(a.macro(spark, sf), "view", "click")
 
 
-@query(a.with_views(", s as (select series, max(as_of) as as_of, arg_max(value, as_of) as value, arg_max(value, as_of) filter (where notified_at is not null) as reported from v_macro group by 1) select series, as_of, value, reported, cast(50 as double) as move from s where reported is not null and abs(value - reported) + 1e-12 >= 50", M))
+@query(a.with_views(", s as (select series, max(as_of) as as_of, arg_max(value, as_of) as value, arg_max(value, as_of) filter (where notified_at is not null) as reported from v_macro group by 1) select series, as_of, value, reported, cast(5 as double) as move from s where reported is not null and abs(value - reported) + 1e-12 >= 5", M))
 def macro_changed(spark, sf):
     m = a.macro(spark, sf)
-    return asof.changed_since_reported(m, m.select("series").distinct().withColumn("move", F.lit(50.0)))
+    return asof.changed_since_reported(m, m.select("series").distinct().withColumn("move", F.lit(5.0)))
 
 
 @query(a.with_views("select series, max(as_of) as as_of, arg_max(value, as_of) as value from v_macro group by 1", M))

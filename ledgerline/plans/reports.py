@@ -103,8 +103,8 @@ def position_alerts(news: DataFrame, events: DataFrame, held: DataFrame, today:
 
 def pending_summary(news: DataFrame, events: DataFrame, today: Column, horizon: int = 14) -> DataFrame:
     """How much waits: two counts, no clustering."""
-    n = pending_news(news).agg(F.count("*").alias("news"))
-    return n.crossJoin(scans.horizon(events, today, horizon).agg(F.count("*").alias("events"))).withColumn("pending", F.col("news") + F.col("events"))
+    both = pending_news(news).select(F.lit(1).alias("n"), F.lit(0).alias("e")).unionByName(scans.horizon(events, today, horizon).select(F.lit(0).alias("n"), F.lit(1).alias("e")))
+    return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("news"), F.coalesce(F.sum("e"), F.lit(0)).alias("events"), F.count("*").alias("pending"))
 
 
 def brief(ticker: str, bars: DataFrame, news: DataFrame, events: DataFrame, fundamentals: DataFrame, since: Column, today: Column, thresholds: setups.Thresholds | None = None) -> dict[str, DataFrame]:
