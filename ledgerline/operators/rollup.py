@@ -114,3 +114,8 @@ def axis_limits(df: DataFrame, value: str) -> DataFrame:
     lo, hi = F.min(value), F.max(value)
     pad = F.when(hi > lo, (hi - lo) * 0.1).otherwise(F.abs(hi) * 0.05)
     return df.agg(F.greatest(F.lit(0.0), lo - pad).alias("low"), (hi + pad).alias("high"))
+
+
+def latest_value(df: DataFrame, value: str, order: str) -> DataFrame:
+    """The value of the newest row, as with the currency of the last expense."""
+    return df.agg(F.max_by(value, order).alias(value))

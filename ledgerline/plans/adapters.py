@@ -81,7 +81,7 @@ def media(spark: SparkSession, sf: str) -> DataFrame:
 def macro(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "events")
     per = e.groupBy(F.col("event_type").alias("series"), F.col("ts").cast("date").alias("as_of")).agg(F.sum(F.col("value").cast("decimal(38,2)")).cast("double").alias("value"))
-    return per.withColumn("notified_at", F.when(F.day("as_of") % 6 == 0, F.col("as_of").cast("timestamp_ntz")))
+    return per.withColumn("notified_at", F.when(F.day("as_of") % 7 == 0, F.col("as_of").cast("timestamp_ntz")))
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,7 +99,7 @@ SQL = {
     "v_trades": "select cast(l_suppkey as varchar) as ticker, cast(l_shipdate as date) as trade_date, case when l_returnflag = 'R' then 'sell' else 'buy' end as side, cast(l_quantity as double) as quantity, l_extendedprice / l_quantity as price, l_tax as fee from lineitem",
     "v_coupons": "select o_orderkey as id, cast(o_custkey as varchar) as account_id, o_orderpriority as merchant, 'offer ' || cast(o_orderkey % 97 as varchar) as title, cast(o_orderdate as date) as expires_on, case o_orderstatus when 'F' then 'used' when 'O' then 'active' else 'needs_review' end as status, case when o_orderkey % 5 <> 0 then o_orderkey % 700 end as media_id from orders",
     "v_media": "select distinct c_custkey % 1000 as media_id, cast(c_custkey as varchar) as account_id from customer",
-    "v_macro": "select event_type as series, cast(ts as date) as as_of, cast(sum(cast(value as decimal(38,2))) as double) as value, case when day(cast(ts as date)) % 6 = 0 then cast(cast(ts as date) as timestamp) end as notified_at from events group by event_type, cast(ts as date)",
+    "v_macro": "select event_type as series, cast(ts as date) as as_of, cast(sum(cast(value as decimal(38,2))) as double) as value, case when day(cast(ts as date)) % 7 = 0 then cast(cast(ts as date) as timestamp) end as notified_at from events group by event_type, cast(ts as date)",
 }
 
 

@@ -20,6 +20,9 @@ TABLES = {
     "news": "id long, ticker string, peer_of string, url_hash string, url string, title string, source string, published_at timestamp, first_seen_at timestamp, notified_at timestamp, feed string, summary string, sentiment_score double, sentiment_label string, relevance double, event_class string, materiality int, band string, suppressed boolean",
     "macro": "series string, as_of date, value double, fetched_at timestamp, notified_at timestamp",
     "events": "id long, ticker string, kind string, event_date date, detail string, detected_at timestamp, notified_at timestamp",
+    "alias": "alias string, member string",
+    "coupon_events": "id string, account_id string, at timestamp_ntz, seq long, kind string, arg string",
+    "fundamentals": "ticker string, payload string, fetched_at timestamp",
     "setup_state": "ticker string, as_of date, stage string, score int, pivot double",
 }
 
@@ -29,6 +32,7 @@ KEYS = {
     "cell": ("run_date", "scope", "origin", "dest", "depart_date", "return_date", "airline", "dep_bucket", "ret_bucket", "out_stops", "ret_stops"),
     "itinerary": ("run_date", "scope", "origin", "dest", "depart_date", "return_date", "out_airline", "ret_airline", "out_depart", "ret_depart"),
     "bars": ("ticker", "day"), "trades": ("id",), "news": ("ticker", "url_hash"), "macro": ("series", "as_of"), "events": ("ticker", "kind", "event_date"), "setup_state": ("ticker",),
+    "alias": ("alias",), "coupon_events": ("id", "seq"), "fundamentals": ("ticker",),
 }
 #: Columns that an upsert leaves as they were first written.
 KEPT = {"cell": ("created_at",), "macro": ("value", "notified_at"), "keyword_category": ("created_at",)}

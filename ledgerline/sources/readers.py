@@ -151,3 +151,28 @@ def trailing_days(rows: DataFrame, key: str, day: str, days: int) -> DataFrame:
     """Each key's rows within some days of its newest."""
     newest = rows.groupBy(key).agg(F.date_sub(F.max(day), days).alias("__from"))
     return rows.join(newest, key).where(F.col(day) >= F.col("__from")).drop("__from")
+
+
+def fallback_symbol(ticker: Column) -> Column:
+    """A ticker as the fallback source spells it: home listings end in ``.us``, dots in a class are dashes; others are not there."""
+    low = F.lower(F.trim(ticker))
+    foreign = low.rlike(r"\.(hk|ss|sz|t|l)$")
+    return F.when(~foreign, F.concat(F.replace(low, F.lit("."), F.lit("-")), F.lit(".us")))
+
+
+def tolerant_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with broken ones left out: a damaged ledger file reads as what is left of it."""
+    return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
+
+
+def corporate_calendar(payloads: DataFrame) -> DataFrame:
+    """Earnings and ex-dividend dates of a vendor's calendar (ticker, payload), a row for each that is known."""
+    earnings = first_key(F.col("payload"), "'Earnings Date'", "earningsDate")
+    dividend = first_key(F.col("payload"), "'Ex-Dividend Date'", "exDividendDate")
+    each = F.array(F.struct(F.lit("earnings").alias("kind"), mixed_date(earnings).alias("event_date")), F.struct(F.lit("ex_dividend").alias("kind"), mixed_date(dividend).alias("event_date")))
+    return payloads.select("ticker", F.explode(each).alias("e")).select("ticker", "e.*").where("event_date is not null")
+
+
+def chart_frame(rows: DataFrame) -> DataFrame:
+    """Bars in the columns that a chart wants, oldest first."""
+    return rows.select(F.col("day").alias("Date"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), F.col("close").alias("Close"), F.col("volume").alias("Volume")).orderBy("Date")
