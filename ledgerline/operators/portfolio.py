@@ -48,19 +48,22 @@ def fifo(trades: DataFrame) -> DataFrame:
     return trades.groupBy("ticker").applyInPandas(per_ticker, HOLDING)
 
 
-def realized_long_only(trades: DataFrame) -> DataFrame:
+def realized_long_only(trades: DataFrame, bucket: float = 1000.0) -> DataFrame:
     """Realized profit where sells never exceed what was bought before: quantities as intervals.
 
     Buys and sells each cover a stretch of the cumulative quantity; the overlap of a
-    sell with a buy is what it closes. All in the JVM, and by ranges per ticker.
+    sell with a buy is what it closes. Stretches are cut at multiples of ``bucket``,
+    so the join is by equality and meets near stretches alone; overlaps within the
+    buckets add up to the whole.
     """
     w = Window.partitionBy("ticker", "side").orderBy("trade_date", "id").rowsBetween(Window.unboundedPreceding, 0)
     run = trades.withColumn("hi", F.sum("quantity").over(w)).withColumn("lo", F.col("hi") - F.col("quantity"))
     each = F.when(F.col("side") == "buy", F.col("price") + F.col("fee") / F.col("quantity")).otherwise(F.col("price") - F.col("fee") / F.col("quantity"))
-    run = run.withColumn("each", each)
-    b = run.where("side = 'buy'").select("ticker", F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.col("each").alias("cost"))
-    s = run.where("side = 'sell'").select("ticker", "lo", "hi", "each")
-    met = s.join(b, "ticker").where((F.col("lo") < F.col("bhi")) & (F.col("blo") < F.col("hi")))
+    run = run.withColumn("each", each).withColumn("k", F.explode(F.sequence(F.floor(F.col("lo") / bucket), F.floor(F.col("hi") / bucket))))
+    run = run.withColumns({"lo": F.greatest("lo", F.col("k") * bucket), "hi": F.least("hi", (F.col("k") + 1) * bucket)}).where("lo < hi")
+    b = run.where("side = 'buy'").select("ticker", "k", F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.col("each").alias("cost"))
+    s = run.where("side = 'sell'").select("ticker", "k", "lo", "hi", "each")
+    met = s.join(b, ["ticker", "k"]).where((F.col("lo") < F.col("bhi")) & (F.col("blo") < F.col("hi")))
     closed = F.least("hi", "bhi") - F.greatest("lo", "blo")
     return met.groupBy("ticker").agg(F.sum(closed * (F.col("each") - F.col("cost"))).alias("realized"))
 

@@ -32,13 +32,11 @@ def item_key(spark, sf):
     return n.select("id", text.item_key(F.col("source"), F.col("url"), F.col("title")).alias("key"), text.url_hash(F.col("url")).alias("url_hash"))
 
 
-#: ASCII titles only: both sides lower-case these alike.
-_ASCII = "(select * from v_news where regexp_full_match(title, '[\\x00-\\x7F]*'))"
-_SIGNED = f", n as (select id, source, category, list_distinct(regexp_extract_all(trim(regexp_replace(lower(title), '\\s+', ' ', 'g')), '[0-9a-z]+(?:-[0-9a-z]+)*')) as w from {_ASCII}), s as (select id, source, category, list_sort(case when len(list_filter(w, lambda x: x not in ({_FEED_STOP}) and len(x) > 1)) > 0 then list_filter(w, lambda x: x not in ({_FEED_STOP}) and len(x) > 1) else w end) as words from n)"
+_SIGNED = f", n as (select id, source, category, list_distinct(regexp_extract_all(trim(regexp_replace(lower(title), '\\s+', ' ', 'g')), '[0-9a-z㐀-鿿]+(?:-[0-9a-z㐀-鿿]+)*')) as w from v_news), s as (select id, source, category, list_sort(case when len(list_filter(w, lambda x: x not in ({_FEED_STOP}) and len(x) > 1)) > 0 then list_filter(w, lambda x: x not in ({_FEED_STOP}) and len(x) > 1) else w end) as words from n)"
 
 
 def _signed(spark, sf):
-    n = a.news(spark, sf).where(F.col("title").rlike(r"^[\x00-\x7F]*$"))
+    n = a.news(spark, sf)
     return n.select("id", "source", "category", "title", "url", text.signature(text.ascii_title(F.col("title"))).alias("words"))
 
 

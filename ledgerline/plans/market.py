@@ -179,26 +179,31 @@ def fifo_pnl(spark, sf):
     return portfolio.fifo(a.trades(spark, sf))
 
 
-#: Trades with each buy long before every sell and of more quantity than all sells together: the long-only form holds.
-_LONG = "l as (select cast(l_suppkey % 20 as varchar) as ticker, l_orderkey * 100 + l_linenumber as k, l_returnflag, cast(l_quantity as double) as q, l_extendedprice / l_quantity as p, row_number() over (partition by l_suppkey % 20 order by l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) as i from lineitem), t as (select ticker, i, case when i <= 60 then 'buy' else 'sell' end as side, case when i <= 60 then q + 100 else q end as quantity, p as price from l where i <= 100)"
+#: Each ticker's first half buys and of more quantity than all sells together: the long-only form holds.
+_ORDER = "l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity"
+_LONG = f"l as (select cast(l_suppkey as varchar) as ticker, cast(l_quantity as double) as q, l_extendedprice / l_quantity as p, row_number() over (partition by l_suppkey order by {_ORDER}) as i, count(*) over (partition by l_suppkey) as n from lineitem), t as (select ticker, i, case when 2 * i <= n + 1 then 'buy' else 'sell' end as side, case when 2 * i <= n + 1 then q + 100 else q end as quantity, p as price from l)"
+_FIFO = f"with {_LONG}, r as (select *, sum(quantity) over (partition by ticker, side order by i) as hi from t), m as (select s.ticker, (least(s.hi, b.hi) - greatest(s.hi - s.quantity, b.hi - b.quantity)) * (s.price - b.price) as pnl from r s join r b on s.ticker = b.ticker and s.side = 'sell' and b.side = 'buy' and s.hi - s.quantity < b.hi and b.hi - b.quantity < s.hi) select ticker, cast(cast(sum(pnl) as decimal(38,2)) as double) as realized from m group by 1"
 
 
-@query(f"with {_LONG}, r as (select *, sum(quantity) over (partition by ticker, side order by i) as hi from t), m as (select s.ticker, (least(s.hi, b.hi) - greatest(s.hi - s.quantity, b.hi - b.quantity)) * (s.price - b.price) as pnl from r s join r b on s.ticker = b.ticker and s.side = 'sell' and b.side = 'buy' and s.hi - s.quantity < b.hi and b.hi - b.quantity < s.hi) select ticker, cast(cast(sum(pnl) as decimal(38,2)) as double) as realized from m group by 1")
+@query(_FIFO)
 def fifo_long_only(spark, sf):
     return portfolio.realized_long_only(_long_trades(spark, sf)).withColumn("realized", F.col("realized").cast("decimal(38,2)").cast("double"))
 
 
-@query(f"with {_LONG}, r as (select *, sum(quantity) over (partition by ticker, side order by i) as hi from t), m as (select s.ticker, (least(s.hi, b.hi) - greatest(s.hi - s.quantity, b.hi - b.quantity)) * (s.price - b.price) as pnl from r s join r b on s.ticker = b.ticker and s.side = 'sell' and b.side = 'buy' and s.hi - s.quantity < b.hi and b.hi - b.quantity < s.hi) select ticker, cast(cast(sum(pnl) as decimal(38,2)) as double) as realized from m group by 1")
+@query(_FIFO)
 def fifo_folded(spark, sf):
-    return portfolio.fifo(_long_trades(spark, sf)).select("ticker", F.col("realized").cast("decimal(38,2)").cast("double").alias("realized"))
+    trades = _long_trades(spark, sf)
+    sold = trades.where("side = 'sell'").select("ticker").distinct()
+    return portfolio.fifo(trades).join(sold, "ticker", "left_semi").select("ticker", F.col("realized").cast("decimal(38,2)").cast("double").alias("realized"))
 
 
 def _long_trades(spark, sf):
     from pyspark.sql import Window
 
     w = Window.partitionBy("ticker").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
-    t = read(spark, sf, "lineitem").withColumn("ticker", (F.col("l_suppkey") % 20).cast("string")).withColumn("id", F.row_number().over(w).cast("long")).where("id <= 100")
-    buy = F.col("id") <= 60
+    t = read(spark, sf, "lineitem").withColumn("ticker", F.col("l_suppkey").cast("string"))
+    t = t.withColumn("id", F.row_number().over(w).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy("ticker")))
+    buy = 2 * F.col("id") <= F.col("n") + 1
     return t.select("ticker", "id", F.lit("2024-01-01").cast("date").alias("trade_date"), F.when(buy, "buy").otherwise("sell").alias("side"), (F.col("l_quantity") + F.when(buy, 100).otherwise(0)).cast("double").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.lit(0.0).alias("fee"))
 
 

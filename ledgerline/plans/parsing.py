@@ -49,9 +49,9 @@ def vendor_figures(spark, sf):
     return read(spark, sf, "events").select("event_id", k.cast("int").alias("k"), numbers.vendor_number(F.when(F.col("event_id") % 5 == 0, " . ").otherwise(k)).alias("figure"))
 
 
-@query("select event_type as series, max(cast(ts as date)) filter (where event_id % 3 <> 0) as as_of, arg_max(value, (ts, event_id)) filter (where event_id % 3 <> 0 and cast(ts as date) = m) as value from (select *, max(cast(ts as date)) filter (where event_id % 3 <> 0) over (partition by event_type) as m from events) where event_id % 3 <> 0 group by 1")
+@query("select event_type as series, max(cast(ts as date)) as as_of, arg_max(value, (ts, event_id)) as value from events group by 1")
 def newest_reading(spark, sf):
-    e = read(spark, sf, "events").where("event_id % 3 <> 0")
+    e = read(spark, sf, "events")
     last = e.groupBy(F.col("event_type").alias("series"), F.col("ts").cast("date").alias("as_of")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
     payloads = last.groupBy("series").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("as_of").cast("string").alias("date"), F.col("value").cast("string").alias("value"))).alias("data"))).alias("payload"))
     return readers.newest_observation(payloads)
@@ -103,13 +103,13 @@ def member_alias(spark, sf):
     return messages.resolve_member(c, spark.sql("select 'Annie' as alias, 'Ann' as member"))
 
 
-_NEWEST = "with c as (select o_orderkey as id, lower(o_orderpriority) || '|offer ' || cast(o_orderkey % 97 as varchar) || '|' || cast(cast(o_orderdate as date) as varchar) as k from orders) select id, (select min(d.id) from c d where d.k = c.k and d.id % 2 = 0) as duplicate_of from c where id % 2 = 1"
+_NEWEST = "with c as (select o_orderkey as id, lower(o_orderpriority) || '|offer ' || cast(o_orderkey % 97 as varchar) || '|' || cast(cast(o_orderdate as date) as varchar) as k from orders) select id, min(id) over (partition by k) as duplicate_of from c"
 
 
 @query(_NEWEST)
 def find_duplicates(spark, sf):
     c = a.coupons(spark, sf).select("id", text.dedupe_key(F.col("merchant"), F.col("title"), F.col("expires_on").cast("string")).alias("dedupe_key"))
-    return registers.find_duplicate(c.where("id % 2 = 0").withColumn("created_at", F.col("id")), c.where("id % 2 = 1")).select("id", "duplicate_of")
+    return registers.find_duplicate(c.withColumn("created_at", F.col("id")), c).select("id", "duplicate_of")
 
 
 @query("select l_orderkey as id, count(*) as n from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'P') group by 1")
@@ -147,17 +147,17 @@ def purge_selection(spark, sf):
     return registers.purge_selection(a.coupons(spark, sf), F.lit("1998-05-06").cast("date"), status=["used"], merchant="LOW", older_than_days=365).select("id", "expires_on")
 
 
-@query("select c_custkey as account_id, 'm' || cast(c_custkey as varchar) as media_id, c_custkey % 2 = 0 as reused from customer where c_custkey % 2 = 0 union all select c_custkey, sha1(cast(c_custkey as varchar) || '|h'), false from customer where c_custkey % 2 = 1")
+@query("select c_custkey as account_id, 'm' || cast(c_custkey as varchar) as media_id, true as reused from customer where c_acctbal > 0 union all select c_custkey, sha1(cast(c_custkey as varchar) || '|h'), false from customer where c_acctbal <= 0")
 def media_register(spark, sf):
-    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("account_id"), F.lit("h").alias("sha256"))
-    known = c.where("account_id % 2 = 0").withColumn("media_id", F.concat(F.lit("m"), F.col("account_id").cast("string")))
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("account_id"), F.lit("h").alias("sha256"), "c_acctbal")
+    known = c.where("c_acctbal > 0").withColumn("media_id", F.concat(F.lit("m"), F.col("account_id").cast("string")))
     return registers.register_media(known, c).select("account_id", "media_id", "reused")
 
 
-@query(a.with_views(", r as (select *, cast(q_index as integer) as i from v_quarters) select q_index, total from r where q_index % 2 = 1", "v_quarters"))
+@query(a.with_views(", r as (select *, cast(q_index as integer) as i from v_quarters) select q_index, total from r where q_index >= 7990", "v_quarters"))
 def quarter_append(spark, sf):
     q = a.quarters(spark, sf).select(dates.quarter_label(F.col("q_index")).alias("quarter"), "q_index", "land_ready", "being_built", "built_not_sold", F.lit(None).cast("long").alias("total"))
-    good, _ = registers.add_quarter(q.where("q_index % 2 = 0"), q)
+    good, _ = registers.add_quarter(q.where("q_index < 7990"), q)
     return good.select("q_index", "total")
 
 

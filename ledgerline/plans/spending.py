@@ -117,23 +117,23 @@ def keyword_hits(spark, sf):
     return state.add_hits(table, e).select("keyword", "hits")
 
 
-@query(a.with_views("select member, category, cast(amount as double) as amount, ts, id from v_expenses where id >= 100", V))
+@query(a.with_views("select member, category, cast(amount as double) as amount, ts, id from v_expenses where category <> 'click'", V))
 def insert_absent(spark, sf):
     e = a.expenses(spark, sf).select("member", "category", "amount", "ts", "id")
-    return state.insert_absent(e.where("id < 100"), e.unionByName(e.where("id % 3 = 0")), ["id"])
+    return state.insert_absent(e.where("category = 'click'"), e.unionByName(e), ["id"])
 
 
-@query(a.with_views("select id, member, case when id % 2 = 0 then 'new' else category end as category, cast(amount as double) as amount from v_expenses", V))
+@query(a.with_views("select id, member, case when category = 'view' then 'new' else category end as category, cast(amount as double) as amount from v_expenses", V))
 def merge_upsert(spark, sf):
     e = a.expenses(spark, sf).select("id", "member", "category", "amount")
-    return state.merge(e, e.where("id % 2 = 0").withColumns({"category": F.lit("new"), "member": F.lit("x")}), ["id"], keep=["member"])
+    return state.merge(e, e.where("category = 'view'").withColumns({"category": F.lit("new"), "member": F.lit("x")}), ["id"], keep=["member"])
 
 
-@query(a.with_views(", l as (select max(id) as top from v_expenses) select id from v_expenses where id % 3 <> 0", V))
+@query(a.with_views(" select id from v_expenses where category <> 'Uncategorized'", V))
 def ledger_pending(spark, sf):
-    e = a.expenses(spark, sf).select("id")
-    stamps = e.where("id % 3 = 0").select(F.lit("expenses").alias("domain"), F.col("id").cast("string").alias("key"), F.lit(None).cast("timestamp").alias("stamped_at"))
-    return state.Ledger(stamps, "expenses").pending(e, F.col("id"))
+    e = a.expenses(spark, sf).select("id", "category")
+    stamps = e.where("category = 'Uncategorized'").select(F.lit("expenses").alias("domain"), F.col("id").cast("string").alias("key"), F.lit(None).cast("timestamp").alias("stamped_at"))
+    return state.Ledger(stamps, "expenses").pending(e, F.col("id")).select("id")
 
 
 @query(a.with_views(", r as (select *, row_number() over (partition by member order by id desc) as k from v_expenses) select member, id, category from r where k <= 3", V))

@@ -70,7 +70,7 @@ def orphan_rows(spark, sf):
     return coupons.orphans(a.coupons(spark, sf), a.media(spark, sf)).select("id", "account_id")
 
 
-_CAND = ", c as (select id, account_id, case when id % 11 = 0 then '' else merchant end as merchant, title, expires_on, (id % 10) / 10.0 as confidence, id % 6 = 0 as assumed, cast(id % 3 as integer) + 1 as stated, id // 100 as doc from v_coupons where id % 2 = 1), e as (select min(id) as dup, merchant, title, expires_on from v_coupons where id % 2 = 0 group by 2, 3, 4), n as (select doc, count(*) as n_found from c group by 1)"
+_CAND = ", c as (select id, account_id, case when id % 11 = 0 then '' else merchant end as merchant, title, expires_on, (id % 10) / 10.0 as confidence, id % 6 = 0 as assumed, cast(id % 3 as integer) + 1 as stated, id // 100 as doc from v_coupons), e as (select min(id) as dup, merchant, title, expires_on from v_coupons where status = 'used' group by 2, 3, 4), n as (select doc, count(*) as n_found from c group by 1)"
 
 
 @query(a.with_views(_CAND + ", r as (select c.*, n_found, dup, array_to_string(list_filter([case when stated <> n_found then 'count' end, case when c.merchant = '' then 'merchant' end, case when confidence < 0.8 then 'confidence' end, case when assumed then 'assumed' end, case when dup is not null then 'duplicate' end], lambda x: x is not null), ',') as reasons from c join n using (doc) left join e on lower(e.merchant) = lower(c.merchant) and e.title = c.title and e.expires_on = c.expires_on) select id, reasons, case when reasons = '' then 'active' else 'needs_review' end as status from r", C))
@@ -78,8 +78,8 @@ def review_reasons(spark, sf):
     from ..functions.text import dedupe_key
 
     all_rows = a.coupons(spark, sf)
-    c = all_rows.where("id % 2 = 1").select("id", F.when(F.col("id") % 11 == 0, "").otherwise(F.col("merchant")).alias("merchant"), "title", "expires_on", ((F.col("id") % 10) / 10.0).alias("confidence"), (F.col("id") % 6 == 0).alias("assumed"), ((F.col("id") % 3).cast("int") + 1).alias("stated"), F.floor(F.col("id") / 100).alias("doc"))
-    e = all_rows.where("id % 2 = 0").select("id", dedupe_key(F.col("merchant"), F.col("title"), F.col("expires_on").cast("string")).alias("dedupe_key"), F.col("id").alias("created_at"))
+    c = all_rows.select("id", F.when(F.col("id") % 11 == 0, "").otherwise(F.col("merchant")).alias("merchant"), "title", "expires_on", ((F.col("id") % 10) / 10.0).alias("confidence"), (F.col("id") % 6 == 0).alias("assumed"), ((F.col("id") % 3).cast("int") + 1).alias("stated"), F.floor(F.col("id") / 100).alias("doc"))
+    e = all_rows.where("status = 'used'").select("id", dedupe_key(F.col("merchant"), F.col("title"), F.col("expires_on").cast("string")).alias("dedupe_key"), F.col("id").alias("created_at"))
     out = coupons.review_reasons(c, e)
     kind = F.transform("reasons", lambda r: F.when(r.startswith("stated"), "count").when(r.startswith("merchant"), "merchant").when(r.startswith("confidence"), "confidence").when(r.startswith("expiry"), "assumed").otherwise("duplicate"))
     return out.select("id", F.array_join(kind, ",").alias("reasons"), "status")
