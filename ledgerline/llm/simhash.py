@@ -76,9 +76,8 @@ def _planes(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def close_pairs(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes (i, j) with left[i] and right[j] at most ``radius`` (under 7) bits apart."""
-    found_i, found_j = [], []
+def close_pairs(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indexes (i, j) with left[i] and right[j] at most ``radius`` (under 7) bits apart, tile by tile: at most ROWS * LANES pairs at once."""
     ones = np.uint64(0xFFFFFFFFFFFFFFFF)
     for c in range(0, len(right), LANES):
         block = right[c : c + LANES]
@@ -106,11 +105,7 @@ def close_pairs(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> tu
             else:
                 hits = np.unpackbits((~far & valid).view(np.uint8), axis=1, bitorder="little")
                 i, j = np.nonzero(hits)
-                found_i.append(i + r)
-                found_j.append(j + c)
-    if not found_i:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(found_i), np.concatenate(found_j)
+                yield i + r, j + c
 
 
 def _exceeds(c0: np.ndarray, c1: np.ndarray, c2: np.ndarray, radius: int) -> np.ndarray:
@@ -128,21 +123,21 @@ def _exceeds(c0: np.ndarray, c1: np.ndarray, c2: np.ndarray, radius: int) -> np.
 def spanning_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links that join the same fingerprints as all close pairs do: each member with its class's first."""
     values = left if right is None else np.concatenate([left, right])
-    i, j = close_pairs(left, left if right is None else right, radius)
-    if right is not None:
-        j = j + len(left)
-    keep = i != j
-    i, j = i[keep], j[keep]
-    if not len(i):
-        return []
     root = np.arange(len(values))
-    while True:  # smallest label among neighbours, then the label's label
-        before = root.copy()
-        np.minimum.at(root, i, root[j])
-        np.minimum.at(root, j, root[i])
-        root = root[root]
-        if (root == before).all():
-            break
+    for i, j in close_pairs(left, left if right is None else right, radius):
+        if right is not None:
+            j = j + len(left)
+        while True:  # classes that a pair joins take the smaller label
+            a, b = root[i], root[j]
+            apart = a != b
+            if not apart.any():
+                break
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            parent = np.arange(len(values))
+            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+            while (parent != parent[parent]).any():
+                parent = parent[parent]
+            root = parent[root]
     signed = values.view(np.int64)
     return [(int(signed[k]), int(signed[root[k]])) for k in np.flatnonzero(root != np.arange(len(root)))]
 
@@ -244,7 +239,7 @@ def hex_fingerprint(fp):  # a column of 16 lower-case hex digits
 def survivors(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One document of each class: that of the smallest doc_id; its own columns only.
 
-    Of rows that repeat this doc_id, the first by all their columns' hash stays; a
+    Of rows that repeat this doc_id, the one whose text has the smallest hash stays; a
     class whose doc_ids are all null keeps one such row for each text.
     """
     found = stash(classes(docs, radius), "simhash-classes")
@@ -253,8 +248,9 @@ def survivors(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     once = docs.join(stay.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     again = stay.where("n > 1").select("doc_id")
     if again.limit(1).count():
-        repeated = docs.join(again, "doc_id", "left_semi").select(*docs.columns)
-        once = once.unionByName(repeated.dropDuplicates(["doc_id"]))
+        repeated = docs.join(again, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
+        first = repeated.groupBy("id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
+        once = once.unionByName(first.select("row.*"))
     if found.where("doc_id is null and component_id is null").limit(1).count():
         once = once.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
     return once

@@ -45,11 +45,31 @@ def test_close_pairs_is_brute_force():
     values = base + [b ^ sum(1 << k for k in r.sample(range(64), r.randrange(8))) for b in base for _ in range(3)] + [0, 2**64 - 1, 15, 31]
     a = np.array(values, np.uint64)
     for radius in (0, 1, 3, 4, 6):
-        i, j = simhash.close_pairs(a, a, radius)
-        got = set(zip(i.tolist(), j.tolist(), strict=True))
+        got = {p for i, j in simhash.close_pairs(a, a, radius) for p in zip(i.tolist(), j.tolist(), strict=True)}
         assert got == {(p, q) for p in range(len(values)) for q in range(len(values)) if (values[p] ^ values[q]).bit_count() <= radius}
 
 
+def test_spanning_links_of_a_dense_group(monkeypatch):
+    r = random.Random(3)
+    centre = r.getrandbits(64)
+    values = np.array(sorted({centre ^ sum(1 << k for k in r.sample(range(64), r.randrange(3))) for _ in range(900)} | {r.getrandbits(64) for _ in range(50)}), np.uint64)
+    prints = {k: int(v) for k, v in enumerate(values)}
+    want = brute_components(prints)
+    monkeypatch.setattr(simhash, "ROWS", 32)
+    monkeypatch.setattr(simhash, "LANES", 128)
+    for left, right in ((values, None), (values[::2].copy(), values[1::2].copy())):
+        both = values if right is None else np.concatenate([left, right])
+        root = {int(v): int(v) for v in both.view(np.int64)}
+        root |= dict(simhash.spanning_links(left, right))
+        group = {}
+        for k, v in enumerate(values.view(np.int64)):
+            group.setdefault(root[int(v)], set()).add(want[k])
+        if right is None:
+            assert len(group) == len(set(want.values())) and all(len(g) == 1 for g in group.values())
+        else:
+            assert all(len(g) == 1 for g in group.values())
+
+
 def test_parts_cover_all_pairs():
     for n in (10, 10**6, 10**9, 10**12):
         parts, shared = simhash.plan_parts(n)
