@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,15 @@ def purge(spark: SparkSession | None = None) -> None:
 atexit.register(purge)
 
 
+def trim_memory() -> None:
+    """Give freed memory back to the system at the end of a Python task: workers stay, and share the executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null text: empty) with ``more`` columns, under exactly these names."""
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

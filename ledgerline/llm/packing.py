@@ -31,11 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import stash, trim_memory
 
 CAPACITY = 4096
 END_ID = 1
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 REMEMBERED_CHARS = 64
 #: Bytes of text looked up together.
 AT_ONCE = 4 << 20
@@ -186,6 +186,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names[: len(cols)])
+        if path in _WORDS:
+            _WORDS[path].old = {}
+        trim_memory()
 
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 

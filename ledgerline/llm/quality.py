@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import trim_memory
+
 #: Counted symbols, and white space that separates words.
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -57,6 +59,7 @@ def _measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         rows = [measure(x or "") for x in texts.to_pylist()]
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(MEASURES)
         yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], fields=[pa.field(m, pa.int64(), False) for m in MEASURES])
+    trim_memory()
 
 
 @dataclass(frozen=True)

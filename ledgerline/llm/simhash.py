@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash
+from .common import stash, trim_memory
 from .components import components
 
 WIDTH = 4  # words in a shingle
@@ -66,6 +66,7 @@ def fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         values = np.array([simhash((x or "").encode("utf-8", "surrogatepass")) for x in texts.to_pylist()], np.uint64)
         yield pa.array(values.view(np.int64), pa.int64())
+    trim_memory()
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
@@ -217,6 +218,7 @@ def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
             bucket(rest[4].view(np.uint64), rest[5].astype(bool), rest[2][0], rest[3][0])
         flush_held()
         yield from emitted()
+        trim_memory()
 
     return keyed.mapInArrow(compare, "a long, b long")
 

@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import trim_memory
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 REMEMBERED_CHARS = 64
 
 
@@ -133,5 +135,6 @@ def with_counts(docs: DataFrame, pieces: list[tuple[str, float]], text: str = "t
             counter = _COUNTERS.setdefault(key, Counter(shared.value))
         for texts in batches:
             yield pa.array([counter.count(x or "") for x in texts.to_pylist()], pa.int64())
+        trim_memory()
 
     return docs.withColumn(into, counted(F.col(text)))
