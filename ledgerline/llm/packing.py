@@ -35,7 +35,7 @@ from .common import stash, trim_memory
 
 CAPACITY = 4096
 END_ID = 1
-REMEMBERED = 150_000
+REMEMBERED = 325_000
 REMEMBERED_CHARS = 64
 #: Bytes of text looked up together.
 AT_ONCE = 4 << 20
@@ -50,8 +50,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SPECIAL = "<|"
 
 
-#: Lower-case words of these letters are one token run each, with or without one sign after them.
-PLAIN = re.compile(r"^(?:([a-zß-öø-ÿ]+)([.,]?)|.*)$", re.MULTILINE)
+#: Lower-case words of these letters are one token run each, and signs after them another.
+PLAIN = re.compile(r"^(?:([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)|.*)$", re.MULTILINE)
 WORD_END = "</w>"
 
 
@@ -80,7 +80,7 @@ class Words:
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.signs = dict(zip(("", ".", ","), self.each(["", ".", ","]), strict=True))
+        self.signs: dict[str, bytes] = {}
 
     def each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -103,7 +103,13 @@ class Words:
         """The ids of words not met before."""
         shapes = PLAIN.findall("\n".join(words))
         bare = list({core for core, _ in shapes if core})
-        ids = dict(zip(bare, self.plain(bare), strict=True))
+        signs = list({sign for core, sign in shapes if core}.difference(self.signs))
+        if len(self.signs) > 10_000:
+            self.signs, signs = {}, list({sign for core, sign in shapes if core})
+        self.signs |= zip(signs, self.each(signs), strict=True)
+        ids = {c: self.young.get(c) or self.old.get(c) for c in bare}  # often met without its signs
+        fresh = [c for c, coded in ids.items() if coded is None]
+        ids.update(zip(fresh, self.plain(fresh), strict=True))
         odd = [k for k, (core, _) in enumerate(shapes) if not core]
         other = dict(zip(odd, self.each([words[k] for k in odd]), strict=True)) if odd else {}
         return {w: ids[core] + self.signs[sign] if core else other[k] for k, (w, (core, sign)) in enumerate(zip(words, shapes, strict=True))}
@@ -186,8 +192,6 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names[: len(cols)])
-        if path in _WORDS:
-            _WORDS[path].old = {}
         trim_memory()
 
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
