@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import mixing, packing, pii, quality, simhash
+from ledgerline.llm import mixing, neardup, packing, pii, quality
 from ledgerline.llm.common import fresh_name, stash
 from ledgerline.llm.queries import vocabulary
 from ledgerline.session import read, ship
@@ -21,9 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
+    """One document of each class stays: five-word Jaccard 0.8 or more, which the 64 bits of SimHash cannot tell."""
     ship(spark)
-    return simhash.survivors(docs)
+    return neardup.survivors(docs)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("PII", redact_pii),
     ("mix sources", mix_sources),
     ("best-fit packing", pack_sequences),
