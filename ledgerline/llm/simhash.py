@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash, trim_memory
+from .common import fresh_name, stash, trim_memory
 from .components import components
 
 WIDTH = 4  # words in a shingle
@@ -223,13 +223,18 @@ def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return keyed.mapInArrow(compare, "a long, b long")
 
 
-def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp (signed) and component_id of every row of ``docs``."""
-    prints = stash(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "simhash")
+def _labelled(prints: DataFrame, radius: int) -> DataFrame:
+    """fp, least_id and class label of the different fingerprints of ``prints`` (doc_id, fp)."""
     nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
     joined = components(links(nodes.select("fp"), radius))
     named = nodes.join(joined.withColumnRenamed("id", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    named = stash(named, "simhash-named")
+    return stash(named, "simhash-named")
+
+
+def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp (signed) and component_id of every row of ``docs``."""
+    prints = stash(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "simhash")
+    named = _labelled(prints, radius)
     least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
     return prints.join(named.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
@@ -239,20 +244,14 @@ def hex_fingerprint(fp):  # a column of 16 lower-case hex digits
 
 
 def survivors(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each class: that of the smallest doc_id; its own columns only.
+    """One row of each class: that of the smallest doc_id (null last); its own columns only.
 
-    Of rows that repeat this doc_id, the one whose text has the smallest hash stays; a
-    class whose doc_ids are all null keeps one such row for each text.
+    Of equal doc_ids, the row whose text has the smallest hash stays.
     """
-    found = stash(classes(docs, radius), "simhash-classes")
-    ids = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
-    stay = ids.where(F.col("doc_id") == F.col("component_id")).select("doc_id", "n")
-    once = docs.join(stay.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    again = stay.where("n > 1").select("doc_id")
-    if again.limit(1).count():
-        repeated = docs.join(again, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
-        first = repeated.groupBy("id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row"))
-        once = once.unionByName(first.select("row.*"))
-    if found.where("doc_id is null and component_id is null").limit(1).count():
-        once = once.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
-    return once
+    row, fp = fresh_name(docs, "row"), fresh_name(docs, "fp")
+    held = stash(docs.select(*docs.columns, F.monotonically_increasing_id().alias(row), fingerprint(F.col("text")).alias(fp)), "simhash-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.xxhash64("text").alias("hash"), F.col(row).alias("row"))
+    best = held.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("best"))
+    named = _labelled(held.select("doc_id", F.col(fp).alias("fp")), radius).select("fp", "label")
+    stay = best.join(named, "fp").groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
+    return held.join(stay, row, "left_semi").select(*docs.columns)

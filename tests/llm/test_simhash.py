@@ -112,3 +112,14 @@ def test_components_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.id: r.label for r in components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_survivors_with_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    for rows, want in (
+        ([(3, a), (7, a), (7, b)], [(3, a), (7, b)]),  # an id with two texts of different classes
+        ([(5, b), (5, c)], [(5, b), (5, c)]),
+        ([(1, a), (None, a), (None, b), (None, b)], [(1, a), (None, b)]),  # a null id beside a named one, and a class of null ids
+    ):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(map(str, map(tuple, simhash.survivors(docs).collect()))) == sorted(map(str, want))
