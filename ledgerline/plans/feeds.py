@@ -134,13 +134,13 @@ def readable_text(spark, sf):
 @query()
 def listing_items(spark, sf):
     pages = read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("source"), "url", F.col("html").alias("body"))
-    return extract.listing_items(pages, {"list": "nav li", "title": "a", "link": "a@href"}, 10)
+    return extract.listing_items(pages, {"list": "nav li", "title": "a", "link": "a@href"})
 
 
 @query()
 def pattern_items(spark, sf):
     pages = read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("source"), "url", F.col("html").alias("body"))
-    return extract.pattern_items(pages, r"<li><a href=\"([^\"]*)\">(.*?)</a>", {"link": 1, "title": 2}, 10)
+    return extract.pattern_items(pages, r"<li><a href=\"([^\"]*)\">(.*?)</a>", {"link": 1, "title": 2})
 
 
 @query("with s as (select distinct source from documents), r as (select *, row_number() over (order by source) as rank from s) select source, cast(rank as integer) as rank, rank > 5 as deferred from r")

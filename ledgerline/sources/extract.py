@@ -12,6 +12,7 @@ from pyspark.sql.functions import udtf
 from ..functions.text import canonical_feed_url, clean_text
 
 DETAIL_CHARS = 4000
+MAX_ITEMS = 40  # of a page, where its source says nothing else
 CHROME = ("script", "style", "noscript", "nav", "header", "footer")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
@@ -140,7 +141,7 @@ class ListingItems:
             yield k, head, href, field(node, summary) if summary else None, field(node, date) if date else None
 
 
-def listing_items(pages: DataFrame, selectors: dict[str, str], max_items: int = 50) -> DataFrame:
+def listing_items(pages: DataFrame, selectors: dict[str, str], max_items: int = MAX_ITEMS) -> DataFrame:
     """Items of ``pages`` (source, url, body) by one source's selectors."""
     args = [F.lit(selectors["list"]), F.lit(selectors.get("title", "")), F.lit(selectors.get("link", "")), F.lit(selectors.get("summary", "")), F.lit(selectors.get("date", "")), F.lit(max_items)]
     found = pages.lateralJoin(ListingItems(F.col("body").outer(), *args))
@@ -160,7 +161,7 @@ def _finished(items: DataFrame) -> DataFrame:
     return items.withColumns({"title": clean_text(F.col("title")), "summary": clean_text(F.col("summary")), "url": canonical_feed_url(absolute)}).where("title is not null").drop("link", "page_url")
 
 
-def feed_items(pages: DataFrame, max_items: int = 50) -> DataFrame:
+def feed_items(pages: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
     """Items of RSS or Atom bodies, namespaces dropped, in the JVM by XPath."""
     plain = F.regexp_replace(F.regexp_replace("body", r"\sxmlns(:\w+)?=(\"[^\"]*\"|'[^']*')", ""), r"<(/?)\w+:(\w+)", "<$1$2")
     entries = F.regexp_extract_all(plain, F.lit(r"(?is)<(item|entry)\b.*?</\1\s*>"), F.lit(0))
@@ -171,7 +172,7 @@ def feed_items(pages: DataFrame, max_items: int = 50) -> DataFrame:
     return _finished(each.select("source", "page_url", "position", text("title").alias("title"), F.coalesce(href, text("link")).alias("link"), summary.alias("summary"), text("pubDate", "published", "updated", "date").alias("date_text")))
 
 
-def pattern_items(pages: DataFrame, pattern: str, groups: dict[str, int], max_items: int = 50) -> DataFrame:
+def pattern_items(pages: DataFrame, pattern: str, groups: dict[str, int], max_items: int = MAX_ITEMS) -> DataFrame:
     """Items by a pattern; ``groups`` gives the group numbers of title, link, summary and date."""
     p = "(?is)" + pattern
     column = lambda g: F.regexp_extract_all("body", F.lit(p), F.lit(groups[g])) if g in groups else F.transform(F.regexp_extract_all("body", F.lit(p), F.lit(0)), lambda _: F.lit(None).cast("string"))

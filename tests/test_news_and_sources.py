@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import classify, text
 from ledgerline.operators import cluster, scans
+from ledgerline.plans import feeds
 from ledgerline.sources import extract, readers
 
 
@@ -71,6 +72,13 @@ RSS = """<rss xmlns:dc="x"><channel><item><title>A &amp; B ,ok</title><link>/a?u
 HTML = """<html><nav><a href="/x">nav</a></nav><ul class="list"><li class="i"><a class="t" href="one.html">One&nbsp;story</a><span class="d">today</span></li><li class="i"><b>No link</b></li></ul><script>var a='<li>'</script></html>"""
 
 
+def test_items_after_the_tenth_stay(spark, tmp_path):
+    body = "<nav>" + "".join(f'<li><a href="/{k}">Title {k}</a></li>' for k in range(45)) + "</nav>"
+    spark.createDataFrame([(1, "https://h.example/", body)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    for query in (feeds.listing_items, feeds.pattern_items):
+        assert sorted(r.position for r in query(spark, str(tmp_path)).collect()) == list(range(40))
+
+
 def test_extraction(spark):
     pages = spark.createDataFrame([("s", "https://h.example/dir/page", RSS)], "source string, url string, body string")
     got = extract.feed_items(pages).orderBy("position").collect()
