@@ -44,15 +44,15 @@ STRICT = {
 }
 #: Wider patterns: masked marks, odd separators, no international prefix.
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z0-9-]{2,}+){1,4}",
-    "ip": r"(?<![0-9])[0-9]{1,3}(?: ?(?:\.|\(\.\)|\[\.\]|\(dot\)|\[dot\]) ?[0-9]{1,3}){3}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?i:@|\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]++(?: ?(?i:\.|\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z0-9-]{2,}+){1,4}",
+    "ip": r"(?<![0-9])[0-9]{1,3}(?: ?(?i:\.|\(\.\)|\[\.\]|\(dot\)|\[dot\]) ?[0-9]{1,3}){3}",
     "card": r"(?<![0-9])[0-9](?:[ ._/-]{0,2}[0-9]){12,18}",
     "phone": r"(?<![0-9])(?:\(?[0-9]{2,4}\)?[ .-]{1,2}){1,3}[0-9]{3,4}[ .-]?[0-9]{3,4}|(?<![0-9])00[0-9]{8,13}(?![0-9])",
 }
 #: What a text must hold for a kind's patterns to be tried at all.
-GATES = {"email": r"@|[(\[{ ](?:at|dot)[)\]} ]", "ip": r"[0-9]", "card": r"[0-9]", "phone": r"[0-9]"}
-#: The wide e-mail pattern is tried only where a masked mark stands.
-WIDE_GATES = {"email": r"[(\[{](?:at|dot)[)\]}]| dot |@", "ip": r"[0-9]", "card": r"[0-9]", "phone": r"[0-9]"}
+GATES = {"email": r"@|(?i:[(\[{ ](?:at|dot)[)\]} ])", "ip": r"[0-9]", "card": r"[0-9]", "phone": r"[0-9]"}
+#: The wide e-mail pattern is tried only where a mark that it accepts stands.
+WIDE_GATES = {"email": r"@|(?i:[(\[{](?:at|dot)[)\]}]| at | dot )", "ip": r"[0-9]", "card": r"[0-9]", "phone": r"[0-9]"}
 #: Words that name a kind, looked for in the CONTEXT characters before a span.
 NAMED = {
     "email": r"(?i)mail|contact|write|reach",
@@ -149,7 +149,7 @@ def features(kind: str, text: Column, span: Column) -> Column:
     digits = _digits(m)
     signs = F.regexp_extract_all(m, F.lit("[^A-Za-z0-9]+"), F.lit(0))
     groups = F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))
-    sure = {"card": luhn(digits), "ip": octets(m), "phone": F.length(digits).between(9, 13), "email": m.rlike(r"(?:@|at).*(?:\.|dot).*[A-Za-z]{2,}$")}[kind]
+    sure = {"card": luhn(digits), "ip": octets(m), "phone": F.length(digits).between(9, 13), "email": m.rlike(r"(?i:@|at).*(?i:\.|dot).*[A-Za-z]{2,}$")}[kind]
     shape = {"card": F.when(F.forall(groups, lambda g: F.length(g) == 4), 2).when(F.size(groups) == 1, 1).otherwise(0), "phone": F.when(m.rlike(r"^\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}$"), 2).when(m.rlike("^00"), 1).otherwise(0), "ip": F.size(F.filter(groups, lambda g: F.length(g) > 1)), "email": F.size(F.regexp_extract_all(m, F.lit(r"[A-Za-z0-9-]+"), F.lit(0)))}[kind]
     values = {
         "kind": F.lit(KINDS.index(kind)),
@@ -160,7 +160,7 @@ def features(kind: str, text: Column, span: Column) -> Column:
         "groups": F.size(groups),
         "starts_plus": m.startswith("+").cast("int"),
         "parens": m.contains("(").cast("int"),
-        "masked": m.rlike(r"[(\[{](?:at|dot|\.)[)\]}]").cast("int") + m.rlike(" (?:at|dot) ").cast("int"),
+        "masked": m.rlike(r"(?i)[(\[{](?:at|dot|\.)[)\]}]").cast("int") + m.rlike("(?i) (?:at|dot) ").cast("int"),
         "sure": sure.cast("int"),
         "before": _class_of(F.substring(text, F.greatest(start, F.lit(1)), F.least(start, F.lit(1)))),
         "after": _class_of(F.substring(text, end + 1, F.lit(1))),

@@ -88,3 +88,13 @@ def test_redact(spark, model):
     assert rows[0].text == "🙂 [EMAIL] and [IP], [PHONE]." and rows[0].n_chars == len(rows[0].text)
     assert rows[1].text is None and rows[2].text == "clean" and len(rows) == 4
     assert pii.redact(docs.limit(0), model).count() == 0
+
+
+def test_marks_in_any_case_and_without_others(spark, model):
+    lower = ["mail bob [at] example [dot] com now", "mail bob (at) example (dot) com now", "from 10.1.2(dot)3 now"]
+    docs = spark.createDataFrame(list(enumerate([*lower, *[t.replace("at", "AT").replace("dot", "DOT") for t in lower]])), "doc_id long, text string")
+    more = {g.doc_id: g.n_more_email + g.n_more_ip for g in pii.find(docs, model).collect()}
+    assert more[0] == 1 and [more[k] for k in range(3)] == [more[k + 3] for k in range(3)]
+    alone = spark.createDataFrame([("john at example.com", "john AT example.com")], "a string, b string")
+    got = alone.select(*[F.size(pii.spans(F.col(c), pii.WIDE["email"], F.col(c).rlike(pii.WIDE_GATES["email"]))).alias(c) for c in "ab"]).first()
+    assert tuple(got) == (1, 1)
