@@ -50,7 +50,8 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: Tokenizing cannot be expressed in SQL; the tests hold run() against a brute-force version.
+#: Tokenizing cannot be expressed in SQL. tests/llm/test_pipeline.py holds the first three stages against
+#: plain Python, and run() against the stages in turn; mixing and packing have brute-force tests of their own.
 ORACLE_SQL = None
 
 
