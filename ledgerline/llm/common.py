@@ -18,9 +18,11 @@ _STAGED: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set."""
+    """The folder all executors share; a temporary one only where none is set and the driver is the only machine."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="ledgerline-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -80,5 +82,12 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def numbered(counted: DataFrame, n: str, into: str, block: int = 100_000) -> DataFrame:
+    """Each row of ``counted`` as often as ``n`` says, numbered from 1 in ``into``, ``n`` dropped; no array is longer than a block."""
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(block).cast("long")))
+    blocks = counted.withColumn(into, first)
+    return blocks.withColumn(into, F.explode(F.sequence(F.col(into) + 1, F.least(F.col(into) + block, F.col(n))))).drop(n)
+
+
 def utf8(column: Column) -> Column:
     return F.encode(column, "UTF-8")

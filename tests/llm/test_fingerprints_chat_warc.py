@@ -1,8 +1,11 @@
 import base64
+import gzip
 import hashlib
+import io
 import random
 import re
 import unicodedata
+from pathlib import Path
 
 import pytest
 
@@ -59,6 +62,25 @@ def test_collisions_are_told_apart(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A")], "doc_id long, text string")
     got = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(docs).collect()}
     assert got[1] == got[3] != got[2]
+    docs = spark.createDataFrame([(1, "ab"), (2, "cd"), (3, "AB"), (4, "cd"), (5, "ab")], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints.compare_edits(docs).collect()}  # edited: ac, ca, Ac, ca, aa
+    assert got[1].fingerprint == got[3].fingerprint == got[5].fingerprint != got[2].fingerprint == got[4].fingerprint
+    assert got[1].edited_fingerprint == got[3].edited_fingerprint and len({r.edited_fingerprint for r in got.values()}) == 3
+    assert [got[k].near_next for k in range(1, 6)] == [0, 0, 0, 0, 1]
+
+
+@pytest.mark.parametrize("max_cuts", [1024, 7, 1])
+def test_slices_follow_the_ids(spark, max_cuts):
+    r = random.Random(8)
+    ids = [r.choice([r.randrange(50), r.randrange(-(2**62), 2**62), r.randrange(10**6)]) for _ in range(900)] + [None] * 5
+    r.shuffle(ids)
+    docs = spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string")
+    rows = [(g.doc_id, g["__slice"]) for g in fingerprints.sliced(docs, 10, max_cuts).collect()]
+    rows.sort(key=lambda x: (x[0] is None, x[0] or 0))
+    at = [s for _, s in rows]
+    assert at == sorted(at) and len({s for i, s in rows if i is None}) == 1
+    if max_cuts == 1024:
+        assert max(at.count(s) for s in set(at)) < 60
 
 
 def test_bit_filter_never_misses(spark):
@@ -100,15 +122,72 @@ def test_arc_versions_and_damage():
     for version in (1, 2):
         data = warc.arc_version_block("a.arc", version) + b"\n"
         for k, html in enumerate([b"", b"<p>\n\nx\r\n\r\ny</p>\n", b"z"]):
-            data += warc.arc_record(f"http://a.b/{k} c", html, k, version, "a.arc", len(data)) + b"\n"
-        records = list(warc.parse_arc(data))
-        assert [r.http[1] for r in records] == [b"", b"<p>\n\nx\r\n\r\ny</p>\n", b"z"]
+            data += warc.arc_record(f"http://a.b/{k} c", warc.page_block(html, k), version, "a.arc", len(data)) + b"\n"
+        head, *records = warc.parse_arc(io.BytesIO(data))
+        assert head.kind == "warcinfo"
+        assert [warc.split_http(r.block)[1] for r in records] == [b"", b"<p>\n\nx\r\n\r\ny</p>\n", b"z"]
         assert all(r.version == version and r.archive == "a.arc" and " " not in r.url for r in records)
-        with pytest.raises(ValueError):
-            list(warc.parse_arc(data[:-5]))
-    mixed = warc.arc_version_block("a.arc", 2) + b"\n" + warc.arc_record("u", b"x", 1, 1, "a.arc", 0) + b"\n"
+        for damaged in (data[:-5], data.replace(b" 20200101000000 text/html", b" then text/html")):
+            with pytest.raises(ValueError):
+                list(warc.parse_arc(io.BytesIO(damaged)))
+    mixed = warc.arc_version_block("a.arc", 2) + b"\n" + warc.arc_record("u", b"x", 1, "a.arc", 0) + b"\n"
     with pytest.raises(ValueError):
-        list(warc.parse_arc(mixed))
+        list(warc.parse_arc(io.BytesIO(mixed)))
+
+
+def test_dates():
+    assert [warc.warc_date(d) for d in ("2020", "202006", "20200600", "19970214101530")] == ["2020-01-01T00:00:00Z", "2020-06-01T00:00:00Z", "2020-06-01T00:00:00Z", "1997-02-14T10:15:30Z"]
+
+
+IMAGE = bytes(range(256)) * 3
+LATIN = "<p>caf\u00e9 \u00fc</p>".encode("latin-1")
+
+
+@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("most_keys", [100, 0])
+def test_legacy_archives(spark, tmp_path, version, most_keys):
+    """Hand-made archives with an image, a Latin-1 page, a dns record, a url with spaces and short dates, one of them gzip in several members."""
+    tail = " 200 abc - 0 a.arc" if version == 2 else ""
+    names = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length" if version == 2 else "URL IP-address Archive-date Content-type Archive-length"
+    http = lambda kind, body: f"HTTP/1.0 200 OK\nContent-Type: {kind}\n\n".encode() + body  # noqa: E731  a server with bare line ends
+    records = [
+        ("http://h.example/a b.gif", "19970214", "image/gif", http("image/gif", IMAGE)),
+        ("http://h.example/latin", "199702", "text/html; charset=iso-8859-1", http("text/html; charset=iso-8859-1", LATIN)),
+        ("dns:h.example", "19970214101530", "text/dns", b"19970214101530\nh.example. 60 IN A 10.0.0.1\n"),
+        ("http://h.example/again", "1998", "image/gif", http("image/gif", IMAGE)),
+    ]
+    for n, zipped in enumerate((False, True)):
+        body = f"{version} 0 Crawler\n{names}\n\n".encode()
+        parts = [f"filedesc://a{n}.arc 0.0.0.0 19970214 text/plain{tail} {len(body)}\n".encode() + body]
+        parts += [f"{url} 10.0.0.1 {date} {kind}{tail} {len(block)}\n".encode() + block for url, date, kind, block in records]
+        (tmp_path / f"a{n}.arc{'.gz' * zipped}").write_bytes(b"".join(gzip.compress(p + b"\n") if zipped else p + b"\n" for p in parts))
+    out = staging_path(spark, "warc")
+    warc.convert(spark, str(tmp_path), out, most_keys=most_keys)
+    got = warc.resolved(warc.read_warcs(spark, out)).collect()
+    sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    want = [(url.replace(" ", "%20"), sha(warc.split_http(block)[1]), len(warc.split_http(block)[1]), kind) for url, _, kind, block in records] * 2
+    assert sorted((g.target_uri, g.payload_digest, g.payload_bytes, g.content_type) for g in got) == sorted(want)
+    kinds = sorted((g.record_type, g.target_uri) for g in got)
+    assert [k for k, u in kinds if u.startswith("dns:")] == ["resource"] * 2  # equal, but without an HTTP header to keep
+    assert [k for k, u in kinds if "gif" in u or "again" in u].count("response") == 1 and [k for k, u in kinds if "latin" in u] == ["response", "revisit"]
+    dates = {g.target_uri: g.warc_date for g in got}
+    assert dates["http://h.example/latin"] == "1997-02-01T00:00:00Z" and dates["http://h.example/again"] == "1998-01-01T00:00:00Z"
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in sorted(Path(out).glob("*.gz")))
+    info = [h for h, _ in warc.parse_warc(io.BytesIO(raw)) if h["warc-type"] == "warcinfo"]
+    assert sorted(h["warc-filename"] for h in info) == ["a0.arc", "a1.arc"]
+
+
+def test_archives_roll(spark, monkeypatch, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://h/{k}", "x" * 900) for k in range(40)], "page_id long, url string, html string").coalesce(1)
+    monkeypatch.setattr(warc, "CHUNK", 2000)
+    monkeypatch.setattr(warc, "ARCHIVE_CHUNKS", 3)
+    monkeypatch.setitem(warc._ROLLED, "maxRecordsPerFile", 3)
+    warc.write_arcs(pages, str(tmp_path / "arcs"))
+    files = sorted((tmp_path / "arcs").glob("*.gz"))
+    assert len(files) > 4
+    for f in files:
+        head, *records = warc.parse_arc(io.BytesIO(gzip.decompress(f.read_bytes())))
+        assert head.kind == "warcinfo" and 0 < len(records) < 8
 
 
 @pytest.mark.parametrize("min_bytes", [0, 3])
