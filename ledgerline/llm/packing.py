@@ -6,14 +6,17 @@ best-fit decreasing, and dual-feasible functions give a lower bound of the bins
 that its pieces need. A partition over its bound keeps its full bins and exchanges
 the documents of the rest; one that meets its bound exchanges those of its loosest
 bins, for bounds of parts add up to more than the bound of the whole. What is
-exchanged is dealt anew over fewer partitions and packed again, until all bins
-together meet the bound of all pieces or a round saves nothing.
+exchanged is dealt anew over fewer partitions and packed again, as long as a
+round saves a bin: until all bins together meet the bound of all pieces, one
+partition is left, or a round saves nothing. Such a round is not used; its
+pieces keep their earlier places. Pieces are dealt by a row number that is stored
+with them, so rows that repeat spread like others.
 
 Defined results: a null or empty text is the end token alone, one piece of one
 token; repeated rows are packed as often as they occur; ties in length are
-ordered by doc_id and piece; rows with a null doc_id are packed like others; an
-empty table gives no pieces; extra columns are not read; only texts over the
-capacity are cut, every other document stays whole.
+ordered by doc_id (null last) and piece; rows with a null doc_id are packed like
+others; an empty table gives no pieces; extra columns are not read; only texts
+over the capacity are cut, every other document stays whole.
 """
 
 from __future__ import annotations
@@ -25,7 +28,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -41,7 +43,6 @@ REMEMBERED_CHARS = 64
 AT_ONCE = 4 << 20
 #: Pieces of a packing partition, at most about: bounds the memory of a task.
 PART_PIECES = 50_000
-MAX_ROUNDS = 8
 #: Bins of a partition at its bound are exchanged if they are filled less than this.
 LOOSE = 0.98
 
@@ -243,45 +244,51 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY, counts: np.ndarra
 
 
 def _pack(capacity: int):
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable")
-        lengths = rows["length"].to_numpy(np.int64)
+    order = [("length", "descending"), *[(c, "ascending") for c in ("doc_id", "piece", "start", "ids_crc32", "row")]]
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_end"))
+        lengths = rows["length"].to_numpy()
         where, offset, fill = best_fit_decreasing(lengths, capacity)
         gap = len(fill) - lower_bound(lengths, capacity)
         released = (fill < (capacity if gap > 0 else LOOSE * capacity))[where]
-        return rows.assign(bin=where, offset=offset, gap=gap, released=released)
+        for name, values in (("bin", where), ("offset", offset), ("gap", np.full(len(where), gap)), ("released", released)):
+            rows = rows.append_column(name, pa.array(values))
+        return rows
 
     return pack
 
 
-def pack(table: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def pack(table: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIECES) -> DataFrame:
     """``table`` (PIECES) with sequence_id, offset, and the certificate of its partition's last round.
 
     ``gap`` is the number of bins over the lower bound in that round: 0 where the
     number of sequences is proven least for the partition's pieces.
     """
-    sizes = table.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``capacity`` rows
-    bound = lower_bound(np.array([r.length for r in sizes]), capacity, np.array([r.n for r in sizes], np.int64)) if sizes else 0
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    schema = PIECES + ", part long, bin long, offset long, gap long, released boolean"
+    left = stash(table.select(*names, F.monotonically_increasing_id().alias("row")), "pack-pieces")
+    sizes = left.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``capacity`` rows
+    bound = lower_bound(np.array([r.length for r in sizes]), capacity, np.array([r.n for r in sizes], np.int64)) if sizes else 0
+    schema = PIECES + ", row long, part long, bin long, offset long, gap long, released boolean"
     finished: list[DataFrame] = []
-    left, n = table.select(*names), table.count()
-    bins_before: int | None = None
-    kept = 0
-    for round_no in range(max_rounds):
+    earlier: DataFrame | None = None
+    n, kept, bins, round_no = sum(r.n for r in sizes), 0, 0, 0
+    while True:
         parts = max(1, -(-n // part_pieces))
-        dealt = left.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(round_no)), F.lit(parts)))
-        packed = stash(dealt.groupBy("part").applyInPandas(_pack(capacity), schema), f"pack-{round_no}")
-        state = packed.groupBy("part").agg(F.max("gap").alias("gap"), F.sum(F.col("released").cast("long")).alias("n"), F.countDistinct(F.when(F.col("released"), F.col("bin"))).alias("bins"), F.countDistinct("bin").alias("made"))
-        n, bins, made = state.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "bins", "made")]).first()
-        numbered = packed.withColumn("sequence_id", (F.lit(round_no).cast("long") * parts + F.col("part")) * F.lit(1 << 32) + F.col("bin") if round_no == 0 else F.lit(round_no) * F.lit(1 << 56) + F.col("part") * F.lit(1 << 32) + F.col("bin"))
-        saved = bins_before is None or made < bins_before
-        last = kept + made <= bound or parts == 1 or not bins or not saved or round_no == max_rounds - 1
-        finished.append(numbered if last else numbered.where(~F.col("released")))
-        if last:
+        dealt = left.withColumn("part", F.pmod(F.xxhash64("row", F.lit(round_no)), F.lit(parts)))
+        packed = stash(dealt.groupBy("part").applyInArrow(_pack(capacity), schema), f"pack-{round_no}")
+        state = packed.groupBy("part").agg(F.sum(F.col("released").cast("long")).alias("n"), F.countDistinct(F.when(F.col("released"), F.col("bin"))).alias("bins"), F.countDistinct("bin").alias("made"))
+        n, loose, made = state.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "bins", "made")]).first()
+        if earlier is not None and made >= bins:  # nothing saved: the pieces stay where the round before put them
+            finished[-1] = earlier
+            break
+        numbered = packed.withColumn("sequence_id", F.lit(round_no).cast("long") * F.lit(1 << 48) + F.col("part") * F.lit(1 << 24) + F.col("bin"))
+        if kept + made <= bound or parts == 1 or not loose:
+            finished.append(numbered)
             break
-        kept += made - bins
-        bins_before, left = bins, packed.where("released").select(*names)
+        finished.append(numbered.where(~F.col("released")))
+        kept, bins, earlier, round_no = kept + made - loose, loose, numbered, round_no + 1
+        left = packed.where("released").select(*names, "row")
     out = finished[0]
     for more in finished[1:]:
         out = out.unionByName(more)
@@ -290,4 +297,4 @@ def pack(table: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIE
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Tokenize, cut and pack ``docs``; one row for each piece."""
-    return pack(stash(pieces(docs, path, capacity), "pack-pieces"), capacity)
+    return pack(pieces(docs, path, capacity), capacity)

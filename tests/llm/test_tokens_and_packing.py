@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from ledgerline.llm import packing, token_counts
@@ -92,3 +93,48 @@ def test_pack_documents(spark, sf):
         least = packing.lower_bound(np.array([w[3] for w in want]))
         assert least <= len(by) <= least + (3 if part_pieces == 60 else 1)
     assert packing.pack(packing.pieces(docs.limit(0), BPE)).count() == 0
+
+
+def test_packing_keeps_ids_and_spreads_copies(spark):
+    """Null and large ids in one partition; 10**5 equal rows are dealt over several partitions."""
+    ids = [2**60 + 1, 2**60 + 3, None, 5]
+    docs = spark.createDataFrame([(i, "a b", 1, 2) for i in ids], "doc_id long, text string, bin int, gap int")
+    assert sorted(str(p.doc_id) for p in packing.pack_documents(docs, BPE).collect()) == sorted(map(str, ids))
+    row = spark.range(100_000).selectExpr("cast(7 as long) doc_id", "0 piece", "0L start", "1000L length", "3L ids_crc32")
+    packed = packing.pack(row, part_pieces=20_000)
+    used = packed.groupBy("sequence_id").agg(F.count("*").alias("n"), F.max("offset").alias("top")).agg(F.max("n"), F.sum("n"), F.max("top"), F.count("*")).first()
+    assert used[0] == 4 and used[1] == 100_000 and used[2] == 3000 and 25_000 <= used[3] <= 25_005
+    parts = packed.groupBy(F.shiftright("sequence_id", 24)).count().agg(F.max("count"), F.count("*")).first()
+    assert parts[1] >= 5 and parts[0] < 22_000
+
+
+def test_a_round_that_saves_nothing_is_not_used(spark, monkeypatch):
+    """Where dealing anew makes more bins than it dissolved, the pieces keep their earlier places."""
+    rows = [(k, 0, 0, 30 if k % 2 else 40, k) for k in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    plain, tables = packing._pack, []
+
+    def by_round(capacity):
+        made = plain(capacity)
+        if sum(1 for label, _ in tables if label.startswith("pack-0")) == 0:
+            return made
+
+        def alone(key, rows):  # later rounds put each piece into a bin of its own
+            out = made(key, rows)
+            n = pa.array(range(len(out)), pa.int64())
+            out = out.set_column(out.schema.get_field_index("bin"), "bin", n)
+            return out.set_column(out.schema.get_field_index("offset"), "offset", pa.array([0] * len(out), pa.int64()))
+
+        return alone
+
+    def kept(df, label, stash=packing.stash):
+        tables.append((label, stash(df, label)))
+        return tables[-1][1]
+
+    monkeypatch.setattr(packing, "_pack", by_round)
+    monkeypatch.setattr(packing, "stash", kept)
+    after = packing.pack(table, 100, part_pieces=10)
+    rounds = {label: t for label, t in tables if label[-1].isdigit()}
+    first = rounds["pack-0"].select("part", "bin").distinct().count()
+    assert len(rounds) == 2 and rounds["pack-1"].select("part", "bin").distinct().count() > rounds["pack-0"].where("released").select("part", "bin").distinct().count()
+    assert after.count() == 40 and after.select("sequence_id").distinct().count() == first
