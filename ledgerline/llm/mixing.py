@@ -7,14 +7,17 @@ weight, keys are sorted within the source, and documents are taken while the sum
 of their sizes stays within the budget (the one at the border if that is nearer).
 
 Keys come from a hash of the document, so reruns agree. A source is sorted in
-slices of its key's range, whose sums are added up first, so no task ever sorts a
-whole source, however large.
+slices of its keys, whose sums are added up first, so no task ever sorts a whole
+source, however large. Weights go in STEPS steps, so the share of a source's keys
+below any key is known from the documents of each weight: slices are cut where
+equal numbers of documents are expected, whatever the weights.
 
 Defined results: a null or empty text has size 0 and nothing to take; null
 sources are one source, after all others; equal keys are ordered by doc_id and
-text hash; rows that repeat a document wholly tie, and are taken or left by their
-order in the slice (``mix`` takes each of them as often as the most taken); an empty table gives an empty result; extra columns are not
-read, except by ``mix``, which passes them on.
+text hash; rows that are equal in doc_id, text and source are numbered, and each
+number has a key of its own (``mix`` spreads what they are taken over them
+evenly); an empty table gives an empty result; extra columns are not read, except
+by ``mix``, which passes them on.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, fresh_name, stash
+from .common import WORD, fresh_name, numbered, stash
 
 #: Weights of the sources in order, repeating; the share of all words that the mix has.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -31,17 +34,19 @@ SHARE = 1.5
 EPOCHS = 2
 #: Documents of a slice, about.
 SLICE = 2_000
+#: Quality weights are multiples of 1 / STEPS.
+STEPS = 20
 
 
 def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def quality_weight(text: Column) -> Column:
-    """0.05 to 1: the share of a text's characters that are letters, white space or plain punctuation, cubed."""
+def quality_step(text: Column) -> Column:
+    """1 to STEPS: the share of a text's characters that are letters, white space or plain punctuation, cubed."""
     plain = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\s.,;:!?'-]", ""))
-    share = F.try_divide(plain, F.length(text))
-    return F.greatest(F.lit(0.05), F.coalesce(F.pow(share, F.lit(3.0)), F.lit(0.05)))
+    share = F.coalesce(F.try_divide(plain, F.length(text)), F.lit(0.0))
+    return F.greatest(F.lit(1), F.round(F.pow(share, F.lit(3.0)) * STEPS)).cast("int")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -69,25 +74,37 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return stands.select("source", "n", "source_size", target.alias("target"))
 
 
+def _tie(seed: int) -> Column:
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull(), "source", F.lit(seed))
+
+
 def _keyed(docs: DataFrame, seed: int) -> DataFrame:
+    """doc_id, source, size, step, tie, copy, copies and key; equal documents are counted before they move and numbered after."""
     text = F.coalesce("text", F.lit(""))
-    hashed = F.xxhash64("doc_id", "text", F.lit(seed))
-    uniform = (F.shiftrightunsigned(hashed, 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), (-F.log(uniform) / quality_weight(text)).alias("key"), hashed.alias("tie"))
+    each = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), quality_step(text).alias("step"), _tie(seed).alias("tie"))
+    counted = each.groupBy("doc_id", "source", "size", "step", "tie").agg(F.count("*").alias("copies"))
+    each = numbered(counted.withColumn("n", F.col("copies")), "n", "copy")
+    uniform = (F.shiftrightunsigned(F.xxhash64("tie", "copy"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    return each.withColumn("key", -F.log(uniform) / (F.col("step") / STEPS))
+
+
+def key_rank(key: Column, shares: Column) -> Column:
+    """The expected share of keys below ``key``, where ``shares`` holds the share of documents of each step; it never falls as the key grows."""
+    below = [F.get(shares, F.lit(k)) * (1 - F.exp(-key * F.lit((k + 1) / STEPS))) for k in range(STEPS)]
+    return F.least(F.greatest(sum(below[1:], below[0]), F.lit(0.0)), F.lit(1.0))
 
 
 def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = 9) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words) and epochs_taken of every document."""
+    """doc_id, source, size, source_size, target, taken (words) and epochs_taken of every document, with its slice, tie and copy."""
     base = stash(_keyed(docs, seed), "mix-keys")
-    totals = stash(targets(base.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size")), weights, share, epochs), "mix-targets")
-    named = base.join(
-        F.broadcast(totals.withColumnRenamed("source", "s")) if totals.count() <= 10_000 else totals.withColumnRenamed("source", "s"),
-        F.col("source").eqNullSafe(F.col("s")),
-    ).drop("s")
-    # 1 - exp(-key) grows with the key and lies in 0..1: equal slices of it are slices of the order.
+    by_step = [F.avg((F.col("step") == k + 1).cast("double")) for k in range(STEPS)]
+    sizes = stash(base.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"), F.array(*by_step).alias("shares")), "mix-sources")
+    totals = stash(targets(sizes, weights, share, epochs), "mix-targets").join(sizes.select(F.col("source").alias("s"), "shares"), F.col("source").eqNullSafe(F.col("s")))
+    totals = totals.drop("source")
+    named = base.join(F.broadcast(totals) if totals.count() <= 10_000 else totals, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     slices = F.ceil(F.col("n") / SLICE)
-    named = named.withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("key"))) * slices), slices - 1).cast("int"))
-    inside = named.withColumn("within", F.sum("size").over(Window.partitionBy("source", "slice").orderBy("key", "tie", "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
+    named = named.withColumn("slice", F.least(F.floor(key_rank(F.col("key"), F.col("shares")) * slices), slices - 1).cast("long")).drop("shares")
+    inside = named.withColumn("within", F.sum("size").over(Window.partitionBy("source", "slice").orderBy("key", "tie", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, 0)))
     sums = named.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     earlier = sums.withColumn("earlier", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     earlier = earlier.select(F.col("source").alias("s"), F.col("slice").alias("t"), "earlier")
@@ -98,12 +115,17 @@ def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     # Within the budget, or across it by less than half of the document.
     picked = (F.col("whole") < epochs) & (F.col("size") > 0) & (upto - F.col("size") / 2.0 < budget)
     done = summed.withColumn("whole", whole).withColumn("epochs_taken", F.col("whole") + picked.cast("int"))
-    return done.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("epochs_taken")).cast("long").alias("taken"), "epochs_taken", "tie")
+    return done.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("epochs_taken")).cast("long").alias("taken"), "epochs_taken", "slice", "tie", "copy", "copies")
 
 
 def mix(docs: DataFrame, seed: int = 9, **how) -> DataFrame:
     """The mixed documents: each row as often as it is taken, with its own columns."""
-    n, key = fresh_name(docs, "times"), fresh_name(docs, "tie")
-    taken = take(docs, seed=seed, **how).where("epochs_taken > 0").groupBy("tie").agg(F.max("epochs_taken").alias(n)).withColumnRenamed("tie", key)
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text", F.lit(seed)))
-    return keyed.join(taken, key).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    n, of, tie = fresh_name(docs, "times"), fresh_name(docs, "copies"), fresh_name(docs, "tie")
+    taken = take(docs, seed=seed, **how).where("epochs_taken > 0").groupBy("tie").agg(F.sum("epochs_taken").alias(n), F.max("copies").alias(of)).withColumnRenamed("tie", tie)
+    taken = stash(taken, "mix-taken")
+    rows = docs.withColumn(tie, _tie(seed)).join(taken, tie)
+    if taken.where(F.col(of) > 1).limit(1).count():
+        # Equal documents: their rows are numbered, and the first ones take what does not divide evenly.
+        place = F.row_number().over(Window.partitionBy(tie).orderBy(tie))
+        rows = rows.withColumn(n, F.floor(F.col(n) / F.col(of)) + (place <= F.col(n) % F.col(of)).cast("int")).where(F.col(n) > 0)
+    return rows.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)

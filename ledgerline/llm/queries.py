@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.session import read, ship
 
 from . import chat, fingerprints, mixing, packing, pii, quality, sharding, simhash, token_counts, warc
+from .common import staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,7 +55,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, _ = sharding.assign(read(spark, sf_dir, "documents"))
+    placed, _ = sharding.assign(read(spark, sf_dir, "documents"), map_path=staging_path(spark, "slot-map"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 

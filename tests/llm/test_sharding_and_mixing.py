@@ -36,7 +36,31 @@ def test_slot_map_versions():
     for s, shard in enumerate(grown.at()):
         load[shard] += sizes[s]
     assert max(load.values()) - min(load.values()) <= 2
-    assert len(grown.rows()) == 3 * 64
+
+
+def test_null_and_repeated_ids_are_spread(spark):
+    docs = spark.createDataFrame([(None, "same text", "x", 1) for _ in range(6000)] + [(4, f"t{k}", "x", 1) for k in range(6000)], "doc_id long, text string, virtual_slot string, copy int")
+    placed, plan = sharding.assign(docs)
+    load = {r.shard: (r.b, r.n) for r in placed.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
+    assert sum(n for _, n in load.values()) == 12000 and set(load) == set(range(24))
+    bytes_ = [b for b, _ in load.values()]
+    assert max(bytes_) - min(bytes_) <= 0.02 * sum(bytes_) / 24
+
+
+def test_the_map_is_stored_and_edited(spark, sf, tmp_path):
+    docs, path = spark.read.parquet(f"{sf}/documents.parquet"), str(tmp_path / "map")
+    placed, plan = sharding.assign(docs, map_path=path)
+    assert plan.version == 1 and sharding.SlotMap.load(spark, path) == plan
+    again, same = sharding.assign(docs, map_path=path)  # near equal already: no new version
+    assert same == plan and sorted(map(str, again.collect())) == sorted(map(str, placed.collect()))
+    grown, wider = sharding.assign(docs, shards=25, map_path=path)
+    assert wider.version == 2 and wider.at(1) == plan.at() and sharding.SlotMap.load(spark, path) == wider
+    slots = {(r.doc_id, r["size"]): r.virtual_slot for r in placed.collect()}
+    assert all(slots[r.doc_id, r["size"]] == r.virtual_slot for r in grown.collect())
+    narrow, less = sharding.assign(docs, shards=20, map_path=path)
+    assert less.version == 3 and max(less.at()) == 19
+    (tmp_path / "map" / "version=4").mkdir()  # a writer that did not finish
+    assert sharding.newest_version(spark, path) == 3
 
 
 def test_empty_shards(spark):
@@ -105,3 +129,21 @@ def test_mix_rows(spark):
     taken = {r.doc_id: r.epochs_taken for r in mixing.take(docs).collect()}
     assert Counter(r.doc_id for r in out.collect()) == Counter({k: v for k, v in taken.items() if v})
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_slices_are_even_for_any_weights(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE", 200)
+    texts = {1: "###### 1", 7: "words ####", 20: "plain words only"}
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 30_000, texts[1]).when(F.col("id") < 36_000, texts[7]).otherwise(texts[20]).alias("text"), F.lit("a").alias("source"))
+    sizes = [r.n for r in mixing.take(docs).groupBy("slice").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 200 and max(sizes) <= 4 * 200
+
+
+def test_equal_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE", 20)
+    docs = spark.createDataFrame([(1, "same words", "a", k) for k in range(500)] + [(2, "b " * 4000, "b", 0)], "doc_id long, text string, source string, n_chars long")
+    taken = mixing.take(docs)
+    assert taken.where("source = 'a'").groupBy("slice").count().count() > 5
+    n = taken.where("source = 'a'").agg(F.sum("epochs_taken")).first()[0]
+    out = mixing.mix(docs).where("source = 'a'").groupBy("n_chars").count().collect()
+    assert sum(r["count"] for r in out) == n and max(r["count"] for r in out) - min(r["count"] for r in out) <= 1
