@@ -78,7 +78,7 @@ def _planes(values: np.ndarray) -> np.ndarray:
 
 
 def close_pairs(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indexes (i, j) with left[i] and right[j] at most ``radius`` (under 7) bits apart, tile by tile: at most ROWS * LANES pairs at once."""
+    """Indexes (i, j) with left[i] and right[j] at most ``radius`` bits apart, tile by tile: at most ROWS * LANES pairs at once."""
     ones = np.uint64(0xFFFFFFFFFFFFFFFF)
     for c in range(0, len(right), LANES):
         block = right[c : c + LANES]
@@ -88,19 +88,20 @@ def close_pairs(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> It
             rows = left[r : r + ROWS]
             masks = np.where((rows[None, :] >> np.arange(64, dtype=np.uint64)[:, None]) & np.uint64(1), ones, np.uint64(0))
             shape = (len(rows), planes.shape[1])
-            c0, c1, c2, over = (np.zeros(shape, np.uint64) for _ in range(4))
-            far = np.zeros(shape, np.uint64)
+            counts = [np.zeros(shape, np.uint64) for _ in range(max(1, radius.bit_length()))]
+            over, far = np.zeros(shape, np.uint64), np.zeros(shape, np.uint64)
             for b in range(0, 64, 2):
                 d, e = planes[b] ^ masks[b][:, None], planes[b + 1] ^ masks[b + 1][:, None]
-                half = c0 ^ d
-                carry = (c0 & d) | (half & e)  # carry-save: two planes enter at once
-                c0 = half ^ e
-                up = c1 & carry
-                c1 ^= carry
-                over |= c2 & up
-                c2 ^= up
+                half = counts[0] ^ d
+                carry = (counts[0] & d) | (half & e)  # carry-save: two planes enter at once
+                counts[0] = half ^ e
+                for k in range(1, len(counts)):
+                    up = counts[k] & carry
+                    counts[k] ^= carry
+                    carry = up
+                over |= carry
                 if b % 8 == 6:
-                    far = over | _exceeds(c0, c1, c2, radius)
+                    far = over | _exceeds(counts, radius)
                     if ((far | ~valid) == ones).all():
                         break
             else:
@@ -109,15 +110,15 @@ def close_pairs(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> It
                 yield i + r, j + c
 
 
-def _exceeds(c0: np.ndarray, c1: np.ndarray, c2: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose three-bit count is over the radius."""
-    above, equal = np.zeros_like(c0), ~np.zeros_like(c0)
-    for plane, bit in ((c2, 4), (c1, 2), (c0, 1)):
-        if radius & bit:
-            equal = equal & plane
+def _exceeds(counts: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose count (bit k in counts[k]) is over the radius."""
+    above, equal = np.zeros_like(counts[0]), ~np.zeros_like(counts[0])
+    for k in reversed(range(len(counts))):
+        if radius >> k & 1:
+            equal = equal & counts[k]
         else:
-            above |= equal & plane
-            equal = equal & ~plane
+            above |= equal & counts[k]
+            equal = equal & ~counts[k]
     return above
 
 
@@ -163,20 +164,45 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Spanning links (a, b) among distinct fingerprints (``fp`` long) within the radius."""
-    parts, shared = plan_parts(fingerprints.count(), radius)
-    keys = F.array(*[F.struct(F.lit(n).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for n, m in _keys(parts, shared)])
-    met = fingerprints.select("fp", F.explode(keys).alias("x")).select("fp", "x.k", "x.part")
-    # Buckets of over CHUNK fingerprints: at most (keys * all / CHUNK) of them. Their
-    # chunks meet two by two, in tasks of their own; no pair is left out.
+def dealt(met: DataFrame) -> DataFrame:
+    """``met`` (k, part, fp and more) grouped for comparison: rows of one (k, part, lo, hi) stand together in a partition.
+
+    Buckets of over CHUNK rows are dealt into chunks by a hash of their rows, and
+    the chunks meet two by two, in tasks of their own; no pair is left out. ``first``
+    tells which of the two chunks a row belongs to.
+    """
+    own_columns = met.columns
     sizes = met.groupBy("k", "part").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
     met = met.join(sizes, ["k", "part"], "left")
     chunks = F.ceil(F.coalesce("n", F.lit(1)) / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
+    own = F.pmod(F.xxhash64(*own_columns), chunks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda x: F.struct(F.least(own, x).alias("lo"), F.greatest(own, x).alias("hi")))
-    dealt = met.select("fp", "k", "part", own.alias("own"), F.explode(pairs).alias("p")).select("fp", "k", "part", "p.lo", "p.hi", (F.col("own") == F.col("p.lo")).alias("first"))
-    keyed = dealt.repartition("k", "part", "lo", "hi").sortWithinPartitions("k", "part", "lo", "hi")
+    each = met.select(*own_columns, own.alias("own"), F.explode(pairs).alias("p")).select(*own_columns, "p.lo", "p.hi", (F.col("own") == F.col("p.lo")).alias("first"))
+    return each.repartition("k", "part", "lo", "hi").sortWithinPartitions("k", "part", "lo", "hi")
+
+
+def buckets(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[bool, np.ndarray, list[np.ndarray]]]:
+    """Of rows that ``dealt`` grouped, bucket by bucket: whether it is a pair of chunks, which rows are of the first one, and the columns ``names``."""
+    rest: list[np.ndarray] | None = None
+    for batch in batches:
+        cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("k", "part", "lo", "hi", "first", *names)]
+        if rest is not None:
+            cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+        k, part, lo, hi, first = cols[:5]
+        cuts = np.flatnonzero((np.diff(k) != 0) | (np.diff(part) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
+        edges = [0, *cuts.tolist()]
+        for s, e in zip(edges, edges[1:], strict=False):
+            yield bool(lo[s] != hi[s]), first[s:e].astype(bool), [c[s:e] for c in cols[5:]]
+        rest = [c[edges[-1] :] for c in cols]
+    if rest is not None and len(rest[0]):
+        yield bool(rest[2][0] != rest[3][0]), rest[4].astype(bool), rest[5:]
+
+
+def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Spanning links (a, b) among distinct fingerprints (``fp`` long) within the radius."""
+    parts, shared = plan_parts(fingerprints.count(), radius)
+    keys = F.array(*[F.struct(F.lit(n).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for n, m in _keys(parts, shared)])
+    met = fingerprints.select("fp", F.explode(keys).alias("x")).select("x.k", "x.part", "fp")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: set[tuple[int, int]] = set()
@@ -187,40 +213,27 @@ def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
                 out.update(spanning_links(np.unique(np.concatenate(held)), None, radius))
                 held.clear()
 
-        def bucket(fp: np.ndarray, first: np.ndarray, lo: int, hi: int) -> None:
-            if lo != hi:
-                out.update(spanning_links(fp[first], fp[~first], radius))
-            elif len(fp) > 1:
-                held.append(fp)
-                if sum(map(len, held)) >= BLOCK:
-                    flush_held()
-
         def emitted() -> Iterator[pa.RecordBatch]:
             if out:
                 a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 out.clear()
 
-        rest: list[np.ndarray] | None = None
-        for batch in batches:
-            cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("k", "part", "lo", "hi", "fp", "first")]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            k, part, lo, hi, fp, first = cols
-            cuts = np.flatnonzero((np.diff(k) != 0) | (np.diff(part) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
-            edges = [0, *cuts.tolist()]
-            for s, e in zip(edges, edges[1:], strict=False):
-                bucket(fp[s:e].view(np.uint64), first[s:e].astype(bool), lo[s], hi[s])
-            rest = [c[edges[-1] :] for c in cols]
+        for two, first, (fp,) in buckets(batches, ("fp",)):
+            fp = fp.view(np.uint64)
+            if two:
+                out.update(spanning_links(fp[first], fp[~first], radius))
+            elif len(fp) > 1:
+                held.append(fp)
+                if sum(map(len, held)) >= BLOCK:
+                    flush_held()
             if len(out) > 10_000:
                 yield from emitted()
-        if rest is not None and len(rest[0]):
-            bucket(rest[4].view(np.uint64), rest[5].astype(bool), rest[2][0], rest[3][0])
         flush_held()
         yield from emitted()
         trim_memory()
 
-    return keyed.mapInArrow(compare, "a long, b long")
+    return dealt(met).mapInArrow(compare, "a long, b long")
 
 
 def _labelled(prints: DataFrame, radius: int) -> DataFrame:
@@ -235,7 +248,8 @@ def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp (signed) and component_id of every row of ``docs``."""
     prints = stash(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "simhash")
     named = _labelled(prints, radius)
-    least = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    # Stored, so that adaptive execution can split the rows of a large class in the join.
+    least = stash(named.groupBy("label").agg(F.min("least_id").alias("component_id")), "simhash-least")
     return prints.join(named.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 

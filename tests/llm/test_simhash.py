@@ -44,7 +44,7 @@ def test_close_pairs_is_brute_force():
     base = [r.getrandbits(64) for _ in range(120)]
     values = base + [b ^ sum(1 << k for k in r.sample(range(64), r.randrange(8))) for b in base for _ in range(3)] + [0, 2**64 - 1, 15, 31]
     a = np.array(values, np.uint64)
-    for radius in (0, 1, 3, 4, 6):
+    for radius in (0, 1, 3, 4, 6, 7, 8, 22, 31):
         got = {p for i, j in simhash.close_pairs(a, a, radius) for p in zip(i.tolist(), j.tolist(), strict=True)}
         assert got == {(p, q) for p in range(len(values)) for q in range(len(values)) if (values[p] ^ values[q]).bit_count() <= radius}
 
@@ -114,6 +114,19 @@ def test_components_chain(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_of_long_chains_end_soon(spark):
+    r = random.Random(4)
+    ids = r.sample(range(10**9), 4000)
+    sorted_ids = list(range(2 * 10**9, 2 * 10**9 + 3000))
+    star = [(3 * 10**9 + 5000, 3 * 10**9 + k) for k in range(1000)]
+    edges = [*zip(ids, ids[1:], strict=False), *zip(sorted_ids, sorted_ids[1:], strict=False), *star]
+    r.shuffle(edges)
+    rounds = []
+    got = {x.id: x.label for x in components(spark.createDataFrame(edges, "a long, b long"), rounds).collect()}
+    assert got == {i: min(ids) for i in ids} | {i: sorted_ids[0] for i in sorted_ids} | {i: 3 * 10**9 for e in star for i in e}
+    assert len(rounds) <= 15
+
+
 def test_survivors_with_repeated_and_null_ids(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
     for rows, want in (
