@@ -1,21 +1,24 @@
-"""One document of each near-duplicate class: five-word shingles, Jaccard similarity 0.8 or more.
-
-No radius of a 64-bit SimHash holds all such pairs (at 0.8 the distances spread around
-ten bits), so candidates come from the shingles themselves, and no pair is missed: in
-any common order of shingles, two sets of similarity 4/5 share one of the first
-n - ceil(4n/5) + 1 shingles of each. The order puts shingles that many texts of a
-bounded sample hold last, so common lines and passages rarely propose anything; the
-sample decides the cost only. Texts with equal sets are one node. Every node first meets
-the smallest node under each shared shingle; pairs that these links join already need no
-comparison, so a group of near copies costs one row a member. The rest meet two by two,
-and are compared if what their first shingles share leaves the similarity in reach.
-Each proposed pair's similarity is counted from the texts.
+"""One document of each near-duplicate class: SimHash over five-word shingles, then an exact check at Jaccard 0.8.
+
+The 64-bit SimHash of two shingle sets of similarity 0.8 differs in about ten bits, so
+the radius is RADIUS, not the few bits by which parts of the word could bring fingerprints
+together. What brings them together is BANDS bands of ROWS minima each (MinHash): texts of
+similarity 0.8 share none of them in 3 of a million cases, texts of similarity 0.1 share one
+in 3 of ten thousand, so common lines and passages make few meetings. In a bucket:
+
+1. Every member meets the smallest one; pairs within the radius are compared by their
+   texts, and components are formed. A group of near copies costs a row a member here.
+2. Members that are still in different components are compared all with all, bit plane by
+   bit plane (``simhash.close_pairs``); pairs within the radius are compared by their texts.
+
+Texts with equal sets are one node, so exact copies never meet. Of similar pairs at 0.8, 6 in
+a million are missed by design (bands 3, radius 3), fewer above; nothing is capped.
 
 Shingles and sets go by 64-bit hashes. Defined results: only A-Z are lower-cased, words
 stand between ASCII white space, fewer than five words are one shingle; null, empty and
 blank texts are one class; classes are connected components; of a class the row with the
 smallest doc_id stays (null last; of equal ids the smallest text hash, then any one);
-an empty table gives an empty result; extra columns are passed on.
+repeated rows are copies; an empty table gives an empty result; extra columns are passed on.
 """
 
 from __future__ import annotations
@@ -25,20 +28,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fresh_name, stash, trim_memory
 from .components import components
+from .simhash import BLOCK, buckets, close_pairs, dealt
 
 WIDTH = 5  # words in a shingle
 SEED = 42
 NUM, DEN = 4, 5  # the least similarity
-SAMPLE = 20_000  # about so many texts are searched for common shingles
-SEEN = 4  # texts of the sample that make a shingle common
-COMMON = 1 << 17  # common shingles, at most
+RADIUS = 24
+BANDS, ROWS = 32, 5
+STEP = 2048  # shingles whose minima are taken at once
 CACHED = 64  # sets kept while pairs are compared
 
+_RULE = np.random.default_rng(SEED)
+_TIMES = _RULE.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RULE.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
 
 def shingles(text: bytes) -> np.ndarray:
     """The sorted different hashes of a UTF-8 text's shingles."""
@@ -58,14 +67,23 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The places in the order (long, ascending) of a set's first shingles, of which any set of the least similarity holds one; ``common`` is sorted."""
-    order = (found >> np.uint64(1)).view(np.int64) + np.iinfo(np.int64).min
-    if len(common) and len(found):
-        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-        order = np.where(common[at] == found, rank[at], order)
-    n = len(found)
-    return np.sort(order)[: n + (-NUM * n // DEN) + 1 if n else 0]
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a set, as a signed long."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(found), 1 << 16):
+        counts += np.unpackbits(found[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(found), bitorder="little").view(np.int64)[0])
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """The keys (long) of a set's bands; an empty set has none."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), STEP):
+        least = np.minimum(least, (found[at : at + STEP, None] * _TIMES + _PLUS).min(0))
+    keys = [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in least.reshape(BANDS, ROWS)]
+    return np.array(keys, np.uint64).view(np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -73,42 +91,24 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
-def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles in a bounded sample, sorted, and their ranks: the rarer first."""
+_MARKS = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
-    @F.arrow_udf("array<long>")
-    def every(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array([shingles(_bytes(t)).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
-        trim_memory()
 
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text").distinct()
-    counted = sample.select(F.explode(every("text")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= SEEN)
-    rows = counted.orderBy(F.col("n").desc(), "h").limit(COMMON).collect()
-    hashes = np.array([r.h for r in reversed(rows)], np.int64).view(np.uint64)
-    by = np.argsort(hashes)
-    return hashes[by], by.astype(np.int64)
-
-
-def _marks(text: Column, common: np.ndarray, rank: np.ndarray) -> Column:
-    """node (a digest of the set), n (its size) and prefix of each text."""
-    kind = pa.struct([("node", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
-
-    @F.arrow_udf("node long, n int, prefix array<long>")
-    def marked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            nodes, sizes, firsts = [], [], []
-            for t in texts.to_pylist():
-                found = shingles(_bytes(t))
-                nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
-                sizes.append(len(found))
-                firsts.append(prefix(found, common, rank))
-            nodes = pa.array(np.array(nodes, np.uint64).view(np.int64), pa.int64())
-            yield pa.StructArray.from_arrays([nodes, pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], fields=list(kind))
-        trim_memory()
-
-    return marked(text)
+@F.arrow_udf(_MARKS)
+def marks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """node (a digest of the set), n (its size), SimHash and band keys of each text."""
+    kind = pa.struct([("node", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    for texts in batches:
+        nodes, sizes, prints, keys = [], [], [], []
+        for t in texts.to_pylist():
+            found = shingles(_bytes(t))
+            nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+            sizes.append(len(found))
+            prints.append(fingerprint(found))
+            keys.append(bands(found))
+        nodes = pa.array(np.array(nodes, np.uint64).view(np.int64), pa.int64())
+        yield pa.StructArray.from_arrays([nodes, pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], fields=list(kind))
+    trim_memory()
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -140,23 +140,63 @@ def _sizes_fit(m: Column, n: Column) -> Column:
     return DEN * F.least(m, n) >= NUM * F.greatest(m, n)
 
 
+def _apart(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one bucket of ``met`` (k, part, row, n, fp, label) within the radius, of different labels and fitting sizes."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: set[tuple[int, int]] = set()
+        held: list[list[np.ndarray]] = []  # whole small buckets, compared together; their last column tells them apart
+
+        def pairs(left: list[np.ndarray], right: list[np.ndarray]) -> None:
+            (fp, row, n, label, of), (fp2, row2, n2, label2, of2) = left, right
+            for i, j in close_pairs(fp.view(np.uint64), fp2.view(np.uint64), RADIUS):
+                fits = (of[i] == of2[j]) & (row[i] != row2[j]) & (label[i] != label2[j]) & (DEN * np.minimum(n[i], n2[j]) >= NUM * np.maximum(n[i], n2[j]))
+                a, b = row[i][fits], row2[j][fits]
+                out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+
+        def flush_held() -> None:
+            if held:
+                every = [np.concatenate(c) for c in zip(*held, strict=True)]
+                pairs(every, every)
+                held.clear()
+
+        def emitted() -> Iterator[pa.RecordBatch]:
+            if out:
+                a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                out.clear()
+
+        for number, (two, first, cols) in enumerate(buckets(batches, ("fp", "row", "n", "label"))):
+            cols = [*cols, np.full(len(first), number)]
+            if two:
+                pairs([c[first] for c in cols], [c[~first] for c in cols])
+            else:
+                held.append(cols)
+                if sum(len(c[0]) for c in held) >= BLOCK:
+                    flush_held()
+            if len(out) > 50_000:
+                yield from emitted()
+        flush_held()
+        yield from emitted()
+        trim_memory()
+
+    return dealt(met).mapInArrow(compare, "a long, b long")
+
+
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) that join the same nodes as all similar pairs do; ``nodes`` (row, n, prefix), ``texts`` (row, text)."""
-    under = Window.partitionBy("h")
-    met = nodes.select("row", "n", F.array_max("prefix").alias("end"), (F.col("n") - F.size("prefix")).alias("past"), F.explode("prefix").alias("h"))
-    met = met.withColumn("first", F.min(F.struct("row", "n")).over(under)).withColumn("last", F.max("row").over(under))
-    met = stash(met.where(F.col("first.row") != F.col("last")).select("h", "row", "n", "end", "past", "first"), "neardup-met")
-    pairs = met.where((F.col("row") != F.col("first.row")) & _sizes_fit(F.col("n"), F.col("first.n"))).select(F.col("first.row").alias("a"), F.col("row").alias("b")).distinct()
-    pairs = stash(pairs, "neardup-first")
+    """Links (a, b) that join the same nodes as all similar pairs do; ``nodes`` (row, n, fp, bands), ``texts`` (row, text)."""
+    met = stash(nodes.select("row", "n", "fp", F.posexplode("bands").alias("k", "part")), "neardup-met")
+    # Buckets of one are the rule; minima are combined before the shuffle, and the join's hot keys can be split.
+    firsts = met.groupBy("k", "part").agg(F.min(F.struct("row", "n", "fp")).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
+    met = stash(met.join(stash(firsts, "neardup-firsts"), ["k", "part"]), "neardup-met")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= RADIUS
+    pairs = met.where((F.col("row") != F.col("first.row")) & near & _sizes_fit(F.col("n"), F.col("first.n")))
+    pairs = stash(pairs.select(F.col("first.row").alias("a"), F.col("row").alias("b")).distinct(), "neardup-first")
     found = stash(_linked(pairs, texts), "neardup-links")
     labels = components(found).withColumnRenamed("id", "row")
-    left = met.drop("first").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row"))
-    left = stash(left.withColumn("lo", F.min("label").over(under)).withColumn("hi", F.max("label").over(under)).where("lo <> hi").drop("lo", "hi"), "neardup-left")
-    other = left.select("h", *[F.col(c).alias(f"{c}2") for c in ("row", "n", "end", "past", "label")])
-    rest = left.join(other, "h").where((F.col("row") < F.col("row2")) & (F.col("label") != F.col("label2")) & _sizes_fit(F.col("n"), F.col("n2")))
-    # Shingles in common are those that both hold up to where the first of the two ends, and at most all that this one has after it.
-    rest = rest.groupBy(F.col("row").alias("a"), F.col("row2").alias("b"), "n", "n2", F.when(F.col("end") <= F.col("end2"), F.col("past")).otherwise(F.col("past2")).alias("past")).agg(F.count("*").alias("shared"))
-    rest = rest.where((NUM + DEN) * (F.col("shared") + F.col("past")) >= NUM * (F.col("n") + F.col("n2"))).select("a", "b")
+    left = stash(met.drop("first").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row")), "neardup-left")
+    mixed = stash(left.groupBy("k", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("k", "part"), "neardup-mixed")
+    rest = _apart(left.join(mixed, ["k", "part"], "left_semi").select("k", "part", "row", "n", "fp", "label")).distinct()
     rest = stash(rest.join(pairs, ["a", "b"], "left_anti"), "neardup-rest")
     return found.unionByName(stash(_linked(rest, texts), "neardup-links"))
 
@@ -164,13 +204,12 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 def survivors(docs: DataFrame) -> DataFrame:
     """One row of each class, with its own columns only."""
     row, mark = fresh_name(docs, "row"), fresh_name(docs, "mark")
-    common, rank = _common(docs)
-    held = stash(docs.select(*docs.columns, F.monotonically_increasing_id().alias(row), _marks(F.col("text"), common, rank).alias(mark)), "neardup-rows")
-    rows = held.select(F.col(row).alias("row"), "doc_id", "text", F.col(f"{mark}.node").alias("node"), F.col(f"{mark}.n").alias("n"), F.col(f"{mark}.prefix").alias("prefix"))
+    held = stash(docs.select(*docs.columns, F.monotonically_increasing_id().alias(row), marks(F.col("text")).alias(mark)), "neardup-rows")
+    rows = held.select(F.col(row).alias("row"), "doc_id", "text", *[F.col(f"{mark}.{c}").alias(c) for c in ("node", "n", "fp", "bands")])
     least = stash(rows.groupBy("node").agg(F.min("row").alias("row")), "neardup-nodes")
-    nodes = rows.select("row", "n", "prefix").join(least.select("row"), "row", "left_semi")
+    nodes = rows.select("row", "n", "fp", "bands").join(least.select("row"), "row", "left_semi")
     labels = components(links(nodes, rows.select("row", "text"))).withColumnRenamed("id", "row")
-    named = least.join(labels, "row", "left").select("node", F.coalesce("label", "row").alias("label"))
+    named = stash(least.join(labels, "row", "left").select("node", F.coalesce("label", "row").alias("label")), "neardup-named")
     # First the best row of each node, combined before the shuffle: many copies are one row a task.
     rank_of = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.xxhash64("text").alias("hash"), "row")
     best = rows.groupBy("node").agg(F.min(rank_of).alias("best"))

@@ -172,9 +172,9 @@ def dealt(met: DataFrame) -> DataFrame:
     tells which of the two chunks a row belongs to.
     """
     own_columns = met.columns
-    sizes = met.groupBy("k", "part").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+    sizes = met.groupBy("k", "part").agg(F.count("*").alias("__members")).where(F.col("__members") > CHUNK)
     met = met.join(sizes, ["k", "part"], "left")
-    chunks = F.ceil(F.coalesce("n", F.lit(1)) / CHUNK).cast("int")
+    chunks = F.ceil(F.coalesce("__members", F.lit(1)) / CHUNK).cast("int")
     own = F.pmod(F.xxhash64(*own_columns), chunks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda x: F.struct(F.least(own, x).alias("lo"), F.greatest(own, x).alias("hi")))
     each = met.select(*own_columns, own.alias("own"), F.explode(pairs).alias("p")).select(*own_columns, "p.lo", "p.hi", (F.col("own") == F.col("p.lo")).alias("first"))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from ledgerline.llm import neardup
+from ledgerline.llm import neardup, simhash
 
 
 def grams(text):
@@ -45,16 +45,15 @@ def edited_copies(r, families):
     return rows
 
 
-def test_prefixes_of_similar_sets_meet():
+def test_similar_sets_meet():
+    """Of 2000 pairs just over the least similarity, all share a band and lie within the radius."""
     r = random.Random(4)
-    for _ in range(300):
-        base = [r.getrandbits(64) for _ in range(r.randrange(1, 60))]
-        a = np.array(sorted(set(base)), np.uint64)
-        b = np.array(sorted({x for x in base if r.random() < 0.9} | {r.getrandbits(64) for _ in range(r.randrange(4))}), np.uint64)
-        common = np.array(sorted(r.sample(base, len(base) // 2)), np.uint64)
-        rank = np.array(r.sample(range(len(common)), len(common)), np.int64)
-        if len(b) and neardup.similar(a, b):
-            assert set(neardup.prefix(a, common, rank)) & set(neardup.prefix(b, common, rank))
+    for _ in range(2000):
+        both = [r.getrandbits(64) for _ in range(80)]
+        a, b = (np.array(sorted(both + [r.getrandbits(64) for _ in range(10)]), np.uint64) for _ in range(2))
+        assert neardup.similar(a, b)
+        assert set(neardup.bands(a).tolist()) & set(neardup.bands(b).tolist())
+        assert ((neardup.fingerprint(a) ^ neardup.fingerprint(b)) & (2**64 - 1)).bit_count() <= neardup.RADIUS
 
 
 def test_stage_drops_edited_copies(spark, sf, monkeypatch):
@@ -63,6 +62,11 @@ def test_stage_drops_edited_copies(spark, sf, monkeypatch):
     want = [d for _, d in kept_by_brute_force(rows)]
     assert len(want) < len(rows) - 20
     assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == want
-    for sample in (1, 10):  # the sample decides the cost only
-        monkeypatch.setattr(neardup, "SAMPLE", sample)
-        assert sorted(x.doc_id for x in neardup.survivors(docs).collect()) == want
+    for chunk in (simhash.CHUNK, 2):  # a bucket goes through chunk pairs; a third of all rows are one near-copy group
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        r = random.Random(6)
+        base = [f"w{k}" for k in range(90)]
+        group = [(5000 + k, " ".join(f"x{r.randrange(10**6)}" if j in (r.randrange(90), r.randrange(90)) else w for j, w in enumerate(base))) for k in range(60)]
+        more = rows + group
+        got = neardup.survivors(spark.createDataFrame(more, "doc_id long, text string")).collect()
+        assert sorted(x.doc_id for x in got) == [d for _, d in kept_by_brute_force(more)]

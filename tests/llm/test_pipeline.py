@@ -40,7 +40,7 @@ def test_stages_and_run_are_plain_python(spark, tmp_path):
     got = stages["quality rules"](spark, docs, sf)
     assert got.columns == docs.columns and key(got.collect()) == key(good)
 
-    got = stages["near-dedup"](spark, spark.createDataFrame(good, SCHEMA), sf)
+    got = stages["SimHash near-dedup"](spark, spark.createDataFrame(good, SCHEMA), sf)
     assert got.columns == docs.columns
     apart = got.collect()
     assert sorted((x.doc_id is None, x.doc_id or 0) for x in apart) == kept_by_brute_force([x[:2] for x in good])
