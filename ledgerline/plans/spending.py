@@ -93,19 +93,19 @@ def parse_messages_full(spark, sf):
     return messages.parse_messages(a.messages(spark, sf))
 
 
-_KEYWORDS = {"steel": "Housing & Utilities", "red": "Shopping", "blue steel": "Beauty", "small": "Other", "part": "Education", "part 1": "Health"}
+_KEYWORDS = {"steel": "Housing & Utilities", "red": "Shopping", "blue steel": "Beauty", "small": "Other", "part": "Education", "part 1": "Health", "and a box of nails": "Shopping"}
 
 
 @query(r"""
-with d as (select p_partkey as id, p_name as description, trim(regexp_replace(lower(p_name), '[^0-9a-z一-鿿]+', ' ', 'g')) as norm from part),
-k as (select * from (values ('steel', 'Housing & Utilities'), ('red', 'Shopping'), ('blue steel', 'Beauty'), ('small', 'Other'), ('part', 'Education'), ('part 1', 'Health')) t(keyword, category)),
+with d as (select *, trim(regexp_replace(lower(description), '[^0-9a-z一-鿿]+', ' ', 'g')) as norm from (select p_partkey as id, p_name || case when p_partkey % 5 = 0 then ', and a box of nails' else '' end as description from part)),
+k as (select * from (values ('steel', 'Housing & Utilities'), ('red', 'Shopping'), ('blue steel', 'Beauty'), ('small', 'Other'), ('part', 'Education'), ('part 1', 'Health'), ('and a box of nails', 'Shopping')) t(keyword, category)),
 m as (select id, k.keyword, k.category, row_number() over (partition by id order by (k.keyword = norm) desc, length(k.keyword) desc, k.keyword) as n from d join k on contains(' ' || norm || ' ', ' ' || k.keyword || ' '))
 select d.id, d.description, coalesce(m.keyword, d.norm) as keyword, coalesce(m.category, 'Uncategorized') as category from d left join m on d.id = m.id and m.n = 1
 """)
 def keyword_resolve(spark, sf):
     from ..session import read
 
-    items = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("description"))
+    items = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.when(F.col("p_partkey") % 5 == 0, ", and a box of nails").otherwise("")).alias("description"))
     rows = ",".join(f"('{k}', '{c}')" for k, c in _KEYWORDS.items())
     return messages.resolve(items, spark.sql(f"select keyword, category from values {rows} as t(keyword, category)"), ["id"]).select("id", "description", "keyword", "category")
 
