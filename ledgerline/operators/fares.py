@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import BUCKETS, bucket_order, day_shift, duration, hour_bucket, to_24h
+from ..functions.dates import BUCKETS, bucket_order, day_shift, duration, hour_bucket
 from .rollup import first_of
 
 # Currencies as a label says them, airports of cities.
@@ -16,7 +16,7 @@ MONTHS = ("January", "February", "March", "April", "May", "June", "July", "Augus
 # The clauses of a spoken label, and of the older short form.
 _CITY = r"([A-Za-z .'\-]+?)(?:\s+International\s+Airport|\s+Airport)?"
 _WHEN = r"\s+at\s+(\d{1,2}:\d{2})\s*(AM|PM)\s+on\s+[A-Za-z]+,\s+([A-Za-z]+)\s+(\d+)"
-LEG = rf"(?is)Leaves\s+{_CITY}{_WHEN}.*?arrives at\s+{_CITY}{_WHEN}"
+LEG = rf"(?i)Leaves\s+{_CITY}{_WHEN}.*?arrives at\s+{_CITY}{_WHEN}"
 AIRLINE = r"(?i)flight with\s+([^.]*?)\."
 STOPS = r"(?i)(nonstop|(\d+)\s+stop)\s+flight"
 TOTAL = r"(?i)Total duration\s+(\d+)\s*hr(?:s?)?\s*(?:(\d+)\s*min)?"
@@ -49,49 +49,133 @@ def learn_codes(labels: Column) -> Column:
     return F.map_from_entries(last)
 
 
-LABEL = "origin string, dest string, depart_time string, arrive_time string, day_shift int, duration_min int, stops int, airline string, flight_no string, price double, currency string, round_trip boolean"
+LEG_FIELDS = "origin string, dest string, depart_time string, arrive_time string, day_shift int, duration_min int, stops int, airline string, flight_no string"
+#: Stand between the pieces of a label and between the fields of a piece; no label holds them.
+_PIECE, _FIELD = "\x02", "\x01"
 
 
-def parse_label(label: Column, learned: Column | None = None) -> Column:
-    """Struct of a fare label's first leg, spoken form before short form; null where it names no leg."""
-    text = F.translate(label, "  ", "  ")
-    spoken, short = text.rlike(LEG), text.rlike(SHORT_LEG)
-    get = lambda k: F.regexp_extract(text, LEG, k)
-    month = lambda name: F.array_position(F.array(*[F.lit(m.lower()) for m in MONTHS]), F.lower(name)).cast("int") - 1
-    depart, arrive = to_24h(F.concat_ws(" ", get(2), get(3))), to_24h(F.concat_ws(" ", get(7), get(8)))
-    shift = day_shift(F.greatest(month(get(4)), F.lit(0)), get(5).try_cast("int"), F.greatest(month(get(9)), F.lit(0)), get(10).try_cast("int"))
-    stated = F.when(text.rlike(TOTAL), F.regexp_extract(text, TOTAL, 1).try_cast("int") * 60 + F.coalesce(F.regexp_extract(text, TOTAL, 2).try_cast("int"), F.lit(0)))
-    carrier = F.trim(F.substring_index(F.regexp_extract(text, AIRLINE, 1), " and ", 1))
-    number = lambda x: F.regexp_replace(x, ",", "").try_cast("double")
-    round_trip = F.lower(text).rlike(r"round\s+trip")
-    rest = F.regexp_replace(text, rf"(?s)^.*?{SHORT_LEG}", "")
-    plane = F.concat(F.regexp_extract(rest, FLIGHT, 1), F.regexp_extract(rest, FLIGHT, 2))
-    left = rest
-    for pattern in (SHORT_DURATION, FLIGHT, SHORT_STOPS, *SHORT_NOISE):
-        left = F.regexp_replace(left, pattern, " ")
-    name = F.regexp_replace(left, r"^[ .,;:-]+|[ .,;:-]+$", "")
-    price, currency = F.lit(None).cast("double"), F.lit(None).cast("string")
-    for pattern in reversed(SHORT_PRICES):
-        hit = text.rlike(pattern)
-        price = F.when(hit, number(F.regexp_extract(text, pattern, 2))).otherwise(price)
-        currency = F.when(hit, F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))).otherwise(currency)
-    long_form = F.struct(
-        city_code(get(1), learned).alias("origin"), city_code(get(6), learned).alias("dest"), depart.alias("depart_time"), arrive.alias("arrive_time"), shift.alias("day_shift"),
-        F.coalesce(stated, duration(depart, arrive, shift)).cast("int").alias("duration_min"),
-        F.coalesce(F.regexp_extract(text, STOPS, 2).try_cast("int"), F.lit(0)).alias("stops"), F.when(carrier != "", carrier).otherwise("Unknown").alias("airline"), F.lit(None).cast("string").alias("flight_no"),
-        number(F.regexp_extract(text, PRICE, 1)).alias("price"), F.try_element_at(_map(CURRENCY_WORDS), F.lower(F.trim(F.regexp_extract(text, PRICE, 2)))).alias("currency"), round_trip.alias("round_trip"),
-    )
-    short_form = F.struct(
-        F.upper(F.regexp_extract(text, SHORT_LEG, 2)).alias("origin"), F.upper(F.regexp_extract(text, SHORT_LEG, 3)).alias("dest"), to_24h(F.regexp_extract(text, SHORT_LEG, 1)).alias("depart_time"), F.lit(None).cast("string").alias("arrive_time"), F.lit(0).alias("day_shift"),
-        F.coalesce(F.regexp_extract(rest, SHORT_DURATION, 1).try_cast("int") * 60 + F.coalesce(F.regexp_extract(rest, SHORT_DURATION, 2).try_cast("int"), F.lit(0)), F.lit(0)).alias("duration_min"),
-        F.coalesce(F.regexp_extract(rest, SHORT_STOPS, 1).try_cast("int"), F.lit(0)).alias("stops"), F.when(name != "", name).when(plane != "", F.substring(plane, 1, 2)).otherwise("Unknown").alias("airline"), F.nullif(plane, F.lit("")).alias("flight_no"),
-        price.alias("price"), currency.alias("currency"), round_trip.alias("round_trip"),
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _pieces(text: Column, pattern: str, groups: int) -> Column:
+    """The text cut at every match: what stands before, then by turns a match's fields and what follows it."""
+    fields = _FIELD.join(f"${k}" for k in range(1, groups + 1))
+    return F.split(F.regexp_replace(text, pattern, f"{_PIECE}{fields}{_PIECE}"), _PIECE)
+
+
+def _each_leg(parts: Column, leg) -> Column:
+    """``leg`` of (fields, what follows them up to the next leg) for every match."""
+    at = F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))
+    return F.transform(at, lambda i: _let(F.split(F.get(parts, i), _FIELD), lambda f: _let(F.get(parts, i + 1), lambda rest: leg(f, rest))))
+
+
+def _clock(time: Column, half: Column) -> Column:
+    hour = F.pmod(F.substring_index(time, ":", 1).cast("int"), F.lit(12)) + F.when(F.upper(half) == "PM", 12).otherwise(0)
+    return F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.substring_index(time, ":", -1))
+
+
+def _month(name: Column) -> Column:
+    return F.greatest(F.array_position(F.array(*[F.lit(m.lower()) for m in MONTHS]), F.lower(name)).cast("int") - 1, F.lit(0))
+
+
+def _number(text: Column) -> Column:
+    return F.regexp_replace(text, ",", "").try_cast("double")
+
+
+def _hours_minutes(text: Column) -> Column:
+    """Minutes of the first one or two numbers; null without any."""
+    return _let(F.regexp_extract_all(text, F.lit(r"\d+"), F.lit(0)), lambda n: F.get(n, F.lit(0)).try_cast("int") * 60 + F.coalesce(F.get(n, F.lit(1)).try_cast("int"), F.lit(0)))
+
+
+def _leg(**fields: Column) -> Column:
+    return F.struct(*[fields[n].cast(t).alias(n) for n, t in (c.split() for c in LEG_FIELDS.split(", "))])
+
+
+def _option(text: Column, legs: Column, price: Column, currency: Column) -> Column:
+    first = [legs[0][c.split()[0]].alias(c.split()[0]) for c in LEG_FIELDS.split(", ")]
+    round_trip = text.rlike(r"(?i)round\s+trip") | (F.size(legs) >= 2)
+    return F.struct(*first, price.alias("price"), currency.alias("currency"), round_trip.alias("round_trip"), legs.alias("legs"))
+
+
+def _spoken(text: Column, parts: Column, learned: Column | None) -> Column:
+    """Carrier, stops and total duration are said once for all legs."""
+    said = F.struct(
+        _hours_minutes(F.regexp_extract(text, TOTAL, 0)).alias("minutes"),
+        F.coalesce(F.regexp_extract(text, STOPS, 2).try_cast("int"), F.lit(0)).alias("stops"),
+        F.trim(F.substring_index(F.regexp_extract(text, AIRLINE, 1), " and ", 1)).alias("carrier"),
     )
-    return F.when(spoken, long_form.cast(f"struct<{_ddl()}>")).when(short, short_form.cast(f"struct<{_ddl()}>"))
+
+    def of(said: Column) -> Column:
+        def leg(f: Column, rest: Column) -> Column:
+            depart, arrive = _clock(f[1], f[2]), _clock(f[6], f[7])
+            shift = day_shift(_month(f[3]), f[4].try_cast("int"), _month(f[8]), f[9].try_cast("int"))
+            return _leg(
+                origin=city_code(f[0], learned), dest=city_code(f[5], learned), depart_time=depart, arrive_time=arrive, day_shift=shift,
+                duration_min=F.coalesce(said["minutes"], duration(depart, arrive, shift)), stops=said["stops"], airline=F.when(said["carrier"] != "", said["carrier"]).otherwise("Unknown"), flight_no=F.lit(None),
+            )
+
+        price = _let(F.regexp_extract(text, PRICE, 1), _number)
+        currency = F.try_element_at(_map(CURRENCY_WORDS), F.lower(F.trim(F.regexp_extract(text, PRICE, 2))))
+        return _let(_each_leg(parts, leg), lambda legs: _option(text, legs, price, currency))
+
+    return _let(said, of)
+
+
+def _short(text: Column, parts: Column) -> Column:
+    """Each leg's words stand between it and the next one."""
+
+    def leg(f: Column, rest: Column) -> Column:
+        left = rest
+        for pattern in (SHORT_DURATION, FLIGHT, SHORT_STOPS, *SHORT_NOISE):
+            left = F.regexp_replace(left, pattern, " ")
+        name = F.regexp_replace(left, r"^[ .,;:-]+|[ .,;:-]+$", "")
+        plane = F.concat(F.regexp_extract(rest, FLIGHT, 1), F.regexp_extract(rest, FLIGHT, 2))
+        clock = _let(F.split(F.regexp_replace(f[0], r"(?i)\s*([AP]M)", " $1"), " "), lambda c: _clock(c[0], c[1]))
+        return _leg(
+            origin=F.upper(f[1]), dest=F.upper(f[2]), depart_time=clock, arrive_time=F.lit(None), day_shift=F.lit(0),
+            duration_min=F.coalesce(_hours_minutes(F.regexp_extract(rest, SHORT_DURATION, 0)), F.lit(0)), stops=F.coalesce(F.regexp_extract(rest, SHORT_STOPS, 1).try_cast("int"), F.lit(0)),
+            airline=_let(F.struct(name.alias("n"), plane.alias("p")), lambda x: F.when(x["n"] != "", x["n"]).when(x["p"] != "", F.substring(x["p"], 1, 2)).otherwise("Unknown")), flight_no=F.nullif(plane, F.lit("")),
+        )
+
+    priced = None
+    for pattern in SHORT_PRICES:  # the first that matches counts
+        found = F.struct(_number(F.regexp_extract(text, pattern, 2)).alias("price"), F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).alias("currency"))
+        priced = F.when(text.rlike(pattern), found) if priced is None else priced.when(text.rlike(pattern), found)
+    return _let(priced, lambda p: _let(_each_leg(parts, leg), lambda legs: _option(text, legs, p["price"], p["currency"])))
+
+
+def parse_label(label: Column, learned: Column | None = None) -> Column:
+    """Struct of a fare label: its first leg's fields, the price, and ``legs``; null where it names no leg.
+
+    The spoken form is tried first, the short form where it finds nothing. Each form
+    is cut at its legs in one pass, and fields are read by their place. A round trip
+    is one that says so or has two legs.
+    """
+
+    def short(text: Column) -> Column:
+        return _let(_pieces(text, SHORT_LEG, 3), lambda parts: F.when(F.size(parts) > 1, _short(text, parts)))
+
+    def spoken(text: Column) -> Column:
+        return _let(_pieces(text, LEG, 10), lambda parts: F.when(F.size(parts) > 1, _spoken(text, parts, learned)).otherwise(short(text)))
+
+    return _let(F.translate(label, "\u202f\u2009", "  "), spoken)
+
+
+def flies(option: Column, origin: Column, dest: Column) -> Column:
+    """Whether any leg of a parsed label goes from ``origin`` to ``dest``."""
+    return F.exists(option["legs"], lambda leg: (leg["origin"] == origin) & (leg["dest"] == dest))
+
+
+def outbound(options: DataFrame, origin: Column, dest: Column, option: str = "option") -> DataFrame:
+    """The options with a leg there."""
+    return options.where(flies(F.col(option), origin, dest))
 
 
-def _ddl() -> str:
-    return ",".join(f"{n}:{t}" for n, t in (c.split() for c in LABEL.split(", ")))
+def inbound(options: DataFrame, origin: Column, dest: Column, option: str = "option") -> DataFrame:
+    """The options with a leg back."""
+    return options.where(flies(F.col(option), dest, origin))
 
 
 def date_pairs(scopes: DataFrame) -> DataFrame:
@@ -141,8 +225,8 @@ def trend(fares: DataFrame, keys: list[str]) -> DataFrame:
 
 def trend_lines(trends: DataFrame, keys: list[str], top: int = 5) -> DataFrame:
     """The trend of the cheapest groupings, ranked by their lowest price."""
-    low = trends.groupBy(*keys).agg(F.min("price").alias("lowest"))
-    ranks = low.withColumn("rank", F.row_number().over(Window.orderBy("lowest", *keys))).where(F.col("rank") <= top)
+    low = trends.groupBy(*keys).agg(F.min("price").alias("lowest")).orderBy("lowest", *keys).limit(top)  # the limit bounds the window's one task
+    ranks = low.withColumn("rank", F.row_number().over(Window.orderBy("lowest", *keys)))
     return trends.join(F.broadcast(ranks), keys)
 
 

@@ -15,19 +15,53 @@ _MONTH = "(['January','February','March','April','May','June','July','August','S
 _CLOCK = "case when h % 12 = 0 then 12 else h % 12 end || ':' || printf('%02d', m) || ' ' || case when h < 12 then 'AM' else 'PM' end"
 
 
+_SAID = [
+    # one leg, spoken; two legs, spoken; one leg in the short form; two of them
+    "From {price} Hong Kong dollars round trip total. {stops} with Cathay Pacific and Qantas. Leaves Hong Kong International Airport at {clock} on Friday, December 18 and arrives at Dubai International Airport at 6:05 AM on Saturday, December 19.",
+    "From {price} euros round trip total. {stops} with Emirates. Leaves Hong Kong Airport at {clock} on Friday, December 18 and arrives at Dubai International Airport at 6:05 AM on Saturday, December 19. Leaves Dubai International Airport at 9:15 AM on Friday, January 1 and arrives at Hong Kong International Airport at 8:45 PM on Friday, January 1.",
+    "{clock} HKG to DXB, 7h 30m, Emirates EK 381. Price: ${price}",
+    "{clock} HKG to DXB, 7h 30m, 1 stop, Cathay Pacific. 5:00 PM DXB to HKG, 8h, nonstop, Emirates. Price: HKD {price}",
+]
+
+
 def _labels(spark, sf):
-    """A spoken fare label for each order: its numbers are the label's."""
+    """A fare label for each order, of four shapes by turns: its numbers are the label's."""
     o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 24).cast("int").alias("h"), (F.col("o_orderkey") % 60).cast("int").alias("m"), (F.col("o_orderkey") % 3).cast("int").alias("stops"), (F.col("o_orderkey") % 9000 + 1000).alias("price"))
     half = F.when(F.col("h") < 12, "AM").otherwise("PM")
-    clock = F.concat(F.when(F.col("h") % 12 == 0, 12).otherwise(F.col("h") % 12).cast("string"), F.lit(":"), F.format_string("%02d", F.col("m")), F.lit(" "), half)
+    clock = F.concat(F.when(F.col("h") % 12 == 0, 12).otherwise(F.col("h") % 12).cast("string"), F.lit(":"), F.format_string("%02d", F.col("m")), F.lit("\u202f"), half)
     stops = F.when(F.col("stops") == 0, "Nonstop flight").otherwise(F.concat(F.col("stops").cast("string"), F.lit(" stop flight")))
-    label = F.concat(F.lit("From "), F.format_string("%,d", F.col("price")), F.lit(" Hong Kong dollars round trip total. "), stops, F.lit(" with Cathay Pacific and Qantas. Leaves Hong Kong International Airport at "), clock, F.lit(" on Friday, December 18 and arrives at Dubai International Airport at 6:05 AM on Saturday, December 19."))
+    price = F.format_string("%,d", F.col("price"))
+    label = F.element_at(F.array(*[F.lit(x) for x in _SAID]), (F.col("id") % 4 + 1).cast("int"))
+    for mark, value in (("{price}", price), ("{clock}", clock), ("{stops}", stops)):
+        label = F.replace(label, F.lit(mark), value)
     return o.select("id", label.alias("label"))
 
 
-@query("with o as (select o_orderkey as id, o_orderkey % 24 as h, o_orderkey % 60 as m from orders) select id, 'HKG' as origin, 'DXB' as dest, printf('%02d:%02d', h, m) as depart_time, '06:05' as arrive_time, 1 as day_shift, cast(365 - (h * 60 + m) + 1440 as integer) as duration_min, cast(id % 3 as integer) as stops, 'Cathay Pacific' as airline, cast(id % 9000 + 1000 as double) as price, 'HKD' as currency, true as round_trip from o")
+@query("""
+with o as (select o_orderkey as id, o_orderkey % 4 as shape, o_orderkey % 24 as h, o_orderkey % 60 as m from orders)
+select id, 'HKG' as origin, 'DXB' as dest, printf('%02d:%02d', h, m) as depart_time, case when shape < 2 then '06:05' end as arrive_time,
+       case when shape < 2 then 1 else 0 end as day_shift, case when shape < 2 then cast(365 - (h * 60 + m) + 1440 as integer) else 450 end as duration_min,
+       cast(case shape when 2 then 0 when 3 then 1 else id % 3 end as integer) as stops, case when shape in (0, 3) then 'Cathay Pacific' else 'Emirates' end as airline,
+       case when shape = 2 then 'EK381' end as flight_no, cast(id % 9000 + 1000 as double) as price, case shape when 1 then 'EUR' when 2 then null else 'HKD' end as currency,
+       shape <> 2 as round_trip, case when shape in (1, 3) then 2 else 1 end as n_legs, case when shape in (1, 3) then 'HKG' else 'DXB' end as last_dest,
+       case shape when 1 then '09:15' when 3 then '17:00' else printf('%02d:%02d', h, m) end as last_depart,
+       case shape when 1 then 690 when 3 then 480 when 2 then 450 else cast(365 - (h * 60 + m) + 1440 as integer) end as last_duration,
+       case when shape = 0 then 'Cathay Pacific' else 'Emirates' end as last_airline
+from o
+""")
 def parse_labels(spark, sf):
-    return _labels(spark, sf).withColumn("p", fares.parse_label(F.col("label"))).select("id", "p.*").drop("flight_no")
+    parsed = _labels(spark, sf).withColumn("p", fares.parse_label(F.col("label")))
+    last = F.element_at("p.legs", -1)
+    more = [F.size("p.legs").alias("n_legs"), last["dest"].alias("last_dest"), last["depart_time"].alias("last_depart"), last["duration_min"].alias("last_duration"), last["airline"].alias("last_airline")]
+    return parsed.select("id", "p.*", *more).drop("legs")
+
+
+@query("select o_orderkey as id, o_orderkey % 4 in (1, 3) as back from orders where o_orderkey % 4 in (1, 3) union all select o_orderkey, false from orders")
+def fare_directions(spark, sf):
+    """Options with a leg back, and all with a leg there."""
+    options = _labels(spark, sf).withColumn("option", fares.parse_label(F.col("label")))
+    there, back = fares.outbound(options, F.lit("HKG"), F.lit("DXB")), fares.inbound(options, F.lit("HKG"), F.lit("DXB"))
+    return back.select("id", F.lit(True).alias("back")).unionByName(there.select("id", F.lit(False).alias("back")))
 
 
 @query("select o_orderkey as id, case when o_orderkey % 20 between 10 and 20 then cast(o_orderkey % 100 as varchar) || 'th' end as teen, printf('%02d:%02d', (cast(o_orderkey % 24 as integer) * 60 + cast(o_orderkey % 60 as integer) + 95) // 60 % 24, (cast(o_orderkey % 60 as integer) + 35) % 60) as later, cast(last_day(make_date(cast((8100 + o_orderkey % 8 - 1) // 4 as integer), cast((8100 + o_orderkey % 8 - 1) % 4 * 3 + 3 as integer), 1)) as date) as quarter_end from orders")

@@ -80,6 +80,27 @@ def test_labels(spark):
     assert (got[1].origin, got[1].depart_time, got[1].duration_min, got[1].price, got[1].airline) == ("HKG", "09:35", 225, 6542.0, "Cathay Pacific")
     assert (got[2].stops, got[2].airline, got[2].day_shift, got[2].duration_min, got[2].currency) == (1, "Emirates", 1, 120, "EUR")
     assert got[3] is None and got[4] is None
+    assert [len(g.legs) for g in got[:3]] == [1, 1, 1] and [g.round_trip for g in got[:3]] == [True] * 3
+
+
+def test_labels_of_several_legs(spark):
+    back = " Leaves Dubai International Airport at 9:00 AM on Saturday, December 26 and arrives at Hong Kong International Airport at 8:45 PM on Saturday, December 26."
+    labels = [
+        "10:00 AM HKG to DXB, 8h, Emirates EK 381, nonstop. 5:00 PM DXB to HKG, 7h 40m, 1 stop, CX 746. $5,000",
+        LONG + back,
+        "5:00 PM DXB to HKG, 8h, Emirates. Price: HKD 900",
+        "Leaves HKG on time",
+    ]
+    df = spark.createDataFrame([(t,) for t in labels], "t string").select(fares.parse_label(F.col("t")).alias("option"))
+    got = [r.option for r in df.collect()]
+    first, second = got[0].legs
+    assert (first.airline, first.flight_no, first.duration_min, first.stops) == ("Emirates", "EK381", 480, 0)
+    assert (second.origin, second.depart_time, second.airline, second.flight_no, second.duration_min, second.stops) == ("DXB", "17:00", "CX", "CX746", 460, 1)
+    assert got[0].round_trip and got[0].price == 5000.0 and got[0].currency is None
+    assert [(x.origin, x.dest, x.duration_min) for x in got[1].legs] == [("HKG", "DXB", 580), ("DXB", "HKG", 580)]
+    assert (got[2].origin, got[2].round_trip, got[2].price, got[2].currency) == ("DXB", False, 900.0, "HKD") and got[3] is None
+    hkg, dxb = F.lit("HKG"), F.lit("DXB")
+    assert fares.outbound(df, hkg, dxb).count() == 2 and fares.inbound(df, hkg, dxb).count() == 3
 
 
 def test_cells_count_the_bucket(spark):
