@@ -1,15 +1,16 @@
 """State without a transactional table: merges, ledgers, seeding, versioned tables.
 
-Every transformation is a pure frame; only ``Versioned.commit`` writes. A commit
-writes a new version folder and then a pointer file, so a reader sees the old
-version or the new one, never a part, and running a step twice changes nothing.
+Every transformation is a pure frame; only ``Versioned`` writes. A write makes a new
+folder and then an entry of the table's log, so a reader sees the old version or
+the new one, never a part, and running a step twice changes nothing.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -66,10 +67,8 @@ def without(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 
 
 def compact(log: DataFrame, order: str, keep: int = 200, over: int = 400) -> DataFrame:
-    """The newest ``keep`` entries once there are more than ``over``; else all. The log is bounded by this very step."""
-    n = F.count("*").over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(F.desc(order)))
-    return log.withColumns({"__n": n, "__k": rank}).where((F.col("__n") <= over) | (F.col("__k") <= keep)).drop("__n", "__k")
+    """The newest ``keep`` entries once there are more than ``over``; else all."""
+    return log if log.limit(over + 1).count() <= over else log.orderBy(F.desc(order)).limit(keep)
 
 
 class Ledger:
@@ -97,40 +96,82 @@ class Ledger:
         return self.stamp(keyed.join(known, group, "left_anti"), F.col("__key"), now)
 
 
+class Conflict(RuntimeError):
+    """Another writer has made the version that this one was to make."""
+
+
 class Versioned:
-    """A Parquet table in version folders with a pointer file."""
+    """A Parquet table whose versions are lists of folders, each told by one entry of a log.
+
+    A writer puts its rows into a folder of its own and then the entry of the next
+    version under its final name, by a rename that never replaces one. So a reader
+    sees the old version or the new one; of two writers one is refused; a crash
+    before the rename leaves a folder that no version names.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        jvm = spark._jvm
-        self._at = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._log = self._hadoop.Path(f"{self.path}/_log")
+        self._fs = self._log.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def version(self) -> int:
-        pointer = self._at(f"{self.path}/CURRENT")
-        if not self._fs.exists(pointer):
+        if not self._fs.exists(self._log):
             return 0
-        stream = self._fs.open(pointer)
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._log)]
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def folders(self, version: int) -> list[str]:
+        """What a version consists of; the last one is what it added."""
+        if not version:
+            return []
+        stream = self._fs.open(self._hadoop.Path(self._log, str(version)))
         try:
-            return int(json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["version"])
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["folders"]
         finally:
             stream.close()
 
-    def read(self) -> DataFrame:
-        v = self.version()
-        if not v:
+    def read(self, version: int | None = None) -> DataFrame:
+        return self._frame(self.folders(self.version() if version is None else version))
+
+    def added(self, version: int) -> DataFrame:
+        """The rows of a version's last folder."""
+        return self._frame(self.folders(version)[-1:])
+
+    def _frame(self, folders: list[str]) -> DataFrame:
+        if not folders:
             return self.spark.sql("select 1").limit(0).select(*[F.lit(None).cast(t).alias(n) for n, t in (c.split(None, 1) for c in self.schema.split(", "))])
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v}")
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in folders])
 
     def commit(self, rows: DataFrame) -> int:
-        """Write the next version, then the pointer by a rename over the old one."""
-        v = self.version() + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        fresh, pointer = self._at(f"{self.path}/.CURRENT-{v}"), self._at(f"{self.path}/CURRENT")
+        """``rows`` become the table, in one folder."""
+        v = self.version()
+        return self._publish(v + 1, [self._write(rows, v + 1)])
+
+    def append(self, rows: DataFrame) -> int:
+        """``rows`` join the table; what is there is not written again. ``commit(read())`` puts the folders together."""
+        v = self.version()
+        before = self.folders(v)
+        return self._publish(v + 1, [*before, self._write(rows, v + 1)])
+
+    def _write(self, rows: DataFrame, version: int) -> str:
+        folder = f"v{version}-{uuid.uuid4().hex[:12]}"
+        rows.write.mode("error").parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _publish(self, version: int, folders: list[str]) -> int:
+        entry, fresh = self._hadoop.Path(self._log, str(version)), self._hadoop.Path(self._log, f".{uuid.uuid4().hex}")
         out = self._fs.create(fresh, True)
-        out.write(bytearray(json.dumps({"version": v}).encode()))
+        out.write(bytearray(json.dumps({"folders": folders}).encode()))
         out.close()
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        self._fs.rename(fresh, pointer)
-        return v
+        jvm = self.spark._jvm
+        rename = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")
+        files = self._hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            files.rename(self._fs.makeQualified(fresh), self._fs.makeQualified(entry), self.spark.sparkContext._gateway.new_array(rename, 0))
+        except Exception as e:
+            self._fs.delete(fresh, False)
+            if self._fs.exists(entry):
+                raise Conflict(f"version {version} of {self.path} was made by another writer") from e
+            raise
+        return version

@@ -39,15 +39,11 @@ class Workspace:
 
     def add(self, name: str, rows: DataFrame, commit: bool) -> DataFrame:
         """The rows whose key is new."""
-        existing = self.table(name)
-        new = registers.add(name, existing, self.shaped(name, rows))
-        if commit:
-            v = self._at(name)
-            version = v.commit(existing.unionByName(new))
-            # What was added is told from the two versions: the new one holds it, whatever happens to the input.
-            before = self.spark.read.schema(schemas.TABLES[name]).parquet(f"{v.path}/v{version - 1}") if version > 1 else existing
-            return v.read().exceptAll(before) if "map<" not in schemas.TABLES[name] else v.read().join(before.select(*schemas.KEYS[name]), list(schemas.KEYS[name]), "left_anti")
-        return new
+        new = registers.add(name, self.table(name), self.shaped(name, rows))
+        if not commit:
+            return new
+        table = self._at(name)
+        return table.added(table.append(new))  # read back: it holds what was added, whatever happens to the input
 
     def upsert(self, name: str, rows: DataFrame, commit: bool) -> DataFrame:
         merged = registers.upsert(name, self.table(name), self.shaped(name, rows))

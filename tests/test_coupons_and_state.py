@@ -101,6 +101,24 @@ def test_merge_and_versions(spark, tmp_path):
     assert table.version() == 3
 
 
+def test_writers_do_not_replace_each_other(spark, tmp_path):
+    import pytest
+
+    path, schema = str(tmp_path / "t"), "k long"
+    rows = lambda *ks: spark.createDataFrame([(k,) for k in ks], schema)
+    one, two = state.Versioned(spark, path, schema), state.Versioned(spark, path, schema)
+    one.commit(rows(1))
+    assert one.append(rows(2, 3)) == 2 and sorted(r.k for r in two.read().collect()) == [1, 2, 3]
+    assert [r.k for r in two.read(1).collect()] == [1] and sorted(r.k for r in two.added(2).collect()) == [2, 3]
+    folder = two._write(rows(9), 3)  # a writer that has not published yet
+    assert one.append(rows(4)) == 3
+    with pytest.raises(state.Conflict):
+        two._publish(3, [*two.folders(2), folder])
+    assert sorted(r.k for r in one.read().collect()) == [1, 2, 3, 4]
+    assert one.commit(one.read()) == 4 and len(one.folders(4)) == 1 and one.read().count() == 4
+    assert not [p for p in (tmp_path / "t" / "_log").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
+
+
 def test_compaction(spark):
     log = spark.range(401).withColumnRenamed("id", "at")
     assert state.compact(log, "at").count() == 200 and state.compact(log.where("at < 400"), "at").count() == 400
