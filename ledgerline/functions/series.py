@@ -71,24 +71,32 @@ class Bars:
         return 100.0 * F.try_divide(F.col("close") - start, start)
 
 
-def wilder_atr(df: DataFrame, bars: Bars, n: int = 14) -> DataFrame:
+def wilder_atr(df: DataFrame, bars: Bars, n: int = 14, block: int = 256) -> DataFrame:
     """``df`` (with ``tr``) plus ``atr``: the mean of the first n ranges, then (before * (n - 1) + tr) / n.
 
-    The recursion runs over each key's ranges in one array fold; the results return
-    to their bars by place, so a key moves once and no row leaves the JVM.
+    A key's bars are gathered in day order (daily bars: some thousands a key), folded
+    in the JVM and dealt out again, so they move once. The fold goes block by block:
+    no array longer than a block is copied at a step, so its cost follows the bars.
     """
-    listed = df.groupBy(bars.key).agg(F.sort_array(F.collect_list(F.struct(bars.day, "tr"))).alias("s"))
-    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("v"), F.expr("cast(array() as array<double>)").alias("out"))
+    rest = [c for c in df.columns if c not in (bars.key, bars.day, "tr")]
+    listed = df.groupBy(bars.key).agg(F.sort_array(F.collect_list(F.struct(bars.day, "tr", *rest))).alias("s"))
+    empty = F.expr("cast(array() as array<double>)")
 
     def step(acc: Column, x: Column) -> Column:
         i = acc["i"] + 1
         v = F.when(i < n, acc["v"] + x["tr"]).when(i == n, (acc["v"] + x["tr"]) / n).otherwise((acc["v"] * (n - 1) + x["tr"]) / n)
         return F.struct(i.alias("i"), v.alias("v"), F.concat(acc["out"], F.array(F.when(i >= n, v))).alias("out"))
 
-    folded = listed.select(bars.key, F.col("s"), F.aggregate("s", start, step)["out"].alias("atr"))
-    paired = folded.select(bars.key, F.explode(F.arrays_zip(F.col("s"), F.col("atr"))).alias("z"))
-    values = paired.select(bars.key, F.col(f"z.s.{bars.day}").alias(bars.day), F.col("z.atr").alias("atr"))
-    return df.join(values, [bars.key, bars.day], "left")
+    def whole(acc: Column, b: Column) -> Column:
+        start = F.struct(acc["i"].alias("i"), acc["v"].alias("v"), empty.alias("out"))
+        done = F.transform(F.array(F.aggregate(F.slice("s", b * block + 1, F.lit(block)), start, step)), lambda r: F.struct(r["i"].alias("i"), r["v"].alias("v"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")))
+        return done[0]
+
+    blocks = F.sequence(F.lit(0), F.ceil(F.size("s") / block).cast("int") - 1)
+    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("v"), F.expr("cast(array() as array<array<double>>)").alias("outs"))
+    folded = listed.select(bars.key, "s", F.flatten(F.aggregate(blocks, start, whole)["outs"]).alias("atr"))
+    each = folded.select(bars.key, F.explode(F.arrays_zip("s", "atr")).alias("z"))
+    return each.select(*[F.col(c) if c == bars.key else F.col(f"z.s.{c}").alias(c) for c in df.columns], F.col("z.atr").alias("atr"))
 
 
 def with_indicators(df: DataFrame, bars: Bars | None = None) -> DataFrame:

@@ -1,14 +1,12 @@
-"""Positions: lots matched first in, first out, shorts and flips included."""
+"""Positions: lots matched first in, first out, shorts and flips included; ``match`` is the plain fold that tests hold them against."""
 
 from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HOLDING = "ticker string, quantity double, avg_cost double, cost_basis double, realized double"
 TINY = 1e-9
 
 
@@ -38,36 +36,50 @@ def match(trades: list[tuple[str, float, float, float]]) -> tuple[float, float,
     return held, basis / held if held else 0.0, basis, realized
 
 
-def fifo(trades: DataFrame) -> DataFrame:
-    """Net position of each ticker. The fold depends on its path: a grouped map, one ticker a group."""
+#: Quantities are added exactly, whatever the order of tasks.
+_EXACT = "decimal(38,9)"
 
-    def per_ticker(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["trade_date", "id"], kind="stable")
-        return pd.DataFrame([(rows["ticker"].iloc[0], *match(list(zip(rows["side"], rows["quantity"], rows["price"], rows["fee"], strict=True))))], columns=[c.split()[0] for c in HOLDING.split(", ")])
 
-    return trades.groupBy("ticker").applyInPandas(per_ticker, HOLDING)
+def _stretches(trades: DataFrame) -> DataFrame:
+    """Each trade as a stretch lo..hi of its ticker's cumulative bought or sold quantity, with its price ``each``, fee included."""
+    w = Window.partitionBy("ticker", "side").orderBy("trade_date", "id").rowsBetween(Window.unboundedPreceding, 0)
+    q = F.col("quantity").cast(_EXACT)
+    fee = F.coalesce(F.try_divide(F.col("fee"), F.col("quantity")), F.lit(0.0))
+    each = F.col("price") + F.when(F.col("side") == "buy", fee).otherwise(-fee)
+    return trades.select("ticker", "side", each.alias("each"), F.sum(q).over(w).cast(_EXACT).alias("hi"), q.alias("q")).withColumn("lo", (F.col("hi") - F.col("q")).cast(_EXACT)).drop("q")
 
 
-def realized_long_only(trades: DataFrame, bucket: float = 1000.0) -> DataFrame:
-    """Realized profit where sells never exceed what was bought before: quantities as intervals.
+def realized(trades: DataFrame, bucket: float = 1000.0) -> DataFrame:
+    """Realized profit of each ticker with any: the k-th unit bought meets the k-th unit sold.
 
-    Buys and sells each cover a stretch of the cumulative quantity; the overlap of a
-    sell with a buy is what it closes. Stretches are cut at multiples of ``bucket``,
-    so the join is by equality and meets near stretches alone; overlaps within the
-    buckets add up to the whole.
+    That is what first-in-first-out matching does, whichever of the two came first, so
+    shorts and flips need no fold. Stretches are cut at multiples of ``bucket``: the
+    join is by equality and meets near stretches alone; overlaps within the buckets
+    add up to the whole.
     """
-    w = Window.partitionBy("ticker", "side").orderBy("trade_date", "id").rowsBetween(Window.unboundedPreceding, 0)
-    run = trades.withColumn("hi", F.sum("quantity").over(w)).withColumn("lo", F.col("hi") - F.col("quantity"))
-    each = F.when(F.col("side") == "buy", F.col("price") + F.col("fee") / F.col("quantity")).otherwise(F.col("price") - F.col("fee") / F.col("quantity"))
-    run = run.withColumn("each", each).withColumn("k", F.explode(F.sequence(F.floor(F.col("lo") / bucket), F.floor(F.col("hi") / bucket))))
-    run = run.withColumns({"lo": F.greatest("lo", F.col("k") * bucket), "hi": F.least("hi", (F.col("k") + 1) * bucket)}).where("lo < hi")
+    size = F.lit(bucket).cast(_EXACT)
+    run = _stretches(trades).withColumn("k", F.explode(F.sequence(F.floor(F.col("lo") / bucket), F.floor(F.col("hi") / bucket))))
+    floor, ceiling = (F.col("k").cast("decimal(20,0)") * size).cast(_EXACT), ((F.col("k") + 1).cast("decimal(20,0)") * size).cast(_EXACT)
+    run = run.withColumns({"lo": F.greatest("lo", floor), "hi": F.least("hi", ceiling)}).where("lo < hi")
     b = run.where("side = 'buy'").select("ticker", "k", F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.col("each").alias("cost"))
-    s = run.where("side = 'sell'").select("ticker", "k", "lo", "hi", "each")
+    s = run.where("side <> 'buy'").select("ticker", "k", "lo", "hi", "each")
     met = s.join(b, ["ticker", "k"]).where((F.col("lo") < F.col("bhi")) & (F.col("blo") < F.col("hi")))
-    closed = F.least("hi", "bhi") - F.greatest("lo", "blo")
+    closed = (F.least("hi", "bhi") - F.greatest("lo", "blo")).cast("double")
     return met.groupBy("ticker").agg(F.sum(closed * (F.col("each") - F.col("cost"))).alias("realized"))
 
 
+def fifo(trades: DataFrame) -> DataFrame:
+    """Net position of each ticker: what one side has over the other's total is what is held, at its own prices."""
+    run = _stretches(trades)
+    top = lambda side: F.coalesce(F.max(F.when((F.col("side") == "buy") == (side == "buy"), F.col("hi"))), F.lit(0).cast(_EXACT))
+    totals = run.groupBy("ticker").agg(top("buy").alias("bought"), top("sell").alias("sold"))
+    buys = F.col("side") == "buy"
+    left = F.greatest(F.col("hi") - F.greatest(F.col("lo"), F.when(buys, F.col("sold")).otherwise(F.col("bought"))), F.lit(0).cast(_EXACT)).cast("double")
+    lots = run.join(totals, "ticker").groupBy("ticker").agg(F.max(F.col("bought") - F.col("sold")).cast("double").alias("quantity"), F.sum(F.when(buys, left).otherwise(-left) * F.col("each")).alias("cost_basis"))
+    held = lots.join(realized(trades), "ticker", "left").withColumn("avg_cost", F.when(F.col("quantity") != 0, F.col("cost_basis") / F.col("quantity")).otherwise(0.0))
+    return held.select("ticker", "quantity", "avg_cost", "cost_basis", F.coalesce("realized", F.lit(0.0)).alias("realized"))
+
+
 def net_quantities(trades: DataFrame) -> DataFrame:
     """Signed quantity of each ticker and its first trade."""
     signed = F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))

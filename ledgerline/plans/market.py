@@ -187,7 +187,7 @@ _FIFO = f"with {_LONG}, r as (select *, sum(quantity) over (partition by ticker,
 
 @query(_FIFO)
 def fifo_long_only(spark, sf):
-    return portfolio.realized_long_only(_long_trades(spark, sf)).withColumn("realized", F.col("realized").cast("decimal(38,2)").cast("double"))
+    return portfolio.realized(_long_trades(spark, sf)).withColumn("realized", F.col("realized").cast("decimal(38,2)").cast("double"))
 
 
 @query(_FIFO)

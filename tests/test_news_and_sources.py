@@ -26,6 +26,29 @@ def test_same_url_merges_only_across_sources():
     assert cluster.fold([("a", "u", words[0]), ("a", "u", words[1])], 0.7, same_source_urls=True) == [0, 0]
 
 
+def test_components_fold_like_whole_groups(spark):
+    import random
+
+    r = random.Random(3)
+    rows = []
+    for i in range(400):
+        words = r.sample([f"w{k}" for k in range(40)], r.randrange(0, 7))
+        rows.append((i * 3 % 1201, r.choice("abc"), r.choice(["", "", f"u{r.randrange(60)}", None]), words if i % 50 else None, r.choice(["x", "y", None])))
+    df = spark.createDataFrame(rows, "id long, source string, url string, words array<string>, category string")
+    for threshold, same in ((0.7, False), (0.5, True)):
+        want = {}
+        for g in ("x", "y", None):
+            mine = sorted(x for x in rows if x[4] == g)
+            found = cluster.fold([(s, u, sorted(w or [])) for _, s, u, w, _ in mine], threshold, same)
+            want |= {x[0]: mine[k][0] for x, k in zip(mine, found, strict=True)}
+        got = {x.id: x.story_id for x in cluster.cluster(df, "category", threshold, same).collect()}
+        assert got == want
+    pairs = {(x.a, x.b) for x in cluster.similar_pairs(df, "category", 0.6).collect()}
+    sets = {x[0]: (set(x[3] or []), x[4]) for x in rows}
+    brute = {(a, b) for a, (p, g) in sets.items() for b, (q, h) in sets.items() if a < b and g == h and g and min(len(p), len(q)) > 1 and len(p & q) / min(len(p), len(q)) >= 0.6}
+    assert {p for p in pairs if sets[p[0]][1]} == brute
+
+
 def test_an_item_joins_the_first_cluster_with_a_match():
     a, b = ["a1", "a2", "a3"], ["b1", "b2", "b3"]
     assert cluster.fold([("s", "", a), ("t", "", b), ("u", "", ["a1", "a2", "b1", "b2"]), ("v", "", b)], 0.6) == [0, 1, 0, 0]

@@ -104,6 +104,24 @@ def test_fifo(spark, rows, quantity, realized, avg):
     assert (got.quantity, got.realized, got.avg_cost) == (quantity, realized, avg)
 
 
+def test_positions_are_those_of_the_fold(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(i, f"T{r.randrange(4)}", date(2024, 1, 1) + timedelta(r.randrange(300)), r.choice(["buy", "sell"]), r.choice([1.5, 20.0, 300.0, 2500.0, 0.25]), float(r.randrange(1, 90)), r.choice([0.0, 1.25])) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, ticker string, trade_date date, side string, quantity double, price double, fee double")
+    for got in portfolio.fifo(df).collect():
+        mine = sorted((x for x in rows if x[1] == got.ticker), key=lambda x: (x[2], x[0]))
+        quantity, avg, basis, realized = portfolio.match([x[3:] for x in mine])
+        assert got.quantity == pytest.approx(quantity) and got.cost_basis == pytest.approx(basis) and got.realized == pytest.approx(realized) and got.avg_cost == pytest.approx(avg)
+
+
+def test_wilder_in_blocks(spark):
+    df = frame(spark, QUIET).unionByName(frame(spark, QUIET[:20], "U")).withColumn("tr", Bars().true_range())
+    whole, blocks = (sorted(map(str, wilder_atr(df, Bars(), block=b).collect())) for b in (10_000, 4))
+    assert whole == blocks and len(whole) == len(QUIET) + 20
+
+
 def test_sector(spark):
     members = spark.createDataFrame([("s", t) for t in "abcd"] + [("few", "x"), ("few", "y")], "sector string, ticker string")
     returns = spark.createDataFrame([("a", 10.0), ("b", 2.0), ("c", 1.0), ("x", 1.0)], "ticker string, ret double")
