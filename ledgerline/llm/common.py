@@ -2,63 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import staging_path, stash  # noqa: F401  (the operators here take them from this module)
+
 #: ASCII white space, the word separators of every word-based operator here.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_STAGED: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set and the driver is the only machine."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="ledgerline-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def staging_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/ledgerline/{label}-{uuid.uuid4().hex}"
-    _STAGED.append((spark, path))
-    return path
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = staging_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def purge(spark: SparkSession | None = None) -> None:
-    """Delete the staging tables; frames that still read them must be written before."""
-    for owner, path in list(_STAGED):
-        if spark is not None and owner is not spark:
-            continue
-        _STAGED.remove((owner, path))
-        try:
-            jvm, conf = owner._jvm, owner._jsc.hadoopConfiguration()
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-        except Exception:  # the session may be gone at exit
-            return
-
-
-atexit.register(purge)
-
 
 def trim_memory() -> None:
     """Give freed memory back to the system at the end of a Python task: workers stay, and share the executor's limit."""

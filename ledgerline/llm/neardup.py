@@ -32,8 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import components
 from .common import fresh_name, stash, trim_memory
-from .components import components
 from .simhash import BLOCK, buckets, close_pairs, dealt
 
 WIDTH = 5  # words in a shingle

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import components
 from .common import fresh_name, stash, trim_memory
-from .components import components
 
 WIDTH = 4  # words in a shingle
 SEED = 42

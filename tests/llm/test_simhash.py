@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ledgerline.llm import simhash
-from ledgerline.llm.components import components
+from ledgerline.operators.graph import components
 
 
 def brute_print(text):
