@@ -43,3 +43,9 @@ def money(x: Column) -> Column:
 
 def direction(delta: Column) -> Column:
     return F.when(delta > 0, "up").when(delta < 0, "down").when(delta == 0, "flat").otherwise("none")
+
+
+def text_colour(background: Column, dark: str, light: str) -> Column:
+    """The readable of two text colours on a background ``#rrggbb``: the dark one where its luminance is over 150."""
+    part = lambda at: F.conv(F.substring(background, at, 2), 16, 10).cast("int")
+    return F.when(0.299 * part(2) + 0.587 * part(4) + 0.114 * part(6) > 150, dark).otherwise(light)

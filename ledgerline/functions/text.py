@@ -33,32 +33,81 @@ def normal_keyword(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^0-9a-z一-鿿]+", " "))
 
 
-@F.pandas_udf(T.StringType())
-def normal_title(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _icu(cls: str, method: str, text: Column) -> Column:
+    """A text through a static ICU function of (text, true), in the JVM; null stays null."""
+    return F.when(text.isNotNull(), F.java_method(F.lit(f"com.ibm.icu.{cls}"), F.lit(method), F.coalesce(text, F.lit("")), F.lit(True)))
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding: unlike lower case, ``ß`` is ``ss``."""
+    return _icu("lang.UCharacter", "foldCase", text)
+
+
+def _collapsed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]+", " "))
+
+
+def _combining() -> str:
+    """A class of all characters with a combining class, as the Unicode database has them."""
+    marks = [c for c in range(0x110000) if unicodedata.combining(chr(c))]
+    starts = [c for c in marks if not unicodedata.combining(chr(c - 1))]
+    ends = [c for c in marks if not unicodedata.combining(chr(c + 1))]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in zip(starts, ends, strict=True)) + "]"
+
+
+def normal_title(text: Column) -> Column:
     """NFKC, case-folded, white space collapsed (feeds)."""
-    for s in parts:
-        yield s.map(lambda x: " ".join(unicodedata.normalize("NFKC", x).casefold().split()), na_action="ignore")
+    return _collapsed(casefold(_icu("text.Normalizer", "compose", text)))
 
 
-@F.pandas_udf(T.StringType())
-def plain_title(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def plain_title(text: Column) -> Column:
     """NFKD without marks, case-folded, white space collapsed (company news)."""
+    return _collapsed(casefold(F.regexp_replace(_icu("text.Normalizer", "decompose", text), COMBINING, "")))
 
-    def plain(x: str) -> str:
-        bare = "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
-        return " ".join(bare.casefold().split())
 
-    for s in parts:
-        yield s.map(plain, na_action="ignore")
+COMBINING = _combining()
 
 
 @F.pandas_udf(T.StringType())
-def unescaped(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """HTML entities resolved."""
+def _unescaped(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
         yield s.map(html.unescape, na_action="ignore")
 
 
+def unescaped(text: Column) -> Column:
+    """HTML entities resolved; only texts with an ampersand leave the JVM."""
+    return F.coalesce(_unescaped(F.when(F.contains(text, F.lit("&")), text)), text)
+
+
+@F.pandas_udf(T.StringType())
+def _charsets(content: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def one(raw: bytes | None, stated: str | None) -> str | None:
+        if raw is None:
+            return None
+        for charset in (stated, *CHARSETS):
+            try:
+                return raw.decode(charset)
+            except (UnicodeDecodeError, LookupError, TypeError):  # wrong, unknown or not stated
+                continue
+        return raw.decode("utf-8", errors="replace")
+
+    for raw, stated in content:
+        yield pd.Series([one(r, c) for r, c in zip(raw, stated, strict=True)], dtype=object)
+
+
+# The charsets tried after the stated one, in this order.
+CHARSETS = ("utf-8", "big5", "gb18030")
+
+
+def decoded(content: Column, charset: Column) -> Column:
+    """Bytes as text: by the stated charset, else the first of CHARSETS that fits, else UTF-8 with marks for what it lacks.
+
+    Valid UTF-8 that is said to be so, or of which nothing is said, stays in the JVM.
+    """
+    plain = F.is_valid_utf8(content.cast("string")) & F.upper(F.coalesce(charset, F.lit(""))).isin("UTF-8", "UTF8", "")
+    return F.when(plain, content.cast("string")).otherwise(_charsets(F.when(~plain, content), charset))
+
+
 def ascii_title(text: Column) -> Column:
     """The normal title of ASCII text, in the JVM."""
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import dedupe_key
+from ..functions.text import casefold, dedupe_key
 
 KINDS = ("channel", "time_window", "date_window", "location", "min_spend", "payment_method", "other")
 ADVISORY = ("min_spend", "payment_method", "other")
@@ -39,8 +39,8 @@ def verdict(condition: Column, at: Column, channel: Column, location: Column) ->
     from_day, to_day = F.try_to_date(params["from"]), F.try_to_date(params["to"])
     by_date = F.when(F.coalesce(today < from_day, F.lit(False)) | F.coalesce(today > to_day, F.lit(False)), "FAIL").otherwise("PASS")
     places = F.array_compact(F.concat(F.coalesce(json_list(params["branches"]), F.array().cast("array<string>")), F.array(params["region"])))
-    needle = F.lower(F.trim(location))
-    near = F.exists(places, lambda p: F.contains(F.lower(p), needle) | F.contains(needle, F.lower(p)))
+    needle = casefold(F.trim(location))
+    near = F.exists(places, lambda p: F.contains(casefold(p), needle) | F.contains(needle, casefold(p)))
     by_place = F.when(location.isNull() | (needle == "") | (F.size(places) == 0), "UNKNOWN").when(near, "PASS").otherwise("FAIL")
     kind = condition["kind"]
     return F.when(kind == "channel", by_channel).when(kind == "time_window", by_time).when(kind == "date_window", by_date).when(kind == "location", by_place).otherwise("UNKNOWN")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,11 +124,18 @@ class Versioned:
 
     def folders(self, version: int) -> list[str]:
         """What a version consists of; the last one is what it added."""
+        return self._entry(version)["folders"]
+
+    def applied(self) -> list[str]:
+        """The names of the migrations that the table has been through."""
+        return self._entry(self.version())["applied"]
+
+    def _entry(self, version: int) -> dict:
         if not version:
-            return []
+            return {"folders": [], "applied": []}
         stream = self._fs.open(self._hadoop.Path(self._log, str(version)))
         try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["folders"]
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
@@ -154,15 +162,29 @@ class Versioned:
         before = self.folders(v)
         return self._publish(v + 1, [*before, self._write(rows, v + 1)])
 
+    def migrate(self, steps: dict[str, Callable[[DataFrame], DataFrame]]) -> list[str]:
+        """Run the steps that the table has not been through, by name; their names.
+
+        A step's rows and its name are one entry of the log: a step that fails leaves
+        neither, and running all again does nothing.
+        """
+        done = []
+        for name in sorted(set(steps) - set(self.applied())):
+            v = self.version()
+            self._publish(v + 1, [self._write(steps[name](self.read(v)), v + 1)], [*self.applied(), name])
+            done.append(name)
+        return done
+
     def _write(self, rows: DataFrame, version: int) -> str:
         folder = f"v{version}-{uuid.uuid4().hex[:12]}"
         rows.write.mode("error").parquet(f"{self.path}/{folder}")
         return folder
 
-    def _publish(self, version: int, folders: list[str]) -> int:
+    def _publish(self, version: int, folders: list[str], applied: list[str] | None = None) -> int:
+        applied = self._entry(version - 1)["applied"] if applied is None else applied
         entry, fresh = self._hadoop.Path(self._log, str(version)), self._hadoop.Path(self._log, f".{uuid.uuid4().hex}")
         out = self._fs.create(fresh, True)
-        out.write(bytearray(json.dumps({"folders": folders}).encode()))
+        out.write(bytearray(json.dumps({"folders": folders, "applied": applied}).encode()))
         out.close()
         jvm = self.spark._jvm
         rename = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from ..functions.text import canonical_feed_url, clean_text
+from ..functions.text import canonical_feed_url, clean_text, decoded  # noqa: F401  (pages are decoded before they are read)
 
 DETAIL_CHARS = 4000
 MAX_ITEMS = 40  # of a page, where its source says nothing else
@@ -161,15 +161,35 @@ def _finished(items: DataFrame) -> DataFrame:
     return items.withColumns({"title": clean_text(F.col("title")), "summary": clean_text(F.col("summary")), "url": canonical_feed_url(absolute)}).where("title is not null").drop("link", "page_url")
 
 
+_ITEM = "struct<title:array<string>,link:array<struct<_VALUE:string,_href:string>>,description:array<string>,summary:array<string>,content:array<string>,encoded:array<string>,pubDate:array<string>,published:array<string>,updated:array<string>,date:array<string>>"
+_FEED = f"channel struct<item:array<{_ITEM}>>, item array<{_ITEM}>, entry array<{_ITEM}>, _corrupt_record string"
+
+
+def _feed(body: Column) -> Column:
+    return F.from_xml(body, _FEED, {"ignoreNamespace": "true", "attributePrefix": "_", "valueTag": "_VALUE"})
+
+
 def feed_items(pages: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
-    """Items of RSS or Atom bodies, namespaces dropped, in the JVM by XPath."""
-    plain = F.regexp_replace(F.regexp_replace("body", r"\sxmlns(:\w+)?=(\"[^\"]*\"|'[^']*')", ""), r"<(/?)\w+:(\w+)", "<$1$2")
-    entries = F.regexp_extract_all(plain, F.lit(r"(?is)<(item|entry)\b.*?</\1\s*>"), F.lit(0))
-    each = pages.select("source", F.col("url").alias("page_url"), F.posexplode(F.slice(entries, 1, max_items)).alias("position", "x"))
-    text = lambda *tags: F.coalesce(*[F.nullif(F.trim(F.regexp_replace(F.regexp_extract("x", rf"(?is)<{t}\b[^>]*>(.*?)</{t}\s*>", 1), r"(?s)^\s*<!\[CDATA\[(.*)\]\]>\s*$", "$1")), F.lit("")) for t in tags])
-    href = F.nullif(F.regexp_extract("x", r"(?is)<link\b[^>]*\bhref=[\"']([^\"']+)", 1), F.lit(""))
-    summary = F.regexp_replace(F.replace(F.replace(text("description", "summary", "content", "encoded"), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), r"(?s)<[^>]+>", " ")
-    return _finished(each.select("source", "page_url", "position", text("title").alias("title"), F.coalesce(href, text("link")).alias("link"), summary.alias("summary"), text("pubDate", "published", "updated", "date").alias("date_text")))
+    """Items of RSS, RDF or Atom bodies, parsed as XML in the JVM, namespaces dropped.
+
+    Of several tags of one meaning the first in this order counts: description,
+    summary, content, encoded; pubDate, published, updated, date. A body that is no
+    XML has no items (``broken_feeds`` tells which).
+    """
+    parsed = pages.withColumn("feed", _feed(F.col("body")))
+    none = F.array().cast(f"array<{_ITEM}>")
+    entries = F.concat(*[F.coalesce(c, none) for c in ("feed.channel.item", "feed.item", "feed.entry")])
+    each = parsed.select("source", F.col("url").alias("page_url"), F.posexplode(F.slice(entries, 1, max_items)).alias("position", "x"))
+    bare = lambda c: F.trim(F.regexp_replace(c, r"(?s)<[^>]+>", " "))
+    first = lambda *tags: F.coalesce(*[F.nullif(bare(F.get(f"x.{t}", F.lit(0))), F.lit("")) for t in tags])
+    head = F.get("x.link", F.lit(0))
+    link = F.coalesce(F.nullif(head["_href"], F.lit("")), F.nullif(F.trim(head["_VALUE"]), F.lit("")))
+    return _finished(each.select("source", "page_url", "position", first("title").alias("title"), link.alias("link"), first("description", "summary", "content", "encoded").alias("summary"), first("pubDate", "published", "updated", "date").alias("date_text")))
+
+
+def broken_feeds(pages: DataFrame) -> DataFrame:
+    """source and url of bodies that are no XML: their source failed, though it was fetched."""
+    return pages.where(F.col("body").isNull() | _feed(F.col("body"))["_corrupt_record"].isNotNull()).select("source", "url", F.lit("not XML").alias("problem"))
 
 
 def pattern_items(pages: DataFrame, pattern: str, groups: dict[str, int], max_items: int = MAX_ITEMS) -> DataFrame:
@@ -190,13 +210,6 @@ def readable_text(html: Column, limit: int = DETAIL_CHARS) -> Column:
     return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, limit)
 
 
-def decoded(content: Column, charset: Column) -> Column:
-    """Bytes as text: the stated charset, else UTF-8 if valid, else Latin-1."""
-    stated = F.upper(F.coalesce(charset, F.lit("")))
-    latin = F.decode(content, "ISO-8859-1")
-    return F.when(stated.isin("UTF-8", "UTF8", "") & F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(latin)
-
-
 PDF = r"stat(\d{4})(\d{2})\.pdf"
 LABEL = r"(\d{4})年(\d{1,2})月"
 

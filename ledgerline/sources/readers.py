@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_quarter, vendor_time
 from ..functions.numbers import vendor_number, whole_number
+from ..functions.text import decoded
 
 QUARTERS = "quarter string, land_ready string, being_built string, built_not_sold string, total string"
 RUNS = "at timestamp, status string, quarter string, pending int, overdue boolean, consecutive_failures int"
@@ -176,3 +177,46 @@ def corporate_calendar(payloads: DataFrame) -> DataFrame:
 def chart_frame(rows: DataFrame) -> DataFrame:
     """Bars in the columns that a chart wants, oldest first."""
     return rows.select(F.col("day").alias("Date"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), F.col("close").alias("Close"), F.col("volume").alias("Volume")).orderBy("Date")
+
+
+LANDED = "url string, attempt int, status int, charset string, etag string, last_modified string, body binary, fetched_at timestamp"
+
+
+def landed(spark: SparkSession, path: str) -> DataFrame:
+    """Responses that a fetcher left in a landing folder, one JSON line for each attempt (the body in base 64)."""
+    schema = LANDED.replace("body binary", "body string")
+    return spark.read.schema(schema).json(path, mode="DROPMALFORMED").withColumn("body", F.unbase64("body"))
+
+
+def conditional_responses(attempts: DataFrame, known: DataFrame, retries: int = 2) -> DataFrame:
+    """What each address gave: fresh text, unchanged, or a failure and why.
+
+    ``attempts`` as ``landed`` has them, ``known`` (url, etag, last_modified) what was
+    sent along. Only a server's error (500 and over, or no status) is tried again, up
+    to ``retries`` times more: the first other answer counts. Unchanged addresses keep
+    their validators, fresh ones have those of the answer.
+    """
+    again = F.coalesce(F.col("status"), F.lit(500)) >= 500
+    answer = F.struct(again.alias("again"), "attempt", "status", "charset", "etag", "last_modified", "body", "fetched_at")
+    last = attempts.where(F.col("attempt") <= retries).groupBy("url").agg(F.min(answer).alias("first"), F.max(F.when(again, answer)).alias("failed"))
+    a = F.when(F.col("first.again"), F.col("failed")).otherwise(F.col("first"))
+    picked = last.select("url", a.alias("a")).join(known.select("url", F.col("etag").alias("had_etag"), F.col("last_modified").alias("had_modified")), "url", "left")
+    outcome = F.when(F.col("a.status") == 304, "unchanged").when(F.col("a.status").between(200, 299), "fresh").otherwise("failed")
+    kept = outcome == "unchanged"
+    return picked.select(
+        "url", outcome.alias("outcome"), F.when(outcome == "fresh", decoded(F.col("a.body"), F.col("a.charset"))).alias("text"),
+        F.when(kept, F.col("had_etag")).otherwise(F.col("a.etag")).alias("etag"), F.when(kept, F.col("had_modified")).otherwise(F.col("a.last_modified")).alias("last_modified"),
+        F.when(outcome == "failed", F.concat(F.lit("HTTP "), F.coalesce(F.col("a.status").cast("string"), F.lit("none")), F.lit(" after "), (F.col("a.attempt") + 1).cast("string"), F.lit(" attempts"))).alias("problem"), F.col("a.fetched_at").alias("fetched_at"),
+    )
+
+
+def documents_checked(spark: SparkSession, path: str) -> DataFrame:
+    """Landed PDF files by their first bytes: path, length, and whether each is one."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", "length", (F.substring("content", 1, 4) == F.lit(b"%PDF")).alias("is_pdf"))
+
+
+def stale_files(spark: SparkSession, path: str, now: Column, days: int, pattern: str = "*.png") -> DataFrame:
+    """Files of a folder (not of those under it) last changed more than ``days`` before ``now``: a retention sweep's list. Contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length", F.col("modificationTime").alias("modified_at"))
+    return files.where(F.col("modified_at") < now - F.make_dt_interval(days=F.lit(days)))

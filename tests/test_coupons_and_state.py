@@ -119,6 +119,20 @@ def test_writers_do_not_replace_each_other(spark, tmp_path):
     assert not [p for p in (tmp_path / "t" / "_log").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
 
 
+def test_migrations_run_once(spark, tmp_path):
+    import pytest
+
+    table = state.Versioned(spark, str(tmp_path / "t"), "k long, v string")
+    table.commit(spark.createDataFrame([(1, None)], "k long, v string"))
+    steps = {"0002_twice": lambda d: d.withColumn("k", F.col("k") * 10), "0001_fill": lambda d: d.withColumn("v", F.coalesce("v", F.lit("none")))}
+    assert table.migrate(steps) == ["0001_fill", "0002_twice"] and table.migrate(steps) == []
+    table.append(spark.createDataFrame([(2, "x")], "k long, v string"))
+    assert table.applied() == ["0001_fill", "0002_twice"] and sorted(map(tuple, table.read().collect())) == [(2, "x"), (10, "none")]
+    with pytest.raises(Exception, match="nowhere"):
+        table.migrate(steps | {"0003_bad": lambda d: d.select("nowhere")})
+    assert table.applied() == ["0001_fill", "0002_twice"]
+
+
 def test_compaction(spark):
     log = spark.range(401).withColumnRenamed("id", "at")
     assert state.compact(log, "at").count() == 200 and state.compact(log.where("at < 400"), "at").count() == 400

@@ -119,7 +119,70 @@ def test_extraction(spark):
 def test_readable_and_decoded(spark):
     df = spark.createDataFrame([(HTML, bytearray("é".encode()), "utf-8"), (None, bytearray("é".encode("latin-1")), None)], "h string, b binary, c string")
     got = df.select(extract.readable_text(F.col("h")).alias("t"), extract.decoded(F.col("b"), F.col("c")).alias("d")).collect()
-    assert "nav" not in got[0].t and "One&nbsp;story today No link" in got[0].t and [g.d for g in got] == ["é", "é"]
+    assert "nav" not in got[0].t and "One&nbsp;story today No link" in got[0].t and [g.d for g in got] == ["é", "\ufffd"]
+    tried = [("香港".encode("big5"), None), ("价格".encode("gb18030"), "gb2312"), ("é".encode("latin-1"), "iso-8859-1"), (b"plain", "no-such-charset"), (None, None), ("日本".encode("shift_jis"), "utf-8")]
+    df = spark.createDataFrame([(k, None if b is None else bytearray(b), c) for k, (b, c) in enumerate(tried)], "k int, b binary, c string")
+    texts = [r.d for r in df.select("k", extract.decoded(F.col("b"), F.col("c")).alias("d")).orderBy("k").collect()]
+    assert texts[:5] == ["香港", "价格", "é", "plain", None]
+
+
+FEEDS = [
+    """<?xml version="1.0"?><!-- <item>no</item> --><rss xmlns:content="http://x" xmlns:dc="http://d"><channel><title>t</title><item><title><![CDATA[A </item> & b]]></title><link>/1</link><description>x &lt;b&gt;bold&lt;/b&gt;</description><pubDate>Mon</pubDate></item><item><title>B xmlns="q" dc:x</title><dc:date>2020</dc:date><content:encoded><![CDATA[<p>hi</p>]]></content:encoded></item><item><link>/untitled</link></item></channel></rss>""",
+    """<feed xmlns="http://www.w3.org/2005/Atom"><title>f</title><entry><title type="html">T1</title><link href="http://b.example/1"/><published>P</published><content type="xhtml"><div>yo <b>there</b></div></content></entry></feed>""",
+    """<rdf:RDF xmlns:rdf="r" xmlns="x"><channel><title>q</title></channel><item><title>R1</title><link>http://c.example/1</link></item></rdf:RDF>""",
+    "<rss><item>", "not xml", None,
+]
+
+
+def test_feeds_are_parsed_as_xml(spark):
+    pages = spark.createDataFrame([(str(k), "https://h.example/p", b) for k, b in enumerate(FEEDS)], "source string, url string, body string")
+    got = {(r.source, r.title): (r.url, r.summary, r.date_text) for r in extract.feed_items(pages).collect()}
+    assert got == {
+        ("0", "A </item> & b".replace("</item> ", " ").replace("  ", " ")): ("https://h.example/1", "x bold", "Mon"), ("0", 'B xmlns="q" dc:x'): ("https://h.example/p", "hi", "2020"),
+        ("1", "T1"): ("http://b.example/1", "yo there", "P"), ("2", "R1"): ("http://c.example/1", None, None),
+    }
+    assert sorted(r.source for r in extract.broken_feeds(pages).collect()) == ["3", "4", "5"]
+
+
+def test_landed_responses(spark, tmp_path):
+    import base64
+    import json
+
+    row = lambda url, attempt, status, body=b"", **more: json.dumps({"url": url, "attempt": attempt, "status": status, "body": base64.b64encode(body).decode(), **more})
+    lines = [row("a", 0, 503), row("a", 1, 200, "新聞".encode("big5"), etag="n"), row("b", 0, 304), row("c", 0, 404), row("c", 1, 200, b"never asked"), row("d", 0, 500), row("d", 1, None), row("d", 2, 502), "broken {"]
+    (tmp_path / "landed.jsonl").write_text("\n".join(lines))
+    known = spark.createDataFrame([("b", "old", "Mon"), ("a", "old", None)], "url string, etag string, last_modified string")
+    got = {r.url: r for r in readers.conditional_responses(readers.landed(spark, str(tmp_path)), known).collect()}
+    assert (got["a"].outcome, got["a"].text, got["a"].etag) == ("fresh", "新聞", "n")
+    assert (got["b"].outcome, got["b"].text, got["b"].etag, got["b"].last_modified) == ("unchanged", None, "old", "Mon")
+    assert got["c"].problem == "HTTP 404 after 1 attempts" and got["d"].problem == "HTTP 502 after 3 attempts"
+
+
+def test_files_by_age_and_magic(spark, tmp_path):
+    import os
+    from datetime import datetime
+
+    for name, body in (("a.png", b"x"), ("b.png", b"x"), ("c.pdf", b"%PDF-1.7"), ("d.pdf", b"<html>")):
+        (tmp_path / name).write_bytes(body)
+    os.utime(tmp_path / "a.png", (1_700_000_000, 1_700_000_000))
+    old = readers.stale_files(spark, str(tmp_path), F.lit(datetime(2023, 12, 1)).cast("timestamp"), 14)
+    assert [r.path.rsplit("/", 1)[1] for r in old.collect()] == ["a.png"]
+    kinds = {r.path.rsplit("/", 1)[1]: r.is_pdf for r in readers.documents_checked(spark, str(tmp_path)).collect()}
+    assert kinds["c.pdf"] and not kinds["d.pdf"]
+
+
+def test_normal_forms(spark):
+    import unicodedata
+
+    texts = ["Straße  ﬁne", "ÉCOLE\u3000Ⅷ", "İstanbul", "n\u0303o \u0345x", " a\u00a0b ", "हिन्दी", "", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = df.select("k", text.normal_title(F.col("t")).alias("n"), text.plain_title(F.col("t")).alias("p")).orderBy("k").collect()
+    for g, t in zip(got, texts, strict=True):
+        if t is None:
+            assert g.n is None and g.p is None
+            continue
+        bare = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+        assert (g.n, g.p) == (" ".join(unicodedata.normalize("NFKC", t).casefold().split()), " ".join(bare.casefold().split()))
 
 
 def test_publication(spark):
