@@ -7,11 +7,16 @@ the characters around it, scored by gradient-boosted trees, and added where its
 probability reaches its kind's threshold; of overlapping additions the likeliest
 stays.
 
-The trees are trained here, on a bounded sample of labelled rows made by rule
-(``SAMPLE``): written-out variants of personal data, and look-alikes (versions,
-dates, prices, order numbers, hashes). Half of the sample fits the trees; on the
-other half each kind's threshold is set to the smallest with the precision asked
-for. Trees become one SQL expression, so scoring stays in the JVM.
+Secrets (keys and tokens) have no strict pattern: they are proposed and scored alone,
+and listed apart.
+
+The trees are trained here, on a bounded sample of labelled rows (``SAMPLE``): by rule,
+written-out variants of personal data and look-alikes (versions, dates, prices, order
+numbers, prose with ``at``) are set between words of the documents themselves, taken
+from the first CONTEXT_CHARS characters of the CONTEXTS documents of smallest hash.
+Half of the sample fits the trees; on the other half each kind's threshold is set to
+the smallest with the precision asked for. Trees become one SQL expression, so scoring
+stays in the JVM. Apart from this sample every text is searched whole.
 
 Positions are code points, ends exclusive. They come from the pieces between
 matches: a split and an extraction by one pattern give alternating lengths.
@@ -34,6 +39,8 @@ from pyspark.sql import functions as F
 from .common import documents, fresh_name
 
 KINDS = ("email", "ip", "card", "phone")
+#: What the trees may add.
+ADDED = (*KINDS, "secret")
 
 #: The strict patterns. Possessive where nothing after could match otherwise.
 STRICT = {
@@ -48,25 +55,31 @@ WIDE = {
     "ip": r"(?<![0-9])[0-9]{1,3}(?: ?(?i:\.|\(\.\)|\[\.\]|\(dot\)|\[dot\]) ?[0-9]{1,3}){3}",
     "card": r"(?<![0-9])[0-9](?:[ ._/-]{0,2}[0-9]){12,18}",
     "phone": r"(?<![0-9])(?:\(?[0-9]{2,4}\)?[ .-]{1,2}){1,3}[0-9]{3,4}[ .-]?[0-9]{3,4}|(?<![0-9])00[0-9]{8,13}(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,40}[0-9])(?=[0-9_+/=-]{0,40}[A-Za-z])[A-Za-z0-9_+/=-]{16,}+",
 }
 #: What a text must hold for a kind's patterns to be tried at all.
 GATES = {"email": r"@|(?i:[(\[{ ](?:at|dot)[)\]} ])", "ip": r"[0-9]", "card": r"[0-9]", "phone": r"[0-9]"}
 #: The wide e-mail pattern is tried only where a mark that it accepts stands.
-WIDE_GATES = {"email": r"@|(?i:[(\[{](?:at|dot)[)\]}]| at | dot )", "ip": r"[0-9]", "card": r"[0-9]", "phone": r"[0-9]"}
+WIDE_GATES = {"email": r"@|(?i:[(\[{](?:at|dot)[)\]}]| at | dot )", "ip": r"[0-9]", "card": r"[0-9]", "phone": r"[0-9]", "secret": r"[0-9][A-Za-z]|[A-Za-z][0-9]"}
 #: Words that name a kind, looked for in the CONTEXT characters before a span.
 NAMED = {
     "email": r"(?i)mail|contact|write|reach",
     "ip": r"(?i)\bip\b|address|host|server|from",
     "card": r"(?i)card|visa|master|amex|credit|pay",
-    "phone": r"(?i)phone|call|tel|mobile|fax|cell|contact|whatsapp",
+    "phone": r"(?i)phone|call|tel|mobile|fax|cell|contact|whatsapp|number|ring|dial|reach|text",
+    "secret": r"(?i)token|secret|key|passw|pwd|auth|bearer|credential",
 }
+#: The end of an address, for a common top-level name.
+TLD = r"(?i)[.\s)\]}](?:com|org|net|edu|gov|info|biz|io|eu|uk|de|fr|es|it|nl|ch|at|jp|cn|hk)$"
 #: Words that speak against personal data.
 AGAINST = r"(?i)version|release|order|invoice|isbn|total|price|section|figure|page|build|serial|ticket|ref|part|id\b|no\.|#|\$|€"
 CONTEXT = 24
 
 #: Rows of the training sample, at most; half fits the trees, half sets thresholds.
-SAMPLE = 3000
-PRECISION = 0.995
+SAMPLE = 6000
+#: Documents whose words stand around the sample's spans, at most, and the characters taken of each.
+CONTEXTS, CONTEXT_CHARS = 300, 600
+PRECISION = 0.98
 SEED = 2
 
 
@@ -149,10 +162,10 @@ def features(kind: str, text: Column, span: Column) -> Column:
     digits = _digits(m)
     signs = F.regexp_extract_all(m, F.lit("[^A-Za-z0-9]+"), F.lit(0))
     groups = F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))
-    sure = {"card": luhn(digits), "ip": octets(m), "phone": F.length(digits).between(9, 13), "email": m.rlike(r"(?i:@|at).*(?i:\.|dot).*[A-Za-z]{2,}$")}[kind]
-    shape = {"card": F.when(F.forall(groups, lambda g: F.length(g) == 4), 2).when(F.size(groups) == 1, 1).otherwise(0), "phone": F.when(m.rlike(r"^\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}$"), 2).when(m.rlike("^00"), 1).otherwise(0), "ip": F.size(F.filter(groups, lambda g: F.length(g) > 1)), "email": F.size(F.regexp_extract_all(m, F.lit(r"[A-Za-z0-9-]+"), F.lit(0)))}[kind]
+    sure = {"card": luhn(digits), "ip": octets(m), "phone": F.length(digits).between(9, 13), "email": m.rlike(TLD), "secret": m.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$")}[kind]
+    shape = {"card": F.when(F.forall(groups, lambda g: F.length(g) == 4), 2).when(F.size(groups) == 1, 1).otherwise(0), "phone": F.when(m.rlike(r"^\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}$"), 2).when(m.rlike("^00"), 1).otherwise(0), "ip": F.size(F.filter(groups, lambda g: F.length(g) > 1)), "email": F.size(F.regexp_extract_all(m, F.lit(r"[A-Za-z0-9-]+"), F.lit(0))), "secret": m.rlike("[a-z]").cast("int") + m.rlike("[A-Z]").cast("int") + m.rlike("[_+/=-]").cast("int")}[kind]
     values = {
-        "kind": F.lit(KINDS.index(kind)),
+        "kind": F.lit(ADDED.index(kind)),
         "length": F.length(m),
         "digits": F.length(digits),
         "separators": F.size(signs),
@@ -250,92 +263,139 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, depth: int = 3, rate: fl
 
 
 def _luhn_digits(r: random.Random, n: int) -> str:
-    body = [r.randrange(10) for _ in range(n - 1)]
-    total = sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(reversed(body)))
-    return "".join(map(str, body)) + str(-total % 10)
+    body = "".join(str(r.randrange(10)) for _ in range(n - 1))
+    return body + str(-_luhn_sum(body + "0") % 10)
 
 
 def _grouped(digits: str, sign: str) -> str:
     return sign.join(digits[i : i + 4] for i in range(0, len(digits), 4))
 
 
-def sample(n: int = SAMPLE, seed: int = SEED) -> list[tuple[str, str, int]]:
-    """(kind, text, label) rows made by rule: at most ``n``."""
+def _valid_luhn(digits: str) -> bool:
+    return _luhn_sum(digits) % 10 == 0
+
+
+def _luhn_sum(digits: str) -> int:
+    return sum(int(d) if k % 2 == 0 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(reversed(digits)))
+
+
+def contexts(docs: DataFrame, n: int = CONTEXTS, chars: int = CONTEXT_CHARS) -> list[str]:
+    """Words of at most ``n`` documents, those of the smallest hashes, in their order."""
+    some = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, chars).alias("t")).orderBy("h", "t").limit(n)
+    return [w for r in some.collect() for w in r.t.split()]
+
+
+def _email(r: random.Random, yes: int, word) -> tuple[str, str]:
+    end = r.choice(["com", "org", "net", "de", "co.uk", "io"])
+    name = word() + r.choice(["", "." + word(), str(r.randrange(10, 99)), "_" + word()])
+    if yes:
+        at, dot = r.choice([" at ", "(at)", "[at]", " [at] ", " (at) ", " AT ", "{at}", " @ ", "@"]), r.choice([" dot ", "[dot]", "(dot)", " (dot) ", " . ", " [dot] "])
+        return r.choice(["", "", "mail me: ", "contact ", "write to ", "e-mail "]), name + at + r.choice(["example", word()]) + dot + end
+    return "", r.choice([f"{word()} at {word()}.{word()}", f"{word()} at {word()} dot {word()} ing", f"{word()} (at) {word()}.", f"{word()} at {word()}. {word().title()}", f"{word()} at {word()}.  {word()}", f"{word()}@{word()}. {word().title()}", f"at {word()}. {word()}"])
+
+
+def _ip(r: random.Random, yes: int, word) -> tuple[str, str]:
+    four = [str(r.randint(1, 254)) for _ in range(4)]
+    if yes:
+        sign = r.choice(["[.]", "(.)", "[dot]", "(dot)", " . ", " [.] "])
+        return r.choice(["", "ip ", "host ", "server ", "from "]), r.choice([sign.join(four), ".".join(four[:3]) + sign + four[3]])
+    some = lambda a, b: str(r.randint(a, b))
+    return r.choice(["", "version ", "section ", "release "]), r.choice([".".join(some(0, 30) for _ in range(5)), ". ".join(some(1, 999) for _ in range(4)), f"{some(300, 999)}.{some(0, 999)}.{some(0, 999)}.{some(0, 999)}", f"{some(1, 9)}. {some(1, 99)}. {some(1, 99)}. {some(1, 99)}"])
+
+
+def _card(r: random.Random, yes: int, word) -> tuple[str, str]:
+    n = r.choice([13, 15, 16, 16, 16])
+    if yes:
+        d = _luhn_digits(r, n)
+        amex = f"{d[:4]} {d[4:10]} {d[10:]}" if n == 15 else d
+        span = r.choice([_grouped(d, "."), _grouped(d, "  "), _grouped(d, "/"), _grouped(d, "_"), amex if n < 16 else _grouped(d, " -")])
+        return r.choice(["card ", "visa ", "credit card ", "pay with ", "" if n == 16 else "amex "]), span
+    d = "".join(r.choice("0123456789") for _ in range(r.choice([13, 14, 15, 16, 17, 19])))
+    while _valid_luhn(d):
+        d = str(r.randrange(10 ** (len(d) - 1), 10 ** len(d)))
+    part = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    stamp = f"{r.randint(1990, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d} {r.randint(0, 23):02d}-{r.randint(0, 59):02d}-{r.randint(0, 59):02d}"
+    return r.choice(["", "order ", "invoice ", "serial ", "id ", "ref ", "isbn "]), r.choice([d, _grouped(d, "."), _grouped(d, " "), stamp, ".".join(part(3) for _ in range(5)), f"978-{part(1)}-{part(4)}-{part(4)}-{part(1)}"])
+
+
+def _phone(r: random.Random, yes: int, word) -> tuple[str, str]:
+    part = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    a, b, c = str(r.randint(201, 989)), part(3), part(4)
+    if yes:
+        span = r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"00{r.randint(1, 9)}{part(10)}", f"00{r.randint(20, 99)} {r.randint(20, 99)} {part(3)}{part(4)}", f"0{r.randint(20, 99)} {part(4)} {part(4)}"])
+        cue = r.choice(["call ", "phone ", "tel. ", "mobile: ", "fax ", "contact ", "my number is ", "ring ", "text me on ", "reach me: "])
+        return (r.choice(["", cue]) if span.startswith("(") else cue), span
+    stamp = f"{r.randint(1990, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}"
+    return r.choice(["", "", "price ", "order ", "total ", "part no. ", "id "]), r.choice([f"{stamp} {r.randint(1000, 9999)}", f"{part(2)}.{part(3)}.{part(3)}", f"{part(3)} {part(3)} {part(3)}", f"{part(2)}-{part(3)}-{part(4)}", f"{a}-{b}-{c}", f"{a} {b} {c}"])
+
+
+def _secret(r: random.Random, yes: int, word) -> tuple[str, str]:
+    pick = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
+    hexes, mixed = "0123456789abcdef", "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"
+    if yes:
+        span = r.choice([pick(hexes, r.choice([32, 40, 64])), pick(mixed, r.choice([20, 24, 32, 40])), r.choice(["sk-", "ghp_", "key-", "AKIA"]) + pick(mixed, r.choice([16, 24, 36])), pick(mixed + "+/", 43) + "="])
+        return r.choice(['token = "', "token: ", "api_key=", "secret ", "password: ", "Authorization: Bearer ", "key = '", "auth "]), span
+    return r.choice(["", "", "see ", "version ", "file ", "the "]), r.choice([f"{word()}-{word()}-{r.randint(1990, 2030)}-{word()}", f"{word()}_{word()}_{r.randint(1, 99)}_{word()}", f"{r.randint(1990, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}T{r.randint(10, 23)}", f"{word()}/{word()}/{r.randint(1, 999)}/{word()}", word() * 3 + str(r.randint(1, 99))])
+
+
+_MAKERS = {"email": _email, "ip": _ip, "card": _card, "phone": _phone, "secret": _secret}
+
+
+def sample(n: int = SAMPLE, seed: int = SEED, words: list[str] | None = None) -> list[tuple[str, str, int]]:
+    """(kind, text, label) rows made by rule, at most ``n``, between some of ``words`` (made-up ones without)."""
     r = random.Random(seed)
-    num = lambda a, b: r.randint(a, b)
-    word = lambda: "".join(r.choice("abcdefghilmnoprstuw") for _ in range(num(2, 9)))
-    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    made = lambda: "".join(r.choice("abcdefghilmnoprstuw") for _ in range(r.randint(2, 9)))
+    prose = [w for w in words or [] if not any(c.isdigit() for c in w)]
+    plain = [w for w in prose if w.isascii() and w.isalpha()]
+    word = lambda: r.choice(plain).lower() if plain and r.random() < 0.5 else made()
+
+    def run(k: int) -> str:
+        at = r.randrange(max(1, len(prose) - k))
+        return " ".join(prose[at : at + k]) if len(prose) > k else " ".join(made() for _ in range(k))
+
     rows: list[tuple[str, str, int]] = []
     while len(rows) < n:
-        kind, label = r.choice(KINDS), r.randrange(2)
-        cue, span = "", ""
-        if kind == "email":
-            host = r.choice(["example", word()]) + r.choice([" dot ", "[dot]", "(dot)", " (dot) "]) + r.choice(["com", "org", "net", "de"])
-            if label:
-                span, cue = word() + r.choice(["", "." + word(), digits(2)]) + r.choice([" at ", "(at)", "[at]", " [at] ", " (at) "]) + host, r.choice(["", "", "mail me: ", "contact ", "write to "])
-            else:
-                span = r.choice([f"{word()} at {word()}.{word()}", f"{word()} at {word()} dot {word()} ing", f"{word()} (at) {word()}.", f"{word()} at {word()}. {word()}", f"{word()}@{word()}. {word()}"])
-        elif kind == "ip":
-            four = [str(num(1, 254)) for _ in range(4)]
-            if label:
-                sign = r.choice(["[.]", "(.)", "[dot]", "(dot)"])
-                span, cue = r.choice([sign.join(four), ".".join(four[:3]) + sign + four[3]]), r.choice(["", "ip ", "host ", "server ", "from "])
-            else:
-                span = r.choice([".".join(str(num(0, 30)) for _ in range(5)), ". ".join(str(num(1, 999)) for _ in range(4)), f"{num(300, 999)}.{num(0, 999)}.{num(0, 999)}.{num(0, 999)}", f"{num(1, 9)}. {num(1, 99)}. {num(1, 99)}. {num(1, 99)}"])
-                cue = r.choice(["", "version ", "section ", "release "])
-        elif kind == "card":
-            if label:
-                d = _luhn_digits(r, r.choice([13, 15, 16, 16, 16]))
-                span, cue = r.choice([_grouped(d, "."), _grouped(d, "  "), _grouped(d, "/"), _grouped(d, "_"), d if len(d) < 16 else _grouped(d, " - "[:2])]), r.choice(["", "card ", "visa ", "credit card ", "pay with "])
-                if len(d) < 16:
-                    cue = cue or "card "
-            else:
-                d = digits(r.choice([13, 14, 15, 16, 17, 19]))
-                while int(d) % 7 == 0:
-                    d = digits(len(d))
-                span = r.choice([d, d, f"{num(1990, 2030)}-{num(1, 12):02d}-{num(1, 28):02d} {num(0, 23):02d}-{num(0, 59):02d}-{num(0, 59):02d}", f"{digits(3)}.{digits(3)}.{digits(3)}.{digits(3)}.{digits(3)}", f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}"])
-                cue = r.choice(["", "order ", "invoice ", "serial ", "id ", "ref ", "isbn "])
-        else:
-            if label:
-                a, b, c = digits(3), digits(3), digits(4)
-                span = r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{num(1, 9)}{digits(10)}", f"{a} {b} {c}"])
-                cue = r.choice(["call ", "phone ", "tel. ", "mobile: ", "fax ", "contact "]) if not span.startswith("(") else r.choice(["", "call ", "phone "])
-            else:
-                span = r.choice([f"{num(1990, 2030)}-{num(1, 12):02d}-{num(1, 28):02d} {num(1000, 9999)}", f"{num(10, 99)}.{num(100, 999)}.{num(100, 999)}", f"{num(10, 999)} {num(100, 999)} {num(100, 999)}", f"{num(10, 99)}-{num(100, 999)}-{num(1000, 9999)}", f"{digits(3)}-{digits(3)}-{digits(4)}"])
-                cue = r.choice(["", "", "price ", "order ", "total ", "part no. ", "id "])
-        lead = " ".join(word() for _ in range(num(2, 6)))
-        tail = " ".join(word() for _ in range(num(1, 4)))
+        kind, label = r.choice(ADDED), r.randrange(2)
+        cue, span = _MAKERS[kind](r, label, word)
         stick = r.choice([" "] * 9 + ["", "=", "x"]) if not label else r.choice([" ", " ", " ", ": ", "\n"])
-        rows.append((kind, f"{lead} {cue}".rstrip() + stick + span + r.choice([" ", " ", ". ", ", "] if label else [" ", ". ", "-", "x ", " "]) + tail, label))
+        if kind == "secret" and not cue.endswith(" "):
+            stick = ""
+        close = cue.strip()[-1:] if cue.strip()[-1:] in "\"'" else ""
+        lead = f"{run(r.randint(2, 6))} {cue}"
+        lead = lead if kind == "secret" and not stick else lead.rstrip()
+        rows.append((kind, lead + stick + span + close + r.choice([" ", " ", ". ", ", "] if label else [" ", ". ", "-", "x ", " "]) + run(r.randint(1, 4)), label))
     return rows
 
 
 _TRAINED: dict[tuple, Trees] = {}
 
 
-def train(spark: SparkSession, n: int = SAMPLE, seed: int = SEED, precision: float = PRECISION) -> Trees:
-    """Trees and thresholds from ``sample``; features come from the same SQL as in use."""
-    if (n, seed, precision) in _TRAINED:
-        return _TRAINED[n, seed, precision]
-    rows = sample(n, seed)
-    quoted = ",".join("(%d,'%s',r'%s',%d)" % (i, k, t.replace("'", ""), y) for i, (k, t, y) in enumerate(rows))
-    table = spark.sql(f"select * from values {quoted} as t(row, kind, text, label)")
+def train(spark: SparkSession, docs: DataFrame | None = None, n: int = SAMPLE, seed: int = SEED, precision: float = PRECISION) -> Trees:
+    """Trees and thresholds from ``sample`` between words of ``docs``; features come from the same SQL as in use."""
+    words = contexts(docs) if docs is not None else None
+    key = (n, seed, precision, tuple(words or ()))
+    if key in _TRAINED:
+        return _TRAINED[key]
+    rows = sample(n, seed, words)
+    table = spark.createDataFrame([(i, k, t, y) for i, (k, t, y) in enumerate(rows)], "row int, kind string, text string, label int")
     proposed = table.select("row", "label", "kind", F.explode(proposals(F.col("text"), [])).alias("s"))
-    own = F.get(F.array(*[F.lit(k) for k in KINDS]), F.col("s.k"))
+    own = F.get(F.array(*[F.lit(k) for k in ADDED]), F.col("s.k"))
     # A proposal of a kind that the row was not made for is not personal data of that kind.
-    found = [(r.row, r.own, r.label if r.own == r.kind else 0, [r.f[c] for c in FEATURES]) for r in proposed.select("row", own.alias("own"), "kind", "label", "s.f").collect()]
-    x, y = np.array([f for *_, f in found]), np.array([label for _, _, label, _ in found], float)
+    found = sorted((r.row, r.own, r.start, r.label if r.own == r.kind else 0, [r.f[c] for c in FEATURES]) for r in proposed.select("row", own.alias("own"), "kind", "label", "s.start", "s.f").collect())
+    x, y = np.array([f for *_, f in found]), np.array([label for *_, label, _ in found], float)
     half = np.array([row % 2 == 0 for row, *_ in found])
     model = fit(x[half], y[half])
     p = 1 / (1 + np.exp(-model.margin(x[~half])))
-    held, kinds = y[~half], np.array([k for _, k, _, _ in found])[~half]
-    for kind in KINDS:
+    held, kinds = y[~half], np.array([k for _, k, *_ in found])[~half]
+    for kind in ADDED:
         mine = np.flatnonzero(kinds == kind)
         order = mine[np.argsort(-p[mine], kind="stable")]
         right = np.cumsum(held[order]) / np.arange(1, len(order) + 1)
         good = np.flatnonzero(right >= precision)
         model.thresholds[kind] = float(max(0.5, p[order[good[-1]]])) if len(good) else 2.0
-    _TRAINED[n, seed, precision] = model
+    if len(_TRAINED) >= 8:
+        _TRAINED.clear()
+    _TRAINED[key] = model
     return model
 
 
@@ -345,7 +405,7 @@ def train(spark: SparkSession, n: int = SAMPLE, seed: int = SEED, precision: flo
 def proposals(text: Column, bases: list[str]) -> Column:
     """Wide matches of every kind that touch no base span: array of (k, start, end, f)."""
     found = []
-    for kind in KINDS:
+    for kind in ADDED:
         wide = spans(text, WIDE[kind], text.rlike(WIDE_GATES[kind]))
         found.append(F.transform(F.filter(wide, lambda s: _apart(s, bases)), _described(kind, text)))
     return F.concat(*found)
@@ -359,7 +419,7 @@ def _checked(kind: str):
 
 
 def _described(kind: str, text: Column):
-    return lambda s: F.struct(F.lit(KINDS.index(kind)).alias("k"), s["start"], s["end"], features(kind, text, s).alias("f"))
+    return lambda s: F.struct(F.lit(ADDED.index(kind)).alias("k"), s["start"], s["end"], features(kind, text, s).alias("f"))
 
 
 def _marked(kind: str):
@@ -397,10 +457,10 @@ def with_spans(df: DataFrame, text: str, model: Trees, prefix: str) -> DataFrame
     out = out.withColumns({f"{prefix}base_{k}": F.transform(F.filter(spans(st, STRICT[k], st.rlike(GATES[k])), _checked(k)), lambda s: F.struct(s["start"], s["end"])) for k in KINDS})
     out = out.withColumn(candidates, proposals(st, [f"{prefix}base_{k}" for k in KINDS]))
     out = out.withColumn(candidates, F.transform(candidates, lambda s: F.struct(s["k"], s["start"], s["end"], model.column(s["f"]).alias("p"))))
-    limits = F.array(*[F.lit(float(model.thresholds[k])) for k in KINDS])
+    limits = F.array(*[F.lit(float(model.thresholds[k])) for k in ADDED])
     out = out.withColumn(sure, F.filter(candidates, lambda s: s["p"] >= F.get(limits, s["k"])))
     out = out.withColumn(sure, F.filter(sure, lambda s: ~F.exists(F.col(sure), lambda o: _better(o, s))))
-    out = out.withColumns({f"{prefix}more_{k}": F.transform(F.filter(sure, _of_kind(n)), lambda s: F.struct(s["start"], s["end"])) for n, k in enumerate(KINDS)})
+    out = out.withColumns({f"{prefix}more_{k}": F.transform(F.filter(sure, _of_kind(n)), lambda s: F.struct(s["start"], s["end"])) for n, k in enumerate(ADDED)})
     return out.drop(searched, candidates, sure)
 
 
@@ -410,26 +470,29 @@ def _listed(arrays: list[tuple[str, Column]]) -> Column:
 
 
 def find(docs: DataFrame, model: Trees | None = None) -> DataFrame:
-    """doc_id, base counts, the base spans' digest, all spans, and counts of those added."""
-    model = model or train(docs.sparkSession)
+    """doc_id, base counts, the base spans' digest, all spans, counts of those added, and secrets apart."""
+    model = model or train(docs.sparkSession, docs)
     found = with_spans(documents(docs), "text", model, "_")
     base = [(k, F.col(f"_base_{k}")) for k in KINDS]
     every = [(k, F.concat(f"_base_{k}", f"_more_{k}")) for k in KINDS]
+    more = [F.size(f"_more_{k}").cast("long") for k in ADDED]
     return found.select(
         "doc_id",
         *[F.size(c).cast("long").alias(f"n_{k}") for k, c in base],
         F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(every).alias("spans"),
-        *[F.size(f"_more_{k}").cast("long").alias(f"n_more_{k}") for k in KINDS],
+        *[c.alias(f"n_more_{k}") for k, c in zip(KINDS, more, strict=False)],
+        more[-1].alias("n_secret"), _listed([("secret", F.col("_more_secret"))]).alias("secrets"),
+        sum([F.size(c).cast("long") for _, c in base], sum(more[1:], more[0])).alias("n_spans"),
     )
 
 
 def redact(docs: DataFrame, model: Trees | None = None, length: str | None = "n_chars") -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets; ``length`` is set anew where the table has it."""
-    model = model or train(docs.sparkSession)
+    model = model or train(docs.sparkSession, docs)
     prefix = fresh_name(docs, "pii_")
     found = with_spans(docs, "text", model, prefix)
-    spanned = F.flatten(F.array(*[F.transform(F.concat(f"{prefix}base_{k}", f"{prefix}more_{k}"), _marked(k)) for k in KINDS]))
+    spanned = F.flatten(F.array(*[F.transform(F.concat(f"{prefix}base_{k}", f"{prefix}more_{k}") if k in KINDS else F.col(f"{prefix}more_{k}"), _marked(k)) for k in ADDED]))
     ordered = F.array_sort(spanned)
     # Kinds may overlap (a phone number within a card's digits): the earlier span hides what it covers.
     step = lambda acc, s: F.struct(
