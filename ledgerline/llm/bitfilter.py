@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stash
+
 #: From 2**16 bits to 2**26, which are at most 1,048,576 rows of two longs (about 50 MB with their table).
 LEAST, MOST = 16, 26
 
@@ -38,3 +40,10 @@ def flagged(df: DataFrame, key: Column, table: DataFrame, into: str, log2_bits:
     found = probe.join(F.broadcast(table.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))), "__word", "left")
     hit = F.call_function("shiftrightunsigned", F.col("__bits"), F.col("__bit")).bitwiseAND(F.lit(1)) == 1
     return found.withColumn(into, F.coalesce(hit, F.lit(False))).drop("__word", "__bit", "__bits")
+
+
+def narrowed(df: DataFrame, key: Column, keys: DataFrame, label: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be in ``keys`` (one long column, stored); none that is goes, and none moves."""
+    log2_bits = bits_for(keys.count())
+    table = stash(build(keys, keys.columns[0], log2_bits), label)
+    return flagged(df, key, table, "__may", log2_bits).where("__may").drop("__may")

@@ -8,8 +8,9 @@ in 3 of ten thousand, so common lines and passages make few meetings. In a bucke
 
 1. Every member meets the smallest one; pairs within the radius are compared by their
    texts, and components are formed. A group of near copies costs a row a member here.
-2. Members that are still in different components are compared all with all, bit plane by
-   bit plane (``simhash.close_pairs``); pairs within the radius are compared by their texts.
+2. Where members are still of different components, their texts come to the bucket: they are
+   compared all with all, bit plane by bit plane (``simhash.close_pairs``), pairs within the
+   radius by their sets, and only links that join components leave the task.
 
 Texts with equal sets are one node, so exact copies never meet. Of similar pairs at 0.8, 6 in
 a million are missed by design (bands 3, radius 3), fewer above; nothing is capped.
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import components
+from . import bitfilter
 from .common import fresh_name, stash, trim_memory
 from .simhash import BLOCK, buckets, close_pairs, dealt
 
@@ -43,6 +45,8 @@ RADIUS = 24
 BANDS, ROWS = 32, 5
 STEP = 2048  # shingles whose minima are taken at once
 CACHED = 64  # sets kept while pairs are compared
+CHUNK = 1024  # texts of a bucket that meet in one task, twice at most
+WIDE = 1 << 22  # words of bits held at once while sets are compared
 
 _RULE = np.random.default_rng(SEED)
 _TIMES = _RULE.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,7 +116,7 @@ def marks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
+    """The pairs (a, b), stored, whose texts are similar; only texts of pairs move."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
@@ -131,33 +135,93 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(same, pa.bool_())), b.filter(pa.array(same, pa.bool_()))], ["a", "b"])
         trim_memory()
 
-    with_b = pairs.join(texts.select(F.col("row").alias("b"), F.col("text").alias("right")), "b")
-    both = with_b.join(texts.select(F.col("row").alias("a"), F.col("text").alias("left")), "a")
-    return both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
+    for end, text in (("b", "right"), ("a", "left")):
+        ends = stash(pairs.select(F.xxhash64(end).alias("key")).distinct(), "neardup-ends")
+        some = bitfilter.narrowed(texts, F.xxhash64("row"), ends, "neardup-filter")
+        pairs = pairs.join(some.select(F.col("row").alias(end), F.col("text").alias(text)), end)
+    return pairs.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
 
 
 def _sizes_fit(m: Column, n: Column) -> Column:
     return DEN * F.least(m, n) >= NUM * F.greatest(m, n)
 
 
+def similar_pairs(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sets i[k] and j[k] are similar, for each k.
+
+    A shingle that one set alone holds is in no intersection; the others are numbered,
+    and sets become rows of bits, as long as these stay within WIDE words.
+    """
+    met, n = np.unique(np.concatenate(sets), return_counts=True)
+    met = met[n > 1]
+    words = max(1, -(-len(met) // 64))
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    both = np.zeros(len(i), np.int64)
+    if words * len(sets) <= WIDE:
+        bits = np.zeros((len(sets), 64 * words), np.uint8)
+        for k, found in enumerate(sets):
+            bits[k, np.searchsorted(met, found[np.isin(found, met, assume_unique=True)])] = 1
+        packed = np.packbits(bits, axis=1).view(np.uint64)
+        step = max(1, WIDE // words)
+        for at in range(0, len(i), step):
+            both[at : at + step] = np.bitwise_count(packed[i[at : at + step]] & packed[j[at : at + step]]).sum(1)
+    else:
+        both[:] = [len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    return DEN * both >= NUM * (sizes[i] + sizes[j] - both)
+
+
+class Joined:
+    """Classes of a few rows that grow together: labels as given, joined by the links found."""
+
+    def __init__(self, labels: np.ndarray):
+        self.of = {x: x for x in labels.tolist()}
+
+    def find(self, label: int) -> int:
+        while self.of[label] != label:
+            self.of[label] = label = self.of[self.of[label]]
+        return label
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the classes were apart."""
+        a, b = self.find(a), self.find(b)
+        self.of[max(a, b)] = min(a, b)
+        return a != b
+
+
+def bucket_links(fp: np.ndarray, row: np.ndarray, n: np.ndarray, label: np.ndarray, of: np.ndarray, texts: np.ndarray, first: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Links that join the same labels as all similar pairs of rows of one bucket (``of``) do; ``first`` parts the rows in two chunks, of which pairs are made across."""
+    sets: dict[int, np.ndarray] = {}
+    left, right = (np.arange(len(fp)),) * 2 if first is None else (np.flatnonzero(first), np.flatnonzero(~first))
+    joined = Joined(label)
+    for i, j in close_pairs(fp[left].view(np.uint64), fp[right].view(np.uint64), RADIUS):
+        i, j = left[i], right[j]
+        now = np.array([joined.find(x) for x in label.tolist()])
+        fits = (of[i] == of[j]) & (now[i] != now[j]) & (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j]))
+        i, j = i[fits], j[fits]
+        if first is None:
+            i, j = i[i < j], j[i < j]
+        if not len(i):
+            continue
+        used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        for k in used.tolist():
+            if k not in sets:
+                sets[k] = shingles(_bytes(texts[k]))
+        same = similar_pairs([sets[k] for k in used.tolist()], at[: len(i)], at[len(i) :])
+        for a, b in zip(i[same].tolist(), j[same].tolist(), strict=True):
+            if joined.join(int(label[a]), int(label[b])):
+                yield int(row[a]), int(row[b])
+
+
 def _apart(met: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket of ``met`` (k, part, row, n, fp, label) within the radius, of different labels and fitting sizes."""
+    """Links (a, b) between rows of different labels in one bucket of ``met`` (k, part, row, n, fp, label, text)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: set[tuple[int, int]] = set()
-        held: list[list[np.ndarray]] = []  # whole small buckets, compared together; their last column tells them apart
-
-        def pairs(left: list[np.ndarray], right: list[np.ndarray]) -> None:
-            (fp, row, n, label, of), (fp2, row2, n2, label2, of2) = left, right
-            for i, j in close_pairs(fp.view(np.uint64), fp2.view(np.uint64), RADIUS):
-                fits = (of[i] == of2[j]) & (row[i] != row2[j]) & (label[i] != label2[j]) & (DEN * np.minimum(n[i], n2[j]) >= NUM * np.maximum(n[i], n2[j]))
-                a, b = row[i][fits], row2[j][fits]
-                out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+        out: list[tuple[int, int]] = []
+        held: list[list[np.ndarray]] = []  # whole small buckets, compared together; a number tells them apart
 
         def flush_held() -> None:
             if held:
-                every = [np.concatenate(c) for c in zip(*held, strict=True)]
-                pairs(every, every)
+                out.extend(bucket_links(*[np.concatenate(c) for c in zip(*held, strict=True)]))
                 held.clear()
 
         def emitted() -> Iterator[pa.RecordBatch]:
@@ -166,39 +230,42 @@ def _apart(met: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 out.clear()
 
-        for number, (two, first, cols) in enumerate(buckets(batches, ("fp", "row", "n", "label"))):
-            cols = [*cols, np.full(len(first), number)]
+        for number, (two, first, cols) in enumerate(buckets(batches, ("fp", "row", "n", "label", "text"))):
+            cols = [*cols[:4], np.full(len(first), number), cols[4]]
             if two:
-                pairs([c[first] for c in cols], [c[~first] for c in cols])
+                out.extend(bucket_links(*cols, first))
             else:
                 held.append(cols)
                 if sum(len(c[0]) for c in held) >= BLOCK:
                     flush_held()
-            if len(out) > 50_000:
+            if len(out) > 10_000:
                 yield from emitted()
         flush_held()
         yield from emitted()
         trim_memory()
 
-    return dealt(met).mapInArrow(compare, "a long, b long")
+    return dealt(met, CHUNK).mapInArrow(compare, "a long, b long")
 
 
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) that join the same nodes as all similar pairs do; ``nodes`` (row, n, fp, bands), ``texts`` (row, text)."""
-    met = stash(nodes.select("row", "n", "fp", F.posexplode("bands").alias("k", "part")), "neardup-met")
-    # Buckets of one are the rule; minima are combined before the shuffle, and the join's hot keys can be split.
+    """Links (a, b) that join the same nodes as all similar pairs do; ``nodes`` (row, n, fp, bands; stored), ``texts`` (row, text)."""
+    met = nodes.select("row", "n", "fp", F.posexplode("bands").alias("k", "part"))
+    # Buckets of one are the rule: a filter keeps their rows from moving a second time.
     firsts = met.groupBy("k", "part").agg(F.min(F.struct("row", "n", "fp")).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
-    met = stash(met.join(stash(firsts, "neardup-firsts"), ["k", "part"]), "neardup-met")
+    firsts = stash(firsts, "neardup-firsts")
+    keys = stash(firsts.select(F.xxhash64("k", "part").alias("key")), "neardup-keys")
+    met = stash(bitfilter.narrowed(met, F.xxhash64("k", "part"), keys, "neardup-filter").join(firsts, ["k", "part"]), "neardup-met")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= RADIUS
     pairs = met.where((F.col("row") != F.col("first.row")) & near & _sizes_fit(F.col("n"), F.col("first.n")))
     pairs = stash(pairs.select(F.col("first.row").alias("a"), F.col("row").alias("b")).distinct(), "neardup-first")
     found = stash(_linked(pairs, texts), "neardup-links")
     labels = components(found).withColumnRenamed("id", "row")
     left = stash(met.drop("first").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row")), "neardup-left")
-    mixed = stash(left.groupBy("k", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("k", "part"), "neardup-mixed")
-    rest = _apart(left.join(mixed, ["k", "part"], "left_semi").select("k", "part", "row", "n", "fp", "label")).distinct()
-    rest = stash(rest.join(pairs, ["a", "b"], "left_anti"), "neardup-rest")
-    return found.unionByName(stash(_linked(rest, texts), "neardup-links"))
+    mixed = left.groupBy("k", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("k", "part")
+    rest = stash(left.join(stash(mixed, "neardup-mixed"), ["k", "part"], "left_semi"), "neardup-rest")
+    rows = stash(rest.select(F.xxhash64("row").alias("key")).distinct(), "neardup-ends")
+    some = stash(bitfilter.narrowed(texts, F.xxhash64("row"), rows, "neardup-filter"), "neardup-texts")
+    return found.unionByName(stash(_apart(rest.join(some, "row").select("k", "part", "row", "n", "fp", "label", "text")), "neardup-links"))
 
 
 def survivors(docs: DataFrame) -> DataFrame:
@@ -207,11 +274,17 @@ def survivors(docs: DataFrame) -> DataFrame:
     held = stash(docs.select(*docs.columns, F.monotonically_increasing_id().alias(row), marks(F.col("text")).alias(mark)), "neardup-rows")
     rows = held.select(F.col(row).alias("row"), "doc_id", "text", *[F.col(f"{mark}.{c}").alias(c) for c in ("node", "n", "fp", "bands")])
     least = stash(rows.groupBy("node").agg(F.min("row").alias("row")), "neardup-nodes")
-    nodes = rows.select("row", "n", "fp", "bands").join(least.select("row"), "row", "left_semi")
+    nodes = stash(rows.select("row", "n", "fp", "bands").join(least.select("row"), "row", "left_semi"), "neardup-nodes")
     labels = components(links(nodes, rows.select("row", "text"))).withColumnRenamed("id", "row")
     named = stash(least.join(labels, "row", "left").select("node", F.coalesce("label", "row").alias("label")), "neardup-named")
     # First the best row of each node, combined before the shuffle: many copies are one row a task.
     rank_of = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.xxhash64("text").alias("hash"), "row")
     best = rows.groupBy("node").agg(F.min(rank_of).alias("best"))
-    stay = best.join(named, "node").groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
-    return held.join(stay, row, "left_semi").select(*docs.columns)
+    stay = best.join(named, "node").groupBy("label").agg(F.min("best").alias("best")).select("best.row")
+    gone = stash(rows.select("row").join(stay, "row", "left_anti").select(F.col("row").alias(row)), "neardup-gone")
+    # Rows that surely stay are passed on where they are; only the others move to meet the list of those that go.
+    keys = stash(gone.select(F.xxhash64(row).alias("key")), "neardup-keys")
+    log2_bits = bitfilter.bits_for(keys.count())
+    marked = bitfilter.flagged(held.drop(mark), F.xxhash64(row), stash(bitfilter.build(keys, "key", log2_bits), "neardup-filter"), fresh_name(docs, "may"), log2_bits)
+    may = F.col(fresh_name(docs, "may"))
+    return marked.where(~may).select(*docs.columns).unionByName(marked.where(may).join(gone, row, "left_anti").select(*docs.columns))

@@ -164,17 +164,18 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def dealt(met: DataFrame) -> DataFrame:
+def dealt(met: DataFrame, chunk: int | None = None) -> DataFrame:
     """``met`` (k, part, fp and more) grouped for comparison: rows of one (k, part, lo, hi) stand together in a partition.
 
-    Buckets of over CHUNK rows are dealt into chunks by a hash of their rows, and
-    the chunks meet two by two, in tasks of their own; no pair is left out. ``first``
-    tells which of the two chunks a row belongs to.
+    Buckets of over ``chunk`` (CHUNK) rows are dealt into chunks by a hash of their
+    rows, and the chunks meet two by two, in tasks of their own; no pair is left out.
+    ``first`` tells which of the two chunks a row belongs to.
     """
+    chunk = chunk or CHUNK
     own_columns = met.columns
-    sizes = met.groupBy("k", "part").agg(F.count("*").alias("__members")).where(F.col("__members") > CHUNK)
+    sizes = met.groupBy("k", "part").agg(F.count("*").alias("__members")).where(F.col("__members") > chunk)
     met = met.join(sizes, ["k", "part"], "left")
-    chunks = F.ceil(F.coalesce("__members", F.lit(1)) / CHUNK).cast("int")
+    chunks = F.ceil(F.coalesce("__members", F.lit(1)) / chunk).cast("int")
     own = F.pmod(F.xxhash64(*own_columns), chunks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda x: F.struct(F.least(own, x).alias("lo"), F.greatest(own, x).alias("hi")))
     each = met.select(*own_columns, own.alias("own"), F.explode(pairs).alias("p")).select(*own_columns, "p.lo", "p.hi", (F.col("own") == F.col("p.lo")).alias("first"))

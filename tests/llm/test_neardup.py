@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from ledgerline.llm import neardup, simhash
+from ledgerline.llm import neardup
 
 
 def grams(text):
@@ -62,11 +62,23 @@ def test_stage_drops_edited_copies(spark, sf, monkeypatch):
     want = [d for _, d in kept_by_brute_force(rows)]
     assert len(want) < len(rows) - 20
     assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, sf).collect()) == want
-    for chunk in (simhash.CHUNK, 2):  # a bucket goes through chunk pairs; a third of all rows are one near-copy group
-        monkeypatch.setattr(simhash, "CHUNK", chunk)
+    for chunk in (neardup.CHUNK, 2):  # a bucket goes through chunk pairs; a third of all rows are one near-copy group
+        monkeypatch.setattr(neardup, "CHUNK", chunk)
         r = random.Random(6)
         base = [f"w{k}" for k in range(90)]
         group = [(5000 + k, " ".join(f"x{r.randrange(10**6)}" if j in (r.randrange(90), r.randrange(90)) else w for j, w in enumerate(base))) for k in range(60)]
         more = rows + group
         got = neardup.survivors(spark.createDataFrame(more, "doc_id long, text string")).collect()
         assert sorted(x.doc_id for x in got) == [d for _, d in kept_by_brute_force(more)]
+
+
+def test_pairs_of_sets(monkeypatch):
+    r = random.Random(9)
+    base = [r.getrandbits(64) for _ in range(60)]
+    sets = [np.array(sorted({x for x in base if r.random() < 0.92} | {r.getrandbits(64) for _ in range(r.randrange(5))}), np.uint64) for _ in range(40)] + [np.zeros(0, np.uint64)]
+    i, j = (np.array(x) for x in zip(*[(a, b) for a in range(41) for b in range(a)], strict=True))
+    want = [neardup.similar(sets[a], sets[b]) for a, b in zip(i, j, strict=True)]
+    assert 50 < sum(want) < 750
+    for wide in (neardup.WIDE, 45, 1):
+        monkeypatch.setattr(neardup, "WIDE", wide)
+        assert neardup.similar_pairs(sets, i, j).tolist() == want
