@@ -25,7 +25,8 @@ def pct_change(value: Column, reference: Column) -> Column:
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Within the bounds; null stays null (``least`` and ``greatest`` would pass over it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def ordinal(x: Column) -> Column:

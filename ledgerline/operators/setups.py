@@ -110,7 +110,7 @@ def score(t: Thresholds) -> Column:
         "bbw": clamp(1.0 - F.col("bbw_percentile") / 100.0),
         "proximity": F.when(F.col("distance_pct") <= 0, 1.0).otherwise(clamp(1.0 - F.col("distance_pct") / 100.0 / t.pivot_proximity)),
         "expansion": F.col("prior_expansion").cast("double"),
-        "touches": clamp(F.least(F.col("touches"), F.lit(4)) / 4.0),
+        "touches": clamp(F.least(F.coalesce("touches", F.lit(0)), F.lit(4)) / 4.0),
         "dryup": clamp((1.0 - F.col("dryup")) / 0.5),
         "tightness": F.col("n_signals") / 4.0,
     }

@@ -49,11 +49,12 @@ def news(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), "source", F.col("lang").alias("category"), F.concat(F.lit("https://www."), F.col("source"), F.lit(".example.com/"), F.col("doc_id").cast("string"), F.lit("/?utm_source=x&id="), F.col("doc_id").cast("string"), F.lit("#top")).alias("url"))
 
 
-def trades(spark: SparkSession, sf: str) -> DataFrame:
+def trades(spark: SparkSession, sf: str, sold: Column | None = None) -> DataFrame:
     t = read(spark, sf, "lineitem")
+    sold = F.col("l_returnflag") == "R" if sold is None else sold
     return t.select(
-        F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice").alias("id"), F.col("l_suppkey").cast("string").alias("ticker"), F.col("l_shipdate").cast("date").alias("trade_date"),
-        F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), F.col("l_quantity").cast("double").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_tax").alias("fee"),
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("id"), F.col("l_suppkey").cast("string").alias("ticker"), F.col("l_shipdate").cast("date").alias("trade_date"),
+        F.when(sold, "sell").otherwise("buy").alias("side"), F.col("l_quantity").cast("double").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_tax").alias("fee"),
     )
 
 
@@ -96,7 +97,7 @@ SQL = {
     "v_quarters": "select cast(year(o_orderdate) * 4 + quarter(o_orderdate) as integer) as q_index, count(*) filter (where o_orderstatus = 'F') as land_ready, count(*) filter (where o_orderstatus = 'O') as being_built, count(*) filter (where o_orderstatus = 'P') as built_not_sold, count(*) as total from orders group by 1",
     "v_fares": "select event_id as id, cast(ts as date) as run_date, event_type as airline, printf('%02d-%02d', (hour(ts) // 3) * 3, (hour(ts) // 3) * 3 + 3) as dep_bucket, printf('%02d-%02d', (user_id % 8) * 3, (user_id % 8) * 3 + 3) as ret_bucket, value as price, cast(ts as date) + cast(user_id % 5 as integer) as depart_date, strftime(ts, '%H:%M') as depart_time, cast(user_id % 3 as integer) as ret_stops from events",
     "v_news": "select doc_id as id, split_part(text, chr(10), 1) as title, source, lang as category, 'https://www.' || source || '.example.com/' || cast(doc_id as varchar) || '/?utm_source=x&id=' || cast(doc_id as varchar) || '#top' as url from documents",
-    "v_trades": "select cast(l_suppkey as varchar) as ticker, cast(l_shipdate as date) as trade_date, case when l_returnflag = 'R' then 'sell' else 'buy' end as side, cast(l_quantity as double) as quantity, l_extendedprice / l_quantity as price, l_tax as fee from lineitem",
+    "v_trades": "select (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey as id, cast(l_suppkey as varchar) as ticker, cast(l_shipdate as date) as trade_date, case when l_returnflag = 'R' then 'sell' else 'buy' end as side, cast(l_quantity as double) as quantity, l_extendedprice / l_quantity as price, l_tax as fee from lineitem",
     "v_coupons": "select o_orderkey as id, cast(o_custkey as varchar) as account_id, o_orderpriority as merchant, 'offer ' || cast(o_orderkey % 97 as varchar) as title, cast(o_orderdate as date) as expires_on, case o_orderstatus when 'F' then 'used' when 'O' then 'active' else 'needs_review' end as status, case when o_orderkey % 5 <> 0 then o_orderkey % 700 end as media_id from orders",
     "v_media": "select distinct c_custkey % 1000 as media_id, cast(c_custkey as varchar) as account_id from customer",
     "v_macro": "select event_type as series, cast(ts as date) as as_of, cast(sum(cast(value as decimal(38,2))) as double) as value, case when day(cast(ts as date)) % 7 = 0 then cast(cast(ts as date) as timestamp) end as notified_at from events group by event_type, cast(ts as date)",

@@ -45,19 +45,29 @@ def title_signature(spark, sf):
     return _signed(spark, sf).select("id", F.array_join("words", " ").alias("signature"))
 
 
-@query(a.with_views(_SIGNED + ", g as (select category, source, min(id) as lo, max(id) as hi from s group by 1, 2) select g.category, g.source, cast(case when least(len(p.words), len(q.words)) > 0 then len(list_intersect(p.words, q.words)) / least(len(p.words), len(q.words)) else 0 end as double) as overlap from g join s p on p.id = g.lo join s q on q.id = g.hi", N))
+_PAIRED = _SIGNED + ", e as (select * from s where len(words) >= 2), p as (select x.id as a, y.id as b, len(list_intersect(x.words, y.words)) / least(len(x.words), len(y.words)) as overlap from e x join e y on x.category = y.category and x.id < y.id where len(list_intersect(x.words, y.words)) / least(len(x.words), len(y.words)) >= {0})"
+
+
+@query(a.with_views(_PAIRED.replace("{0}", "0.5") + " select a, b, overlap from p", N))
 def overlap_pairs(spark, sf):
-    s = _signed(spark, sf)
-    per = s.groupBy("category", "source").agg(F.min_by("words", "id").alias("p"), F.max_by("words", "id").alias("q"))
-    return per.select("category", "source", text.overlap(F.col("p"), F.col("q")).cast("double").alias("overlap"))
+    """All pairs of titles of one category that share half of the smaller one's words."""
+    return cluster.similar_pairs(_signed(spark, sf), "category", 0.5)
+
+
+#: An item is of the cluster of its first match, and so on down: the least id that a way of ever earlier matches reaches.
+_STORIES = ", reach as (select id, id as reached from s union select r.id, p.a from reach r join p on p.b = r.reached), c as (select id, min(reached) as story_id from reach group by 1)"
 
 
-@query()
+def _recursive(sql: str) -> str:
+    return a.with_views(_PAIRED.replace("{0}", "0.7") + _STORIES + sql, N).replace("with ", "with recursive ", 1)
+
+
+@query(_recursive(" select id, story_id from c"))
 def cluster_stories(spark, sf):
     return cluster.cluster(_signed(spark, sf), "category")
 
 
-@query()
+@query(_recursive(", j as (select c.story_id, n.id, n.source, n.title, n.source || '.example.com' as domain from c join v_news n using (id)), f as (select story_id, domain, min(id) as first_id from j group by 1, 2), g as (select story_id, list(domain order by first_id) as domains from f group by 1) select j.story_id, count(*) as n, count(distinct source) as n_sources, list(id order by id) as ids, any_value(domains) as domains, arg_min(title, id) as title from j join g using (story_id) group by 1"))
 def story_domains(spark, sf):
     n = _signed(spark, sf).withColumn("domain", text.domain_of(F.col("url")))
     return cluster.stories(n, cluster.cluster(n, "category"))
@@ -131,13 +141,18 @@ def readable_text(spark, sf):
     return read(spark, sf, "pages").select("page_id", extract.readable_text(F.col("html")).alias("detail"))
 
 
-@query()
+#: Up to 40 links of a page's list; a title is trimmed, a link without a host is the page's.
+_LINKS = r"""with x as (select page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) as origin, unnest(regexp_extract_all({html}, '<li><a href="([^"]*)">(.*?)</a>', 1)[1:40]) as link, unnest(regexp_extract_all({html}, '<li><a href="([^"]*)">(.*?)</a>', 2)[1:40]) as raw, generate_subscripts(regexp_extract_all({html}, '<li><a href="([^"]*)">(.*?)</a>', 1)[1:40], 1) - 1 as position from pages)
+select cast(page_id as varchar) as source, cast(position as integer) as position, trim(regexp_replace(raw, '\s+', ' ', 'g')) as title, cast(null as varchar) as summary, cast(null as varchar) as date_text, origin || link as url from x where trim(raw) <> ''"""
+
+
+@query(_LINKS.replace("{html}", "html"))
 def listing_items(spark, sf):
     pages = read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("source"), "url", F.col("html").alias("body"))
     return extract.listing_items(pages, {"list": "nav li", "title": "a", "link": "a@href"})
 
 
-@query()
+@query(_LINKS.replace("{html}", "html"))
 def pattern_items(spark, sf):
     pages = read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("source"), "url", F.col("html").alias("body"))
     return extract.pattern_items(pages, r"<li><a href=\"([^\"]*)\">(.*?)</a>", {"link": 1, "title": 2})

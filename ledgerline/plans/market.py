@@ -102,19 +102,94 @@ def contraction(spark, sf):
     return m.select("ticker", "pivot", "touches", *[a.r6(F.col(c)).alias(c) for c in ("ratio1", "ratio2", "ratio3", "dryup")])
 
 
-@query()
+#: All indicators, unrounded: ``p`` has a row a bar.
+_INDICATORS = f"""with recursive v_bars as ({a.SQL[B]}),
+t as (select *, {_TR} as tr, row_number() over (partition by ticker order by day) as i from v_bars),
+s as (select ticker, avg(tr) as v from t where i <= 14 group by 1 having count(*) = 14),
+r as (select ticker, 14::bigint as i, v from s union all select r.ticker, t.i, (r.v * 13 + t.tr) / 14 from r join t on t.ticker = r.ticker and t.i = r.i + 1),
+u as (select t.*, r.v as atr from t left join r on r.ticker = t.ticker and r.i = t.i),
+k as (select *, 100.0 * atr / nullif(close, 0) as atr_pct, 4 * {_win('stddev_pop(close)', 20)} / nullif({_win('avg(close)', 20)}, 0) as bbw,
+  ({_win('max(high)', 20)} - {_win('min(low)', 20)}) / nullif(close, 0) as donchian, {_win('avg(close)', 20)} as sma20, {_win('avg(close)', 50)} as sma50, {_win('avg(close)', 200)} as sma200,
+  coalesce(count(*) over w7 = 7 and high - low <= min(high - low) over w7, false) as nr7, coalesce(high <= lag(high) over w and low >= lag(low) over w, false) as inside_day,
+  case when count(volume) over w20 = 20 then volume / nullif(avg(volume) over w20, 0) end as rvol, {_win('avg(close * volume)', 20)} as adv20, max(high) over w252 as week52_high, min(low) over w252 as week52_low
+  from u window w as (partition by ticker order by day), w7 as (partition by ticker order by day rows between 6 preceding and current row), w20 as (partition by ticker order by day rows between 20 preceding and 1 preceding), w252 as (partition by ticker order by day rows between 251 preceding and current row)),
+q as (select *, {", ".join(f"list({c}) filter (where {c} is not null) over w as l_{c}" for c in ("atr_pct", "bbw", "donchian"))} from k window w as (partition by ticker order by day rows between 251 preceding and current row)),
+p as (select *, {", ".join(f"case when {c} is not null then 100.0 * len(list_filter(l_{c}, lambda y: y <= {c})) / len(l_{c}) end as {c}_percentile" for c in ("atr_pct", "bbw", "donchian"))} from q)"""
+_INDICATED = ("tr", "atr", "atr_pct", "bbw", "donchian", "sma20", "sma50", "sma200", "rvol", "adv20", "atr_pct_percentile", "bbw_percentile", "donchian_percentile")
+
+
+def _rounded(df):
+    """Doubles to six decimals."""
+    return df.select(*[a.r6(F.col(f.name)).alias(f.name) if f.dataType.simpleString() == "double" else f.name for f in df.schema.fields])
+
+
+@query(_INDICATORS + f" select ticker, day, open, high, low, close, volume, nr7, inside_day, week52_high, week52_low, {', '.join(_d(c, c) for c in _INDICATED)} from p")
+def indicators(spark, sf):
+    return _rounded(with_indicators(a.bars(spark, sf)))
+
+
+def _scan_sql(t: setups.Thresholds) -> str:
+    """``g`` has the setup of each ticker's latest bar, without memory of an earlier scan."""
+    ratio = lambda k: f"(max(high) filter (where part = {k}) - min(low) filter (where part = {k})) / nullif(avg(close) filter (where part = {k}), 0)"
+    clamp = lambda x: f"case when ({x}) is not null then greatest(0.0, least(1.0, {x})) end"
+    parts = {
+        "contraction": f"case when ratio1 > 0 then {clamp('(1.0 - ratio3 / ratio1) / 0.5')} end", "bbw": clamp("1.0 - bbw_percentile / 100.0"),
+        "proximity": f"case when distance_pct <= 0 then 1.0 else {clamp(f'1.0 - distance_pct / 100.0 / {t.pivot_proximity}')} end", "expansion": "cast(prior_expansion as integer)", "touches": "least(touches, 4) / 4.0", "dryup": clamp("(1.0 - dryup) / 0.5"), "tightness": "n_signals / 4.0",
+    }
+    total = " + ".join(f"{w} * coalesce({parts[k]}, 0.0)" for k, w in setups.WEIGHTS.items())
+    return _INDICATORS + f""",
+b as (select *, row_number() over (partition by ticker order by day desc) as n, count(*) over (partition by ticker) as n_bars, max(nr7::int) over (partition by ticker order by day rows between 2 preceding and current row) as nr7_recent, max(inside_day::int) over (partition by ticker order by day rows between 1 preceding and current row) as inside_recent from p),
+d as (select *, max(high) over w as hi, min(low) over w as lo from b where n <= {t.max_base_len} window w as (partition by ticker order by day desc)),
+f as (select ticker, max(n) as len from d where hi > 0 and (hi - lo) / hi <= {t.max_base_depth} and n >= {t.min_base_len} group by 1),
+e as (select d.ticker, d.n as base_length, d.day as base_start, (d.hi - d.lo) / d.hi as base_depth from d join f on d.ticker = f.ticker and d.n = f.len),
+i as (select b.*, f.len, case when b.n > f.len - f.len // 3 then 1 when b.n <= f.len // 3 then 3 else 2 end as part from b join f on b.ticker = f.ticker and b.n <= f.len),
+v as (select ticker, max(high) filter (where n > 1) as pv from i group by 1),
+m as (select i.ticker, any_value(v.pv) as pv, cast(count(*) filter (where n > 1 and high >= v.pv * (1.0 - {t.pivot_tolerance})) as integer) as touches, {", ".join(f"{ratio(k)} as ratio{k}" for k in (1, 2, 3))}, avg(volume) filter (where part = 3) / nullif(avg(volume) filter (where part = 1), 0) as dryup from i join v on v.ticker = i.ticker group by 1),
+h as (select b.ticker, max(n_bars - base_length) as start, avg(atr_pct) filter (where b.n - base_length <= 20) as pre, list(atr_pct) filter (where atr_pct is not null) as history, median(atr_pct) as mid from b join e on b.ticker = e.ticker where b.n - base_length between 1 and {t.lookback_percentile} group by 1),
+x as (select ticker, coalesce(start >= 20 and len(history) >= 20 and mid > 0 and pre >= mid * {t.expansion_margin} and 100.0 * len(list_filter(history, lambda y: y <= pre)) / len(history) >= {t.expansion_percentile}, false) as prior_expansion from h),
+j as (select b.*, e.base_length, e.base_start, e.base_depth, m.pv, m.touches, m.ratio1, m.ratio2, m.ratio3, m.dryup, x.prior_expansion, 100.0 * (m.pv - close) / nullif(close, 0) as distance_pct,
+  nr7_recent + inside_recent + coalesce(bbw_percentile <= {t.bbw_percentile}, false)::int + coalesce(donchian_percentile <= {t.donchian_percentile}, false)::int as n_signals,
+  coalesce(m.ratio1 > 0 and m.ratio2 > 0 and m.ratio2 <= m.ratio1 * {t.contraction_tolerance} and m.ratio3 <= m.ratio2 * {t.contraction_tolerance}, false) as contraction_monotone, b.day - e.base_start <= {t.technical_horizon_days} as within_horizon
+  from b left join e on b.ticker = e.ticker left join m on m.ticker = b.ticker left join x on x.ticker = b.ticker where b.n = 1),
+o as (select *, case when n_bars < {t.min_bars} or adv20 < {t.min_avg_dollar_volume} then 'none' when base_length is null then case when atr_pct_percentile >= {t.expansion_percentile} then 'expansion' else 'none' end when close > pv then 'triggered'
+  when contraction_monotone and n_signals > 0 and (bbw_percentile is null or bbw_percentile <= {t.max_bbw_percentile}) and touches >= {t.min_pivot_touches} and distance_pct between 0.0 and {100.0 * t.pivot_proximity} then 'coiled' else 'basing' end as stage from j),
+g as (select ticker, day as as_of, stage, case when n_bars < {t.min_bars} then 'insufficient_history' when adv20 < {t.min_avg_dollar_volume} then 'illiquid' when base_length is null and stage = 'none' then 'no_base' end as reason,
+  case when stage in ('triggered', 'coiled', 'basing') then cast(round_even({total}, 0) as integer) else 0 end as score, close, pv as "pivot", touches, distance_pct, base_start, cast(base_length as integer) as base_length, 100.0 * base_depth as base_depth_pct, ratio1, ratio2, ratio3,
+  contraction_monotone, prior_expansion, dryup, within_horizon, case when stage = 'triggered' then rvol >= {t.volume_confirm_rvol} end as volume_confirmed, atr_pct, atr_pct_percentile, bbw, bbw_percentile, donchian_percentile, nr7, inside_day, rvol, adv20, sma20, sma50, sma200,
+  {", ".join(f"100.0 * (close - {s}) / nullif({s}, 0) as dist_{s}_pct" for s in ("sma20", "sma50", "sma200"))}, week52_high, week52_low, 100.0 * (close - week52_low) / nullif(week52_high - week52_low, 0) as week52_position_pct from o)"""
+
+
+_PLAIN = ("ticker", "as_of", "stage", "reason", "score", "touches", "base_start", "base_length", "contraction_monotone", "prior_expansion", "within_horizon", "volume_confirmed", "nr7", "inside_day")
+_DOUBLES = ("close", "pivot", "distance_pct", "base_depth_pct", "ratio1", "ratio2", "ratio3", "dryup", "atr_pct", "atr_pct_percentile", "bbw", "bbw_percentile", "donchian_percentile", "rvol", "adv20", "sma20", "sma50", "sma200", "dist_sma20_pct", "dist_sma50_pct", "dist_sma200_pct", "week52_high", "week52_low", "week52_position_pct")
+_SCANNED = f" select {', '.join(_PLAIN)}, {', '.join(_d(f'"{c}"', f'"{c}"') for c in _DOUBLES)} from g"
+
+
+@query(_scan_sql(_WIDE) + _SCANNED)
 def setup_scan(spark, sf):
-    return setups.scan(a.bars(spark, sf), t=_WIDE)
+    return _rounded(setups.scan(a.bars(spark, sf), t=_WIDE))
 
 
-@query()
-def setup_lines(spark, sf):
-    return setups.scan(a.bars(spark, sf), t=_WIDE).select("ticker", "stage", "score", setups.status_line().alias("line"))
+_NARROW = setups.Thresholds(max_base_depth=0.985, min_bars=100, min_avg_dollar_volume=600_000.0)
 
 
-@query()
-def indicators(spark, sf):
-    return with_indicators(a.bars(spark, sf))
+@query(_scan_sql(_NARROW) + _SCANNED)
+def setup_scan_narrow(spark, sf):
+    """Where bases are shorter, thirds uneven and the liquidity floor bites."""
+    return _rounded(setups.scan(a.bars(spark, sf), t=_NARROW))
+
+
+@query(_scan_sql(setups.Thresholds()) + _SCANNED)
+def setup_scan_default(spark, sf):
+    return _rounded(setups.scan(a.bars(spark, sf)))
+
+
+@query(_scan_sql(_WIDE) + r""", z as (select *, cast(round_even(bbw_percentile, 0) as integer) as b from g)
+select ticker, stage, score, ticker || ' — ' || coalesce(case reason when 'insufficient_history' then 'not enough history yet' when 'illiquid' then 'below the liquidity floor (20d avg $' || printf('%.1f', coalesce(adv20, 0) / 1e6) || 'M)' end,
+  case stage when 'expansion' then 'expanding, no base' when 'basing' then printf('basing %dd, %.1f%% deep', base_length, base_depth_pct) when 'none' then 'no setup' else stage || ', score ' || score end
+  || coalesce(', BBW ' || b || case when b % 100 between 10 and 20 then 'th' when b % 10 = 1 then 'st' when b % 10 = 2 then 'nd' when b % 10 = 3 then 'rd' else 'th' end || ' pct', '')
+  || coalesce(printf(', %.1f%% ', abs(dist_sma20_pct)) || case when dist_sma20_pct >= 0 then 'above' else 'below' end || ' SMA20', '') || coalesce(printf(', %.0f%% of 52w range', week52_position_pct), '')) as line from z""")
+def setup_lines(spark, sf):
+    return setups.scan(a.bars(spark, sf), t=_WIDE).select("ticker", "stage", "score", setups.status_line().alias("line"))
 
 
 def _sectors(spark, sf):
@@ -122,10 +197,10 @@ def _sectors(spark, sf):
     members = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("sector"), F.col("n_name").alias("ticker"))
     per = read(spark, sf, "customer").groupBy("c_nationkey").agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))
     returns = per.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("ticker"), (F.col("hi") / 1000 + F.col("lo") / 1000).alias("ret"))
-    return members, returns.where("ticker <> 'CHINA'")
+    return members.unionByName(spark.sql("select 'ASIA' as sector, 'ATLANTIS' as ticker union all select 'NOWHERE', 'LEMURIA'")), returns
 
 
-_SECTORS = "m as (select r_name as sector, n_name as ticker from nation join region on n_regionkey = r_regionkey), t as (select n_name as ticker, max(c_acctbal) / 1000 + min(c_acctbal) / 1000 as ret from customer join nation on c_nationkey = n_nationkey where n_name <> 'CHINA' group by 1), j as (select m.sector, m.ticker, t.ret from m left join t using (ticker)), v as (select sector, count(ret) as n, median(ret) as mid, stddev_pop(ret) as spread, count(*) filter (where ret > 0) as up from j group by 1)"
+_SECTORS = "m as (select r_name as sector, n_name as ticker from nation join region on n_regionkey = r_regionkey union all select 'ASIA', 'ATLANTIS' union all select 'NOWHERE', 'LEMURIA'), t as (select n_name as ticker, max(c_acctbal) / 1000 + min(c_acctbal) / 1000 as ret from customer join nation on c_nationkey = n_nationkey group by 1), j as (select m.sector, m.ticker, t.ret from m left join t using (ticker)), v as (select sector, count(ret) as n, median(ret) as mid, stddev_pop(ret) as spread, count(*) filter (where ret > 0) as up from j group by 1)"
 _COHESION = "case when n < 2 or spread is null then 'unknown' when spread <= 4 then 'bloc' when spread >= 10 then 'scattered' else 'mixed' end"
 
 
@@ -142,7 +217,12 @@ def sector_standing(spark, sf):
     return s.withColumns({c: a.r6(F.col(c)) for c in ("own_return", "median_return", "gap")})
 
 
-@query()
+_NAMES = {"leaders": "ret > mid + 3", "laggards": "ret < mid - 3", "missing": "ret is null"}
+
+
+@query(f"with {_SECTORS}, y as (select *, {_COHESION} as c, " + ", ".join(f"(select string_agg(ticker, ', ' order by ret, ticker) from j where j.sector = v.sector and {w}) as {k}" for k, w in _NAMES.items()) + """ from v)
+select sector, case when n < 2 then printf('%s: not enough history (%d members priced).', sector, n) else printf('%s: median %s%.1f%% over 30d, %d/%d up, ', sector, case when mid < 0 then '' else '+' end, mid, up, n)
+  || case c when 'bloc' then 'moving together' when 'unknown' then 'unclear' else c end || coalesce('; leading ' || leaders, '') || coalesce('; lagging ' || laggards, '') || coalesce('; no data for ' || missing, '') || '.' end as line from y""")
 def sector_lines(spark, sf):
     return groups.sector_view(*_sectors(spark, sf)).select("sector", groups.sector_line().alias("line"))
 
@@ -174,9 +254,30 @@ def open_positions(spark, sf):
     return portfolio.open_tickers(a.trades(spark, sf))
 
 
-@query()
+#: The k-th unit bought meets the k-th unit sold; what one side has over the other is held.
+_MATCHED = """, r as (select *, price + case when side = 'buy' then fee / quantity else -fee / quantity end as each, sum(quantity) over (partition by ticker, side order by trade_date, id) as hi from v_trades),
+t as (select ticker, coalesce(sum(quantity) filter (where side = 'buy'), 0) as bought, coalesce(sum(quantity) filter (where side = 'sell'), 0) as sold from v_trades group by 1),
+h as (select r.ticker, sum(case when side = 'buy' then greatest(hi - greatest(hi - quantity, sold), 0) else -greatest(hi - greatest(hi - quantity, bought), 0) end * each) as basis from r join t using (ticker) group by 1),
+m as (select s.ticker, sum((least(s.hi, b.hi) - greatest(s.hi - s.quantity, b.hi - b.quantity)) * (s.each - b.each)) as pnl from r s join r b on s.ticker = b.ticker and s.side = 'sell' and b.side = 'buy' and s.hi - s.quantity < b.hi and b.hi - b.quantity < s.hi group by 1)
+select t.ticker, bought - sold as quantity, cast(cast(case when bought <> sold then basis / (bought - sold) else 0 end + 1.3e-6 as decimal(38,2)) as double) as avg_cost, cast(cast(basis + 1.3e-6 as decimal(38,2)) as double) as cost_basis, cast(cast(coalesce(pnl, 0) + 1.3e-6 as decimal(38,2)) as double) as realized from t join h using (ticker) left join m using (ticker)"""
+
+
+def _cents(held):
+    """Money in cents; what lies between two of them, up to the order of additions, goes up."""
+    return held.withColumns({c: (F.col(c) + 1.3e-6).cast("decimal(38,2)").cast("double") for c in ("avg_cost", "cost_basis", "realized")})
+
+
+@query(a.with_views(_MATCHED, T))
 def fifo_pnl(spark, sf):
-    return portfolio.fifo(a.trades(spark, sf))
+    held = portfolio.fifo(a.trades(spark, sf))
+    return _cents(held)
+
+
+@query(a.with_views(_MATCHED, T).replace("l_returnflag = 'R'", "l_linenumber % 2 = 0"))
+def fifo_shorts(spark, sf):
+    """As many sells as buys, in any order: shorts and flips."""
+    flipped = a.trades(spark, sf, F.col("l_linenumber") % 2 == 0)
+    return _cents(portfolio.fifo(flipped))
 
 
 #: Each ticker's first half buys and of more quantity than all sells together: the long-only form holds.

@@ -32,7 +32,7 @@ def top_days(spark, sf):
     return rollup.top_days(a.expenses(spark, sf)).drop("categories")
 
 
-@query()
+@query(a.with_views(", p as (select cast(ts as date) as day, category, cast(sum(amount) as double) as total, count(*) as n from v_expenses group by 1, 2), d as (select day, cast(sum(cast(total as decimal(38,2))) as double) as total, cast(sum(n) as bigint) as n, '{' || string_agg('\"' || category || '\":' || total, ',' order by category) || '}' as categories from p group by 1) select * from d order by total desc, day desc limit 5", V))
 def top_days_with_categories(spark, sf):
     return rollup.top_days(a.expenses(spark, sf))
 
@@ -88,7 +88,11 @@ def parse_messages(spark, sf):
     return messages.parse_messages(a.messages(spark, sf), r"[;\n、]+").select("message_id", "item_index", "raw", "amount")
 
 
-@query()
+@query(r"""
+with m as (select p_partkey % 500 as message_id, string_agg(p_name || ' $' || printf('%.2f', p_retailprice), '; ' order by p_partkey) as text from part group by 1),
+c as (select message_id, unnest(string_split(text, '; ')) as raw, generate_subscripts(string_split(text, '; '), 1) - 1 as item_index from m)
+select message_id, 'Alice' as member, timestamp '2026-07-19 11:00:00' as ts, cast(item_index as integer) as item_index, raw, regexp_replace(raw, ' \$[0-9.]+$', '') as description, cast(regexp_extract(raw, '\$([0-9.]+)$', 1) as double) as amount from c
+""")
 def parse_messages_full(spark, sf):
     return messages.parse_messages(a.messages(spark, sf))
 

@@ -90,7 +90,10 @@ def account_summary(spark, sf):
     return coupons.account_summary(a.coupons(spark, sf), a.media(spark, sf)).drop("by_status")
 
 
-@query()
+_DUE = f"v_coupons as ({a.SQL[C]}), d as (select *, case when expires_on = date '{_TODAY}' then 'expiry_day' else 'pre_expiry' end as tag from v_coupons where status = 'active' and expires_on between date '{_TODAY}' and date '{_TODAY}' + 30)"
+
+
+@query("with " + _DUE + ", p as (select account_id, count(*) as n, '[' || string_agg('{\"expires_on\":\"' || expires_on || '\",\"id\":' || id || ',\"tag\":\"' || tag || '\"}', ',' order by expires_on, id) || ']' as coupons from d group by 1), a as (select cast(c_custkey as varchar) as account_id, case when c_custkey % 3 <> 0 then c_custkey end as chat_id from customer) select account_id, n, coupons, chat_id, case when chat_id is null then 'skipped' else 'due' end as status from p join a using (account_id)")
 def alert_payloads(spark, sf):
     accounts = read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("account_id"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey")).alias("chat_id"))
     return coupons.alerts(a.coupons(spark, sf), accounts, _today(), 30)
