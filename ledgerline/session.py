@@ -9,10 +9,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of a batch that goes to a Python worker, about: long texts come a few at a time.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each application."""
+    """Send this package to the executors' Python workers, once for each application; bound their batches unless the application does."""
+    if not spark.sparkContext.getConf().contains(BATCH[0]):
+        spark.conf.set(*BATCH)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
