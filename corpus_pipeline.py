@@ -58,7 +58,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     an empty table gives no pieces.
     """
     ship(spark)
-    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    # Workers hold what earlier stages left them, so fewer words than op5 remembers.
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), remembered=120_000)
 
 
 STAGES = [

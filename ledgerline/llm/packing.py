@@ -59,13 +59,14 @@ WORD_END = "</w>"
 class Words:
     """Token ids of words, as bytes, for one tokenizer file.
 
-    Two generations of at most REMEMBERED words each: when the younger is full it
+    Two generations of at most ``remembered`` words each: when the younger is full it
     becomes the older, and words found there are taken up again. Plain words are
     coded many at a time; their last tokens, which carry the word end, show where
     one stops. Other words are coded one by one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -128,7 +129,7 @@ class Words:
             new = self.code(missing)
             table.update(new)
             self.young.update(new if max(map(len, missing)) <= REMEMBERED_CHARS else {w: ids for w, ids in new.items() if len(w) <= REMEMBERED_CHARS})
-            if len(self.young) > REMEMBERED:
+            if len(self.young) > self.remembered:
                 self.old, self.young = self.young, {}
         return list(table.values())
 
@@ -156,12 +157,12 @@ class Words:
             yield tokens[s:e].tobytes()
 
 
-_WORDS: dict[str, Words] = {}
+_WORDS: dict[tuple[str, int], Words] = {}
 
 
-def token_bytes(texts: pa.Array, path: str) -> Iterator[bytes]:
+def token_bytes(texts: pa.Array, path: str, remembered: int = REMEMBERED) -> Iterator[bytes]:
     """Little-endian 32-bit ids of each text (none null), a few megabytes of text at a time."""
-    words = _WORDS.get(path) or _WORDS.setdefault(path, Words(path))
+    words = _WORDS.get((path, remembered)) or _WORDS.setdefault((path, remembered), Words(path, remembered))
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
@@ -172,8 +173,12 @@ def token_bytes(texts: pa.Array, path: str) -> Iterator[bytes]:
         at = stop
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """The token pieces of every document; with_ids adds their ids (array<int>)."""
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+    """The token pieces of every document; with_ids adds their ids (array<int>).
+
+    ``remembered`` words (twice as many at most, about 200 bytes each) are kept by a
+    Python worker: fewer cost time alone.
+    """
     last = int(end_id).to_bytes(4, "little")
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
@@ -182,7 +187,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             ids = batch.column("doc_id").to_pylist()
             texts = pc.fill_null(batch.column("text"), "")
             rows: list[tuple] = []
-            for doc_id, coded in zip(ids, token_bytes(texts, path), strict=True):
+            for doc_id, coded in zip(ids, token_bytes(texts, path, remembered), strict=True):
                 coded += last
                 for n, at in enumerate(range(0, len(coded), 4 * capacity)):
                     part = coded[at : at + 4 * capacity]
@@ -295,6 +300,6 @@ def pack(table: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIE
     return out.select(*names, "sequence_id", "offset", "gap")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
     """Tokenize, cut and pack ``docs``; one row for each piece."""
-    return pack(pieces(docs, path, capacity), capacity)
+    return pack(pieces(docs, path, capacity, remembered=remembered), capacity)
