@@ -91,6 +91,7 @@ BITS = {r.name: 1 << r.bit for r in RULES}
 POLICIES = {
     "base": ("few_words", "repeated_windows"),
     "v1": ("few_words", "repeated_windows", "symbols", "duplicate_lines", "short_words", "long_words"),
+    "v2": ("few_words", "repeated_windows", "symbols", "duplicate_lines", "short_words", "long_words", "many_words"),
 }
 DEFAULT_POLICY = "v1"
 

@@ -69,6 +69,41 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits")
 
 
+# What SQL can say of results that it cannot make: the contract columns it can compute, and each law as a truth.
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def fingerprint_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edited text; and whether equal texts, and only texts equal but for case and white space, have equal fingerprints."""
+    prints = op6_fingerprints(spark, sf_dir)
+    texts = read(spark, sf_dir, "documents").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
+    per_text = prints.join(texts, "doc_id").groupBy("t").agg(F.count_distinct("fingerprint").alias("n")).groupBy().agg(F.max("n").alias("most"))
+    return prints.select("doc_id", "n_chars", "edited_sha256").join(F.broadcast(per_text)).select("doc_id", "n_chars", "edited_sha256", (F.col("most") == 1).alias("equal_texts_agree"))
+
+
+def sharding_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records and bytes in all, and whether places are gapless and shards near equal."""
+    per = op8_sharding(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max("slot").alias("top"), F.count_distinct("slot").alias("places"), F.max("size").alias("largest"))
+    gapless = F.every((F.col("top") + 1 == F.col("n")) & (F.col("places") == F.col("n")))
+    near = F.max("bytes") - F.min("bytes") <= F.greatest(0.02 * F.avg("bytes"), F.max("largest"))
+    return per.agg(F.sum("n").alias("n_docs"), F.sum("bytes").alias("bytes"), F.count("*").alias("n_shards"), gapless.alias("gapless"), near.alias("near_equal"))
+
+
+def mixing_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's target, and whether what is taken comes within its largest document of it."""
+    taken = mixing.take(read(spark, sf_dir, "documents"))
+    per = taken.groupBy("source").agg(F.count("*").alias("n"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"), F.max("size").alias("largest"), F.max(F.col("taken") - 2 * F.col("size")).alias("over"))
+    near = (F.abs(F.col("taken") - F.col("target")) <= F.col("largest")) & (F.col("over") <= 0)
+    return per.select("source", "n", "source_size", (F.col("target") + 1.3e-6).cast("decimal(38,3)").cast("double").alias("target"), near.alias("near"))
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ablations(quality.ledger(read(spark, sf_dir, "documents")))
+
+
 def _shipped(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -78,7 +113,7 @@ def _shipped(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_token_counts, op2_pii, op3_warc, op4_chat_formatting, op5_packing, op6_fingerprints, op7_simhash, op8_sharding, op9_mixing, op10_quality_rules)
+    found = (op1_token_counts, op2_pii, op3_warc, op4_chat_formatting, op5_packing, op6_fingerprints, op7_simhash, op8_sharding, op9_mixing, op10_quality_rules, pii_base, fingerprint_law, sharding_law, mixing_law, quality_ablations)
     return {q.__name__: _shipped(q) for q in found}
 
 
@@ -157,4 +192,48 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
 from d join f using (s)
 """
 
-ORACLES: dict[str, str] = {"op3_warc": _WARC, "op4_chat_formatting": _CHAT, "op10_quality_rules": _QUALITY}
+_ABLATIONS = _QUALITY[: _QUALITY.rindex("select doc_id, n_words, word_chars")] + """
+select rule, count(*) filter (where (bits & bit) <> 0) as n_fail, count(*) filter (where (bits & 63) = bit) as n_fail_alone, count(*) filter (where (bits & 63 & ~bit) = 0) as n_kept_without
+from f, (values ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('duplicate_lines', 8), ('short_words', 16), ('long_words', 32)) r(rule, bit) group by rule
+"""
+
+#: Matches and what stands between them give places; a card's checksum doubles every second digit from the right.
+_PII = r"""
+with t as (select doc_id, coalesce(text, '') as t from documents),
+k as (select * from (values (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (2, 'ip', '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), (3, 'card', '[0-9](?:[\x20-]?[0-9])+'), (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')) k(n, kind, pattern)),
+f as (
+  select doc_id, n, kind, regexp_extract_all(t, pattern) as ms, list_transform(string_split_regex(t, pattern), lambda x: len(x)) as gaps from t, k),
+m as (
+  select doc_id, n, kind, unnest(ms) as m, unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(gaps[1:i]) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: len(x))), 0))) as start from f where len(ms) > 0),
+d as (select *, regexp_replace(m, '[^0-9]', '', 'g') as d from m),
+v as (
+  select * from d where case kind when 'email' then true when 'ip' then list_max(list_transform(string_split(m, '.'), lambda x: cast(x as hugeint))) <= 255
+    when 'card' then len(d) between 16 and 19 and list_sum(list_transform(range(1, len(d) + 1), lambda i: case when (len(d) - i) % 2 = 1 then (case when cast(d[i] as integer) > 4 then 2 * cast(d[i] as integer) - 9 else 2 * cast(d[i] as integer) end) else cast(d[i] as integer) end)) % 10 = 0
+    else len(d) between 8 and 15 end),
+g as (
+  select doc_id, count(*) filter (where kind = 'email') as n_email, count(*) filter (where kind = 'ip') as n_ip, count(*) filter (where kind = 'card') as n_card, count(*) filter (where kind = 'phone') as n_phone,
+         string_agg(kind || ':' || cast(start as bigint) || ':' || cast(start + len(m) as bigint), ',' order by n, start) as listed from v group by 1)
+select t.doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(listed, '')) as base_sha256 from t left join g using (doc_id)
+"""
+
+_EDITS = """
+with t as (select doc_id, coalesce(text, '') as t from documents),
+n as (select *, coalesce(lead(t) over (order by doc_id), first_value(t) over (order by doc_id)) as nt from t)
+select doc_id, length(t) as n_chars, sha256(left(t, length(t) - length(t) // 2) || left(nt, length(t) // 2)) as edited_sha256, true as equal_texts_agree from n
+"""
+
+_SHARDS = "select count(*) as n_docs, cast(sum(coalesce(octet_length(encode(text)), 0) + 8) as bigint) as bytes, least(24, count(*)) as n_shards, true as gapless, true as near_equal from documents"
+
+#: Sources in the order in which they reach twice their size; the level at which the rest stands.
+_MIX = r"""
+with s as (select source, count(*) as n, cast(sum(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)) as bigint) as size from documents group by 1),
+w as (select *, [3.0, 1.0, 2.0][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight, 2.0 * size as cap from s),
+l as (select *, (1.5 * sum(size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level, row_number() over (order by cap / weight, source nulls last) as k from w),
+r as (select min(k) as k from l where level * weight < cap)
+select source, n, size as source_size, cast(cast(case when level * weight >= cap or (select k from r) is null then cap else (select level from l, r where l.k = r.k) * weight end + 1.3e-6 as decimal(38,3)) as double) as target, true as near from l
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_warc": _WARC, "op4_chat_formatting": _CHAT, "op10_quality_rules": _QUALITY,
+    "pii_base": _PII, "fingerprint_law": _EDITS, "sharding_law": _SHARDS, "mixing_law": _MIX, "quality_ablations": _ABLATIONS,
+}

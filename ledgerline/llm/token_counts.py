@@ -12,13 +12,14 @@ wins. A character that is no piece costs the lowest score less 10, and as many
 pieces as it has UTF-8 bytes.
 
 Defined results: null and empty texts have 0 tokens; rows are independent, so
-ties, repeated rows and extra columns (not read) change nothing; an empty table
+ties, repeated rows and extra columns (passed on) change nothing; an empty table
 gives an empty result; texts are counted whole. Segments are remembered up to a
 bounded number and length for each worker, which changes speed alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -117,19 +118,19 @@ class Counter(dict):
         return total
 
 
-_COUNTERS: dict[int, Counter] = {}
+_COUNTERS: dict[str, Counter] = {}
 
 
 def with_counts(docs: DataFrame, pieces: list[tuple[str, float]], text: str = "text", into: str = "n_tokens") -> DataFrame:
-    """``docs`` with the token count of ``text`` under the unigram vocabulary ``pieces``.
+    """``docs`` with the token count of ``text`` under the unigram vocabulary ``pieces``; a column named ``into`` is replaced.
 
     The vocabulary is broadcast: its size is the vocabulary file's, whatever the input.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    key = hashlib.sha256(repr(pieces).encode("utf-8", "surrogatepass")).hexdigest()
 
     @F.arrow_udf(T.LongType())
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        key = hash(tuple(shared.value[-50:])) ^ len(shared.value)
         counter = _COUNTERS.get(key)
         if counter is None:
             counter = _COUNTERS.setdefault(key, Counter(shared.value))
