@@ -37,10 +37,15 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def purge(spark: SparkSession | None = None) -> None:
-    """Delete the staging tables; frames that still read them must be written before."""
-    for owner, path in list(_STAGED):
-        if spark is not None and owner is not spark:
+def staged() -> int:
+    """How many staging tables there are: a mark for ``purge``."""
+    return len(_STAGED)
+
+
+def purge(spark: SparkSession | None = None, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the staging tables made after a mark, but those with a label of ``keep``; frames that still read the others must be written before."""
+    for owner, path in _STAGED[since:]:
+        if spark is not None and owner is not spark or any(path.rsplit("/", 1)[1].startswith(k) for k in keep):
             continue
         _STAGED.remove((owner, path))
         try:
