@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import bitfilter
 from .common import WORD, fresh_name, numbered, stash
 
 #: Weights of the sources in order, repeating; the share of all words that the mix has.
@@ -78,14 +79,18 @@ def _tie(seed: int) -> Column:
     return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull(), "source", F.lit(seed))
 
 
+def _key(tie: Column, copy: Column, step: Column) -> Column:
+    uniform = (F.shiftrightunsigned(F.xxhash64(tie, copy), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    return -F.log(uniform) / (step / STEPS)
+
+
 def _keyed(docs: DataFrame, seed: int) -> DataFrame:
     """doc_id, source, size, step, tie, copy, copies and key; equal documents are counted before they move and numbered after."""
     text = F.coalesce("text", F.lit(""))
     each = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), quality_step(text).alias("step"), _tie(seed).alias("tie"))
     counted = each.groupBy("doc_id", "source", "size", "step", "tie").agg(F.count("*").alias("copies"))
     each = numbered(counted.withColumn("n", F.col("copies")), "n", "copy")
-    uniform = (F.shiftrightunsigned(F.xxhash64("tie", "copy"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    return each.withColumn("key", -F.log(uniform) / (F.col("step") / STEPS))
+    return each.withColumn("key", _key(F.col("tie"), F.col("copy"), F.col("step")))
 
 
 def key_rank(key: Column, shares: Column) -> Column:
@@ -95,7 +100,7 @@ def key_rank(key: Column, shares: Column) -> Column:
 
 
 def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = 9) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words) and epochs_taken of every document, with its slice, tie and copy."""
+    """doc_id, source, size, source_size, target, taken (words) and epochs_taken of every document, with its slice, key, tie and copy."""
     base = stash(_keyed(docs, seed), "mix-keys")
     by_step = [F.avg((F.col("step") == k + 1).cast("double")) for k in range(STEPS)]
     sizes = stash(base.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"), F.array(*by_step).alias("shares")), "mix-sources")
@@ -115,17 +120,39 @@ def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     # Within the budget, or across it by less than half of the document.
     picked = (F.col("whole") < epochs) & (F.col("size") > 0) & (upto - F.col("size") / 2.0 < budget)
     done = summed.withColumn("whole", whole).withColumn("epochs_taken", F.col("whole") + picked.cast("int"))
-    return done.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("epochs_taken")).cast("long").alias("taken"), "epochs_taken", "slice", "tie", "copy", "copies")
+    return done.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("epochs_taken")).cast("long").alias("taken"), "epochs_taken", "whole", "slice", "key", "tie", "copy", "copies")
 
 
 def mix(docs: DataFrame, seed: int = 9, **how) -> DataFrame:
-    """The mixed documents: each row as often as it is taken, with its own columns."""
-    n, of, tie = fresh_name(docs, "times"), fresh_name(docs, "copies"), fresh_name(docs, "tie")
-    taken = take(docs, seed=seed, **how).where("epochs_taken > 0").groupBy("tie").agg(F.sum("epochs_taken").alias(n), F.max("copies").alias(of)).withColumnRenamed("tie", tie)
-    taken = stash(taken, "mix-taken")
-    rows = docs.withColumn(tie, _tie(seed)).join(taken, tie)
-    if taken.where(F.col(of) > 1).limit(1).count():
-        # Equal documents: their rows are numbered, and the first ones take what does not divide evenly.
+    """The mixed documents: each row as often as it is taken, with its own columns.
+
+    What is picked of a source is all up to some place in its order, so the place is
+    all that a row needs to know: a row for each source is broadcast, and no text
+    moves. Only rows that are equal to another one meet it, to share what they are taken.
+    """
+    names = {n: fresh_name(docs, n) for n in ("times", "tie", "at", "whole", "last", "of", "in")}
+    times, tie, at, whole, last, of = (names[n] for n in ("times", "tie", "at", "whole", "last", "of"))
+    taken = stash(take(docs, seed=seed, **how), "mix-taken")
+    order = F.struct("key", "tie", "doc_id", "copy")
+    per = taken.groupBy(F.col("source").alias(names["in"])).agg(F.max("whole").alias(whole), F.max(F.when(F.col("epochs_taken") > F.col("whole"), order)).alias(last))
+    per = stash(per, "mix-places")
+    per = F.broadcast(per) if per.count() <= 10_000 else per
+    keyed = docs.withColumn(tie, _tie(seed))
+    again = stash(taken.where("copies > 1").groupBy(F.col("tie").alias(tie)).agg(F.sum("epochs_taken").alias(times), F.max("copies").alias(of)), "mix-again")
+    if again.limit(1).count():
+        log2_bits = bitfilter.bits_for(again.count())
+        table = stash(bitfilter.build(again, tie, log2_bits), "mix-filter")
+        keyed = bitfilter.flagged(keyed, F.col(tie), table, at, log2_bits)
+        met = keyed.where(at).join(again, tie, "left")
+        single, equal = keyed.where(~F.col(at)).drop(at).unionByName(met.where(F.col(of).isNull()).drop(at, of, times)), met.where(F.col(of).isNotNull())
         place = F.row_number().over(Window.partitionBy(tie).orderBy(tie))
-        rows = rows.withColumn(n, F.floor(F.col(n) / F.col(of)) + (place <= F.col(n) % F.col(of)).cast("int")).where(F.col(n) > 0)
-    return rows.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
+        equal = equal.withColumn(times, (F.floor(F.col(times) / F.col(of)) + (place <= F.col(times) % F.col(of)).cast("int")).cast("int"))
+    else:
+        single, equal = keyed, None
+    placed = single.join(per, F.col("source").eqNullSafe(F.col(names["in"])))
+    own = F.struct(_key(F.col(tie), F.lit(1).cast("long"), quality_step(F.coalesce("text", F.lit("")))).alias("key"), F.col(tie).alias("tie"), F.col("doc_id").alias("doc_id"), F.lit(1).cast("long").alias("copy"))
+    words = size_of(F.col("text")) > 0  # what has none is never picked, though it stands in the order
+    placed = placed.withColumn(times, F.col(whole) + F.when(F.col(last).isNotNull() & words & (own <= F.col(last)), 1).otherwise(0))
+    rows = placed.select(*docs.columns, times)
+    rows = rows if equal is None else rows.unionByName(equal.select(*docs.columns, times))
+    return rows.where(F.col(times) > 0).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

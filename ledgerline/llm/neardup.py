@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import components
+from ..staging import purge, staged
 from . import bitfilter
 from .common import fresh_name, stash, trim_memory
 from .simhash import BLOCK, buckets, close_pairs, dealt
@@ -270,7 +271,7 @@ def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
 def survivors(docs: DataFrame) -> DataFrame:
     """One row of each class, with its own columns only."""
-    row, mark = fresh_name(docs, "row"), fresh_name(docs, "mark")
+    row, mark, since = fresh_name(docs, "row"), fresh_name(docs, "mark"), staged()
     held = stash(docs.select(*docs.columns, F.monotonically_increasing_id().alias(row), marks(F.col("text")).alias(mark)), "neardup-rows")
     rows = held.select(F.col(row).alias("row"), "doc_id", "text", *[F.col(f"{mark}.{c}").alias(c) for c in ("node", "n", "fp", "bands")])
     least = stash(rows.groupBy("node").agg(F.min("row").alias("row")), "neardup-nodes")
@@ -283,8 +284,10 @@ def survivors(docs: DataFrame) -> DataFrame:
     stay = best.join(named, "node").groupBy("label").agg(F.min("best").alias("best")).select("best.row")
     gone = stash(rows.select("row").join(stay, "row", "left_anti").select(F.col("row").alias(row)), "neardup-gone")
     # Rows that surely stay are passed on where they are; only the others move to meet the list of those that go.
-    keys = stash(gone.select(F.xxhash64(row).alias("key")), "neardup-keys")
-    log2_bits = bitfilter.bits_for(keys.count())
-    marked = bitfilter.flagged(held.drop(mark), F.xxhash64(row), stash(bitfilter.build(keys, "key", log2_bits), "neardup-filter"), fresh_name(docs, "may"), log2_bits)
+    keys = gone.select(F.xxhash64(row).alias("key"))
+    log2_bits = bitfilter.bits_for(gone.count())
+    table = stash(bitfilter.build(keys, "key", log2_bits), "neardup-may")
+    purge(docs.sparkSession, since, keep=("neardup-rows", "neardup-gone", "neardup-may"))
+    marked = bitfilter.flagged(held.drop(mark), F.xxhash64(row), table, fresh_name(docs, "may"), log2_bits)
     may = F.col(fresh_name(docs, "may"))
     return marked.where(~may).select(*docs.columns).unionByName(marked.where(may).join(gone, row, "left_anti").select(*docs.columns))
