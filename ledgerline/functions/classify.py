@@ -63,6 +63,26 @@ def band(score: Column) -> Column:
     return F.when(score >= HIGH, "high").when(score >= MEDIUM, "medium").otherwise("low")
 
 
+# What a score's parts are called in its reasons.
+REASONS = {
+    "class": "{class} (+{weight})",
+    "wire": "carried by a wire (+12)",
+    "outlets": "{n} outlets (+{bonus})",
+    "aggregators": "aggregators only (-18)",
+    "held": "open position (+15)",
+    "peer": "about peer {peer} (-12)",
+    "price_move": "bare price move, capped at {cap}",
+    "noise": "headline is advice, churn or PR filler",
+}
+
+
+def _reason(name: str, **values: Column) -> Column:
+    text = F.lit(REASONS[name])
+    for mark, value in values.items():
+        text = F.replace(text, F.lit("{" + mark.rstrip("_") + "}"), value.cast("string"))
+    return text
+
+
 def assess(event_class: Column, sources: Column, held: Column, peer_of: Column) -> Column:
     """Struct of score, band and reasons of a story (class of its title, outlets of all its copies)."""
     weight = F.element_at(F.create_map(*[x for k, v in CLASS_WEIGHTS.items() for x in (F.lit(k), F.lit(v))]), event_class)
@@ -77,15 +97,11 @@ def assess(event_class: Column, sources: Column, held: Column, peer_of: Column)
     capped = F.when(move, F.least(total, F.lit(HIGH - 1))).otherwise(total)
     score = F.when(event_class == "noise", 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), capped))).cast("int")
     reasons = F.array_compact(F.array(
-        F.concat(event_class, F.lit(" (+"), weight.cast("string"), F.lit(")")),
-        F.when(wire, "carried by a wire (+12)"),
-        F.when(n > 1, F.concat(n.cast("string"), F.lit(" outlets (+"), bonus.cast("string"), F.lit(")"))),
-        F.when(only, "aggregators only (-18)"),
-        F.when(held, "open position (+15)"),
-        F.when(peer_of.isNotNull(), F.concat(F.lit("about peer "), peer_of, F.lit(" (-12)"))),
-        F.when(move, f"bare price move, capped at {HIGH - 1}"),
+        _reason("class", class_=event_class, weight=weight),
+        F.when(wire, _reason("wire")), F.when(n > 1, _reason("outlets", n=n, bonus=bonus)), F.when(only, _reason("aggregators")),
+        F.when(held, _reason("held")), F.when(peer_of.isNotNull(), _reason("peer", peer=peer_of)), F.when(move, _reason("price_move", cap=F.lit(HIGH - 1))),
     ))
-    return F.struct(score.alias("score"), band(score).alias("band"), F.when(event_class == "noise", F.array(F.lit("headline is advice, churn or PR filler"))).otherwise(reasons).alias("reasons"))
+    return F.struct(score.alias("score"), band(score).alias("band"), F.when(event_class == "noise", F.array(_reason("noise"))).otherwise(reasons).alias("reasons"))
 
 
 def mentions(title: Column, ticker: Column, names: Column) -> Column:

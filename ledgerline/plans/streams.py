@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.state import Versioned
 from ..session import read
+from ..staging import staging_path
 from ..streaming import ingest
 from . import adapters as a
 from .registry import query
 
 
-def _folder(spark: SparkSession) -> str:
-    """A fresh folder: under the shared one where that is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerline-")
-    return f"{base.rstrip('/')}/ledgerline/stream-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     """The events table as a stream of its files."""
     return ingest.landing(spark, f"{sf}/events*.parquet", read(spark, sf, "events").schema)
@@ -28,7 +20,7 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 def _final(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """The complete result after the last batch, as a table."""
-    at = _folder(spark)
+    at = staging_path(spark, "stream")
     query = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/out")).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
@@ -49,7 +41,7 @@ def stream_sessions(spark, sf):
 @query("select event_id, event_type, value from events")
 def stream_ingest(spark, sf):
     """Ingested twice: the second time adds nothing."""
-    at = _folder(spark)
+    at = staging_path(spark, "stream")
     table = Versioned(spark, f"{at}/table", "event_id long, event_type string, value double")
     for n in range(2):
         ingest.into(_events(spark, sf), f"{at}/checkpoint{n}", ingest.absent_into(table, ["event_id"]))
