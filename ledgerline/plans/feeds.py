@@ -73,18 +73,30 @@ def story_domains(spark, sf):
     return cluster.stories(n, cluster.cluster(n, "category"))
 
 
-#: Headlines made of the classified words, for the documents' titles are not in English.
-_VERBS = ("raises guidance", "beats estimates", "to acquire rival", "faces lawsuit", "wins contract with city", "announces buyback", "ceo offloads property", "names new ceo", "launches platform", "price target raised", "stock rises", "holds a meeting", "vs. others", "preview of things", "Is it over", "market size to reach 2030")
-_EXPECT = ("guidance", "earnings", "ma", "legal_regulatory", "contract", "capital", "insider", "leadership", "product", "analyst", "price_move", "unclassified", "noise", "noise", "noise", "noise")
-_HEAD = "h as (select p_partkey as id, cast(p_partkey % 16 as integer) as k, (['" + "','".join(_EXPECT) + "'])[p_partkey % 16 + 1] as event_class from part)"
+#: Headlines with their class, one for each way in which a class is told, for the documents' titles are not in English.
+_TOLD = {
+    "noise": ("5 top stocks to own now", "Better buy: Acme or Bolt", "Acme vs. Bolt", "Should you buy Acme", "Is it time to worry", "A bold prediction for Acme", "Where will Acme be in a year", "A buy-rated name", "Best chip stocks of the year", "The millionaire-maker share", "A multi-billionaire adds more", "Meet the new Acme", "The daughter of the founder speaks", "Acme shares acquired by Bolt Fund", "Bolt Fund trims Acme stake", "Bolt takes a new position in Acme", "Bolt makes a new investment", "Bolt has a stock position in Acme", "A position in Acme held by Bolt LLC", "Short interest grows in Acme", "Acme at a 52-week low", "Bolt LLC buys more Acme", "Acme earnings preview", "Countdown to the launch", "Ahead of Acme earnings day", "What to watch in chips", "Acme nears buy point", "Weekly wrap for chips", "A deep dive into Acme", "Stock forecasts for Acme", "Three things to know of Acme", "This could send the stock higher", "An event on chips", "Why Acme matters", "Chip market size forecast to 2030", "Growth at a CAGR of ten", "Chip market to reach new highs", "12 billion chip market", "Global chip market report", "", "   "),
+    "guidance": ("Acme raises full-year outlook", "Acme guidance was raised", "Acme warns on demand", "Acme in profit warning"),
+    "earnings": ("Acme beats estimates", "Acme Q3 revenue is here", "Acme posts a loss", "Acme sees record quarter", "Acme revenue rose sharply"),
+    "ma": ("Acme to acquire Bolt", "Acme agrees to buy Bolt", "Acme in talks on a stake", "Fund discloses a stake in Acme", "Acme plans a spin-off", "Acme divests a unit"),
+    "legal_regulatory": ("SEC opens probe into Acme", "Ministry launches an investigation", "New export controls for chips", "Tariffs hit Acme", "Acme settlement reached", "Regulator approves FDA plan", "City bans Acme scooters"),
+    "contract": ("Acme wins a navy order", "A US$3 billion order for Acme", "Acme partners with Bolt", "Acme in partnership talks", "Acme supply agreement stands"),
+    "capital": ("Acme starts a buyback", "Acme dividend increases again", "Acme offering of notes", "Acme stock split is on", "Acme lock-up ends", "Acme shares may be subject to a charge", "Acme IPO is near", "Acme convertible notes out"),
+    "insider": ("Acme director offloads shares of his", "Insider selling at Acme", "Acme files form 4"),
+    "leadership": ("Acme CEO steps down", "Acme appoints chief of staff", "Executive shake-up at Acme"),
+    "product": ("Acme unveils a chip", "Acme next-gen wafers", "Acme rolls out fibre", "Acme begins shipping"),
+    "analyst": ("Bank downgrades Acme", "New price target for Acme", "Bank cuts Acme PT", "Acme keeps its buy rating"),
+    "price_move": ("Acme stock slides", "Acme surges by 12.5%", "Acme hits a record high", "Acme has doubled", "Acme trades at 20% below peers"),
+    "unclassified": ("Acme holds a meeting", "Acme opens a canteen", "Börse öffnet"),
+}
+_TITLES = [(title, name) for name, titles in _TOLD.items() for title in titles]
+_HEAD = "h as (select p_partkey as id, (['" + "','".join(name for _, name in _TITLES) + f"'])[p_partkey % {len(_TITLES)} + 1] as event_class from part)"
 
 
 def _headlines(spark, sf):
     p = read(spark, sf, "part")
-    k = (F.col("p_partkey") % 16).cast("int")
-    verb = F.element_at(F.array(*[F.lit(v) for v in _VERBS]), k + 1)
-    question = F.when(k == 14, verb).otherwise(F.concat(F.lit("Acme "), verb))
-    return p.select(F.col("p_partkey").alias("id"), question.alias("title"))
+    title = F.element_at(F.array(*[F.lit(t) for t, _ in _TITLES]), (F.col("p_partkey") % len(_TITLES) + 1).cast("int"))
+    return p.select(F.col("p_partkey").alias("id"), title.alias("title"))
 
 
 @query(f"with {_HEAD} select id, event_class from h")
