@@ -37,7 +37,7 @@ from .common import stash, trim_memory
 
 CAPACITY = 4096
 END_ID = 1
-REMEMBERED = 325_000
+REMEMBERED = 450_000
 REMEMBERED_CHARS = 64
 #: Bytes of text looked up together.
 AT_ONCE = 4 << 20
