@@ -67,10 +67,11 @@ def cluster_stories(spark, sf):
     return cluster.cluster(_signed(spark, sf), "category")
 
 
-@query(_recursive(", j as (select c.story_id, n.id, n.source, n.title, n.source || '.example.com' as domain from c join v_news n using (id)), f as (select story_id, domain, min(id) as first_id from j group by 1, 2), g as (select story_id, list(domain order by first_id) as domains from f group by 1) select j.story_id, count(*) as n, count(distinct source) as n_sources, list(id order by id) as ids, any_value(domains) as domains, arg_min(title, id) as title from j join g using (story_id) group by 1"))
+@query(_recursive(", j as (select c.story_id, n.id, n.source, n.title, n.source || '.example.com' as domain from c join v_news n using (id)), f as (select story_id, domain, min(id) as first_id from j group by 1, 2), g as (select story_id, string_agg(domain, ',' order by first_id) as domains from f group by 1) select j.story_id, count(*) as n, count(distinct source) as n_sources, string_agg(cast(id as varchar), ',' order by id) as ids, any_value(domains) as domains, arg_min(title, id) as title from j join g using (story_id) group by 1"))
 def story_domains(spark, sf):
     n = _signed(spark, sf).withColumn("domain", text.domain_of(F.col("url")))
-    return cluster.stories(n, cluster.cluster(n, "category"))
+    found = cluster.stories(n, cluster.cluster(n, "category"))
+    return found.withColumns({"ids": F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), "domains": F.array_join("domains", ",")})
 
 
 #: Headlines with their class, one for each way in which a class is told, for the documents' titles are not in English.

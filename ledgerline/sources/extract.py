@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -228,6 +229,14 @@ def newest_publication(pages: DataFrame, heading: str, window: int = 240) -> Dat
     return found.select("url", "b.href", (F.col("b.year") * 4 + F.col("b.month") / 3).cast("int").alias("q_index"), problem.alias("problem"))
 
 
+# The summary page's labels, the shape of its figures, its total in prose, its place, the height of a row.
+FIGURES = {"land_ready": "已批出土地上可隨時動工的單位數目", "being_built": "建築中的單位數目", "built_not_sold": "已落成但未售出的單位數目"}
+NUMBER = r"^[\d,]*\d$"
+PRINTED_TOTAL = r"(?s)未來三至四年間.*?([\d,]+)\s*伙"
+FIGURES_PAGE = 1
+ROW_HEIGHT = 8.0
+
+
 def figure_for_label(rows: DataFrame, page: list[str], label: str) -> DataFrame:
     """The first number to the right of a label in its row (``rows``: page columns, row, text, x0, x1)."""
     from pyspark.sql import Window
@@ -236,5 +245,58 @@ def figure_for_label(rows: DataFrame, page: list[str], label: str) -> DataFrame:
     prefix = F.array_join(F.collect_list("text").over(w), "")
     seen = rows.withColumn("__end", F.when(F.contains(prefix, F.lit(label)), F.col("x1")))
     ended = seen.withColumn("__from", F.min("__end").over(Window.partitionBy(*page, "row")))
-    numbers = ended.where((F.col("x0") >= F.col("__from")) & F.col("text").rlike(r"^\d{1,3}(,\d{3})*$|^\d+$"))
+    numbers = ended.where((F.col("x0") >= F.col("__from")) & F.col("text").rlike(NUMBER))
     return numbers.groupBy(*page).agg(F.regexp_replace(F.min_by("text", F.struct("row", "x0")), ",", "").cast("int").alias("figure"))
+
+
+def summary_figures(words: DataFrame, document: list[str]) -> DataFrame:
+    """The three figures of each document's summary page, and what is missing.
+
+    ``words``: document columns, text, x0, x1, top, bottom. Words are put into visual
+    rows by their centres; a figure is the first number to the right of its label, in
+    the first row that holds the label.
+    """
+    from pyspark.sql import Window
+
+    centre = (F.col("top") + F.col("bottom")) / 2
+    w = Window.partitionBy(*document).orderBy("__centre", "x0")
+    placed = words.withColumn("__centre", centre)
+    placed = placed.withColumn("__new", F.when(F.col("__centre") - F.lag("__centre").over(w) > ROW_HEIGHT, 1).otherwise(0))
+    placed = placed.withColumn("__row", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = placed.groupBy(*document, "__row").agg(F.sort_array(F.collect_list(F.struct("x0", "x1", "text"))).alias("__w"))
+    rows = rows.withColumn("__t", F.transform("__w", lambda x: x["text"])).withColumn("__line", F.array_join("__t", ""))
+
+    def figure(label: str) -> Column:
+        done = F.filter(F.transform("__w", lambda x, i: F.when(F.contains(F.array_join(F.slice("__t", 1, i + 1), ""), F.lit(label)), x["x1"])), lambda x: x.isNotNull())
+        right = F.filter("__w", lambda x: (x["x0"] >= F.get(done, F.lit(0))) & x["text"].rlike(NUMBER))
+        number = F.regexp_replace(F.get(F.transform(right, lambda x: x["text"]), F.lit(0)), ",", "").try_cast("int")
+        return F.min(F.when(F.contains("__line", F.lit(label)), F.struct(F.col("__row").alias("row"), number.alias("figure"))))
+
+    per = rows.groupBy(*document).agg(*[figure(label).alias(name) for name, label in FIGURES.items()])
+    missing = [F.when(F.col(n).isNull(), f"no label for {n}").when(F.col(f"{n}.figure").isNull(), f"no figure for {n}") for n in FIGURES]
+    return per.select(*document, *[F.col(f"{n}.figure").alias(n) for n in FIGURES], F.nullif(F.concat_ws("; ", *missing), F.lit("")).alias("problem"))
+
+
+def printed_total(text: Column) -> Column:
+    """The total that the page states in a sentence; null where it states none."""
+    return F.regexp_replace(F.regexp_extract(text, PRINTED_TOTAL, 1), ",", "").try_cast("int")
+
+
+def pdf_words(files: DataFrame, page: int = FIGURES_PAGE) -> DataFrame:
+    """The words of one page of landed PDF files (path, content); needs pdfplumber on driver and executors."""
+    if importlib.util.find_spec("pdfplumber") is None:
+        raise ModuleNotFoundError("pdf_words needs pdfplumber; word boxes from elsewhere go to summary_figures as they are")
+
+    def words(batches):
+        import io
+
+        import pandas as pd
+        import pdfplumber
+
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                with pdfplumber.open(io.BytesIO(content)) as pdf:
+                    found = pdf.pages[page].extract_words() if len(pdf.pages) > page else []
+                yield pd.DataFrame([(path, x["text"], float(x["x0"]), float(x["x1"]), float(x["top"]), float(x["bottom"])) for x in found], columns=["path", "text", "x0", "x1", "top", "bottom"])
+
+    return files.select("path", "content").mapInPandas(words, "path string, text string, x0 double, x1 double, top double, bottom double")

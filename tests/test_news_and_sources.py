@@ -241,3 +241,26 @@ def test_scans(spark):
     now = F.lit("2026-01-01 12:30:00").cast("timestamp_ntz")
     assert [r.source for r in scans.throttled(state, sources, now).collect()] == ["a"]
     assert spark.createDataFrame([("0700.HK",), ("AAPL",), ("7203.T",)], "t string").select(scans.market_of(F.col("t"))["market"].alias("m")).collect()[0].m == "HK"
+
+
+def test_summary_figures(spark):
+    def row(doc, y, *words):
+        return [(doc, t, float(x), x + 9.0, y + d, y + d + 4.0) for (x, t), d in zip(words, (0.0, 3.0, 1.0, 2.0), strict=False)]
+
+    land, built, ready = extract.FIGURES.values()
+    rows = row("a", 10, (0, "(二)"), (10, land[:5]), (20, land[5:]), (60, "16,000")) + row("a", 40, (5, "1"), (10, built), (50, "78,000"), (70, "9")) + row("a", 70, (10, ready), (50, "11,000"))
+    rows += row("b", 10, (10, land), (5, "3")) + row("b", 40, (10, built), (50, "7,000"))
+    df = spark.createDataFrame(rows, "doc string, text string, x0 double, x1 double, top double, bottom double")
+    got = {r.doc: r for r in extract.summary_figures(df, ["doc"]).collect()}
+    assert (got["a"].land_ready, got["a"].being_built, got["a"].built_not_sold, got["a"].problem) == (16000, 78000, 11000, None)
+    assert got["b"].being_built == 7000 and got["b"].problem == "no figure for land_ready; no label for built_not_sold"
+    text = spark.createDataFrame([("未來三至四年間，\n約有 105,000 伙",), ("none",)], "t string").select(extract.printed_total(F.col("t")).alias("n"))
+    assert [r.n for r in text.collect()] == [105000, None]
+
+
+def test_pdf_words_say_what_they_need(spark):
+    import importlib.util
+
+    if importlib.util.find_spec("pdfplumber") is None:
+        with pytest.raises(ModuleNotFoundError, match="pdfplumber"):
+            extract.pdf_words(spark.createDataFrame([], "path string, content binary"))
