@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import BUCKETS, bucket_order, day_shift, duration, hour_bucket
+from ..functions.dates import BUCKETS, bucket_order, day_shift, duration, hour_bucket, to_24h
 from .rollup import first_of
 
 # Currencies as a label says them, airports of cities.
@@ -132,9 +132,8 @@ def _short(text: Column, parts: Column) -> Column:
             left = F.regexp_replace(left, pattern, " ")
         name = F.regexp_replace(left, r"^[ .,;:-]+|[ .,;:-]+$", "")
         plane = F.concat(F.regexp_extract(rest, FLIGHT, 1), F.regexp_extract(rest, FLIGHT, 2))
-        clock = _let(F.split(F.regexp_replace(f[0], r"(?i)\s*([AP]M)", " $1"), " "), lambda c: _clock(c[0], c[1]))
         return _leg(
-            origin=F.upper(f[1]), dest=F.upper(f[2]), depart_time=clock, arrive_time=F.lit(None), day_shift=F.lit(0),
+            origin=F.upper(f[1]), dest=F.upper(f[2]), depart_time=to_24h(f[0]), arrive_time=F.lit(None), day_shift=F.lit(0),
             duration_min=F.coalesce(_hours_minutes(F.regexp_extract(rest, SHORT_DURATION, 0)), F.lit(0)), stops=F.coalesce(F.regexp_extract(rest, SHORT_STOPS, 1).try_cast("int"), F.lit(0)),
             airline=_let(F.struct(name.alias("n"), plane.alias("p")), lambda x: F.when(x["n"] != "", x["n"]).when(x["p"] != "", F.substring(x["p"], 1, 2)).otherwise("Unknown")), flight_no=F.nullif(plane, F.lit("")),
         )
