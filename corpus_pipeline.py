@@ -59,7 +59,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     ship(spark)
     # Workers hold what earlier stages left them, so fewer words than op5 remembers.
-    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), remembered=120_000)
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), remembered=50_000)
 
 
 STAGES = [
