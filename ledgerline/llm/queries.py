@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.session import read, ship
 
-from . import chat, fingerprints, mixing, packing, pii, quality, sharding, simhash, token_counts, warc
+from . import chat, fingerprints, mixing, packing, pii, quality, sharding, simhash, timestamps, token_counts, variants, warc
 from .common import staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits")
 
 
+def op11_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timestamps.normalise(read(spark, sf_dir, "stamps")).select("stamp_id", "utc_us", "rule", "ambiguous")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(read(spark, sf_dir, "documents"))
+
+
 # What SQL can say of results that it cannot make: the contract columns it can compute, and each law as a truth.
 
 
@@ -113,7 +121,7 @@ def _shipped(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_token_counts, op2_pii, op3_warc, op4_chat_formatting, op5_packing, op6_fingerprints, op7_simhash, op8_sharding, op9_mixing, op10_quality_rules, pii_base, fingerprint_law, sharding_law, mixing_law, quality_ablations)
+    found = (op1_token_counts, op2_pii, op3_warc, op4_chat_formatting, op5_packing, op6_fingerprints, op7_simhash, op8_sharding, op9_mixing, op10_quality_rules, op11_timestamps, op12_spelling_variants, pii_base, fingerprint_law, sharding_law, mixing_law, quality_ablations)
     return {q.__name__: _shipped(q) for q in found}
 
 
@@ -233,7 +241,89 @@ r as (select min(k) as k from l where level * weight < cap)
 select source, n, size as source_size, cast(cast(case when level * weight >= cap or (select k from r) is null then cap else (select level from l, r where l.k = r.k) * weight end + 1.3e-6 as decimal(38,3)) as double) as target, true as near from l
 """
 
+#: The offset a day before and a day after tell whether, and how, a wall time stands at a change.
+_STAMPS = r"""
+with s as (select stamp_id, source, zone, trim(raw, E' \t\n\x0b\f\r') as t from stamps),
+m as (
+  select *, '(?:[T\x20]([0-9]{2}):([0-9]{2})(?::([0-9]{2}))?(?:\x20?([AP]M))?(?:\x20?(Z|[+-][0-9]{2}:?[0-9]{2}))?)?' as clock from s),
+f as (
+  select stamp_id, source, zone, t, case
+    when regexp_full_match(t, '20[0-9]{2}-[0-9]{2}-[0-9]{2}' || clock) then [t[1:4], t[6:7], t[9:10], t[11:]]
+    when regexp_full_match(t, '20[0-9]{6}' || clock) then [t[1:4], t[5:6], t[7:8], t[9:]]
+    when regexp_full_match(t, '[0-9]{2}\.[0-9]{2}\.20[0-9]{2}' || clock) then [t[7:10], t[4:5], t[1:2], t[11:]]
+    when regexp_full_match(t, '[0-9]{2}\x20(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\x2020[0-9]{2}' || clock)
+      then [t[8:11], cast(list_position(['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'], t[4:6]) as varchar), t[1:2], t[12:]]
+    when regexp_full_match(t, '[0-9]{2}/[0-9]{2}/20[0-9]{2}' || clock) then [t[7:10], t[4:5], t[1:2], t[11:]] end as d,
+    regexp_full_match(t, '[0-9]{2}/.*') as slash,
+    case when regexp_full_match(t, '[0-9]{10}') then cast(t as bigint) * 1000000 when regexp_full_match(t, '[0-9]{13}') then cast(t as bigint) * 1000 end as epoch_us
+  from m),
+c as (
+  select *, cast(nullif(d[4][2:3], '') as int) as h, cast(nullif(d[4][5:6], '') as int) as mi,
+    case when d[4][7:7] = ':' then cast(d[4][8:9] as int) else 0 end as sec, regexp_extract(d[4], '([AP]M)', 1) as half, regexp_extract(d[4][5:], '(Z|[+-].*)$', 1) as off
+  from f),
+k as (
+  select *, case when d is null then null when d[4] = '' then 0 when mi > 59 or sec > 59 then null
+      when half = '' then case when h <= 23 then h * 3600 + mi * 60 + sec end
+      when h between 1 and 12 then (h % 12 + case half when 'PM' then 12 else 0 end) * 3600 + mi * 60 + sec end as clock,
+    case when off = 'Z' then 0 when off = '' then null when cast(off[2:3] as int) <= 14 and cast(right(off, 2) as int) <= 59
+      then (cast(off[2:3] as int) * 60 + cast(right(off, 2) as int)) * 60 * case when off[1:1] = '-' then -1 else 1 end end as shift
+  from c),
+p as (
+  select *, case when (off = '' or shift is not null) and (shift is not null or zone in (select name from pg_timezone_names()))
+      then try_cast(d[1] || '-' || lpad(d[2], 2, '0') || '-' || d[3] as timestamp) + to_seconds(clock) end as dm,
+    case when slash and (off = '' or shift is not null) and (shift is not null or zone in (select name from pg_timezone_names()))
+      then try_cast(d[1] || '-' || d[3] || '-' || d[2] as timestamp) + to_seconds(clock) end as md
+  from k),
+v as (
+  select source, count(*) filter (where slash and dm is not null and md is null) as dms, count(*) filter (where slash and dm is null and md is not null) as mds from p group by 1),
+r as (
+  select p.*, dms, mds, coalesce(dm <> md, false) as undecided,
+    case when coalesce(dm <> md, false) then case when dms > mds then dm else md end else coalesce(dm, md) end as wall
+  from p join v on p.source is not distinct from v.source),
+o as (
+  select *, case when wall is not null and shift is null then zone end as z, epoch(wall) as w from r),
+e as (
+  select *, epoch(timezone(z, make_timestamptz(cast((w - 86400) * 1000000 as bigint)))) - (w - 86400) as before,
+    epoch(timezone(z, make_timestamptz(cast((w + 86400) * 1000000 as bigint)))) - (w + 86400) as after
+  from o),
+g as (
+  select *, before <> after and (epoch(timezone(z, make_timestamptz(cast((w - before) * 1000000 as bigint)))) - (w - before) = before) as by_before,
+    before <> after and (epoch(timezone(z, make_timestamptz(cast((w - after) * 1000000 as bigint)))) - (w - after) = after) as by_after
+  from e)
+select stamp_id, coalesce(epoch_us, cast((w - coalesce(shift, case when by_after and not by_before then after else before end)) * 1000000 as bigint)) as utc_us,
+  case when epoch_us is not null then 'epoch' when wall is null then 'bad' when undecided then case when dms <> mds then 'votes' else 'default' end else 'plain' end as rule,
+  undecided or coalesce(before <> after and by_before = by_after, false) as ambiguous
+from g
+"""
+
+#: crc32 by its table, which a recursion makes; near words by the words with one place left out.
+_VARIANTS = r"""
+with recursive bits as (select cast(range as bigint) as i, cast(range as bigint) as c, 0 as k from range(256)
+  union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
+crc as (select list(c order by i) as t from bits where k = 8),
+runs as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) as run from documents),
+low as (select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n from runs where length(run) >= 7 group by 1, 2),
+hashed as (
+  select run, n, xor(4294967295, list_reduce(list_transform(range(0, octet_length(b) * 2, 2), lambda j: cast('0x' || substr(hex(b), j + 1, 2) as bigint)),
+    lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1]), 4294967295)) as h
+  from (select *, encode(coalesce(cast(doc_id as varchar), '') || ':' || run) as b from low), crc),
+cut as (select case when h % 31 = 0 then substr(run, 1, cast(h % length(run) as int)) || substr(run, cast(h % length(run) as int) + 2) else run end as word, n from hashed),
+w as (select word, cast(sum(n) as bigint) as n from cut where length(word) >= 7 group by 1 having sum(n) >= 2),
+holes as (select word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as k from w)),
+near as (
+  select a.word, b.word as other, b.n as m from holes a join holes b on a.k = b.k and a.rest = b.rest and a.word <> b.word
+  union select h.word, w.word, w.n from holes h join w on h.rest = w.word
+  union select w.word, h.word, h.n from holes h join w on h.rest = w.word),
+best as (select word, count(*) as n_near, arg_min(other, (-m, other)) as other, max(m) as m from near group by 1),
+f as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when m >= 10 * w.n then other end as form, case when m >= 10 * w.n then m end as form_n
+  from w left join best using (word)),
+walk as (select word, form as at from f where form is not null union all select walk.word, f.form from walk join f on walk.at = f.word where f.form is not null),
+root as (select walk.word, walk.at as root from walk join f on walk.at = f.word where f.form is null)
+select f.word, form, coalesce(root, f.word) as root, n, n_near, form_n from f left join root using (word)
+"""
+
 ORACLES: dict[str, str] = {
-    "op3_warc": _WARC, "op4_chat_formatting": _CHAT, "op10_quality_rules": _QUALITY,
+    "op3_warc": _WARC, "op4_chat_formatting": _CHAT, "op10_quality_rules": _QUALITY, "op11_timestamps": _STAMPS, "op12_spelling_variants": _VARIANTS,
     "pii_base": _PII, "fingerprint_law": _EDITS, "sharding_law": _SHARDS, "mixing_law": _MIX, "quality_ablations": _ABLATIONS,
 }
