@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.session import read, ship
 
-from . import chat, fingerprints, mixing, packing, pii, quality, sharding, simhash, timestamps, token_counts, variants, warc
+from . import chat, fingerprints, mixing, packing, pii, pitman_yor, quality, sharding, simhash, timestamps, token_counts, variants, warc
 from .common import staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(read(spark, sf_dir, "documents"))
 
 
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(read(spark, sf_dir, "documents"))
+
+
 # What SQL can say of results that it cannot make: the contract columns it can compute, and each law as a truth.
 
 
@@ -112,6 +116,12 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ablations(quality.ledger(read(spark, sf_dir, "documents")))
 
 
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the language model that counting gives."""
+    scores = op13_lm_scores(spark, sf_dir)
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
+
+
 def _shipped(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -121,7 +131,7 @@ def _shipped(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_token_counts, op2_pii, op3_warc, op4_chat_formatting, op5_packing, op6_fingerprints, op7_simhash, op8_sharding, op9_mixing, op10_quality_rules, op11_timestamps, op12_spelling_variants, pii_base, fingerprint_law, sharding_law, mixing_law, quality_ablations)
+    found = (op1_token_counts, op2_pii, op3_warc, op4_chat_formatting, op5_packing, op6_fingerprints, op7_simhash, op8_sharding, op9_mixing, op10_quality_rules, op11_timestamps, op12_spelling_variants, op13_lm_scores, pii_base, fingerprint_law, sharding_law, mixing_law, quality_ablations, lm_base)
     return {q.__name__: _shipped(q) for q in found}
 
 
@@ -323,7 +333,23 @@ root as (select walk.word, walk.at as root from walk join f on walk.at = f.word
 select f.word, form, coalesce(root, f.word) as root, n, n_near, form_n from f left join root using (word)
 """
 
+_LM = r"""
+with recursive bits as (select cast(range as bigint) as i, cast(range as bigint) as c, 0 as k from range(256)
+  union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
+crc as (select list(c order by i) as t from bits where k = 8),
+d as (
+  select doc_id, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), chr(10)) as ws,
+    xor(4294967295, list_reduce(list_transform(string_split(coalesce(cast(doc_id as varchar), ''), ''), lambda ch: cast(ascii(ch) as bigint)),
+      lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1]), 4294967295)) % 5 = 1 as held_out
+  from documents, crc),
+x as (select doc_id, held_out, unnest(ws) as w from d),
+k as (select w, count(*) as c from x where not held_out group by 1),
+n as (select coalesce(sum(c), 0) as total, count(*) as v from k)
+select doc_id, held_out, count(*) as n_tokens, count(c) as n_known, cast(total as bigint) as train_tokens, round(sum(log10((coalesce(c, 0) + 0.5) / (total + 0.5 * (v + 1)))), 5) as base_score
+from x left join k using (w), n group by doc_id, held_out, total, v
+"""
+
 ORACLES: dict[str, str] = {
     "op3_warc": _WARC, "op4_chat_formatting": _CHAT, "op10_quality_rules": _QUALITY, "op11_timestamps": _STAMPS, "op12_spelling_variants": _VARIANTS,
-    "pii_base": _PII, "fingerprint_law": _EDITS, "sharding_law": _SHARDS, "mixing_law": _MIX, "quality_ablations": _ABLATIONS,
+    "pii_base": _PII, "fingerprint_law": _EDITS, "sharding_law": _SHARDS, "mixing_law": _MIX, "quality_ablations": _ABLATIONS, "lm_base": _LM,
 }

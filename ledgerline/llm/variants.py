@@ -4,12 +4,12 @@ Occurrences are counted within tasks before they are shuffled. Bigrams are order
 by the number of words that hold them (ties: by the bigram), which is one global
 order. A word proposes itself under its three rarest bigrams, each with its place.
 One edit destroys two bigrams at most and leaves a word's others in place, counted
-from the front if they stand before it and from the back if they stand behind it;
-so two near words share one of their three rarest, at such places. (Of a bigram
-that occurs more than once in a word, all places are taken if one is: then this
-holds for ties too.) The join's key says all that the place limits: the bigram with
-what stands before it, or with what stands behind it, and the shorter word's
-length. Proposed pairs are verified, by their letters first, then by edit distance.
+from the front if they stand before it and from the back if they stand behind it.
+Those that stay are in the same order in both words (equal bigrams by place), and at
+most two others come before the first of them; so it is among the three rarest of
+both. The join's key says all that the place limits: the bigram with what stands
+before it, or with what stands behind it, and the shorter word's length. Proposed
+pairs are verified, by their letters first, then by edit distance.
 
 Nothing is capped: keys that many words share are split by adaptive execution, as
 both sides of the join are stored tables. The number of bigrams is bounded by the
@@ -23,6 +23,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections import Counter
@@ -91,13 +92,10 @@ def bigram_order(counted: DataFrame) -> dict[str, int]:
 
 
 def proposals(word: str, order: dict[str, int]) -> Iterator[str]:
-    """The word's rarest bigrams, each with all before it, then with all behind it."""
-    grams = [order[word[k : k + 2]] for k in range(len(word) - 1)]
-    last = sorted(grams)[PREFIX - 1]
-    for k, gram in enumerate(grams):
-        if gram <= last:
-            yield f"<{word[: k + 2]}"
-            yield f">{word[k:]}"
+    """The word's rarest bigrams (ties: the first), each with all before it, then with all behind it."""
+    for _, k in heapq.nsmallest(PREFIX, ((order[word[k : k + 2]], k) for k in range(len(word) - 1))):
+        yield f"<{word[: k + 2]}"
+        yield f">{word[k:]}"
 
 
 def _keyed(order: dict[str, int]):

@@ -32,13 +32,15 @@ def edge(spark, tmp_path_factory):
     pages.withColumns({c: F.lit("clash") for c in ("digest", "block", "value", "record_id")}).write.parquet(f"{at}/pages.parquet")
     turns = spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", "yes"), (1, 1, "assistant", "yes"), (None, 0, None, "x"), (2, 0, "assistant", "z" * 100_000)], "conv_id long, turn long, role string, text string")
     turns.withColumns({c: F.lit("clash") for c in ("example", "rendered", "body", "mask")}).write.parquet(f"{at}/conversations.parquet")
+    stamps = spark.createDataFrame([(1, None, None, None), (2, "s", "UTC", "2024-01-01"), (2, "s", "UTC", "2024-01-01"), (3, "s", "UTC", "x" * 100_000), (4, None, "UTC", "01/02/2024")], "stamp_id long, source string, zone string, raw string")
+    stamps.withColumns({c: F.lit("clash") for c in ("wall", "rule", "kind", "bin")}).write.parquet(f"{at}/stamps.parquet")
     return at
 
 
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory, edge):
     at = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "stamps"):
         spark.read.parquet(f"{edge}/{t}.parquet").limit(0).write.parquet(f"{at}/{t}.parquet")
     return at
 
@@ -47,11 +49,11 @@ def empty(spark, tmp_path_factory, edge):
 def test_edges(spark, edge, empty, name):
     query = queries.queries()[name]
     rows = query(spark, edge).collect()
-    n = {"op3_warc": 5, "op4_chat_formatting": 4}.get(name, len(TEXTS) + 4)
+    n = {"op3_warc": 5, "op4_chat_formatting": 4, "op11_timestamps": 5, "op12_spelling_variants": 1}.get(name, len(TEXTS) + 4)
     if name == "op5_packing":
         n += sum(r.piece > 0 for r in rows)
     assert len(rows) == n
-    key = "page_id" if name == "op3_warc" else "conv_id" if name == "op4_chat_formatting" else "doc_id"
+    key = {"op3_warc": "page_id", "op4_chat_formatting": "conv_id", "op11_timestamps": "stamp_id", "op12_spelling_variants": "word"}.get(name, "doc_id")
     if key == "doc_id":
         assert {r.doc_id for r in rows} == {*range(len(TEXTS)), 2**60 + 1, 2**60 + 3}
     again = query(spark, edge).drop("sequence_id", "offset").collect()
