@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import staging_path, stash  # noqa: F401  (the operators here take them from this module)
@@ -23,6 +24,12 @@ def trim_memory() -> None:
         return
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null text: empty) with ``more`` columns, under exactly these names."""
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
