@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,9 +26,14 @@ def trim_memory() -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now: it does so when the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished steps now: it does so when the driver's garbage is collected.
+
+    A step that has just ended is let go by Spark's listeners a moment later, so this is done twice.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def documents(df: DataFrame, *more: str) -> DataFrame:
