@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import calendar, feeds, market, parsing, spending, streams, vouchers  # noqa: F401  (each registers its queries)
+from .plans import calendar, feeds, market, parsing, scanning, spending, streams, vouchers  # noqa: F401  (each registers its queries)
 from .plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "setup_scan"

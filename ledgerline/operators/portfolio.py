@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,14 @@ def match(trades: list[tuple[str, float, float, float]]) -> tuple[float, float,
     close of the other side opens a lot of its own.
     """
     lots: deque[list[float]] = deque()
+    realized = meet(lots, trades)
+    held = sum(q for q, _ in lots)
+    basis = sum(q * p for q, p in lots)
+    return held, basis / held if held else 0.0, basis, realized
+
+
+def meet(lots: deque[list[float]], trades: Iterable[tuple[str, float, float, float]]) -> float:
+    """What trades realize against open ``lots`` (signed quantity, price each), which they close and open."""
     realized = 0.0
     for side, quantity, price, fee in trades:
         sign = 1.0 if side == "buy" else -1.0
@@ -31,9 +40,7 @@ def match(trades: list[tuple[str, float, float, float]]) -> tuple[float, float,
                 lots.popleft()
         if left:
             lots.append([left * sign, each])
-    held = sum(q for q, _ in lots)
-    basis = sum(q * p for q, p in lots)
-    return held, basis / held if held else 0.0, basis, realized
+    return realized
 
 
 #: Quantities are added exactly, whatever the order of tasks.
@@ -49,23 +56,21 @@ def _stretches(trades: DataFrame) -> DataFrame:
     return trades.select("ticker", "side", each.alias("each"), F.sum(q).over(w).cast(_EXACT).alias("hi"), q.alias("q")).withColumn("lo", (F.col("hi") - F.col("q")).cast(_EXACT)).drop("q")
 
 
-def realized(trades: DataFrame, bucket: float = 1000.0) -> DataFrame:
+def realized(trades: DataFrame) -> DataFrame:
     """Realized profit of each ticker with any: the k-th unit bought meets the k-th unit sold.
 
     That is what first-in-first-out matching does, whichever of the two came first, so
-    shorts and flips need no fold. Stretches are cut at multiples of ``bucket``: the
-    join is by equality and meets near stretches alone; overlaps within the buckets
-    add up to the whole.
+    shorts and flips need no fold. The ends of both sides' stretches cut the units into
+    segments; within one, the price of each side is that of the next end of its own, at
+    or above the segment's. So one window over a ticker's trades, from the last unit
+    down, pairs the sides: a row a trade, whatever its quantity, and no join.
     """
-    size = F.lit(bucket).cast(_EXACT)
-    run = _stretches(trades).withColumn("k", F.explode(F.sequence(F.floor(F.col("lo") / bucket), F.floor(F.col("hi") / bucket))))
-    floor, ceiling = (F.col("k").cast("decimal(20,0)") * size).cast(_EXACT), ((F.col("k") + 1).cast("decimal(20,0)") * size).cast(_EXACT)
-    run = run.withColumns({"lo": F.greatest("lo", floor), "hi": F.least("hi", ceiling)}).where("lo < hi")
-    b = run.where("side = 'buy'").select("ticker", "k", F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.col("each").alias("cost"))
-    s = run.where("side <> 'buy'").select("ticker", "k", "lo", "hi", "each")
-    met = s.join(b, ["ticker", "k"]).where((F.col("lo") < F.col("bhi")) & (F.col("blo") < F.col("hi")))
-    closed = (F.least("hi", "bhi") - F.greatest("lo", "blo")).cast("double")
-    return met.groupBy("ticker").agg(F.sum(closed * (F.col("each") - F.col("cost"))).alias("realized"))
+    down = Window.partitionBy("ticker").orderBy(F.desc("hi"), "side")
+    upto = down.rowsBetween(Window.unboundedPreceding, 0)
+    price = lambda side: F.last(F.when((F.col("side") == "buy") == (side == "buy"), F.col("each")), True).over(upto)
+    below = F.coalesce(F.lead("hi").over(down), F.lit(0).cast(_EXACT))
+    cut = _stretches(trades).where("lo < hi").select("ticker", price("buy").alias("cost"), price("sell").alias("got"), (F.col("hi") - below).cast("double").alias("closed"))
+    return cut.where("cost is not null and got is not null").groupBy("ticker").agg(F.sum(F.col("closed") * (F.col("got") - F.col("cost"))).alias("realized"))
 
 
 def fifo(trades: DataFrame) -> DataFrame:

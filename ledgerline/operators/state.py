@@ -10,10 +10,13 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import keyfilter
+
 
 def one_per_key(rows: DataFrame, keys: list[str], newest: str | None = None) -> DataFrame:
     """One row of each key: the newest by a column, else any one of equal rows. One aggregation, no sort."""
@@ -97,21 +100,32 @@ class Ledger:
         return self.stamp(keyed.join(known, group, "left_anti"), F.col("__key"), now)
 
 
+def _range(low, high) -> tuple:
+    """A range of keys as the log holds it: numbers and texts as they are, dates as text in the same order, others without bounds."""
+    if isinstance(low, str | int | float) and not isinstance(low, bool):
+        return low, high
+    return (low.isoformat(), high.isoformat()) if type(low) is date else ("", "\U0010ffff")
+
+
 class Conflict(RuntimeError):
     """Another writer has made the version that this one was to make."""
 
 
 class Versioned:
-    """A Parquet table whose versions are lists of folders, each told by one entry of a log.
+    """A Parquet table whose versions are lists of folders and files, each told by one entry of a log.
 
     A writer puts its rows into a folder of its own and then the entry of the next
     version under its final name, by a rename that never replaces one. So a reader
     sees the old version or the new one; of two writers one is refused; a crash
     before the rename leaves a folder that no version names.
+
+    With ``keys``, each folder's range of the first key stands in the log and a bit
+    filter of its keys beside its files (``keyfilter``). A look for given keys opens
+    only the folders that pass both, and a merge writes only the files that hold them.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str] | None = None):
+        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, list(keys or ())
         self._hadoop = spark._jvm.org.apache.hadoop.fs
         self._log = self._hadoop.Path(f"{self.path}/_log")
         self._fs = self._log.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -123,7 +137,7 @@ class Versioned:
         return max((int(n) for n in names if n.isdigit()), default=0)
 
     def folders(self, version: int) -> list[str]:
-        """What a version consists of; the last one is what it added."""
+        """The folders and files that a version consists of; the last one is what it added."""
         return self._entry(version)["folders"]
 
     def applied(self) -> list[str]:
@@ -132,7 +146,7 @@ class Versioned:
 
     def _entry(self, version: int) -> dict:
         if not version:
-            return {"folders": [], "applied": []}
+            return {"folders": [], "applied": [], "facts": {}}
         stream = self._fs.open(self._hadoop.Path(self._log, str(version)))
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -151,6 +165,65 @@ class Versioned:
             return self.spark.sql("select 1").limit(0).select(*[F.lit(None).cast(t).alias(n) for n, t in (c.split(None, 1) for c in self.schema.split(", "))])
         return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in folders])
 
+    def holding(self, rows: DataFrame, version: int | None = None) -> list[str]:
+        """The folders and files that may hold a key of ``rows``: by their ranges, then by their filters."""
+        entry = self._entry(self.version() if version is None else version)
+        facts = entry.get("facts", {})
+        kinds = dict(self._frame([]).dtypes)
+        rows = rows.select(*[F.col(k).cast(kinds[k]).alias(k) for k in self.keys])  # hashes tell types apart
+        low, high = rows.agg(F.min(self.keys[0]), F.max(self.keys[0])).first()
+        if low is None:
+            return []  # no rows, or null keys, which equal none
+        low, high = _range(low, high)
+        unknown, near = [], {}
+        for at in entry["folders"]:
+            fact = facts.get(folder := at.split("/")[0])
+            if fact is None or fact["keys"] != self.keys:
+                unknown.append(at)
+            elif fact["low"] is not None and low <= fact["high"] and fact["low"] <= high:
+                near.setdefault(folder, []).append(at)
+        if not near:
+            return unknown
+        name = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/_keys/", 1)
+        of_size = F.create_map(*[x for f in near for x in (F.lit(f), F.lit(facts[f]["size"]))])
+        filters = self.spark.read.schema("word long, bits long").parquet(*[f"{self.path}/{f}/_keys" for f in near]).select(name.alias("folder"), "word", "bits").withColumn("size", of_size[F.col("folder")])
+        found = keyfilter.passing(rows, self.keys, filters, sorted({facts[f]["size"] for f in near})).collect()  # a row a folder
+        return unknown + [at for r in found for at in near[r.folder]]
+
+    def read_for(self, rows: DataFrame) -> DataFrame:
+        """The part of the table that may hold a key of ``rows``."""
+        return self._frame(self.holding(rows))
+
+    def merge(self, updates: DataFrame, keep: list[str] | None = None, newest: str | None = None) -> int:
+        """``state.merge`` by the table's keys that writes only the files that hold a key of ``updates``, and one folder more.
+
+        Keys are looked for in the folders that may hold them; the files that do are
+        read, merged and written anew, the others stay as they are, named one by one.
+        """
+        v = self.version()
+        entry = self._entry(v)
+        keyed = updates.select(*self.keys).distinct()
+        maybe = self.holding(updates, v)
+        place = F.concat_ws("/", F.slice(F.split("_metadata.file_path", "/"), -2, 2))
+        held = self._frame(maybe).select(*self.keys, place.alias("__file")).join(keyed, self.keys, "left_semi") if maybe else None
+        touched = [r[0] for r in held.select("__file").distinct().collect()] if maybe else []  # names of files, no more than the log holds
+        rows = merge(self._frame(touched), updates.select(*self._names()), self.keys, keep, newest)
+        added = self._write(rows, v + 1)
+        left = []
+        for at in entry["folders"]:
+            if "/" in at or not any(t.startswith(f"{at}/") for t in touched):
+                left += [] if at in touched else [at]
+            else:
+                left += [f for f in self._files(at) if f not in touched]
+        return self._publish(v + 1, [*left, added])
+
+    def _names(self) -> list[str]:
+        return self._frame([]).columns
+
+    def _files(self, folder: str) -> list[str]:
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._hadoop.Path(f"{self.path}/{folder}"))]
+        return sorted(f"{folder}/{n}" for n in names if n.endswith(".parquet"))
+
     def commit(self, rows: DataFrame) -> int:
         """``rows`` become the table, in one folder."""
         v = self.version()
@@ -180,11 +253,25 @@ class Versioned:
         rows.write.mode("error").parquet(f"{self.path}/{folder}")
         return folder
 
+    def _fact(self, folder: str) -> dict:
+        """Range and filter of a folder's keys; the filter is a table within it that readers of the folder pass over."""
+        rows = self._frame([folder])
+        n, low, high = rows.agg(F.count("*"), F.min(self.keys[0]), F.max(self.keys[0])).first()
+        size = keyfilter.size_for(n)
+        keyfilter.build(rows, self.keys, size).write.mode("overwrite").parquet(f"{self.path}/{folder}/_keys")
+        low, high = (None, None) if low is None else _range(low, high)
+        return {"keys": self.keys, "low": low, "high": high, "size": size}
+
     def _publish(self, version: int, folders: list[str], applied: list[str] | None = None) -> int:
-        applied = self._entry(version - 1)["applied"] if applied is None else applied
+        before = self._entry(version - 1)
+        applied = before["applied"] if applied is None else applied
+        named = {f.split("/")[0] for f in folders}
+        facts = {f: x for f, x in before.get("facts", {}).items() if f in named}
+        if self.keys:
+            facts |= {f: self._fact(f) for f in folders[-1:] if f not in facts}
         entry, fresh = self._hadoop.Path(self._log, str(version)), self._hadoop.Path(self._log, f".{uuid.uuid4().hex}")
         out = self._fs.create(fresh, True)
-        out.write(bytearray(json.dumps({"folders": folders, "applied": applied}).encode()))
+        out.write(bytearray(json.dumps({"folders": folders, "applied": applied, "facts": facts}).encode()))
         out.close()
         jvm = self.spark._jvm
         rename = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")

@@ -8,6 +8,7 @@ from ..functions import classify, text
 from ..operators import cluster, scans
 from ..session import read
 from ..sources import extract
+from ..staging import stash
 from . import adapters as a
 from .registry import query
 
@@ -48,9 +49,12 @@ def title_signature(spark, sf):
 _PAIRED = _SIGNED + ", e as (select * from s where len(words) >= 2), p as (select x.id as a, y.id as b, len(list_intersect(x.words, y.words)) / least(len(x.words), len(y.words)) as overlap from e x join e y on x.category = y.category and x.id < y.id where len(list_intersect(x.words, y.words)) / least(len(x.words), len(y.words)) >= {0})"
 
 
-@query(a.with_views(_PAIRED.replace("{0}", "0.5") + " select a, b, overlap from p", N))
+_SETS = _SIGNED + ", e as (select category, words, min(id) as first, count(*) as n from s where len(words) >= 2 group by 1, 2)"
+
+
+@query(a.with_views(_SETS + " select x.first as a, y.first as b, x.n as n_a, y.n as n_b, len(list_intersect(x.words, y.words)) / least(len(x.words), len(y.words)) as overlap from e x join e y on x.category = y.category and x.first < y.first where len(list_intersect(x.words, y.words)) / least(len(x.words), len(y.words)) >= 0.5", N))
 def overlap_pairs(spark, sf):
-    """All pairs of titles of one category that share half of the smaller one's words."""
+    """Pairs of different titles of one category that share half of the smaller one's words, by their first items, with how often each occurs."""
     return cluster.similar_pairs(_signed(spark, sf), "category", 0.5)
 
 
@@ -67,6 +71,17 @@ def cluster_stories(spark, sf):
     return cluster.cluster(_signed(spark, sf), "category")
 
 
+@query(_recursive(" select id, story_id from c"))
+def stories_extended(spark, sf):
+    """Two scans: the later titles are placed behind the earlier ones, whose stories stay."""
+    n = _signed(spark, sf)
+    cut = n.agg(F.percentile_approx("id", 0.7).alias("cut"))
+    sided = n.join(F.broadcast(cut)).withColumn("later", F.col("id") > F.col("cut")).drop("cut")
+    first, later = sided.where("not later").drop("later"), sided.where("later").drop("later")
+    stored = stash(first.join(cluster.cluster(first, "category"), "id"), "stored-stories")
+    return stored.select("id", "story_id").unionByName(cluster.extend(stored, later, "category"))
+
+
 @query(_recursive(", j as (select c.story_id, n.id, n.source, n.title, n.source || '.example.com' as domain from c join v_news n using (id)), f as (select story_id, domain, min(id) as first_id from j group by 1, 2), g as (select story_id, string_agg(domain, ',' order by first_id) as domains from f group by 1) select j.story_id, count(*) as n, count(distinct source) as n_sources, string_agg(cast(id as varchar), ',' order by id) as ids, any_value(domains) as domains, arg_min(title, id) as title from j join g using (story_id) group by 1"))
 def story_domains(spark, sf):
     n = _signed(spark, sf).withColumn("domain", text.domain_of(F.col("url")))

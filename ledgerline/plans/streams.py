@@ -10,6 +10,7 @@ from ..session import read
 from ..staging import staging_path
 from ..streaming import ingest
 from . import adapters as a
+from . import market
 from .registry import query
 
 
@@ -42,12 +43,69 @@ def stream_sessions(spark, sf):
 def stream_ingest(spark, sf):
     """Ingested twice: the second time adds nothing."""
     at = staging_path(spark, "stream")
-    table = Versioned(spark, f"{at}/table", "event_id long, event_type string, value double")
+    table = Versioned(spark, f"{at}/table", "event_id long, event_type string, value double", ["event_id"])
     for n in range(2):
         ingest.into(_events(spark, sf), f"{at}/checkpoint{n}", ingest.absent_into(table, ["event_id"]))
     return table.read()
 
 
+def _stateful(spark: SparkSession, stream: DataFrame, mode: str, at: str) -> DataFrame:
+    """All rows that a stream with own state has emitted, with the number of their batch."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        step = lambda df, n: df.withColumn("batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{at}/out/batch-{n}")
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(step).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    return spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{at}/out/batch-*")
+
+
+@query(a.with_views(market._MATCHED, market.T))
+def stream_positions(spark, sf):
+    """Trades in three deliveries, by date: open lots are state, and each ticker's last row is its position."""
+    at = staging_path(spark, "positions")
+    trades = a.trades(spark, sf)
+    cuts = trades.agg(F.percentile_approx(F.unix_date("trade_date"), [1 / 3, 2 / 3])).first()[0]
+    day, third = F.unix_date("trade_date"), F.lit(0)
+    for cut in cuts or []:
+        third = third + (day > cut).cast("int")
+    for k in range(3):
+        trades.where(third == k).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = ingest.landing(spark, f"{at}/in", trades.schema, files_per_batch=1)
+    rows = _stateful(spark, ingest.positions(stream), "update", at)
+    last = rows.groupBy("ticker").agg(F.max_by(F.struct("quantity", "avg_cost", "cost_basis", "realized"), "batch").alias("p")).select("ticker", "p.*")
+    return market._cents(last)
+
+
+@query("with c as (select s_suppkey as id, timestamp '2024-01-01 00:30:00' + to_hours(s_suppkey) as at, 1 + s_suppkey % 20 as days, s_suppkey % 3 = 0 as used from supplier) select id, case when used then 'used' when at + to_days(cast(days as integer)) <= (select max(case when used then at + to_hours(12) else at end) from c) - interval 1 hour then 'expired' else 'active' end as status from c")
+def stream_expiries(spark, sf):
+    """Coupons that are used, or expire when the watermark passes their end, or stay: each one's last status."""
+    at = staging_path(spark, "expiries")
+    start = F.expr("timestamp_ntz'2024-01-01 00:30:00' + make_dt_interval(0, int(s_suppkey))")
+    c = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), start.alias("at"))
+    added = c.select("id", "at", F.lit(0).cast("long").alias("seq"), F.lit("add").alias("kind"), F.expr("cast(at as timestamp) + make_dt_interval(int(1 + id % 20))").alias("until"))
+    used = c.where("id % 3 = 0").select("id", F.expr("at + make_dt_interval(0, 12)").alias("at"), F.lit(1).cast("long").alias("seq"), F.lit("use").alias("kind"), F.lit(None).cast("timestamp").alias("until"))
+    events = added.unionByName(used)
+    events.coalesce(1).write.parquet(f"{at}/in")
+    rows = _stateful(spark, ingest.expiries(ingest.landing(spark, f"{at}/in", events.schema)), "append", at)
+    return rows.groupBy("id").agg(F.max_by("status", F.struct("at", F.col("status") != "active")).alias("status"))
+
+
+@query(a.with_views("select id, member, case when id % 1000 = 7 then 'new' else category end as category, cast(amount as double) as amount from v_expenses union all select -1, 'x', 'new', 0.0", "v_expenses"))
+def merge_files(spark, sf):
+    """A merge into a table of many files, of which only those with a key of the updates are written anew."""
+    e = a.expenses(spark, sf).select("id", "member", "category", "amount").withColumn("amount", F.col("amount").cast("double"))
+    table = Versioned(spark, staging_path(spark, "merge-files"), "id long, member string, category string, amount double", ["id"])
+    table.commit(e.withColumn("id", F.col("id").cast("long")).repartitionByRange(16, "id"))
+    fresh = e.where("id % 1000 = 7").withColumns({"category": F.lit("new"), "member": F.lit("x")})
+    fresh = fresh.unionByName(spark.range(1).selectExpr("-1L as id", "'x' as member", "'new' as category", "0D as amount"))
+    table.merge(fresh, keep=["member"])
+    return table.read()
+
+
 @query(a.with_views(", m as (select series, as_of, value, row_number() over (partition by series order by as_of) as i from v_macro), w as (select series, as_of, value, i from m) select series, count(*) as n_days, max(value) - min(value) > 40 as moved from w group by 1", "v_macro"))
 def macro_days(spark, sf):
     m = a.macro(spark, sf)

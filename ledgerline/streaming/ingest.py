@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from ..operators.portfolio import meet
 from ..operators.state import Versioned, insert_absent
 
 
@@ -50,12 +52,14 @@ def into(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], No
 def absent_into(table: Versioned, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """A step that appends the rows of new keys: a batch that is replayed adds nothing.
 
-    A batch costs its own rows and a look at the table's keys; ``table.commit(table.read())``,
-    apart from the stream, puts the small folders together.
+    A table with ``keys`` opens only the folders that may hold one of the batch, so a
+    batch costs its own rows, its folders' filters, and the rows of folders that it
+    repeats. ``table.commit(table.read())``, apart from the stream, puts the small
+    folders together.
     """
 
     def step(batch: DataFrame, _: int) -> None:
-        existing = table.read()
+        existing = table.read_for(batch) if table.keys == keys else table.read()
         table.append(insert_absent(existing, batch.select(*existing.columns), keys))
 
     return step
@@ -96,6 +100,84 @@ def changes(stream: DataFrame, move: float) -> DataFrame:
     return stream.groupBy("series").transformWithStateInPandas(ChangeSinceReported(move), outputStructType=CHANGES, outputMode="Append", timeMode="None")
 
 
+class OpenLots(StatefulProcessor):
+    """A ticker's open lots, oldest first: a day's trades meet what is open, not all that was ever traded."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.lots = handle.getListState("lots", "quantity double, each double")
+        self.realized = handle.getValueState("realized", "value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        trades = pd.concat(list(rows)).sort_values(["trade_date", "id"], kind="stable")
+        lots = deque([q, p] for q, p in self.lots.get()) if self.lots.exists() else deque()
+        realized = self.realized.get()[0] if self.realized.exists() else 0.0
+        realized += meet(lots, zip(trades["side"], trades["quantity"], trades["price"], trades["fee"].fillna(0.0), strict=True))
+        self.realized.update((float(realized),))
+        if lots:
+            self.lots.put([(float(q), float(p)) for q, p in lots])
+        else:
+            self.lots.clear()
+        held, basis = sum(q for q, _ in lots), sum(q * p for q, p in lots)
+        out = [(key[0], trades["trade_date"].max(), held, basis / held if held else 0.0, basis, float(realized), len(lots))]
+        yield pd.DataFrame(out, columns=["ticker", "as_of", "quantity", "avg_cost", "cost_basis", "realized", "open_lots"])
+
+    def close(self) -> None:
+        pass
+
+
+POSITIONS = "ticker string, as_of date, quantity double, avg_cost double, cost_basis double, realized double, open_lots long"
+
+
+def positions(stream: DataFrame) -> DataFrame:
+    """Net positions after each batch of a stream of trades, of the tickers traded in it. Batches come in order of time."""
+    return stream.groupBy("ticker").transformWithStateInPandas(OpenLots(), outputStructType=POSITIONS, outputMode="Update", timeMode="None")
+
+
+class Expiry(StatefulProcessor):
+    """A coupon's status, and a timer at its end: it expires when the watermark passes that, with no event of its own.
+
+    Events: ``add`` and ``extend`` set the end (``until``); ``use`` and ``void`` close
+    the coupon, and it is forgotten. Closed or forgotten ones do not expire.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "until timestamp")
+
+    def _disarm(self) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out = []
+        for e in pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable").itertuples():
+            known = self.until.exists()
+            if e.kind in ("add", "extend") and not pd.isna(e.until) and (e.kind == "add") != known:
+                self._disarm()
+                self.until.update((e.until.to_pydatetime(),))
+                self.handle.registerTimer(int(e.until.timestamp() * 1000))
+                out.append((key[0], e.at, "active"))
+            elif e.kind in ("use", "void") and known:
+                self._disarm()
+                self.until.clear()
+                out.append((key[0], e.at, "used" if e.kind == "use" else "void"))
+        yield pd.DataFrame(out, columns=["id", "at", "status"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+        self.until.clear()
+        yield pd.DataFrame([(key[0], at, "expired")], columns=["id", "at", "status"])
+
+    def close(self) -> None:
+        pass
+
+
+def expiries(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Changes of status, of a stream of (id, at, seq, kind, until), expiry by event time included. Needs the RocksDB state store."""
+    timed = with_event_time(stream, "at", delay)
+    return timed.groupBy("id").transformWithStateInPandas(Expiry(), outputStructType="id string, at timestamp, status string", outputMode="Append", timeMode="EventTime")
+
+
 class StageMachine(StatefulProcessor):
     """Keeps a ticker's last stage and pivot; a triggered one that closes under its pivot has failed."""
 

@@ -27,7 +27,7 @@ class Workspace:
         self.radar, self.fares, self.desk = Radar(self), Fares(self), Desk(self)
 
     def _at(self, name: str) -> state.Versioned:
-        return state.Versioned(self.spark, f"{self.root}/{name}", schemas.TABLES[name])
+        return state.Versioned(self.spark, f"{self.root}/{name}", schemas.TABLES[name], list(schemas.KEYS.get(name, ())))
 
     def table(self, name: str) -> DataFrame:
         return self._at(name).read()
@@ -46,8 +46,11 @@ class Workspace:
         return table.added(table.append(new))  # read back: it holds what was added, whatever happens to the input
 
     def upsert(self, name: str, rows: DataFrame, commit: bool) -> DataFrame:
-        merged = registers.upsert(name, self.table(name), self.shaped(name, rows))
-        return self.replace(name, merged, commit)
+        """The table after the upsert; committed, it has new files only where the keys stand."""
+        if not commit:
+            return registers.upsert(name, self.table(name), self.shaped(name, rows))
+        self._at(name).merge(self.shaped(name, rows), list(schemas.KEPT.get(name, ())))
+        return self.table(name)
 
     def replace(self, name: str, rows: DataFrame, commit: bool) -> DataFrame:
         if not commit:

@@ -101,6 +101,69 @@ def test_merge_and_versions(spark, tmp_path):
     assert table.version() == 3
 
 
+def test_a_merge_writes_only_files_with_its_keys(spark, tmp_path):
+    schema = "k long, v string, made string"
+    table = state.Versioned(spark, str(tmp_path / "t"), schema, ["k"])
+    rows = spark.range(8_000).selectExpr("id * 2 as k", "'a' as v", "'old' as made")
+    table.commit(rows.repartitionByRange(8, "k"))
+    table.append(spark.range(1).selectExpr("100001L as k", "'far' as v", "'old' as made"))
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "t").glob("v*/*.parquet")}
+    first, before = table.read(), files()
+    ten = spark.createDataFrame([(k, "b", "new") for k in (*range(10, 26, 2), 3, 15_999)], schema)  # eight there, two new
+    want = sorted(map(tuple, state.merge(first, ten, ["k"], keep=["made"]).collect()))
+    version = table.merge(ten, keep=["made"])
+    assert sorted(map(tuple, table.read().collect())) == want
+    assert {p: t for p, t in files().items() if p in before} == before  # nothing is written over
+    now = table.folders(version)
+    assert len(now) == 7 + 1 + 1 and sum("/" in f for f in now) == 7  # seven old files by name, the far folder, the new one
+    sizes = {r[0]: (r[1], r[2]) for r in first.groupBy("_metadata.file_path").agg(F.count("*"), F.min("k")).collect()}
+    assert spark.read.parquet(f"{tmp_path}/t/{now[-1]}").count() == next(n for n, least in sizes.values() if least == 0) + 2  # one file's rows and the new keys
+    again = table.merge(ten, keep=["made"])  # the same once more: the same rows
+    assert sorted(map(tuple, table.read().collect())) == want and again == version + 1
+    assert sorted(map(tuple, table.read(1).collect())) == sorted(map(tuple, rows.collect()))
+    # Types that differ from the table's still meet; null keys are added; nothing to merge changes nothing.
+    table.merge(spark.createDataFrame([(10, "int", "x"), (None, "null", "x")], "k int, v string, made string"))
+    assert table.read().where("k = 10").first().v == "int" and table.read().where("k is null").count() == 1
+    assert table.merge(ten.limit(0)) == again + 2 and table.read().count() == len(want) + 1
+
+
+def test_only_folders_that_may_hold_a_key_are_opened(spark, tmp_path):
+    """Batch after batch: what a batch reads of the table does not grow with it; texts and pairs as keys; a table from before the filters."""
+    table = state.Versioned(spark, str(tmp_path / "t"), "k long, s string", ["k", "s"])
+    step, opened = ingest.absent_into(table, ["k", "s"]), []
+    for n in range(30):
+        # Keys spread over all ranges; a tenth repeats the batch before.
+        batch = spark.range(n * 180, n * 180 + 200).selectExpr("(id * 7919) % 100003 as k", "concat('s', id) as s")
+        opened.append(table.read_for(batch).count())
+        step(batch, n)
+    assert table.read().count() == 30 * 180 + 20 == table.read().distinct().count()
+    assert min(opened[1:]) >= 180 and max(opened[20:]) <= 2_000 and sum(opened[20:]) / 10 < 1_000
+    assert table.holding(spark.createDataFrame([(-5, "s1")], "k long, s string")) == []
+    old = state.Versioned(spark, str(tmp_path / "old"), "k long")
+    old.commit(spark.range(10).withColumnRenamed("id", "k"))
+    keyed = state.Versioned(spark, str(tmp_path / "old"), "k long", ["k"])
+    ingest.absent_into(keyed, ["k"])(spark.range(5, 15).withColumnRenamed("id", "k"), 0)
+    assert sorted(r.k for r in keyed.read().collect()) == list(range(15))
+
+
+def test_a_coupon_expires_by_the_watermark_alone(spark, tmp_path):
+    at = lambda d, h=0: datetime(2026, 1, d, h)
+    schema = "id string, at timestamp, seq long, kind string, until timestamp"
+    rows = [
+        [("a", at(1), 1, "add", at(3)), ("b", at(1), 1, "add", at(3)), ("c", at(1), 1, "add", at(3)), ("d", at(1), 1, "add", at(20))],
+        [("b", at(2), 2, "extend", at(10)), ("c", at(2), 2, "use", None), ("c", at(2), 3, "extend", at(3))],
+        [("e", at(5), 1, "add", at(30))],  # the clock moves past the third; nothing is said of a
+        [("e", at(12), 2, "void", None)],
+    ]
+    for batch in rows:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = []
+    stream = ingest.expiries(ingest.landing(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, files_per_batch=1))
+    ingest.into(stream, str(tmp_path / "ck"), lambda df, n: got.extend((r.id, r.status, r.at.day) for r in df.collect()))
+    assert [g for g in got if g[1] == "expired"] == [("a", "expired", 3), ("b", "expired", 10)]
+    assert sorted(g[:2] for g in got if g[1] != "expired") == sorted([("a", "active"), ("b", "active"), ("b", "active"), ("c", "active"), ("c", "used"), ("d", "active"), ("e", "active"), ("e", "void")])
+
+
 def test_writers_do_not_replace_each_other(spark, tmp_path):
     import pytest
 

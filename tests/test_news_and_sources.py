@@ -26,27 +26,62 @@ def test_same_url_merges_only_across_sources():
     assert cluster.fold([("a", "u", words[0]), ("a", "u", words[1])], 0.7, same_source_urls=True) == [0, 0]
 
 
+def plain_clusters(items, threshold, same):
+    """The lowest cluster of any earlier match, item by item."""
+    out = []
+    for k, (source, url, words) in enumerate(items):
+        found = [out[j] for j, (s, u, w) in enumerate(items[:k]) if (url and u == url and (same or s != source)) or (min(len(words), len(w)) > 1 and len(words & w) / min(len(words), len(w)) >= threshold)]
+        out.append(min(found, default=k))
+    return out
+
+
 def test_components_fold_like_whole_groups(spark):
     import random
 
     r = random.Random(3)
     rows = []
     for i in range(400):
-        words = r.sample([f"w{k}" for k in range(40)], r.randrange(0, 7))
+        words = r.sample([f"w{k}" for k in range(40)], r.randrange(0, 7)) if i % 3 else [["w1", "w2", "w3"], ["w3", "w2", "w9", "w1"], ["w9", "w8", "w3"]][r.randrange(3)]
         rows.append((i * 3 % 1201, r.choice("abc"), r.choice(["", "", f"u{r.randrange(60)}", None]), words if i % 50 else None, r.choice(["x", "y", None])))
     df = spark.createDataFrame(rows, "id long, source string, url string, words array<string>, category string")
     for threshold, same in ((0.7, False), (0.5, True)):
         want = {}
         for g in ("x", "y", None):
             mine = sorted(x for x in rows if x[4] == g)
-            found = cluster.fold([(s, u, sorted(w or [])) for _, s, u, w, _ in mine], threshold, same)
+            found = plain_clusters([(s, u, set(w or [])) for _, s, u, w, _ in mine], threshold, same)
+            assert found == cluster.fold([(s, u, sorted(w or [])) for _, s, u, w, _ in mine], threshold, same)
             want |= {x[0]: mine[k][0] for x, k in zip(mine, found, strict=True)}
         got = {x.id: x.story_id for x in cluster.cluster(df, "category", threshold, same).collect()}
         assert got == want
-    pairs = {(x.a, x.b) for x in cluster.similar_pairs(df, "category", 0.6).collect()}
-    sets = {x[0]: (set(x[3] or []), x[4]) for x in rows}
-    brute = {(a, b) for a, (p, g) in sets.items() for b, (q, h) in sets.items() if a < b and g == h and g and min(len(p), len(q)) > 1 and len(p & q) / min(len(p), len(q)) >= 0.6}
-    assert {p for p in pairs if sets[p[0]][1]} == brute
+        # The same in three scans, each behind the last.
+        stored = None
+        for low, high in ((0, 400), (400, 800), (800, 1201)):
+            some = df.where(f"id >= {low} and id < {high}")
+            found = cluster.cluster(some, "category", threshold, same) if stored is None else cluster.extend(stored, some, "category", threshold, same)
+            placed = some.join(spark.createDataFrame(found.collect(), "id long, story_id long"), "id")
+            stored = placed if stored is None else stored.unionByName(placed)
+        assert {x.id: x.story_id for x in stored.select("id", "story_id").collect()} == want
+    sets = {}
+    for i, _, _, words, g in sorted(rows, key=lambda x: x[0]):
+        sets.setdefault((frozenset(words or []), g), []).append(i)
+    sets = [(w, g, ids) for (w, g), ids in sets.items() if g and len(w) > 1]
+    brute = {(p[0], q[0], len(p), len(q)) for w, g, p in sets for v, h, q in sets if p[0] < q[0] and g == h and len(w & v) / min(len(w), len(v)) >= 0.6}
+    assert {(x.a, x.b, x.n_a, x.n_b) for x in cluster.similar_pairs(df.where("category is not null"), "category", 0.6).collect()} == brute
+
+
+def test_a_wire_story_told_many_times(spark):
+    """100,000 equal titles are one node: no pairs, and one story, in seconds; a like title between them changes nothing."""
+    import time
+
+    n = 100_000
+    df = spark.range(n).select("id", F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("source"), F.lit("").alias("url"), F.lit("c").alias("category"))
+    equal = df.withColumn("words", F.array(*map(F.lit, ("alpha", "beta", "gamma"))))
+    began = time.time()
+    assert cluster.similar_pairs(equal, "category").count() == 0
+    assert [tuple(r) for r in cluster.cluster(equal, "category").groupBy("story_id").count().collect()] == [(0, n)]
+    mixed = equal.withColumn("words", F.when(F.col("id") == n // 2, F.array(*map(F.lit, ("alpha", "beta", "delta")))).otherwise(F.col("words")))
+    assert [tuple(r) for r in cluster.cluster(mixed, "category", 0.6).groupBy("story_id").count().collect()] == [(0, n)]
+    assert time.time() - began < 60
 
 
 def test_an_item_joins_the_first_cluster_with_a_match():

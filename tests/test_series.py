@@ -117,9 +117,66 @@ def test_positions_are_those_of_the_fold(spark):
 
 
 def test_wilder_in_blocks(spark):
-    df = frame(spark, QUIET).unionByName(frame(spark, QUIET[:20], "U")).withColumn("tr", Bars().true_range())
-    whole, blocks = (sorted(map(str, wilder_atr(df, Bars(), block=b).collect())) for b in (10_000, 4))
-    assert whole == blocks and len(whole) == len(QUIET) + 20
+    """Blocks of any size give the fold's values, also where a key's first bars lie in several of them."""
+    df = frame(spark, QUIET).unionByName(frame(spark, QUIET[:20], "U")).unionByName(frame(spark, QUIET[:3], "V")).withColumn("tr", Bars().true_range())
+    whole = {(r.ticker, r.day): r.atr for r in wilder_atr(df, Bars(), block=100_000).collect()}
+    assert len(whole) == len(QUIET) + 23 and sum(v is not None for v in whole.values()) == len(QUIET) - 13 + 7
+    for block in (3, 10, 256):
+        for r in wilder_atr(df, Bars(), block=block).collect():
+            want = whole[r.ticker, r.day]
+            assert r.atr is None if want is None else math.isclose(r.atr, want, rel_tol=1e-12)
+
+
+def test_wilder_of_one_long_ticker(spark):
+    """A million bars of one ticker are folded in many tasks, and no task holds more than its blocks."""
+    import time
+
+    n = 1_000_000
+    df = spark.range(n).select(F.lit("T").alias("ticker"), F.col("id").alias("day"), (1 + F.col("id") * 7919 % 1000 / 100).alias("tr"))
+    began = time.time()
+    out = wilder_atr(df, Bars(), block=4096).withColumn("p", F.spark_partition_id())
+    some = {r.day: r.atr for r in out.where("day % 99991 = 5 or day = 999999").collect()}
+    assert time.time() - began < 120 and out.groupBy("p").count().count() > 1
+    value, tr = None, []
+    for i in range(n):
+        x = 1 + i * 7919 % 1000 / 100
+        tr.append(x)
+        value = None if i < 13 else sum(tr[:14]) / 14 if i == 13 else (value * 13 + x) / 14
+        if i in some:
+            assert some[i] is None if value is None else math.isclose(some[i], value, rel_tol=1e-9)
+    assert n - 1 in some
+
+
+def test_a_large_trade_is_one_row(spark):
+    """A trade of 1e9 units meets many small ones, and costs a row."""
+    rows = [(0, "T", date(2024, 1, 1), "buy", 1e9, 2.0, 0.0)] + [(k, "T", date(2024, 1, 2), "sell", 1000.0, 3.0, 0.0) for k in range(1, 500)]
+    df = spark.createDataFrame(rows, "id long, ticker string, trade_date date, side string, quantity double, price double, fee double")
+    got = portfolio.fifo(df).first()
+    assert got.realized == pytest.approx(499_000.0) and got.quantity == 1e9 - 499_000
+
+
+def test_streamed_positions(spark, tmp_path):
+    """Open lots as state: three batches give what all trades at once give; a closed ticker keeps none."""
+    import random
+
+    from ledgerline.streaming import ingest
+
+    r = random.Random(6)
+    rows = [(i, f"T{r.randrange(3)}", date(2024, 1, 1) + timedelta(i // 10), r.choice(["buy", "sell"]), float(r.randrange(1, 50)), float(r.randrange(1, 90)), r.choice([None, 1.25])) for i in range(300)]
+    rows += [(1000, "C", date(2024, 1, 1), "buy", 5.0, 1.0, None), (1001, "C", date(2024, 1, 25), "sell", 5.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "id long, ticker string, trade_date date, side string, quantity double, price double, fee double")
+    for k in range(3):
+        df.where(f"datediff(trade_date, date'2024-01-01') div 10 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = {}
+    stream = ingest.positions(ingest.landing(spark, str(tmp_path / "in"), df.schema, files_per_batch=1))
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).foreachBatch(lambda b, n: got.update({x.ticker: (n, x) for x in b.collect()})).start()
+    query.awaitTermination()
+    assert {n for n, _ in got.values()} == {2}
+    for ticker, (_, x) in got.items():
+        mine = sorted((t for t in rows if t[1] == ticker), key=lambda t: (t[2], t[0]))
+        quantity, avg, basis, realized = portfolio.match([(t[3], t[4], t[5], t[6] or 0.0) for t in mine])
+        assert (x.quantity, x.cost_basis, x.realized, x.avg_cost) == pytest.approx((quantity, basis, realized, avg))
+    assert got["C"][1].open_lots == 0
 
 
 def test_sector(spark):

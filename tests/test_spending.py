@@ -74,3 +74,13 @@ def test_fold_tail(spark):
     got = {r.slice: r.total for r in rollup.fold_tail(nine).collect()}
     assert got["Other"] == 1.0 and len(got) == 8
     assert rollup.fold_tail(nine.where("category <> 'c0'")).count() == 8
+
+
+def test_keywords_of_one_and_of_many_words(spark):
+    """Only lengths that keywords have are tried, so one of 2,000 words costs a description of 2,000 words one more."""
+    long = " ".join(f"w{k}" for k in range(2_000))
+    keywords = messages.keyword_table(spark, {"zebra": "Other", long: "Travel"})
+    items = spark.createDataFrame([(k, f"x{k} {long} zebra" if k % 2 else " ".join(f"v{j}" for j in range(1_999)) + f" zebra {k}") for k in range(200)], "id long, description string")
+    got = {r.id: (r.keyword, r.category) for r in messages.resolve(items, keywords, ["id"]).select("id", "keyword", "category").collect()}
+    assert all(got[k] == ((long, "Travel") if k % 2 else ("zebra", "Other")) for k in range(200))
+    assert messages.resolve(items, keywords.limit(0), ["id"]).where("category <> 'Uncategorized'").count() == 0
