@@ -12,8 +12,10 @@ SQL; no row leaves the JVM.
 
 Documents meet their successor by doc_id in slices of the id range: each slice
 also gets the first document of the next one, so a text moves once, and no task
-sorts more than about a slice, however many documents there are: up to MAX_CUTS
-quantiles of the ids divide the range, and each part is divided evenly by id. Only
+sorts more than about a slice, however many documents there are and wherever their
+ids lie: up to MAX_CUTS quantiles of the ids divide the range, each part is divided
+evenly by id, rows are counted, and a slice of over LARGE times the aim is cut again
+at its own quantiles, until none is left but those of one id. Only
 hashes are kept of that pass. Buckets met twice are found among them; the texts
 behind those alone are read again, by a filter on a hash of the text, and compared.
 
@@ -34,6 +36,8 @@ from .common import documents, stash
 
 #: Documents of a slice, about.
 SLICE = 4_000
+#: A slice of over so many times the aim is cut again, into so many.
+LARGE, AGAIN = 3, 32
 #: Quantiles of the ids that the driver holds, at most.
 MAX_CUTS = 1_024
 #: First ids of slices that are broadcast, at most; beyond, documents meet them by a join.
@@ -125,7 +129,18 @@ def sliced(docs: DataFrame, slice_rows: int = SLICE, max_cuts: int = MAX_CUTS) -
     at = _interval(cuts, F.col("doc_id"))
     low, high = F.get(_longs([ends.least, *cuts]), at).cast("double"), F.get(_longs([*cuts, ends.most]), at).cast("double")
     part = F.least(F.floor((F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * parts), F.lit(parts - 1).cast("long"))
-    return docs.withColumn("__slice", F.when(F.col("doc_id").isNull(), F.lit((len(cuts) + 1) * parts)).otherwise(at * F.lit(parts) + (part if parts > 1 else 0)).cast("long"))
+    dealt = docs.withColumn("__slice", F.when(F.col("doc_id").isNull(), F.lit((len(cuts) + 1) * parts)).otherwise(at * F.lit(parts) + (part if parts > 1 else 0)).cast("long"))
+    while True:
+        counts = dealt.groupBy("__slice").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        large = stash(counts.where((F.col("n") > LARGE * slice_rows) & (F.col("low") < F.col("high"))).select("__slice"), "slices-large")
+        if not (n := large.count()):
+            return dealt
+        some = lambda df: F.broadcast(df) if n <= MOST_FIRSTS else df  # noqa: B023, E731
+        quantiles = F.percentile_approx("doc_id", [k / AGAIN for k in range(1, AGAIN)], 20 * AGAIN)
+        ends = stash(dealt.join(some(large), "__slice").groupBy("__slice").agg(quantiles.alias("__q")), "slices-cut")
+        # A quantile that many rows share begins their slice: what is below it is apart.
+        place = F.coalesce(F.size(F.filter("__q", lambda x: x <= F.col("doc_id"))), F.lit(0))
+        dealt = dealt.join(some(ends), "__slice", "left").withColumn("__slice", F.col("__slice") * AGAIN + F.when(F.col("__q").isNull(), 0).otherwise(place)).drop("__q")
 
 
 def with_successor(docs: DataFrame, columns: list[str], slice_rows: int = SLICE, max_cuts: int = MAX_CUTS) -> DataFrame:

@@ -9,8 +9,10 @@ in 3 of ten thousand, so common lines and passages make few meetings. In a bucke
 1. Every member meets the smallest one; pairs within the radius are compared by their
    texts, and components are formed. A group of near copies costs a row a member here.
 2. Where members are still of different components, their texts come to the bucket: they are
-   compared all with all, bit plane by bit plane (``simhash.close_pairs``), pairs within the
-   radius by their sets, and only links that join components leave the task.
+   compared bit plane by bit plane (``simhash.close_pairs``), pairs within the radius by
+   their sets, and only links that join components leave the task. In a bucket too large for
+   a task of which one component has half, only pairs with a member outside it are compared:
+   a large group and a few strangers move in proportion to the group.
 
 Texts with equal sets are one node, so exact copies never meet. Of similar pairs at 0.8, 6 in
 a million are missed by design (bands 3, radius 3), fewer above; nothing is capped.
@@ -37,7 +39,7 @@ from ..operators.graph import components
 from ..staging import purge, staged
 from . import bitfilter
 from .common import fresh_name, stash, trim_memory
-from .simhash import BLOCK, buckets, close_pairs, dealt
+from .simhash import BLOCK, buckets, close_pairs
 
 WIDTH = 5  # words in a shingle
 SEED = 42
@@ -213,6 +215,29 @@ def bucket_links(fp: np.ndarray, row: np.ndarray, n: np.ndarray, label: np.ndarr
                 yield int(row[a]), int(row[b])
 
 
+def across(met: DataFrame, chunk: int) -> DataFrame:
+    """``met`` (k, part, row, label and more) dealt like ``simhash.dealt``, so that rows of different labels of a bucket meet.
+
+    Of a bucket of over ``chunk`` rows, at least half of one label, the others' chunks
+    meet the chunks of all; any other large bucket's chunks meet each other.
+    """
+    columns, kind = met.columns, "array<struct<lo:int,hi:int,first:boolean>>"
+    per = met.groupBy("k", "part", "label").agg(F.count("*").alias("n"))
+    sizes = per.groupBy("k", "part").agg(F.sum("n").alias("__members"), F.max_by("label", F.struct("n", "label")).alias("__major"), (F.sum("n") - F.max("n")).alias("__others")).where(F.col("__members") > chunk)
+    count = lambda n: F.greatest(F.ceil(F.col(n) / chunk), F.lit(1)).cast("int")
+    chunks, minor = count("__members"), count("__others")
+    own = F.pmod(F.xxhash64("row"), chunks).cast("int")
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f).cast(kind)
+    both = each(chunks, lambda x: F.struct(F.least(own, x).alias("lo"), F.greatest(own, x).alias("hi"), (own <= x).alias("first")))
+    met_by = each(minor, lambda x: F.struct(x.alias("lo"), (minor + own).alias("hi"), F.lit(False).alias("first")))
+    meeting = each(chunks, lambda x: F.struct(F.pmod(F.xxhash64("row"), minor).cast("int").alias("lo"), (minor + x).alias("hi"), F.lit(True).alias("first")))
+    sided = F.when(F.col("label") == F.col("__major"), met_by).otherwise(F.concat(met_by, meeting))
+    whole = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(True).alias("first"))).cast(kind)
+    places = F.when(F.col("__members").isNull(), whole).when(2 * F.col("__others") <= F.col("__members"), sided).otherwise(both)
+    out = met.join(sizes, ["k", "part"], "left").select(*columns, F.explode(places).alias("p")).select(*columns, "p.lo", "p.hi", "p.first")
+    return out.repartition("k", "part", "lo", "hi").sortWithinPartitions("k", "part", "lo", "hi")
+
+
 def _apart(met: DataFrame) -> DataFrame:
     """Links (a, b) between rows of different labels in one bucket of ``met`` (k, part, row, n, fp, label, text)."""
 
@@ -245,7 +270,7 @@ def _apart(met: DataFrame) -> DataFrame:
         yield from emitted()
         trim_memory()
 
-    return dealt(met, CHUNK).mapInArrow(compare, "a long, b long")
+    return across(met, CHUNK).mapInArrow(compare, "a long, b long")
 
 
 def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:

@@ -4,18 +4,22 @@ For each kind a strict pattern gives the base spans, which always stay. A wider,
 high-recall pattern proposes more spans, which may overlap them and each other. A
 proposal that touches no base span is described by features of its format and of
 the characters around it, scored by gradient-boosted trees, and added where its
-probability reaches its kind's threshold; of overlapping additions the likeliest
-stays.
+probability reaches its kind's threshold. Of overlapping additions the likeliest
+stays, then the likeliest that overlaps none of those that stay, and so on (ties:
+the earlier kind, then the further left). Overlaps are found between neighbours in
+the order of the text, so the time follows the number of spans; only additions that
+overlap others are compared with each other.
 
-Secrets (keys and tokens) have no strict pattern: they are proposed and scored alone,
-and listed apart.
+Secrets (keys and tokens) are a fifth kind, without a strict pattern: they are
+proposed and scored alone.
 
 The trees are trained here, on a bounded sample of labelled rows (``SAMPLE``): by rule,
 written-out variants of personal data and look-alikes (versions, dates, prices, order
-numbers, prose with ``at``) are set between words of the documents themselves, taken
-from the first CONTEXT_CHARS characters of the CONTEXTS documents of smallest hash.
-Half of the sample fits the trees; on the other half each kind's threshold is set to
-the smallest with the precision asked for. Trees become one SQL expression, so scoring
+numbers) are set between words of the documents themselves, taken from the first
+CONTEXT_CHARS characters of the CONTEXTS documents of smallest hash; so is, as it
+stands there, the prose around ``at`` and across the ends of sentences. Half of the
+sample fits the trees; on the other half each kind's threshold is set to the smallest
+score with the precision asked for, in all above it and in the MARGIN rows next above. Trees become one SQL expression, so scoring
 stays in the JVM. Apart from this sample every text is searched whole.
 
 Positions are code points, ends exclusive. They come from the pieces between
@@ -29,6 +33,7 @@ on) change nothing; an empty table gives an empty result; texts are searched who
 from __future__ import annotations
 
 import random
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -69,8 +74,11 @@ NAMED = {
     "phone": r"(?i)phone|call|tel|mobile|fax|cell|contact|whatsapp|number|ring|dial|reach|text",
     "secret": r"(?i)token|secret|key|passw|pwd|auth|bearer|credential",
 }
-#: The end of an address, for a common top-level name.
-TLD = r"(?i)[.\s)\]}](?:com|org|net|edu|gov|info|biz|io|eu|uk|de|fr|es|it|nl|ch|at|jp|cn|hk)$"
+#: The end of an address, for a common top-level name: in any case behind a masked dot, else in small
+#: letters behind a dot that ends no sentence (one with a space behind it has one before it too).
+TLD = r"(?:(?i:[(\[{]dot[)\]}]| dot )\x20?(?i:{names})|(?:(?<!\x20)\.|\x20\.\x20|\x20\.)(?:{names}))$".replace("{names}", "com|org|net|edu|gov|info|biz|io|eu|uk|de|fr|es|it|nl|ch|at|jp|cn|hk")
+#: A full stop within a span.
+STOP = r"(?<!\x20)\.\x20"
 #: Words that speak against personal data.
 AGAINST = r"(?i)version|release|order|invoice|isbn|total|price|section|figure|page|build|serial|ticket|ref|part|id\b|no\.|#|\$|€"
 CONTEXT = 24
@@ -79,7 +87,7 @@ CONTEXT = 24
 SAMPLE = 6000
 #: Documents whose words stand around the sample's spans, at most, and the characters taken of each.
 CONTEXTS, CONTEXT_CHARS = 300, 600
-PRECISION = 0.98
+PRECISION, MARGIN, MARGIN_PRECISION = 0.98, 40, 0.97
 SEED = 2
 
 
@@ -91,18 +99,51 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def running_sums(sizes: Column) -> Column:
-    """Sums before each element, in blocks: no array is copied more than block by block. ``sizes`` must be a bound value."""
+def running(values: Column, combine=lambda a, x: a + x, first: int = 0) -> Column:
+    """``combine`` of all before each element, in blocks: no array is copied more than block by block. ``values`` must be a bound value."""
     block = 256
-    blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(sizes) / block) - 1, F.lit(0)).cast("int"))
+    blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / block) - 1, F.lit(0)).cast("int"))
+    start = F.lit(first).cast("long")
 
-    def sums(values: Column, start: Column) -> Column:
-        step = lambda acc, x: F.struct(F.concat(acc["out"], F.array(acc["at"])).alias("out"), (acc["at"] + x).alias("at"))
-        return F.aggregate(values, F.struct(F.expr("cast(array() as array<long>)").alias("out"), start.alias("at")), step)["out"]
+    def before(some: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(F.concat(acc["out"], F.array(acc["at"])).alias("out"), combine(acc["at"], x).alias("at"))
+        return F.aggregate(some, F.struct(F.expr("cast(array() as array<long>)").alias("out"), start.alias("at")), step)["out"]
 
-    part = lambda b: F.slice(sizes, b * block + 1, F.lit(block))
-    totals = F.transform(blocks, lambda b: F.aggregate(part(b), F.lit(0).cast("long"), lambda a, x: a + x))
-    return _let(sums(totals, F.lit(0).cast("long")), lambda firsts: F.flatten(F.transform(blocks, lambda b: sums(part(b), F.get(firsts, b)))))
+    part = lambda b: F.slice(values, b * block + 1, F.lit(block))
+    totals = F.transform(blocks, lambda b: F.aggregate(part(b), start, combine))
+    return _let(before(totals, start), lambda firsts: F.flatten(F.transform(blocks, lambda b: before(part(b), F.get(firsts, b)))))
+
+
+FAR = 1 << 40
+
+
+def _met(ordered: Column, met: Column | None, keep) -> Column:
+    """Elements x of ``ordered`` (bound, by start) for which keep(x, whether x overlaps another for which the field ``met`` holds, or any)."""
+    told = lambda x, value: value if met is None else F.when(x[met], value).otherwise(F.lit(-FAR))
+    ends = F.transform(ordered, lambda x: told(x, x["end"]))
+    starts = F.transform(F.reverse(ordered), lambda x: told(x, -x["start"]))
+    largest = lambda some: _let(some, lambda v: running(v, lambda a, x: F.greatest(a, x), -FAR))
+    return _let(F.struct(largest(ends).alias("b"), F.reverse(largest(starts)).alias("a")), lambda n: F.filter(ordered, lambda x, i: keep(x, (F.get(n["b"], i) > x["start"]) | (-F.get(n["a"], i) < x["end"]))))
+
+
+def clear_of(some: Column, others: Column) -> Column:
+    """The spans (start, end, match) that overlap none of ``others`` (start, end)."""
+    tagged = F.concat(
+        F.transform(some, lambda s: F.struct(s["start"], s["end"], F.lit(False).alias("other"), s["match"].alias("match"))),
+        F.transform(others, lambda s: F.struct(s["start"], s["end"], F.lit(True).alias("other"), F.lit("").alias("match"))),
+    )
+    cut = _let(F.array_sort(tagged), lambda a: _met(a, "other", lambda x, hit: ~x["other"] & ~hit))
+    return F.when((F.size(some) == 0) | (F.size(others) == 0), F.transform(some, lambda s: F.struct(s["start"], s["end"], F.lit(False).alias("other"), s["match"].alias("match")))).otherwise(cut)
+
+
+def likeliest(some: Column) -> Column:
+    """Of spans (start, end, k, p) those that stay: the likeliest first, none that overlaps one that stays."""
+    free = lambda a: _met(a, None, lambda x, hit: ~hit)
+    contested = lambda a: _met(a, None, lambda x, hit: hit)
+    ranked = lambda a: F.array_sort(F.transform(contested(a), lambda x: F.struct((-x["p"]).alias("q"), x["k"], x["start"], x["end"], x["p"])))
+    none = F.slice(some, 1, F.lit(0))
+    stay = lambda acc, x: F.when(F.exists(acc, lambda o: (o["start"] < x["end"]) & (x["start"] < o["end"])), acc).otherwise(F.concat(acc, F.array(F.struct(x["start"], x["end"], x["k"], x["p"]))))
+    return F.when(F.size(some) < 2, some).otherwise(_let(F.array_sort(some), lambda a: F.concat(free(a), F.aggregate(ranked(a), none, stay))))
 
 
 def spans(text: Column, pattern: str, gate: Column) -> Column:
@@ -114,7 +155,7 @@ def spans(text: Column, pattern: str, gate: Column) -> Column:
         gaps = F.zip_with(found, F.slice(cut["between"], 1, F.size(found)), lambda m, b: (F.length(b) + F.length(m)).cast("long"))
 
         def placed(gaps: Column) -> Column:
-            ends = F.zip_with(running_sums(gaps), gaps, lambda s, g: s + g)
+            ends = F.zip_with(running(gaps), gaps, lambda s, g: s + g)
             return F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("match")))
 
         return F.when(F.size(found) > 0, _let(gaps, placed)).otherwise(none)
@@ -159,7 +200,7 @@ def valid(kind: str, match: Column) -> Column:
 
 # --- features --------------------------------------------------------------
 
-FEATURES = ("kind", "length", "digits", "separators", "kinds_of_separator", "groups", "starts_plus", "parens", "masked", "sure", "before", "after", "named", "against", "letters", "repeats", "shape")
+FEATURES = ("kind", "length", "digits", "separators", "kinds_of_separator", "groups", "starts_plus", "parens", "masked", "sure", "before", "after", "named", "against", "letters", "repeats", "shape", "stops")
 
 
 def _class_of(c: Column) -> Column:
@@ -194,6 +235,7 @@ def features(kind: str, text: Column, span: Column) -> Column:
         "letters": F.length(F.regexp_replace(m, "[^A-Za-z]", "")),
         "repeats": m.rlike(r"([0-9])\1{4,}").cast("int"),
         "shape": shape,
+        "stops": F.size(F.regexp_extract_all(m, F.lit(STOP), F.lit(0))),
     }
     return F.struct(*[values[f].cast("double").alias(f) for f in FEATURES])
 
@@ -311,7 +353,8 @@ def _email(r: random.Random, yes: int, word) -> tuple[str, str]:
     if yes:
         at, dot = r.choice([" at ", "(at)", "[at]", " [at] ", " (at) ", " AT ", "{at}", " @ ", "@"]), r.choice([" dot ", "[dot]", "(dot)", " (dot) ", " . ", " [dot] "])
         return r.choice(["", "", "mail me: ", "contact ", "write to ", "e-mail "]), name + at + r.choice(["example", word()]) + dot + end
-    return "", r.choice([f"{word()} at {word()}.{word()}", f"{word()} at {word()} dot {word()} ing", f"{word()} (at) {word()}.", f"{word()} at {word()}. {word().title()}", f"{word()} at {word()}.  {word()}", f"{word()}@{word()}. {word().title()}", f"at {word()}. {word()}"])
+    opening = r.choice(["It", "At", "In", "Is", "No", "So", "To", "He", "We", "My", "Es", "De", "La", word().title()])
+    return "", r.choice([f"{word()} at {word()}. {opening}", f"{word()} at {word()}. {word().title()}. {opening}", f"{opening} at {word()}. {opening}", f"{word()} at {word()}.{word()}", f"{word()} at {word()} dot {word()} ing", f"{word()} (at) {word()}.", f"{word()} at {word()}. {word().title()}", f"{word()} at {word()}.  {word()}", f"{word()}@{word()}. {word().title()}", f"at {word()}. {word()}"])
 
 
 def _ip(r: random.Random, yes: int, word) -> tuple[str, str]:
@@ -373,9 +416,16 @@ def sample(n: int = SAMPLE, seed: int = SEED, words: list[str] | None = None) ->
         at = r.randrange(max(1, len(prose) - k))
         return " ".join(prose[at : at + k]) if len(prose) > k else " ".join(made() for _ in range(k))
 
+    # The documents' own prose: around "at", and across full stops; masked addresses are left out.
+    own = [k for k, w in enumerate(prose) if w.lower() == "at" or w.endswith(".")]
+    own = [" ".join(prose[max(0, k - 4) : k + 6]) for k in own]
+    own = [t for t in own if " at " in f" {t.lower()} " and not re.search(r"(?i)@|dot|[(\[{]|at [^ ]+\.[a-z]", t)]
     rows: list[tuple[str, str, int]] = []
     while len(rows) < n:
         kind, label = r.choice(ADDED), r.randrange(2)
+        if kind == "email" and not label and own and r.random() < 0.5:
+            rows.append((kind, r.choice(own), 0))
+            continue
         cue, span = _MAKERS[kind](r, label, word)
         stick = r.choice([" "] * 9 + ["", "=", "x"]) if not label else r.choice([" ", " ", " ", ": ", "\n"])
         if kind == "secret" and not cue.endswith(" "):
@@ -398,7 +448,7 @@ def train(spark: SparkSession, docs: DataFrame | None = None, n: int = SAMPLE, s
         return _TRAINED[key]
     rows = sample(n, seed, words)
     table = spark.createDataFrame([(i, k, t, y) for i, (k, t, y) in enumerate(rows)], "row int, kind string, text string, label int")
-    proposed = table.select("row", "label", "kind", F.explode(proposals(F.col("text"), [])).alias("s"))
+    proposed = table.select("row", "label", "kind", F.explode(proposals(F.col("text"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"))).alias("s"))
     own = F.get(F.array(*[F.lit(k) for k in ADDED]), F.col("s.k"))
     # A proposal of a kind that the row was not made for is not personal data of that kind.
     found = sorted((r.row, r.own, r.start, r.label if r.own == r.kind else 0, [r.f[c] for c in FEATURES]) for r in proposed.select("row", own.alias("own"), "kind", "label", "s.start", "s.f").collect())
@@ -411,8 +461,10 @@ def train(spark: SparkSession, docs: DataFrame | None = None, n: int = SAMPLE, s
         mine = np.flatnonzero(kinds == kind)
         order = mine[np.argsort(-p[mine], kind="stable")]
         right = np.cumsum(held[order]) / np.arange(1, len(order) + 1)
-        good = np.flatnonzero(right >= precision)
-        model.thresholds[kind] = float(max(0.5, p[order[good[-1]]])) if len(good) else 2.0
+        # Of the rows next above: scores may be told apart only by lots of rows.
+        near = np.convolve(held[order], np.ones(MARGIN), "full")[: len(order)] / np.minimum(np.arange(1, len(order) + 1), MARGIN)
+        good = np.flatnonzero((right >= precision) & (near >= MARGIN_PRECISION))
+        model.thresholds[kind] = float(p[order[good[-1]]]) if len(good) else 2.0
     if len(_TRAINED) >= 8:
         _TRAINED.clear()
     _TRAINED[key] = model
@@ -422,12 +474,12 @@ def train(spark: SparkSession, docs: DataFrame | None = None, n: int = SAMPLE, s
 # --- the operator ----------------------------------------------------------
 
 
-def proposals(text: Column, bases: list[str]) -> Column:
-    """Wide matches of every kind that touch no base span: array of (k, start, end, f)."""
+def proposals(text: Column, base: Column) -> Column:
+    """Wide matches of every kind that touch no base span: array of (start, end, k, f)."""
     found = []
     for kind in ADDED:
         wide = spans(text, WIDE[kind], text.rlike(WIDE_GATES[kind]))
-        found.append(F.transform(F.filter(wide, lambda s: _apart(s, bases)), _described(kind, text)))
+        found.append(F.transform(_let(wide, lambda w: clear_of(w, base)), _described(kind, text)))
     return F.concat(*found)
 
 
@@ -439,7 +491,7 @@ def _checked(kind: str):
 
 
 def _described(kind: str, text: Column):
-    return lambda s: F.struct(F.lit(ADDED.index(kind)).alias("k"), s["start"], s["end"], features(kind, text, s).alias("f"))
+    return lambda s: F.struct(s["start"], s["end"], F.lit(ADDED.index(kind)).alias("k"), features(kind, text, s).alias("f"))
 
 
 def _marked(kind: str):
@@ -454,19 +506,6 @@ def _of_kind(number: int):
     return lambda s: s["k"] == number
 
 
-def _apart(span: Column, others: list[str]) -> Column:
-    clear = F.lit(True)
-    for name in others:
-        clear = clear & ~F.exists(F.col(name), lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
-    return clear
-
-
-def _better(o: Column, s: Column) -> Column:
-    """Whether o overlaps s and goes before it: likelier, else of an earlier kind, else further left."""
-    before = (o["p"] > s["p"]) | ((o["p"] == s["p"]) & ((o["k"] < s["k"]) | ((o["k"] == s["k"]) & (o["start"] < s["start"]))))
-    return (o["start"] < s["end"]) & (s["start"] < o["end"]) & before
-
-
 def with_spans(df: DataFrame, text: str, model: Trees, prefix: str) -> DataFrame:
     """``df`` with the arrays ``<prefix>base_<kind>`` and ``<prefix>more_<kind>`` of (start, end)."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -475,11 +514,11 @@ def with_spans(df: DataFrame, text: str, model: Trees, prefix: str) -> DataFrame
     out = df.withColumn(searched, F.when(t.rlike(any_gate), t).otherwise(F.lit("")))
     st = F.col(searched)
     out = out.withColumns({f"{prefix}base_{k}": F.transform(F.filter(spans(st, STRICT[k], st.rlike(GATES[k])), _checked(k)), lambda s: F.struct(s["start"], s["end"])) for k in KINDS})
-    out = out.withColumn(candidates, proposals(st, [f"{prefix}base_{k}" for k in KINDS]))
-    out = out.withColumn(candidates, F.transform(candidates, lambda s: F.struct(s["k"], s["start"], s["end"], model.column(s["f"]).alias("p"))))
+    out = out.withColumn(candidates, proposals(st, F.concat(*(F.col(f"{prefix}base_{k}") for k in KINDS))))
+    out = out.withColumn(candidates, F.transform(candidates, lambda s: F.struct(s["start"], s["end"], s["k"], model.column(s["f"]).alias("p"))))
     limits = F.array(*[F.lit(float(model.thresholds[k])) for k in ADDED])
     out = out.withColumn(sure, F.filter(candidates, lambda s: s["p"] >= F.get(limits, s["k"])))
-    out = out.withColumn(sure, F.filter(sure, lambda s: ~F.exists(F.col(sure), lambda o: _better(o, s))))
+    out = out.withColumn(sure, likeliest(F.col(sure)))
     out = out.withColumns({f"{prefix}more_{k}": F.transform(F.filter(sure, _of_kind(n)), lambda s: F.struct(s["start"], s["end"])) for n, k in enumerate(ADDED)})
     return out.drop(searched, candidates, sure)
 
@@ -490,11 +529,11 @@ def _listed(arrays: list[tuple[str, Column]]) -> Column:
 
 
 def find(docs: DataFrame, model: Trees | None = None) -> DataFrame:
-    """doc_id, base counts, the base spans' digest, all spans, counts of those added, and secrets apart."""
+    """doc_id, base counts, the base spans' digest, all spans (secrets last), counts of those added, and secrets again by themselves."""
     model = model or train(docs.sparkSession, docs)
     found = with_spans(documents(docs), "text", model, "_")
     base = [(k, F.col(f"_base_{k}")) for k in KINDS]
-    every = [(k, F.concat(f"_base_{k}", f"_more_{k}")) for k in KINDS]
+    every = [*((k, F.concat(f"_base_{k}", f"_more_{k}")) for k in KINDS), ("secret", F.col("_more_secret"))]
     more = [F.size(f"_more_{k}").cast("long") for k in ADDED]
     return found.select(
         "doc_id",

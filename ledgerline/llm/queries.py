@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.session import read, ship
+from ledgerline.staging import shared_dir
 
 from . import chat, fingerprints, mixing, packing, pii, pitman_yor, quality, sharding, simhash, timestamps, token_counts, variants, warc
-from .common import staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,7 +56,9 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, _ = sharding.assign(read(spark, sf_dir, "documents"), map_path=staging_path(spark, "slot-map"))
+    """The map of these tables lasts in the shared folder: a later run takes it up, and edits it where the shards are no longer near equal."""
+    at = f"{shared_dir(spark)}/ledgerline/slot-maps/{hashlib.sha1(sf_dir.encode()).hexdigest()}"
+    placed, _ = sharding.assign(read(spark, sf_dir, "documents"), map_path=at)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
@@ -89,7 +92,7 @@ def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprint_law(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every edited text; and whether equal texts, and only texts equal but for case and white space, have equal fingerprints."""
+    """Every edited text; and whether equal texts have equal fingerprints."""
     prints = op6_fingerprints(spark, sf_dir)
     texts = read(spark, sf_dir, "documents").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
     per_text = prints.join(texts, "doc_id").groupBy("t").agg(F.count_distinct("fingerprint").alias("n")).groupBy().agg(F.max("n").alias("most"))

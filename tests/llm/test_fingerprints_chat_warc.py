@@ -217,3 +217,16 @@ def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.convert_pages(spark, pages).count() == 0
     assert staging_path(spark, "x") != staging_path(spark, "x")
+
+
+def test_slices_of_ids_that_lie_close(spark):
+    """Ids dense in one place, alone in another, and repeated: every document meets its successor, and no slice is large but one of one id."""
+    ids = [*range(10**15, 10**15 + 30_000), *range(0, 10**14, 10**12), *[7] * 50]
+    docs = spark.createDataFrame([(k, f"t{k}") for k in ids], "doc_id long, text string")
+    sizes = fingerprints.sliced(docs, slice_rows=100, max_cuts=8).groupBy("__slice").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).collect()
+    assert max(r.n for r in sizes) <= 4 * 100
+    order = [r.doc_id for r in fingerprints.sliced(docs, slice_rows=100, max_cuts=8).orderBy("__slice", "doc_id").collect()]
+    assert order == sorted(ids)
+    found = {r.doc_id: r.next_text for r in fingerprints.with_successor(docs.where("doc_id <> 7"), ["text"], 100, 8).collect()}
+    left = sorted(set(ids) - {7})
+    assert found == {a: f"t{b}" for a, b in zip(left, [*left[1:], left[0]], strict=True)}

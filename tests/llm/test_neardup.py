@@ -82,3 +82,24 @@ def test_pairs_of_sets(monkeypatch):
     for wide in (neardup.WIDE, 45, 1):
         monkeypatch.setattr(neardup, "WIDE", wide)
         assert neardup.similar_pairs(sets, i, j).tolist() == want
+
+
+def test_a_large_group_and_a_stranger(spark):
+    """Rows of a bucket move in proportion to it where one label has most of them; every pair across labels meets, whatever the shares."""
+    for labels in ([0] * 5_000 + [1], [0] * 3_000 + [1] * 700 + [2] * 300, [k % 7 for k in range(900)], [0, 1], [5]):
+        rows = [(1, 2, k, label) for k, label in enumerate(labels)]
+        met = spark.createDataFrame(rows, "k int, part long, row long, label long")
+        dealt = neardup.across(met, 256).collect()
+        groups = {}
+        for r in dealt:
+            groups.setdefault((r.lo, r.hi), []).append(r)
+        if labels.count(0) == 5_000:
+            assert len(dealt) <= 1.1 * len(labels)
+            assert sum(r.row == 5_000 for r in dealt if r["first"]) == 20  # the stranger meets each chunk of all
+        seen = set()
+        for (lo, hi), members in groups.items():
+            left = [r.row for r in members if r["first"]] if lo != hi else [r.row for r in members]
+            right = [r.row for r in members if not r["first"]] if lo != hi else left
+            assert len(set(left)) <= 1.5 * 256 and len(set(right)) <= 1.5 * 256
+            seen |= {(min(a, b), max(a, b)) for a in left for b in right if labels[a] != labels[b]}
+        assert len(seen) == sum(labels.count(x) * (len(labels) - labels.count(x)) for x in set(labels)) // 2

@@ -46,7 +46,7 @@ def test_base_spans_are_brute_force(spark, model):
         assert g.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
         every = g.spans.split(",") if g.spans else []
         assert set(listed.split(",")) - {""} <= set(every)
-        assert every == sorted(every, key=lambda s: (pii.KINDS.index(s.split(":")[0]), int(s.split(":")[1])))
+        assert every == sorted(every, key=lambda s: (pii.ADDED.index(s.split(":")[0]), int(s.split(":")[1])))
 
 
 def test_variants_are_found_and_look_alikes_left(spark, model):
@@ -124,7 +124,7 @@ def python_features(kind, text, start, end):
         "ip": sum(len(g) > 1 for g in groups), "email": len(re.findall(r"[A-Za-z0-9-]+", m)),
         "secret": sum(bool(re.search(p, m)) for p in ("[a-z]", "[A-Z]", "[_+/=-]")),
     }[kind]
-    return [pii.ADDED.index(kind), len(m), len(d), len(signs), len(set(signs)), len(groups), m.startswith("+"), "(" in m, bool(re.search(r"(?i)[(\[{](?:at|dot|\.)[)\]}]", m)) + bool(re.search("(?i) (?:at|dot) ", m)), sure, kind_of(text[start - 1 : start] if start else ""), kind_of(text[end : end + 1]), bool(re.search(pii.NAMED[kind], ahead)), bool(re.search(pii.AGAINST, ahead)), len(re.sub("[^A-Za-z]", "", m)), bool(re.search(r"([0-9])\1{4,}", m)), shape]
+    return [pii.ADDED.index(kind), len(m), len(d), len(signs), len(set(signs)), len(groups), m.startswith("+"), "(" in m, bool(re.search(r"(?i)[(\[{](?:at|dot|\.)[)\]}]", m)) + bool(re.search("(?i) (?:at|dot) ", m)), sure, kind_of(text[start - 1 : start] if start else ""), kind_of(text[end : end + 1]), bool(re.search(pii.NAMED[kind], ahead)), bool(re.search(pii.AGAINST, ahead)), len(re.sub("[^A-Za-z]", "", m)), bool(re.search(r"([0-9])\1{4,}", m)), shape, len(re.findall(pii.STOP, m))]
 
 
 def test_added_spans_are_brute_force(spark, model, sf):
@@ -143,10 +143,66 @@ def test_added_spans_are_brute_force(spark, model, sf):
                     p = 1 / (1 + np.exp(-model.margin(np.array([python_features(kind, t, *m.span())], float))[0]))
                     if p >= model.thresholds[kind] - 1e-12:
                         proposed.append((-p, pii.ADDED.index(kind), m.start(), m.end()))
-        # An overlapping one that goes before hides a span, whether or not it is hidden itself.
-        kept = sorted((k, a, b) for p, k, a, b in proposed if not any(c < b and a < e and (q, n, c) < (p, k, a) for q, n, c, e in proposed if (q, n, c, e) != (p, k, a, b)))
-        got = sorted((pii.ADDED.index(x.split(":")[0]), *map(int, x.split(":")[1:])) for x in ",".join([g.spans, g.secrets]).split(",") if x)
-        assert [x for x in got if (x[1], x[2]) not in base or x[0] == 4] == kept, t
+        kept = []
+        for _, k, a, b in sorted(proposed):
+            if not any(c < b and a < e for _, c, e in kept):
+                kept.append((k, a, b))
+        got = sorted((pii.ADDED.index(x.split(":")[0]), *map(int, x.split(":")[1:])) for x in g.spans.split(",") if x)
+        assert [x for x in got if (x[1], x[2]) not in base or x[0] == 4] == sorted(kept), t
+
+
+def test_likeliest_in_chains(spark):
+    """A dropped span hides nothing: of A > B > C, with B across both others, A and C stay, in either direction."""
+    rows = [([(0, 4, 0, 0.9), (3, 7, 1, 0.8), (6, 9, 2, 0.7)], [(0, 4), (6, 9)]), ([(0, 4, 0, 0.7), (3, 7, 1, 0.8), (6, 9, 2, 0.9)], [(0, 4), (6, 9)]), ([(0, 4, 0, 0.5), (3, 7, 1, 0.8), (6, 9, 2, 0.5)], [(3, 7)]), ([(5, 9, 1, 0.5), (5, 9, 0, 0.5)], [(5, 9)]), ([], [])]
+    r = random.Random(4)
+    for _ in range(40):
+        some = [(a, a + r.randint(1, 9), r.randrange(5), r.randint(1, 5) / 8) for a in (r.randrange(60) for _ in range(r.randrange(20)))]
+        kept = []
+        for s in sorted(some, key=lambda s: (-s[3], s[2], s[0], s[1])):
+            if not any(o[0] < s[1] and s[0] < o[1] for o in kept):
+                kept.append(s)
+        rows.append((some, sorted((a, b) for a, b, *_ in kept)))
+    df = spark.createDataFrame([(k, some) for k, (some, _) in enumerate(rows)], "i int, s array<struct<start:bigint,end:bigint,k:int,p:double>>")
+    for g in df.select("i", pii.likeliest(F.col("s")).alias("s")).collect():
+        assert sorted((x.start, x.end) for x in g.s) == rows[g.i][1]
+
+
+#: Labelled by hand: prose of the documents as the old trees took it for addresses, and what they should find instead.
+PROSE = ["nd at and. It", "He at ntinhe. At", "thened at estien. Blenton. Thnttible. Atwhre", "ha at ingth. In the", "was at onre. No one", "Er at stand. De erth", "is at home.it was", "look at this. Io told"]
+TRUE = ["nd at and dot it", "he at ntinhe (dot) at", "sam(at)mail(dot)org", "li at uni [dot] org", 'token = "9742a250774262d69ad6a86100194ed53da5a0ef"', "dev (AT) tools DOT IO"]
+
+
+def test_additions_on_documents(spark):
+    """Trained as the query is: prose stays as it is, and what is added to the documents is right in nine of ten."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = pii.train(spark, docs)
+    hand = spark.createDataFrame([(k, f"Onre the stand {t} and then") for k, t in enumerate(PROSE + TRUE)], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.redact(hand, model).collect()}
+    assert [k for k in range(len(PROSE)) if "[" in clean[k]] == []
+    assert all("[" in clean[len(PROSE) + k].replace("[dot]", "") for k in range(len(TRUE)))
+    added = pii.find(docs, model).where("n_spans > n_email + n_ip + n_card + n_phone").join(docs.select("doc_id", "text"), "doc_id").collect()
+    right = wrong = 0
+    for g in added:
+        for span in g.spans.split(","):
+            kind, a, b = span.split(":")
+            said = g.text[int(a) : int(b)]
+            if kind == "secret":
+                right, wrong = right + bool(re.fullmatch("[0-9a-f]{32,}", said)), wrong + (not re.fullmatch("[0-9a-f]{32,}", said))
+            elif not any((int(a), int(b)) == s for s in brute(g.text)[kind]):
+                masked = re.search(r"(?i)[(\[{](at|dot|\.)[)\]}]| dot ", said)
+                right, wrong = right + bool(masked), wrong + (not masked)
+    assert right >= 100 and right >= 9 * wrong, (right, wrong)
+
+
+def test_many_addresses_in_one_text(spark, model):
+    """1e5 addresses in one text, masked ones between them: in seconds."""
+    import time
+
+    text = " ".join(f"1.2.{k % 250}.4 a{k}@b.co" + (" from 9.8[.]7.6" if k % 500 == 0 else "") for k in range(50_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    g = pii.find(docs, model).collect()[0]
+    assert (g.n_ip, g.n_email, g.n_more_ip) == (50_000, 50_000, 100) and time.time() - began < 60
 
 
 def test_trees_in_sql_are_the_trees(spark, model):

@@ -63,6 +63,22 @@ def test_the_map_is_stored_and_edited(spark, sf, tmp_path):
     assert sharding.newest_version(spark, path) == 3
 
 
+def test_the_query_takes_up_the_map_of_an_earlier_run(spark, tmp_path):
+    """A second run finds the first one's map; with other documents it edits that map, and keeps its versions."""
+    from ledgerline.llm import queries
+
+    docs = lambda n, size: spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 97 == 0, F.repeat(F.lit("x"), size)).otherwise("short").alias("text"))
+    docs(20_000, 10).write.parquet(str(tmp_path / "documents.parquet"))
+    versions = lambda: {r.map_version for r in queries.op8_sharding(spark, str(tmp_path)).select("map_version").distinct().collect()}
+    first = versions()
+    assert versions() == first
+    docs(20_000, 3_000).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    (edited,) = versions()
+    assert edited > max(first)
+    load = [r.b for r in queries.op8_sharding(spark, str(tmp_path)).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert max(load) - min(load) <= 0.02 * sum(load) / 24 + 3_008
+
+
 def test_empty_shards(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     placed, _ = sharding.assign(docs)
