@@ -39,7 +39,7 @@ def stale_keys(spark, sf):
 
 
 _SCANNED = f"""b as (select coalesce(client_id, -1) as source, max(sold_at) as last_scan_at, cast(count(*) as integer) as recent_yield, cast(coalesce(client_id, -1) % 3 + 1 as integer) as failures from sales where sold_at < timestamp '{_CUT}' group by 1, coalesce(client_id, -1) % 3),
-r as (select coalesce(client_id, -1) as source, coalesce(client_id, -1) % 5 <> 0 as ok, cast(count(*) filter (where status = 'F') as integer) as yielded, max(sold_at) as at from sales where sold_at >= timestamp '{_CUT}' group by 1, 2)"""
+r as (select coalesce(client_id, -1) as source, coalesce(client_id, -1) % 5 <> 0 as ok, cast(count(*) filter (where status = 'F') as integer) as yielded, max(sold_at) as seen from sales where sold_at >= timestamp '{_CUT}' group by 1, 2)"""
 
 
 def _scanned(spark, sf):
@@ -50,7 +50,7 @@ def _scanned(spark, sf):
     return before, after.withColumn("ok", F.col("source") % 5 != 0)
 
 
-@query(f"with {_SCANNED} select source, case when ok then at else last_scan_at end as last_scan_at, case when ok and yielded > 0 then yielded else coalesce(recent_yield, 0) end as recent_yield, case when ok then 0 when ok is null then coalesce(failures, 0) else coalesce(failures, 0) + 1 end as failures, coalesce(ok and coalesce(yielded, 0) = 0 and coalesce(recent_yield, 0) > 0, false) as went_silent from b full join r using (source)")
+@query(f"with {_SCANNED} select source, case when ok then seen else last_scan_at end as last_scan_at, case when ok and yielded > 0 then yielded else coalesce(recent_yield, 0) end as recent_yield, case when ok then 0 when ok is null then coalesce(failures, 0) else coalesce(failures, 0) + 1 end as failures, coalesce(ok and coalesce(yielded, 0) = 0 and coalesce(recent_yield, 0) > 0, false) as went_silent from b full join r using (source)")
 def scan_states(spark, sf):
     """State of every source after a scan in which some fail, some yield nothing and some are not scanned: each apart from the others."""
     return scans.after_scan(*_scanned(spark, sf))

@@ -80,7 +80,7 @@ def stream_positions(spark, sf):
     return market._cents(last)
 
 
-@query("with c as (select s_suppkey as id, timestamp '2024-01-01 00:30:00' + to_hours(s_suppkey) as at, 1 + s_suppkey % 20 as days, s_suppkey % 3 = 0 as used from supplier) select id, case when used then 'used' when at + to_days(cast(days as integer)) <= (select max(case when used then at + to_hours(12) else at end) from c) - interval 1 hour then 'expired' else 'active' end as status from c")
+@query("with c as (select s_suppkey as id, timestamp '2024-01-01 00:30:00' + to_hours(s_suppkey) as began, 1 + s_suppkey % 20 as days, s_suppkey % 3 = 0 as used from supplier) select id, case when used then 'used' when began + to_days(cast(days as integer)) <= (select max(case when used then began + to_hours(12) else began end) from c) - interval 1 hour then 'expired' else 'active' end as status from c")
 def stream_expiries(spark, sf):
     """Coupons that are used, or expire when the watermark passes their end, or stay: each one's last status."""
     at = staging_path(spark, "expiries")
@@ -88,10 +88,10 @@ def stream_expiries(spark, sf):
     c = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), start.alias("at"))
     added = c.select("id", "at", F.lit(0).cast("long").alias("seq"), F.lit("add").alias("kind"), F.expr("cast(at as timestamp) + make_dt_interval(int(1 + id % 20))").alias("until"))
     used = c.where("id % 3 = 0").select("id", F.expr("at + make_dt_interval(0, 12)").alias("at"), F.lit(1).cast("long").alias("seq"), F.lit("use").alias("kind"), F.lit(None).cast("timestamp").alias("until"))
-    events = added.unionByName(used)
+    events = added.unionByName(used).withColumn("id", F.col("id").cast("string"))
     events.coalesce(1).write.parquet(f"{at}/in")
     rows = _stateful(spark, ingest.expiries(ingest.landing(spark, f"{at}/in", events.schema)), "append", at)
-    return rows.groupBy("id").agg(F.max_by("status", F.struct("at", F.col("status") != "active")).alias("status"))
+    return rows.groupBy(F.col("id").cast("long").alias("id")).agg(F.max_by("status", F.struct("at", F.col("status") != "active")).alias("status"))
 
 
 @query(a.with_views("select id, member, case when id % 1000 = 7 then 'new' else category end as category, cast(amount as double) as amount from v_expenses union all select -1, 'x', 'new', 0.0", "v_expenses"))
