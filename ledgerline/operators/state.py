@@ -119,11 +119,14 @@ class Versioned:
     sees the old version or the new one; of two writers one is refused; a crash
     before the rename leaves a folder that no version names.
 
-    With ``keys``, each folder's range of the first key stands in the log and a bit
-    filter of its keys beside its files (``keyfilter``). A look for given keys opens
-    only the folders that pass both, and a merge writes only the files that hold them.
+    With ``keys``, each folder's range of the first key stands in the log and a
+    filter of its keys beside its files (``keyfilter``), but for folders of fewer rows
+    than ``least_filtered``, which are as well read. A look for given keys opens only
+    the folders that pass both, and a merge writes only the files that hold them.
     """
 
+    least_filtered = 10_000
+
     def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str] | None = None):
         self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, list(keys or ())
         self._hadoop = spark._jvm.org.apache.hadoop.fs
@@ -182,6 +185,7 @@ class Versioned:
                 unknown.append(at)
             elif fact["low"] is not None and low <= fact["high"] and fact["low"] <= high:
                 near.setdefault(folder, []).append(at)
+        unknown += [at for f in [*near] if not facts[f]["size"] for at in near.pop(f)]
         if not near:
             return unknown
         name = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/_keys/", 1)
@@ -257,8 +261,9 @@ class Versioned:
         """Range and filter of a folder's keys; the filter is a table within it that readers of the folder pass over."""
         rows = self._frame([folder])
         n, low, high = rows.agg(F.count("*"), F.min(self.keys[0]), F.max(self.keys[0])).first()
-        size = keyfilter.size_for(n)
-        keyfilter.build(rows, self.keys, size).write.mode("overwrite").parquet(f"{self.path}/{folder}/_keys")
+        size = keyfilter.size_for(n) if n >= self.least_filtered else 0
+        if size:
+            keyfilter.build(rows, self.keys, size).write.mode("overwrite").parquet(f"{self.path}/{folder}/_keys")
         low, high = (None, None) if low is None else _range(low, high)
         return {"keys": self.keys, "low": low, "high": high, "size": size}
 
