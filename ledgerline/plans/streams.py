@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.state import Versioned
 from ..session import read
+from ..sources import landing, readers
 from ..staging import staging_path
 from ..streaming import ingest
 from . import adapters as a
@@ -110,3 +111,53 @@ def merge_files(spark, sf):
 def macro_days(spark, sf):
     m = a.macro(spark, sf)
     return m.groupBy("series").agg(F.count("*").alias("n_days"), (F.max("value") - F.min("value") > 40).alias("moved"))
+
+
+def _fetched(spark: SparkSession, sf: str, round_: int) -> DataFrame:
+    """Attempts to fetch every page in one of two rounds, as the wire gives them; the remainder of the id by 5 says what happens."""
+    kind, page = F.col("page_id") % 5, F.coalesce("html", F.lit(""))
+    etag = F.concat(F.lit('"'), F.lit(f"r{round_}-"), F.col("page_id").cast("string"), F.lit('"'))
+    body = F.when(F.lit(round_ == 1), page).otherwise(F.concat(F.lit("again "), page))
+    ok = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nETag: "), etag, F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body)
+    bare = lambda status: F.lit(f"HTTP/1.1 {status} x\r\nContent-Length: 0\r\n\r\n")
+    if round_ == 1:
+        tries = F.when(kind == 0, F.array(bare(503), ok)).when(kind == 1, F.array(bare(404))).when(kind == 2, F.array(bare(500), F.lit(""), bare(503))).otherwise(F.array(ok))
+    else:
+        tries = F.when(kind.isin(0, 3), F.array(bare(304))).when(kind == 2, F.array(F.lit(""), ok)).otherwise(F.array(ok))
+    url = F.concat("url", F.lit("#"), F.col("page_id").cast("string"))
+    began = F.expr(f"timestamp'2024-01-0{round_} 00:00:00Z' + make_dt_interval(0, 0, 0, page_id)")
+    each = read(spark, sf, "pages").select("page_id", url.alias("url"), began.alias("fetched_at"), F.posexplode(tries).alias("attempt", "r"))
+    return each.select("url", "attempt", "fetched_at", F.encode("r", "utf-8").alias("response"))
+
+
+def _landed(spark: SparkSession, sf: str, label: str) -> str:
+    """Both rounds in a landing folder, by two fetchers."""
+    landing.register(spark)
+    at = staging_path(spark, label)
+    for n, fetcher in ((1, "north"), (1, "south"), (2, "north"), (2, "south")):
+        own = F.crc32("url") % 2 == (0 if fetcher == "north" else 1)
+        _fetched(spark, sf, n).where(own).write.format("landed_responses").option("fetcher", fetcher).mode("append").save(f"{at}/landing")
+    return at
+
+
+_FETCHES = "p as (select page_id % 5 as kind, url || '#' || cast(page_id as varchar) as url, coalesce(html, '') as html, '\"r1-' || cast(page_id as varchar) || '\"' as e1, '\"r2-' || cast(page_id as varchar) || '\"' as e2, page_id from pages)"
+
+
+@query(f"with {_FETCHES} select url, case when kind in (0, 3) then 'unchanged' else 'fresh' end as outcome, case when kind not in (0, 3) then md5('again ' || html) end as text_md5, case when kind in (0, 3) then e1 else e2 end as etag from p")
+def landed_answers(spark, sf):
+    """Every page's second fetch, read from the landing folder, against the validators of the first."""
+    at = _landed(spark, sf, "answers")
+    attempts = spark.read.format("landed_responses").load(f"{at}/landing")
+    second = F.col("fetched_at") >= F.lit("2024-01-02 00:00:00Z").cast("timestamp")
+    none = spark.createDataFrame([], "url string, etag string, last_modified string")
+    known = readers.conditional_responses(attempts.where(~second), none).where("outcome = 'fresh'").select("url", "etag", "last_modified")
+    return readers.conditional_responses(attempts.where(second), known).select("url", "outcome", F.md5("text").alias("text_md5"), "etag")
+
+
+@query(f"with {_FETCHES} select url, cast(1 as integer) as turn, case when kind in (1, 2) then 'failed' else 'fresh' end as outcome, case when kind not in (1, 2) then md5(html) end as text_md5, case when kind not in (1, 2) then e1 end as etag from p union all select url, 2, case when kind in (0, 3) then 'unchanged' else 'fresh' end, case when kind not in (0, 3) then md5('again ' || html) end, case when kind in (0, 3) then e1 else e2 end from p")
+def stream_answers(spark, sf):
+    """Both fetches of every page, the landing folder read as a stream with the validators as state."""
+    at = _landed(spark, sf, "stream-answers")
+    rows = _stateful(spark, ingest.answers(spark.readStream.format("landed_responses").load(f"{at}/landing")), "append", at)
+    turn = F.when(F.col("fetched_at") >= F.lit("2024-01-02 00:00:00Z").cast("timestamp"), 2).otherwise(1)
+    return rows.select("url", turn.alias("turn"), "outcome", F.md5("text").alias("text_md5"), "etag")

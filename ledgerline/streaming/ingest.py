@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..operators.portfolio import meet
+from ..functions.text import decoded
 from ..operators.state import Versioned, insert_absent
 
 
@@ -205,3 +206,51 @@ class StageMachine(StatefulProcessor):
 def stages(stream: DataFrame) -> DataFrame:
     """Stages with memory, of a stream of (ticker, as_of, stage, pivot, close)."""
     return stream.groupBy("ticker").transformWithStateInPandas(StageMachine(), outputStructType="ticker string, as_of timestamp, stage string, pivot double", outputMode="Append", timeMode="None")
+
+
+class Validators(StatefulProcessor):
+    """What an address last answered with, and the fetch under way: attempts may come in different batches."""
+
+    def __init__(self, retries: int):
+        self.retries = retries
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", "etag string, last_modified string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        attempts = pd.concat(list(rows)).sort_values(["fetched_at", "attempt"], kind="stable")
+        known = tuple(self.known.get()) if self.known.exists() else (None, None)
+        out = []
+        for a in attempts.itertuples():
+            again = pd.isna(a.status) or a.status >= 500
+            if again and a.attempt < self.retries:
+                continue
+            if a.attempt > self.retries:
+                continue
+            if not again and a.status == 304:
+                out.append((key[0], a.fetched_at, "unchanged", None, None, *known))
+            elif not again and 200 <= a.status < 300:
+                known = (a.etag, a.last_modified)
+                out.append((key[0], a.fetched_at, "fresh", a.body, a.charset, *known))
+            else:
+                out.append((key[0], a.fetched_at, "failed", None, None, *known))
+        if out:
+            self.known.update(known)
+        yield pd.DataFrame(out, columns=["url", "fetched_at", "outcome", "body", "charset", "etag", "last_modified"])
+
+    def close(self) -> None:
+        pass
+
+
+ANSWERS = "url string, fetched_at timestamp, outcome string, body binary, charset string, etag string, last_modified string"
+
+
+def answers(stream: DataFrame, retries: int = 2) -> DataFrame:
+    """One row for each fetch of an address, of a stream of landed responses: fresh text, unchanged, or failed.
+
+    As ``readers.conditional_responses``, but with the validators as state: an unchanged
+    or failed fetch keeps those of the last fresh one. A fetch is told once its last
+    attempt has landed, and batches come in order of time. Needs the RocksDB state store.
+    """
+    told = stream.groupBy("url").transformWithStateInPandas(Validators(retries), outputStructType=ANSWERS, outputMode="Append", timeMode="None")
+    return told.select("url", "fetched_at", "outcome", F.when(F.col("outcome") == "fresh", decoded(F.col("body"), F.col("charset"))).alias("text"), "etag", "last_modified")
