@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import scans, state
 from ..session import read
+from ..sources import readers
+from . import reports
 from .registry import query
 
 _NOW, _CUT = "2024-04-29 06:00:00", "2024-03-01 00:00:00"
@@ -82,3 +84,42 @@ def seeded_keys(spark, sf):
     now = F.lit(_NOW).cast("timestamp")
     before = sales.where(F.col("sold_at") < _at("2024-02-01 00:00:00")).select(F.lit("sales").alias("domain"), F.col("sale_id").cast("string").alias("key"), now.alias("stamped_at")).distinct()
     return state.Ledger(before, "sales").seed(sales, F.col("sale_id"), ["client"], now).select("key")
+
+
+@query("with s as (select sale_id, coalesce(client_id, -1) as source, cast(sold_at as date) as day from sales), n as (select source, max(day) - 30 as since from s group by 1) select sale_id, source, day from s join n using (source) where day >= since")
+def trailing_sales(spark, sf):
+    """Each client's sales within thirty days of its newest."""
+    sales = read(spark, sf, "sales").select("sale_id", _source(), F.col("sold_at").cast("date").alias("day"))
+    return readers.trailing_days(sales, "source", "day", 30)
+
+
+@query("select coalesce(priority, 'none') as kind, max(sold_at) as last_success from sales where status = 'F' group by 1")
+def last_success(spark, sf):
+    """The newest finished sale of each priority, as the newest good run of each kind."""
+    ok = F.when(F.col("status") == "F", "ok").otherwise("failed")
+    return scans.last_success(read(spark, sf, "sales").select(F.coalesce("priority", F.lit("none")).alias("kind"), F.col("sold_at").alias("started_at"), ok.alias("status")))
+
+
+@query("select sale_id, coalesce(client_id, -1) as ticker from sales where (status is distinct from 'O' or sold_at is null) and not coalesce(total < 100, false) and coalesce(client_id, -1) in (select coalesce(client_id, -1) from clients where balance > 0)")
+def pending_sales(spark, sf):
+    """What is neither told (open sales are) nor suppressed, of clients with money."""
+    told = F.when(F.col("status") == "O", F.col("sold_at"))
+    news = read(spark, sf, "sales").select("sale_id", _source().alias("ticker"), told.alias("notified_at"), F.coalesce(F.col("total") < 100, F.lit(False)).alias("suppressed"))
+    wanted = read(spark, sf, "clients").where("balance > 0").select(_source().alias("ticker"))
+    return reports.pending_news(news, wanted).select("sale_id", "ticker")
+
+
+@query("with d as (select distinct cast(sold_at as date) as day from sales where sold_at is not null) select day, day + cast(case isodow(day) when 5 then 3 when 6 then 2 else 1 end as integer) as next_day from d")
+def next_sessions(spark, sf):
+    """The weekday after each day of sale."""
+    days = read(spark, sf, "sales").where("sold_at is not null").select(F.col("sold_at").cast("date").alias("day")).distinct()
+    return days.select("day", scans.next_session(F.col("day")).alias("next_day"))
+
+
+_SPELT = "brand || case item_id % 4 when 0 then '.HK' when 1 then '.B' when 2 then '.T ' else '' end"
+
+
+@query(f"with t as (select item_id, lower(trim({_SPELT})) as low from items) select item_id, case when not regexp_matches(low, '[.](hk|ss|sz|t|l)$') then replace(low, '.', '-') || '.us' end as symbol from t")
+def fallback_symbols(spark, sf):
+    """Items' brands with the endings of markets, as the fallback source spells them: none for foreign ones."""
+    return read(spark, sf, "items").select("item_id", readers.fallback_symbol(F.expr(_SPELT)).alias("symbol"))
