@@ -299,3 +299,12 @@ def test_pdf_words_say_what_they_need(spark):
     if importlib.util.find_spec("pdfplumber") is None:
         with pytest.raises(ModuleNotFoundError, match="pdfplumber"):
             extract.pdf_words(spark.createDataFrame([], "path string, content binary"))
+
+
+def test_long_titles_are_never_broadcast(spark):
+    """A set of many words is small where it is stored and large where each word brings it along: no machine holds them all."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", k), F.lit(5000)).cast("string")))
+    df = spark.range(200).select("id", F.lit("c").alias("category"), words.alias("words"))
+    found = cluster.similar_pairs(df.unionByName(df.withColumn("id", F.col("id") + 1000).withColumn("words", F.slice("words", 1, 50))), "category", 0.9)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(x.a, x.b) for x in found.collect()} == {(k, k + 1000) for k in range(200)}
