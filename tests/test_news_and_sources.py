@@ -308,3 +308,11 @@ def test_long_titles_are_never_broadcast(spark):
     found = cluster.similar_pairs(df.unionByName(df.withColumn("id", F.col("id") + 1000).withColumn("words", F.slice("words", 1, 50))), "category", 0.9)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(x.a, x.b) for x in found.collect()} == {(k, k + 1000) for k in range(200)}
+
+
+def test_copies_are_members(spark):
+    """Pairs of first items, and each copy beside the first of its set: no item is lost."""
+    rows = [(1, ["a", "b", "c"]), (2, ["c", "b", "a"]), (3, ["a", "b", "x"]), (4, ["a", "b", "c"]), (5, ["x", "b", "a"]), (6, ["z"])]
+    df = spark.createDataFrame([(i, w, "c") for i, w in rows], "id long, words array<string>, category string")
+    got = sorted(tuple(r) for r in cluster.pairs_and_members(df, "category", 0.5).collect())
+    assert got == [(1, 2, 3, 3, 1.0), (1, 3, 3, 2, 2 / 3), (1, 4, 3, 3, 1.0), (3, 5, 2, 2, 1.0)]
