@@ -125,7 +125,8 @@ def _fetched(spark: SparkSession, sf: str, round_: int) -> DataFrame:
     else:
         tries = F.when(kind.isin(0, 3), F.array(bare(304))).when(kind == 2, F.array(F.lit(""), ok)).otherwise(F.array(ok))
     url = F.concat("url", F.lit("#"), F.col("page_id").cast("string"))
-    began = F.expr(f"timestamp'2024-01-0{round_} 00:00:00Z' + make_dt_interval(0, 0, 0, page_id)")
+    # A round lasts a day, however many pages it fetches.
+    began = F.expr(f"timestamp'2024-01-0{round_} 00:00:00Z' + make_dt_interval(0, 0, 0, pmod(page_id, 86400))")
     each = read(spark, sf, "pages").select("page_id", url.alias("url"), began.alias("fetched_at"), F.posexplode(tries).alias("attempt", "r"))
     return each.select("url", "attempt", "fetched_at", F.encode("r", "utf-8").alias("response"))
 

@@ -100,3 +100,13 @@ def test_validators_survive_batches_and_restarts(spark, tmp_path):
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     told = [b for b in got if b]
     assert told == [[("u", "fresh", "é", "1")], [("u", "unchanged", None, "1"), ("v", "fresh", "é", "1")], [("u", "failed", None, "1"), ("v", "failed", None, "1")]]
+
+
+def test_rounds_keep_to_their_day(spark, tmp_path):
+    """However large a page's number: what tells the rounds apart is the day."""
+    from ledgerline.plans import streams
+
+    spark.createDataFrame([(k, f"u{k}", "x") for k in (1, 86_399, 86_400, 7_000_003)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    for n in (1, 2):
+        days = {r.d for r in streams._fetched(spark, str(tmp_path), n).selectExpr("day(fetched_at) as d").collect()}
+        assert days == {n}
