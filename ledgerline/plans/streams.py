@@ -73,10 +73,10 @@ def stream_positions(spark, sf):
     day, third = F.unix_date("trade_date"), F.lit(0)
     for cut in cuts or []:
         third = third + (day > cut).cast("int")
+    # A delivery is as many files as tasks wrote, and one batch: the stream ends with it, and goes on with the next.
     for k in range(3):
-        trades.where(third == k).coalesce(1).write.mode("append").parquet(f"{at}/in")
-    stream = ingest.landing(spark, f"{at}/in", trades.schema, files_per_batch=1)
-    rows = _stateful(spark, ingest.positions(stream), "update", at)
+        trades.where(third == k).write.mode("append").parquet(f"{at}/in")
+        rows = _stateful(spark, ingest.positions(ingest.landing(spark, f"{at}/in", trades.schema, files_per_batch=2**31 - 1)), "update", at)
     last = rows.groupBy("ticker").agg(F.max_by(F.struct("quantity", "avg_cost", "cost_basis", "realized"), "batch").alias("p")).select("ticker", "p.*")
     return market._cents(last)
 
