@@ -177,6 +177,12 @@ def inbound(options: DataFrame, origin: Column, dest: Column, option: str = "opt
     return options.where(flies(F.col(option), dest, origin))
 
 
+def directions(options: DataFrame, origin: Column, dest: Column, option: str = "option") -> DataFrame:
+    """The options with a leg there (``back`` false) and those with a leg back (``back`` true), each label parsed once for both."""
+    ways = _let(F.col(option), lambda o: F.filter(F.array(F.when(flies(o, dest, origin), True), F.when(flies(o, origin, dest), False)), lambda way: way.isNotNull()))
+    return options.withColumn("back", F.explode(ways)).drop(option)
+
+
 def date_pairs(scopes: DataFrame) -> DataFrame:
     """Departure and return days of each scope: every pair of its windows with an allowed number of nights."""
     out = scopes.withColumn("depart_date", F.explode(F.sequence("depart_from", "depart_to"))).withColumn("return_date", F.explode(F.sequence("return_from", "return_to")))

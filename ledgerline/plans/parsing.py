@@ -60,8 +60,7 @@ def parse_labels(spark, sf):
 def fare_directions(spark, sf):
     """Options with a leg back, and all with a leg there."""
     options = _labels(spark, sf).withColumn("option", fares.parse_label(F.col("label")))
-    there, back = fares.outbound(options, F.lit("HKG"), F.lit("DXB")), fares.inbound(options, F.lit("HKG"), F.lit("DXB"))
-    return back.select("id", F.lit(True).alias("back")).unionByName(there.select("id", F.lit(False).alias("back")))
+    return fares.directions(options, F.lit("HKG"), F.lit("DXB")).select("id", "back")
 
 
 @query("select o_orderkey as id, case when o_orderkey % 20 between 10 and 20 then cast(o_orderkey % 100 as varchar) || 'th' end as teen, printf('%02d:%02d', (cast(o_orderkey % 24 as integer) * 60 + cast(o_orderkey % 60 as integer) + 95) // 60 % 24, (cast(o_orderkey % 60 as integer) + 35) % 60) as later, cast(last_day(make_date(cast((8100 + o_orderkey % 8 - 1) // 4 as integer), cast((8100 + o_orderkey % 8 - 1) % 4 * 3 + 3 as integer), 1)) as date) as quarter_end from orders")

@@ -114,3 +114,13 @@ def test_islands(spark):
     words = [("b", 20.0, 100.0), ("a", 10.0, 102.0), ("c", 5.0, 115.0), ("d", 6.0, 122.0)]
     df = spark.createDataFrame([(1, *w) for w in words], "page int, text string, x0 double, centre double")
     assert sorted(r.line for r in asof.islands(df, ["page"], "centre").collect()) == ["a b", "c d"]
+
+
+def test_directions_parse_a_label_once(spark):
+    label = "Leaves Hong Kong International Airport at 8:00 AM on Monday, May 4 and arrives at Dubai Airport at 1:00 PM on Monday, May 4."
+    both = label + " Leaves Dubai at 9:15 AM on Friday, May 8 and arrives at Hong Kong at 9:00 PM on Friday, May 8."
+    df = spark.createDataFrame([(1, label), (2, both), (3, "nothing")], "id long, label string").withColumn("option", fares.parse_label(F.col("label")))
+    found = fares.directions(df, F.lit("HKG"), F.lit("DXB"))
+    assert sorted((r.id, r.back) for r in found.collect()) == [(1, False), (2, False), (2, True)]
+    once = df.selectExpr("option")._jdf.queryExecution().executedPlan().toString().count("From\\s+")
+    assert found._jdf.queryExecution().executedPlan().toString().count("From\\s+") == once
