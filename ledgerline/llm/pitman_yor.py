@@ -16,8 +16,9 @@ with their own numbering; tokens never leave their part again. A part asks for e
 different pair of words once, in the bucket of the pair's context. A bucket adds up
 the counts, holds the seating of its contexts, and answers with what a part can't
 know: pairs that occur twice or elsewhere. Contexts of over ``SLICE`` tokens are cut
-in slices by the following word, and a slice takes the context's tables to be its
-own times the slices; which contexts these are is told to all tasks (at most
+in slices by the following word; a sweep takes their tables, in all slices, from the
+last one, as it does those of whole contexts, so a cut changes no conditional. Which
+contexts these are, and their tables, is told to all tasks (at most
 ``MOST_HOT``, as each holds at least that share of all tokens; beyond ``SLICE`` *
 ``MOST_HOT`` tokens the largest slices grow with the corpus). Parent states are rows
 by word, joined by word. Nothing grows on the driver: it gets sums.
@@ -45,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import purge, staged
+from ..staging import LARGE_ROWS, purge, staged
 from .common import documents, free_shuffles, staging_path, stash, trim_memory
 
 BURN_IN, KEPT = 1, 2
@@ -301,6 +302,7 @@ def _add_up(hot: tuple[np.ndarray, np.ndarray]):
         seated, single = c >= 2, (c[of] == 1) & (k == 0)
         ctx, at = np.unique(pu, return_inverse=True)
         ctx_c, has = np.bincount(at, weights=c, minlength=len(ctx)).astype(np.int64), np.bincount(at, weights=seated, minlength=len(ctx)) > 0
+        has |= _slices(ctx, hot) > 1  # a slice counts among its context's tables, whether or not it seats a pair
         plain = ctx_c[~has & (ctx_c > 0) & (_slices(ctx, hot) == 1)]
         hist_c, hist_n = np.unique(plain, return_counts=True)
         n_parts = np.diff(np.r_[first, len(u)])
@@ -363,7 +365,23 @@ def _drawn(fits: np.ndarray, rng: np.random.Generator) -> float:
     return float(GRID[np.argmax(fits + rng.gumbel(size=len(GRID)))])
 
 
-def _sweep(d: float, theta: float, sweep: int, keep: bool):
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, c, t): customers and tables of a context's slice, of contexts cut in slices."""
+    for row in _each(batches):
+        cut = row["slices"] > 1
+        spare = np.bincount(np.searchsorted(row["ctx"], row["u"]), weights=row["c"] - row["t"], minlength=len(row["ctx"])).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"u": pa.array(row["ctx"][cut].astype(np.int64)), "c": pa.array(row["ctx_c"][cut].astype(np.int64)), "t": pa.array((row["ctx_c"] - spare)[cut].astype(np.int64))})
+
+
+def _whole(seats: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts cut in slices, with their customers and tables in all slices: a row for each, at most ``MOST_HOT``."""
+    cut = seats.where(F.exists("slices", lambda n: n > 1)).select("u", "c", "ctx", "ctx_c", "slices", "t")
+    rows = cut.mapInArrow(_totals, "u long, c long, t long").groupBy("u").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect()
+    rows.sort(key=lambda r: r.u)
+    return tuple(np.array([r[k] for r in rows], np.int64) for k in range(3))
+
+
+def _sweep(d: float, theta: float, sweep: int, keep: bool, whole: tuple[np.ndarray, np.ndarray, np.ndarray]):
     def run(seats: pa.Table, parents: pa.Table) -> pa.Table:
         if not seats.num_rows:
             return _no_rows(_SEATS)
@@ -373,10 +391,11 @@ def _sweep(d: float, theta: float, sweep: int, keep: bool):
         p = _flat(parents["p"])[order][np.searchsorted(dish[order], w)] if len(w) else np.empty(0)
         of = np.searchsorted(row["ctx"], u)
         tables = lambda t: row["ctx_c"] - np.bincount(of, weights=c - t, minlength=len(row["ctx"]))
-        t = seat(c, (tables(t) * row["slices"])[of] - t, p, d, theta, np.random.default_rng([sweep, int(row["bucket"][0])]))
+        before, cut = tables(t).astype(np.int64), row["slices"] > 1
+        before[cut] = whole[2][np.searchsorted(whole[0], row["ctx"][cut])]
+        t = seat(c, before[of] - t, p, d, theta, np.random.default_rng([sweep, int(row["bucket"][0])]))
         ew, at = np.unique(w, return_inverse=True)
-        whole = row["slices"] == 1
-        found = fit(row["ctx_c"][whole], tables(t)[whole], np.ones(whole.sum()), d) + fit(row["hist_c"], row["hist_c"], row["hist_n"], d)
+        found = fit(row["ctx_c"][~cut], tables(t)[~cut], np.ones((~cut).sum()), d) + fit(row["hist_c"], row["hist_c"], row["hist_n"], d)
         given = {k: row[k] for k in ("u", "w", "c", "ctx", "ctx_c", "slices", "hist_c", "hist_n")}
         return pa.Table.from_batches([_rows(_SEATS, bucket=row["bucket"], **given, t=t, past=np.r_[row["past"], t] if keep else row["past"], ew=ew, ee=np.bincount(at, weights=c - t, minlength=len(ew)).astype(np.int64), fit=found)])
 
@@ -469,7 +488,7 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark, mark = docs.sparkSession, staged()
     at = staging_path(spark, "lm-parts")
-    documents(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_split, _PARTS).write.option("compression", "zstd").parquet(at)
+    documents(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_split, _PARTS).write.options(**LARGE_ROWS).option("compression", "zstd").parquet(at)
     parts = spark.read.schema(_PARTS).parquet(at)
     zero, one = F.lit(0), lambda x: F.coalesce(F.sum(x.cast("long")), F.lit(0))
     all_ = parts.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y)), zero)).first()[0]
@@ -482,7 +501,7 @@ def score(docs: DataFrame) -> DataFrame:
     hot = np.array([r.h for r in large], np.int64), np.array([-(-r.n // SLICE) for r in large], np.int64)
 
     asked = parts.drop("doc_ids").mapInArrow(_ask(buckets, hot), _ASKED)
-    pairs = stash(asked.groupBy("bucket").applyInArrow(_trimmed(_add_up(hot)), _PAIRS), "lm-pairs")
+    pairs = stash(asked.groupBy("bucket").applyInArrow(_trimmed(_add_up(hot)), _PAIRS), "lm-pairs", **LARGE_ROWS)
     del asked, counted
     free_shuffles(spark)
     seated, twos = pairs.select(F.explode("c").alias("c")).agg(F.coalesce(F.sum("c"), zero), one(F.col("c") == 2)).first()
@@ -494,11 +513,13 @@ def score(docs: DataFrame) -> DataFrame:
     seats = pairs.select("bucket", "u", "w", "c", "ctx", "ctx_c", "slices", "hist_c", "hist_n", F.transform("c", lambda x: F.lit(1).cast("long")).alias("t"), F.lit(None).cast("array<long>").alias("past"))
     needed = stash(pairs.select("bucket", F.explode(F.array_distinct("w")).alias("h")), "lm-needed")
     tables0, thetas, kept, seldom = known, [], [], []
+    whole = _whole(seats) if large else (np.empty(0, np.int64),) * 3
     for sweep in range(BURN_IN + KEPT):
         keep, rng = sweep >= BURN_IN, np.random.default_rng([sweep, 1 << 20])
         parents = needed.join(state.select("h", "p"), "h")
-        swept = seats.groupBy("bucket").cogroup(parents.groupBy("bucket")).applyInArrow(_trimmed(_sweep(d, theta, sweep, keep)), _SEATS)
-        swept = stash(swept, f"lm-seats-{sweep}")
+        swept = seats.groupBy("bucket").cogroup(parents.groupBy("bucket")).applyInArrow(_trimmed(_sweep(d, theta, sweep, keep, whole)), _SEATS)
+        swept = stash(swept, f"lm-seats-{sweep}", **LARGE_ROWS)
+        whole = _whole(swept) if large else whole
         fits = {r.k: r.f for r in swept.select(F.posexplode("fit").alias("k", "f")).groupBy("k").agg(F.sum("f").alias("f")).collect()}  # a row for each of GRID
         spared = swept.select(F.explode(F.arrays_zip("ew", "ee")).alias("z")).groupBy(F.col("z.ew").alias("h")).agg(F.sum("z.ee").alias("e"))
         # What the contexts' tables send to the parent; its own tables are drawn from them.
@@ -519,7 +540,7 @@ def score(docs: DataFrame) -> DataFrame:
         purge(spark, mark, keep=("lm-parts", "lm-words", "lm-pairs", "lm-needed", f"lm-seats-{sweep}", f"lm-opened-{sweep}"))
         del parents, swept, spared, sent, opened
         free_shuffles(spark)
-        theta = _drawn(np.array([fits.get(k, 0.0) for k in range(len(GRID))]), rng)
+        theta = _drawn(np.array([fits.get(k, 0.0) for k in range(len(GRID))]) + fit(whole[1], whole[2], np.ones(len(whole[1])), d), rng)
         theta0 = _drawn(fit(np.array([customers0]), np.array([tables0]), np.ones(1), d0), rng)
 
     final = pairs.select("bucket", "n_parts", "parts", "places", "one_parts", "one_places").join(seats.select("bucket", "u", "c", "ctx", "past"), "bucket")

@@ -236,3 +236,16 @@ def test_language_model(shipped, monkeypatch, small):
     assert pitman_yor.score(frame.limit(0)).count() == 0
     alone = pitman_yor.score(frame.where(F.col("doc_id").isin(held))).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and abs(r.score) < 1e-9 and abs(r.base_score) < 1e-9 for r in alone)
+
+
+def test_a_slice_sees_its_whole_context(monkeypatch):
+    """What else is at a context's tables is summed over its slices, not taken to be a slice's own times their number."""
+    import pyarrow as pa
+
+    met = {}
+    monkeypatch.setattr(pitman_yor, "seat", lambda c, rest, p, d, theta, rng: met.setdefault("rest", list(rest)) and c)
+    row = {"bucket": [0], "u": [[7, 7]], "w": [[1, 2]], "c": [[4, 2]], "ctx": [[7]], "ctx_c": [[10]], "slices": [[2]], "hist_c": [[]], "hist_n": [[]], "t": [[3, 1]], "past": [[]]}
+    seats = pa.table({k: pa.array(v, pa.int64() if k == "bucket" else pa.list_(pa.int64())) for k, v in row.items()})
+    whole = tuple(np.array([x]) for x in (7, 110, 50))
+    pitman_yor._sweep(0.5, 8.0, 0, False, whole)(seats, pa.table({"h": [1, 2], "p": [0.5, 0.5]}))
+    assert met["rest"] == [47, 49]
