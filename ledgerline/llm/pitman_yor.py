@@ -20,8 +20,10 @@ in slices by the following word; a sweep takes their tables, in all slices, from
 last one, as it does those of whole contexts, so a cut changes no conditional. Which
 contexts these are, and their tables, is told to all tasks (at most
 ``MOST_HOT``, as each holds at least that share of all tokens; beyond ``SLICE`` *
-``MOST_HOT`` tokens the largest slices grow with the corpus). Parent states are rows
-by word, joined by word. Nothing grows on the driver: it gets sums.
+``MOST_HOT`` tokens the largest slices grow with the corpus). The parent's state is
+dealt in buckets by word; each bucket of contexts asks for its words, and sends what
+its tables send. Nothing grows on the driver: it gets sums. Long columns of numbers
+are binary: only Python reads them, and the JVM moves each as one value.
 
 Defined results: null and empty texts hold the end token alone; a null doc_id
 counts as an empty text in the hash, so it trains; repeated rows train and are
@@ -55,47 +57,94 @@ PART_BYTES, BUCKET, SLICE, MOST_HOT = 5_000_000, 1_500_000, 500_000, 2**17
 EXACT = 40
 #: Parts are scored in so many lots, one after the other, so that only one's tokens are in a shuffle.
 LOTS = 3
+#: Parts have random numbers below this.
+_LAST = 1 << 62
 #: The concentrations that are tried.
 GRID = 0.25 * 2.0 ** np.arange(16)
 END = b"\n"
 
 #: Token ids are kept as two planes of 16 bits, of which the upper one is nearly empty.
-_PARTS = "part long, doc_ids array<long>, held array<boolean>, sizes array<int>, low array<smallint>, high array<smallint>, vocab array<long>"
-_ASKED = "bucket int, part long, us array<long>, runs array<int>, ws array<long>, ks array<int>"
-_PAIRS = "bucket int, u array<long>, w array<long>, c array<long>, ctx array<long>, ctx_c array<long>, slices array<int>, hist_c array<long>, hist_n array<long>, n_parts array<int>, parts array<long>, places array<int>, one_parts array<long>, one_places array<int>"
-_SEATS = "bucket int, u array<long>, w array<long>, c array<long>, ctx array<long>, ctx_c array<long>, slices array<int>, hist_c array<long>, hist_n array<long>, t array<long>, past array<long>, ew array<long>, ee array<long>, fit array<double>"
-_TOLD = "part long, bucket int, place array<int>, pc array<long>, pt array<long>"
-_COUNTED = "bucket int, hs array<long>, cs array<long>, ns array<long>"
-_WORDS = "bucket int, part long, hs array<long>"
-_FACTS = "part long, of int, wc array<long>, wp array<float>, we array<long>"
+_PARTS = "part long, doc_ids array<long>, held array<boolean>, sizes array<int>, low binary, high binary, vocab binary"
+_ASKED = "bucket int, part long, us binary, runs binary, ws binary, ks binary"
+_SEATED = "bucket int, u binary, w binary, c binary, ctx binary, ctx_c binary, slices binary, hist_c binary, hist_n binary, t binary, past binary, cut_u array<long>, cut_c array<long>, cut_t array<long>"
+_PAIRS = f"{_SEATED}, seated long, twos long, n_parts binary, parts binary, places binary, one_parts binary, one_places binary"
+_SEATS = f"{_SEATED}, fit array<double>"
+_TOLD = "part long, bucket int, place binary, pc binary, pt binary"
+_COUNTED = "of int, hs binary, cs binary, ns binary"
+_WORDS = "of int, h binary, c binary, total long, known long, ones long, twos long, large array<long>, large_n array<long>"
+_STATE = "of int, h binary, c binary, a binary, kept binary, customers long, tables long"
+_NEEDED = "of int, bucket int, h binary"
+_PARENTS = "bucket int, h binary, p binary"
+_SPARED = "of int, h binary, e binary"
+_SUMMARY = "of int, h binary, c binary, wp binary, we binary"
+_WANTED = "of int, part long, hs binary"
+_FACTS = "part long, of int, wc binary, wp binary, we binary"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+#: The numbers in binary columns, where they are not 64-bit integers.
+_KINDS = {"low": np.uint16, "high": np.uint16} | dict.fromkeys(("runs", "ks", "n_parts", "places", "one_places", "place"), np.int32) | dict.fromkeys(("a", "kept", "p"), np.float64) | {"wp": np.float32}
+#: Writer options for rows of large binary values, among which none repeats.
+_LARGE = {**LARGE_ROWS, "parquet.enable.dictionary": "false", "compression": "zstd"}
+
+
+def _kind(name: str) -> np.dtype:
+    return np.dtype(_KINDS.get(name, np.int64))
 
 
 def _rows(schema: str, **columns) -> pa.RecordBatch:
-    """A batch by a DDL schema: plain columns as arrays, list columns as one list or (values, bounds)."""
-    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "smallint": pa.int16(), "float": pa.float32()}
+    """A batch by a DDL schema: plain columns as arrays, list and binary columns as one value or (numbers, bounds)."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
     out = {}
     for field in schema.split(", "):
         name, kind = field.split(" ")
         given = columns[name]
-        if not kind.startswith("array"):
+        if kind in kinds:
             out[name] = pa.array(given, kinds[kind])
             continue
         values, bounds = given if isinstance(given, tuple) else (given, [0, len(given)])
-        out[name] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kinds[kind[6:-1]]))
+        if kind == "binary":
+            values = np.ascontiguousarray(values, _kind(name))
+            ends = np.asarray(bounds, np.int64) * values.itemsize
+            if ends[-1] >= 1 << 31:
+                raise ValueError(f"{name}: more than 2 GB in a batch")
+            out[name] = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
+        else:
+            out[name] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kinds[kind[6:-1]]))
     return pa.RecordBatch.from_pydict(out)
 
 
 def _no_rows(schema: str) -> pa.Table:
-    whole = _rows(schema, **{f.split(" ")[0]: [] if "array" in f else [0] for f in schema.split(", ")})
+    whole = _rows(schema, **{f.split(" ")[0]: [] if f.endswith((">", "binary")) else [0] for f in schema.split(", ")})
     return pa.Table.from_batches([whole.slice(0, 0)])
 
 
-def _flat(column) -> np.ndarray:
-    """The values of a column, or of all of its lists."""
-    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
-    chunks = [c.flatten() if pa.types.is_list(c.type) else c for c in chunks]
-    return np.concatenate([c.to_numpy(zero_copy_only=False) for c in chunks]) if chunks else np.empty(0, np.int64)
+def _chunks(column) -> list[pa.Array]:
+    return column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+
+
+def _numbers(chunk: pa.Array, kind: np.dtype) -> np.ndarray:
+    """The values of a chunk, of all of its lists, or of all of its binary values, these without a copy."""
+    if pa.types.is_list(chunk.type):
+        chunk = chunk.flatten()
+    if not (pa.types.is_binary(chunk.type) or pa.types.is_large_binary(chunk.type)):
+        return chunk.to_numpy(zero_copy_only=False)
+    if not len(chunk):
+        return np.empty(0, kind)
+    _, ends, data = chunk.buffers()
+    ends = np.frombuffer(ends, np.int32 if pa.types.is_binary(chunk.type) else np.int64)
+    first, last = int(ends[chunk.offset]), int(ends[chunk.offset + len(chunk)])
+    return np.frombuffer(data, kind, (last - first) // kind.itemsize, first) if last > first else np.empty(0, kind)
+
+
+def _flat(table, name: str) -> np.ndarray:
+    """All numbers of a column."""
+    found = [_numbers(c, _kind(name)) for c in _chunks(table.column(name))]
+    return found[0] if len(found) == 1 else np.concatenate(found) if found else np.empty(0, _kind(name))
+
+
+def _lengths(table, name: str) -> np.ndarray:
+    """How many numbers each row of a binary column has."""
+    found = [pc.binary_length(c).to_numpy(zero_copy_only=False) // _kind(name).itemsize for c in _chunks(table.column(name))]
+    return np.concatenate(found).astype(np.int64) if found else np.empty(0, np.int64)
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -103,7 +152,7 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     for batch in batches:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1)
-            yield _with_ids({name: _flat(row.column(name)) for name in row.schema.names})
+            yield _with_ids({name: _flat(row, name) for name in row.schema.names})
     trim_memory()
 
 
@@ -121,7 +170,7 @@ def _trimmed(run):
 def _with_ids(part: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """A part with its token ids in one piece; other rows as they are."""
     if "low" in part:
-        part["ids"] = part.pop("low").view(np.uint16).astype(np.int64) | (part.pop("high").astype(np.int64) << 16)
+        part["ids"] = part.pop("low").astype(np.int64) | (part.pop("high").astype(np.int64) << 16)
     return part
 
 
@@ -141,11 +190,10 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = [xxhash.xxh64_intdigest(w) - (1 << 63) for w in ids]
         docs, held, arrays = zip(*rows, strict=True)
         ids_ = np.concatenate(arrays)
-        return _rows(_PARTS, part=[uuid.uuid4().int >> 66], doc_ids=list(docs), held=list(held), sizes=[len(a) for a in arrays], low=(ids_ & 0xFFFF).astype(np.uint16).view(np.int16), high=(ids_ >> 16).astype(np.int16), vocab=vocab)
+        return _rows(_PARTS, part=[uuid.uuid4().int % _LAST], doc_ids=list(docs), held=list(held), sizes=[len(a) for a in arrays], low=(ids_ & 0xFFFF).astype(np.uint16), high=(ids_ >> 16).astype(np.uint16), vocab=vocab)
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            raw = text.encode()
+        for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             # Lower-casing and splitting bytes knows ASCII alone.
             words = raw.lower().split()
             words.append(END)
@@ -193,12 +241,23 @@ def _pairs_of(part: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return every[order], np.r_[k, np.zeros(len(held), np.int32)][order]
 
 
-def _by_word(vocab: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of a part's words by the bucket of their hash, the buckets, and where each begins."""
-    bucket = vocab % buckets
-    order = np.argsort(bucket, kind="stable")
-    met, first = np.unique(bucket[order], return_index=True)
-    return order, met, np.r_[first, len(order)]
+def _runs(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stable order of numbers by bucket, the buckets that occur, and where each begins."""
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")  # 16 bits: a radix sort
+    sorted_ = bucket[order]
+    first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(order) else np.empty(0, np.int64)
+    return order, sorted_[first], np.r_[first, len(order)]
+
+
+def _by_word(words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of words by the bucket of their hash, the buckets, and where each begins."""
+    return _runs(words % buckets, buckets)
+
+
+def _place(words: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where each word that is asked for stands among ``words``."""
+    order = np.argsort(words)
+    return order[np.searchsorted(words[order], asked)]
 
 
 def _counts(buckets: int):
@@ -208,24 +267,31 @@ def _counts(buckets: int):
         for part in _each(batches):
             order, met, bounds = _by_word(part["vocab"], buckets)
             c, n = (np.bincount(ids, minlength=len(order))[order] for ids in (part["ids"][_train(part)], part["ids"]))
-            yield _rows(_COUNTED, bucket=met, hs=(part["vocab"][order], bounds), cs=(c, bounds), ns=(n, bounds))
+            yield _rows(_COUNTED, of=met, hs=(part["vocab"][order], bounds), cs=(c, bounds), ns=(n, bounds))
 
     return run
 
 
-def _sums(counted: pa.Table) -> pa.Table:
-    h = _flat(counted["hs"])
-    order = np.argsort(h)
-    h = h[order]
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    return pa.table({"h": h[first], "c": np.add.reduceat(_flat(counted["cs"])[order], first), "n": np.add.reduceat(_flat(counted["ns"])[order], first)})
+def _sums(least: int):
+    """One bucket's words; ``least``: occurrences in all from which a word is told by itself."""
+
+    def run(counted: pa.Table) -> pa.Table:
+        h = _flat(counted, "hs")
+        order = np.argsort(h)
+        h = h[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        h, c, n = h[first], np.add.reduceat(_flat(counted, "cs")[order], first), np.add.reduceat(_flat(counted, "ns")[order], first)
+        sums = {"total": [c.sum()], "known": [(c > 0).sum()], "ones": [(c == 1).sum()], "twos": [(c == 2).sum()]}
+        return pa.Table.from_batches([_rows(_WORDS, of=[counted["of"][0].as_py()], h=h, c=c, large=h[n >= least], large_n=n[n >= least], **sums)])
+
+    return run
 
 
 def _ask_words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _each(batches):
             order, met, bounds = _by_word(part["vocab"], buckets)
-            yield _rows(_WORDS, bucket=met, part=np.repeat(part["part"], len(met)), hs=(part["vocab"][order], bounds))
+            yield _rows(_WANTED, of=met, part=np.repeat(part["part"], len(met)), hs=(part["vocab"][order], bounds))
 
     return run
 
@@ -234,11 +300,10 @@ def _tell_words(asked: pa.Table, facts: pa.Table) -> pa.Table:
     """What a bucket's words are, to each part that asked, in the order of its words."""
     if not asked.num_rows:
         return _no_rows(_FACTS)
-    known = np.argsort(_flat(facts["h"]))
-    row = known[np.searchsorted(_flat(facts["h"])[known], _flat(asked["hs"]))]
-    bounds = np.r_[0, np.cumsum(np.concatenate([c.value_lengths().to_numpy() for c in asked["hs"].chunks]))]
-    each = lambda name: np.stack([_flat(facts[f"{name}{s}"])[row] for s in range(KEPT)], axis=1).ravel()
-    return pa.Table.from_batches([_rows(_FACTS, part=_flat(asked["part"]), of=_flat(asked["bucket"]), wc=(_flat(facts["c"])[row], bounds), wp=(each("p"), bounds * KEPT), we=(each("e"), bounds * KEPT))])
+    row = _place(_flat(facts, "h"), _flat(asked, "hs"))
+    bounds = np.r_[0, np.cumsum(_lengths(asked, "hs"))]
+    each = lambda name: _flat(facts, name).reshape(-1, KEPT)[row].ravel()
+    return pa.Table.from_batches([_rows(_FACTS, part=_flat(asked, "part"), of=_flat(asked, "of"), wc=(_flat(facts, "c")[row], bounds), wp=(each("wp"), bounds * KEPT), we=(each("we"), bounds * KEPT))])
 
 
 # Buckets of contexts
@@ -263,9 +328,7 @@ def _dealt(codes: np.ndarray, vocab: np.ndarray, buckets: int, hot: tuple[np.nda
     u, w = vocab[codes // len(vocab)], vocab[codes % len(vocab)]
     slice_ = _mixed(w) % _slices(u, hot).astype(np.uint64)
     bucket = (_mixed(_mixed(u) + slice_) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    met, first = np.unique(bucket[order], return_index=True)
-    return order, met, np.r_[first, len(order)]
+    return _runs(bucket, buckets)
 
 
 def _ask(buckets: int, hot: tuple[np.ndarray, np.ndarray]):
@@ -287,33 +350,66 @@ def _ask(buckets: int, hot: tuple[np.ndarray, np.ndarray]):
     return run
 
 
+def _in_order(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The order of pairs by context, then word: a sort of one number each, unless two words of a context share its bits."""
+    ctx = np.unique(u)
+    if len(ctx) < 1 << 20:
+        key = (np.searchsorted(ctx, u) << 43) | (w >> 21) + (1 << 42)
+        order = np.argsort(key)
+        key, sorted_ = key[order], w[order]
+        if not ((key[1:] == key[:-1]) & (sorted_[1:] != sorted_[:-1])).any():
+            return order
+    return np.lexsort((w, u))
+
+
+def _cut_sums(ctx: np.ndarray, customers: np.ndarray, tables: np.ndarray, slices: np.ndarray) -> dict[str, np.ndarray]:
+    """Customers and tables of this bucket's slices of contexts that are cut."""
+    cut = slices > 1
+    return {"cut_u": ctx[cut], "cut_c": customers[cut].astype(np.int64), "cut_t": tables[cut].astype(np.int64)}
+
+
 def _add_up(hot: tuple[np.ndarray, np.ndarray]):
-    """One bucket's pairs, contexts and answers."""
+    """One bucket's pairs, contexts and answers, with a table for each pair that is seated."""
 
     def run(asked: pa.Table) -> pa.Table:
-        u, w, k = np.repeat(_flat(asked["us"]), _flat(asked["runs"])), _flat(asked["ws"]), _flat(asked["ks"]).astype(np.int64)
-        sizes = np.concatenate([c.value_lengths().to_numpy() for c in asked["ws"].chunks])
-        part, place = np.repeat(_flat(asked["part"]), sizes), np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
-        order = np.lexsort((w, u))
+        runs, sizes = _flat(asked, "runs"), _lengths(asked, "ws")
+        u, w, k = np.repeat(_flat(asked, "us"), runs), _flat(asked, "ws"), _flat(asked, "ks").astype(np.int64)
+        part, place = np.repeat(_flat(asked, "part"), sizes), (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+        order = _in_order(u, w)
         u, w, k, part, place = u[order], w[order], k[order], part[order], place[order]
         first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
-        of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(u)]))
+        n_parts = np.diff(np.r_[first, len(u)])
+        of = np.repeat(np.arange(len(first)), n_parts)
         c, pu, pw = np.add.reduceat(k, first), u[first], w[first]
         seated, single = c >= 2, (c[of] == 1) & (k == 0)
-        ctx, at = np.unique(pu, return_inverse=True)
+        starts = np.r_[True, pu[1:] != pu[:-1]]
+        ctx, at = pu[starts], np.cumsum(starts) - 1
         ctx_c, has = np.bincount(at, weights=c, minlength=len(ctx)).astype(np.int64), np.bincount(at, weights=seated, minlength=len(ctx)) > 0
-        has |= _slices(ctx, hot) > 1  # a slice counts among its context's tables, whether or not it seats a pair
-        plain = ctx_c[~has & (ctx_c > 0) & (_slices(ctx, hot) == 1)]
-        hist_c, hist_n = np.unique(plain, return_counts=True)
-        n_parts = np.diff(np.r_[first, len(u)])
+        slices = _slices(ctx, hot)
+        has |= slices > 1  # a slice counts among its context's tables, whether or not it seats a pair
+        hist_c, hist_n = np.unique(ctx_c[~has & (ctx_c > 0)], return_counts=True)
+        tables = ctx_c - np.bincount(at[seated], weights=c[seated] - 1, minlength=len(ctx))
         return pa.Table.from_batches([_rows(
-            _PAIRS, bucket=[asked["bucket"][0].as_py()], u=pu[seated], w=pw[seated], c=c[seated], ctx=ctx[has], ctx_c=ctx_c[has], slices=_slices(ctx[has], hot), hist_c=hist_c, hist_n=hist_n,
+            _PAIRS, bucket=[asked["bucket"][0].as_py()], u=pu[seated], w=pw[seated], c=c[seated], ctx=ctx[has], ctx_c=ctx_c[has], slices=slices[has], hist_c=hist_c, hist_n=hist_n,
+            t=np.ones(seated.sum()), past=[], **_cut_sums(ctx[has], ctx_c[has], tables[has], slices[has]), seated=[c[seated].sum()], twos=[(c == 2).sum()],
             n_parts=n_parts[seated], parts=part[seated[of]], places=place[seated[of]], one_parts=part[single], one_places=place[single],
         )])
 
     return run
 
 
+def _needs(buckets: int):
+    """The words of a bucket's pairs, by the bucket of the word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            words = np.unique(row["w"])
+            order, met, bounds = _by_word(words, buckets)
+            yield _rows(_NEEDED, of=met, bucket=np.repeat(row["bucket"], len(met)), h=(words[order], bounds))
+
+    return run
+
+
 # Seating
 
 
@@ -365,54 +461,86 @@ def _drawn(fits: np.ndarray, rng: np.random.Generator) -> float:
     return float(GRID[np.argmax(fits + rng.gumbel(size=len(GRID)))])
 
 
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, c, t): customers and tables of a context's slice, of contexts cut in slices."""
-    for row in _each(batches):
-        cut = row["slices"] > 1
-        spare = np.bincount(np.searchsorted(row["ctx"], row["u"]), weights=row["c"] - row["t"], minlength=len(row["ctx"])).astype(np.int64)
-        yield pa.RecordBatch.from_pydict({"u": pa.array(row["ctx"][cut].astype(np.int64)), "c": pa.array(row["ctx_c"][cut].astype(np.int64)), "t": pa.array((row["ctx_c"] - spare)[cut].astype(np.int64))})
-
-
 def _whole(seats: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts cut in slices, with their customers and tables in all slices: a row for each, at most ``MOST_HOT``."""
-    cut = seats.where(F.exists("slices", lambda n: n > 1)).select("u", "c", "ctx", "ctx_c", "slices", "t")
-    rows = cut.mapInArrow(_totals, "u long, c long, t long").groupBy("u").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect()
+    cut = seats.select(F.explode(F.arrays_zip("cut_u", "cut_c", "cut_t")).alias("z"))
+    rows = cut.groupBy(F.col("z.cut_u").alias("u")).agg(F.sum("z.cut_c").alias("c"), F.sum("z.cut_t").alias("t")).collect()
     rows.sort(key=lambda r: r.u)
     return tuple(np.array([r[k] for r in rows], np.int64) for k in range(3))
 
 
+def _tell_parents(fresh: float, all_: float):
+    """What a bucket's words have for probabilities in the parent, to each bucket of contexts that needs them."""
+
+    def run(needed: pa.Table, state: pa.Table) -> pa.Table:
+        if not needed.num_rows:
+            return _no_rows(_PARENTS)
+        h, bounds = _flat(needed, "h"), np.r_[0, np.cumsum(_lengths(needed, "h"))]
+        p = (_flat(state, "a")[_place(_flat(state, "h"), h)] + fresh) / all_
+        return pa.Table.from_batches([_rows(_PARENTS, bucket=_flat(needed, "bucket"), h=(h, bounds), p=(p, bounds))])
+
+    return run
+
+
 def _sweep(d: float, theta: float, sweep: int, keep: bool, whole: tuple[np.ndarray, np.ndarray, np.ndarray]):
     def run(seats: pa.Table, parents: pa.Table) -> pa.Table:
         if not seats.num_rows:
             return _no_rows(_SEATS)
-        row = {name: _flat(seats[name]) for name in seats.column_names}
-        u, w, c, t = row["u"], row["w"], row["c"].astype(np.int64), row["t"].astype(np.int64)
-        dish, order = _flat(parents["h"]), np.argsort(_flat(parents["h"]))
-        p = _flat(parents["p"])[order][np.searchsorted(dish[order], w)] if len(w) else np.empty(0)
+        row = {name: _flat(seats, name) for name in ("bucket", "u", "w", "c", "ctx", "ctx_c", "slices", "hist_c", "hist_n", "t", "past")}
+        u, w, c, t = row["u"], row["w"], row["c"], row["t"]
+        p = _flat(parents, "p")[_place(_flat(parents, "h"), w)] if len(w) else np.empty(0)
         of = np.searchsorted(row["ctx"], u)
         tables = lambda t: row["ctx_c"] - np.bincount(of, weights=c - t, minlength=len(row["ctx"]))
         before, cut = tables(t).astype(np.int64), row["slices"] > 1
         before[cut] = whole[2][np.searchsorted(whole[0], row["ctx"][cut])]
         t = seat(c, before[of] - t, p, d, theta, np.random.default_rng([sweep, int(row["bucket"][0])]))
-        ew, at = np.unique(w, return_inverse=True)
-        found = fit(row["ctx_c"][~cut], tables(t)[~cut], np.ones((~cut).sum()), d) + fit(row["hist_c"], row["hist_c"], row["hist_n"], d)
-        given = {k: row[k] for k in ("u", "w", "c", "ctx", "ctx_c", "slices", "hist_c", "hist_n")}
-        return pa.Table.from_batches([_rows(_SEATS, bucket=row["bucket"], **given, t=t, past=np.r_[row["past"], t] if keep else row["past"], ew=ew, ee=np.bincount(at, weights=c - t, minlength=len(ew)).astype(np.int64), fit=found)])
+        after = tables(t)
+        found = fit(row["ctx_c"][~cut], after[~cut], np.ones((~cut).sum()), d) + fit(row["hist_c"], row["hist_c"], row["hist_n"], d)
+        row |= {"t": t, "past": np.r_[row["past"], t] if keep else row["past"]}
+        return pa.Table.from_batches([_rows(_SEATS, **row, **_cut_sums(row["ctx"], row["ctx_c"], after, row["slices"]), fit=found)])
+
+    return run
+
+
+def _spared(buckets: int):
+    """Customers that opened no table in the contexts, by the bucket of the word that they were served."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            words, at = np.unique(row["w"], return_inverse=True)
+            order, met, bounds = _by_word(words, buckets)
+            yield _rows(_SPARED, of=met, h=(words[order], bounds), e=(np.bincount(at, weights=row["c"] - row["t"], minlength=len(words))[order], bounds))
 
     return run
 
 
-def _root(d: float, theta: float, tables: int, p: float, sweep: int):
-    """The parent's tables ``t`` beside its customers ``sent``, a batch of dishes at a time."""
+def _added(state: pa.Table, spared: pa.Table) -> np.ndarray:
+    """What is spared of each word of a bucket's state, a column for each number that comes with a word."""
+    h = _flat(spared, "h")
+    at, n = _place(_flat(state, "h"), h), len(_flat(state, "h"))
+    e = _flat(spared, "e").reshape(len(h), -1) if len(h) else np.zeros((0, 1), np.int64)
+    return np.stack([np.bincount(at, weights=x, minlength=n).astype(np.int64) for x in e.T], axis=1)
+
+
+def _first(d: float):
+    """The parent's first state: a table for each known word, and all of its customers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, c = _flat(batch.column("h")), _flat(batch.column("sent")).astype(np.int64)
-            if len(h):
-                order = np.argsort(h)
-                t = np.empty(len(h), np.int64)
-                t[order] = seat(c[order], np.full(len(h), max(tables - 1, 0)), np.full(len(h), p), d, theta, np.random.default_rng([sweep, int(h[order[0]]) + (1 << 63)]))
-                yield batch.append_column("t", pa.array(t))
+        for row in _each(batches):
+            yield _rows(_STATE, of=row["of"], h=row["h"], c=row["c"], a=np.where(row["c"] > 0, row["c"] - d, 0), kept=[], customers=row["total"], tables=row["known"])
+
+    return run
+
+
+def _root(d: float, theta: float, tables: int, p: float, sweep: int, keep: bool):
+    """One bucket's words in the parent: what the contexts' tables send, and the parent's own tables, drawn from it."""
+
+    def run(state: pa.Table, spared: pa.Table) -> pa.Table:
+        of, c = state["of"][0].as_py(), _flat(state, "c")
+        sent = c - _added(state, spared)[:, 0]
+        t = np.where(c > 0, seat(sent, np.full(len(c), max(tables - 1, 0)), np.full(len(c), p), d, theta, np.random.default_rng([sweep, of, 1])), 0)
+        a = sent - d * t
+        return pa.Table.from_batches([_rows(_STATE, of=[of], h=_flat(state, "h"), c=c, a=a, kept=np.r_[_flat(state, "kept"), a] if keep else _flat(state, "kept"), customers=[sent.sum()], tables=[t.sum()])])
 
     return run
 
@@ -420,26 +548,43 @@ def _root(d: float, theta: float, tables: int, p: float, sweep: int):
 # Answers and scores
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs by the part that asked: their customers, and their tables in each kept sweep, sweep after sweep."""
-    for row in _each(batches):
-        samples = row["past"].reshape(KEPT, -1)
-        at, ones = np.repeat(np.arange(len(row["c"])), row["n_parts"]), len(row["one_parts"])
-        part = np.r_[row["parts"], row["one_parts"]].astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        met, first = np.unique(part[order], return_index=True)
-        bounds = np.r_[first, len(part)]
-        place, c = np.r_[row["places"], row["one_places"]][order], np.r_[row["c"][at], np.ones(ones, np.int64)][order]
-        t = np.concatenate([samples[:, at], np.ones((KEPT, ones), np.int64)], axis=1)[:, order]
-        yield _rows(_TOLD, part=met, bucket=np.repeat(row["bucket"], len(met)), place=(place, bounds), pc=(c, bounds), pt=(t.T.ravel(), bounds * KEPT))
+def _answers(pairs: pa.Table, seats: pa.Table) -> pa.Table:
+    """Pairs by the part that asked: their customers, and their tables in each kept sweep."""
+    row = {name: _flat(pairs, name) for name in ("bucket", "c", "n_parts", "parts", "places", "one_parts", "one_places")}
+    samples, ones = _flat(seats, "past").reshape(KEPT, -1).T, len(row["one_parts"])
+    at, part = np.r_[np.repeat(np.arange(len(row["c"])), row["n_parts"]), np.full(ones, len(row["c"]))], np.r_[row["parts"], row["one_parts"]]
+    if not len(part):
+        return _no_rows(_TOLD)
+    names = np.unique(part)
+    order, met, bounds = _runs(np.searchsorted(names, part), len(names))
+    at, place = at[order], np.r_[row["places"], row["one_places"]][order]
+    c, t = np.r_[row["c"], 1][at], np.r_[samples, np.ones((1, KEPT), np.int64)][at]
+    return pa.Table.from_batches([_rows(_TOLD, part=names[met], bucket=np.repeat(row["bucket"], len(met)), place=(place, bounds), pc=(c, bounds), pt=(t.ravel(), bounds * KEPT))])
+
+
+def _spared_contexts(buckets: int):
+    """Customers of a context that opened no table, in each kept sweep, by the bucket of the context's word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            of = np.searchsorted(row["ctx"], row["u"])
+            spare = np.stack([np.bincount(of, weights=row["c"] - t, minlength=len(row["ctx"])) for t in row["past"].reshape(KEPT, -1)], axis=1)
+            order, met, bounds = _by_word(row["ctx"], buckets)
+            yield _rows(_SPARED, of=met, h=(row["ctx"][order], bounds), e=(spare[order].ravel(), bounds * KEPT))
+
+    return run
 
 
-def _spared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, e0, e1, ...): customers of a context that opened no table, in each kept sweep."""
-    for row in _each(batches):
-        of = np.searchsorted(row["ctx"], row["u"])
-        spare = [np.bincount(of, weights=row["c"] - t, minlength=len(row["ctx"])).astype(np.int64) for t in row["past"].reshape(KEPT, -1)]
-        yield pa.RecordBatch.from_pydict({"u": pa.array(row["ctx"].astype(np.int64)), **{f"e{s}": pa.array(e) for s, e in enumerate(spare)}})
+def _summary(fresh: list[tuple[float, float]]):
+    """What scores need of a bucket's words: counts, the parent's probabilities and what is spared in the word's own context, in each kept sweep."""
+
+    def run(state: pa.Table, spared: pa.Table) -> pa.Table:
+        c, kept = _flat(state, "c"), _flat(state, "kept").reshape(KEPT, -1)
+        p = np.stack([(a + new) / all_ for a, (new, all_) in zip(kept, fresh, strict=True)], axis=1)
+        e = np.broadcast_to(_added(state, spared), p.shape)
+        return pa.Table.from_batches([_rows(_SUMMARY, of=[state["of"][0].as_py()], h=_flat(state, "h"), c=c, wp=p.ravel(), we=e.ravel())])
+
+    return run
 
 
 def predictive(c: np.ndarray, t: np.ndarray, customers: np.ndarray, tables: np.ndarray, p: np.ndarray, d: float, theta: float) -> np.ndarray:
@@ -450,21 +595,21 @@ def predictive(c: np.ndarray, t: np.ndarray, customers: np.ndarray, tables: np.n
 def _scored(d: float, thetas: list[float], total: int, known: int, buckets: int, hot: tuple[np.ndarray, np.ndarray]):
     def run(rows: pa.Table) -> pa.Table:
         tokens, told, facts = (rows.filter(pc.is_valid(rows[x])) for x in ("vocab", "bucket", "of"))
-        part = _with_ids({name: _flat(tokens[name]) for name in ("sizes", "low", "high", "vocab", "held")})
+        part = _with_ids({name: _flat(tokens, name) for name in ("sizes", "low", "high", "vocab", "held")})
         facts = facts.sort_by("of")
         order, _, _ = _by_word(part["vocab"], buckets)
         row = np.empty(len(order), np.int64)
         row[order] = np.arange(len(order))
-        count, p_, spared = _flat(facts["wc"])[row].astype(np.int64), _flat(facts["wp"]).reshape(-1, KEPT)[row].astype(float), _flat(facts["we"]).reshape(-1, KEPT)[row]
+        count, p_, spared = _flat(facts, "wc")[row], _flat(facts, "wp").reshape(-1, KEPT)[row].astype(float), _flat(facts, "we").reshape(-1, KEPT)[row]
         codes, mine = _pairs_of(part)
         u, w = codes // len(part["vocab"]), codes % len(part["vocab"])
-        c, t = mine.copy(), np.repeat(mine[None], KEPT, axis=0)
+        c, t = mine.astype(np.int64), np.repeat(mine[None].astype(np.int64), KEPT, axis=0)
         if told.num_rows:
             order, met, bounds = _dealt(codes, part["vocab"], buckets, hot)
-            start = np.repeat(bounds[np.searchsorted(met, _flat(told["bucket"]))], np.concatenate([x.value_lengths().to_numpy() for x in told["place"].chunks]))
-            pair = order[start + _flat(told["place"])]
-            c[pair] = _flat(told["pc"])
-            t[:, pair] = _flat(told["pt"]).reshape(-1, KEPT).T
+            start = np.repeat(bounds[np.searchsorted(met, _flat(told, "bucket"))], _lengths(told, "place"))
+            pair = order[start + _flat(told, "place")]
+            c[pair] = _flat(told, "pc")
+            t[:, pair] = _flat(told, "pt").reshape(-1, KEPT).T
         mean = np.zeros(len(codes))
         for s, theta in enumerate(thetas):
             mean += predictive(c, t[s], count[u], (count - spared[:, s])[u], p_[:, s][w], d, theta) / KEPT
@@ -488,77 +633,67 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark, mark = docs.sparkSession, staged()
     at = staging_path(spark, "lm-parts")
-    documents(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_split, _PARTS).write.options(**LARGE_ROWS).option("compression", "zstd").parquet(at)
+    texts = documents(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    texts.mapInArrow(_split, _PARTS).write.options(**_LARGE).parquet(at)
     parts = spark.read.schema(_PARTS).parquet(at)
-    zero, one = F.lit(0), lambda x: F.coalesce(F.sum(x.cast("long")), F.lit(0))
-    all_ = parts.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y)), zero)).first()[0]
+    sums = lambda df, *names: df.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in names)).first()
+    all_ = sums(parts, F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y))[0]
     buckets = max(1, -(-all_ // BUCKET))
+    least = max(SLICE + 1, -(-all_ // MOST_HOT))  # at most MOST_HOT words are as frequent
     counted = parts.select("low", "high", "held", "sizes", "vocab").mapInArrow(_counts(buckets), _COUNTED)
-    words = stash(counted.groupBy("bucket").applyInArrow(_trimmed(_sums), "h long, c long, n long"), "lm-words")
-    total, known, w1, w2 = words.agg(F.coalesce(F.sum("c"), zero), one(F.col("c") > 0), one(F.col("c") == 1), one(F.col("c") == 2)).first()
-    large = words.where((F.col("n") > SLICE) & (F.col("n") * MOST_HOT >= all_)).collect()  # at most MOST_HOT
-    large.sort(key=lambda r: r.h)
-    hot = np.array([r.h for r in large], np.int64), np.array([-(-r.n // SLICE) for r in large], np.int64)
+    words = stash(counted.groupBy("of").applyInArrow(_trimmed(_sums(least)), _WORDS), "lm-words", **_LARGE)
+    total, known, w1, w2 = sums(words, "total", "known", "ones", "twos")
+    large = [r.z for r in words.select(F.explode(F.arrays_zip("large", "large_n")).alias("z")).collect()]
+    large.sort(key=lambda z: z.large)
+    hot = np.array([z.large for z in large], np.int64), np.array([-(-z.large_n // SLICE) for z in large], np.int64)
 
     asked = parts.drop("doc_ids").mapInArrow(_ask(buckets, hot), _ASKED)
-    pairs = stash(asked.groupBy("bucket").applyInArrow(_trimmed(_add_up(hot)), _PAIRS), "lm-pairs", **LARGE_ROWS)
+    pairs = stash(asked.groupBy("bucket").applyInArrow(_trimmed(_add_up(hot)), _PAIRS), "lm-pairs", **_LARGE)
     del asked, counted
     free_shuffles(spark)
-    seated, twos = pairs.select(F.explode("c").alias("c")).agg(F.coalesce(F.sum("c"), zero), one(F.col("c") == 2)).first()
+    seated, twos = sums(pairs, "seated", "twos")
     d, d0, theta, theta0, p0 = _discount(total - seated, twos), _discount(w1, w2), 8.0, 8.0, 1.0 / (known + 1)
 
-    # The first state: a table for each customer in the contexts, one for each word in the parent. Words that occur
-    # once send one customer to one table, whatever is drawn, so they are no rows of the state.
-    state = words.where("c >= 2").select("h", "c", ((F.col("c") - d0 + (theta0 + d0 * known) * p0) / (theta0 + total)).alias("p"))
-    seats = pairs.select("bucket", "u", "w", "c", "ctx", "ctx_c", "slices", "hist_c", "hist_n", F.transform("c", lambda x: F.lit(1).cast("long")).alias("t"), F.lit(None).cast("array<long>").alias("past"))
-    needed = stash(pairs.select("bucket", F.explode(F.array_distinct("w")).alias("h")), "lm-needed")
-    tables0, thetas, kept, seldom = known, [], [], []
+    state = words.select("of", "h", "c", "total", "known").mapInArrow(_first(d0), _STATE)
+    seats = pairs.select(*(f.split(" ")[0] for f in _SEATED.split(", ")))
+    needed = stash(pairs.select("bucket", "w").mapInArrow(_needs(buckets), _NEEDED), "lm-needed", **_LARGE)
+    customers0, tables0, thetas, fresh = total, known, [], []
+    opening = ((theta0 + d0 * tables0) * p0, theta0 + customers0)  # a new table's share, and all, in the parent
     whole = _whole(seats) if large else (np.empty(0, np.int64),) * 3
     for sweep in range(BURN_IN + KEPT):
         keep, rng = sweep >= BURN_IN, np.random.default_rng([sweep, 1 << 20])
-        parents = needed.join(state.select("h", "p"), "h")
+        parents = needed.groupBy("of").cogroup(state.groupBy("of")).applyInArrow(_trimmed(_tell_parents(*opening)), _PARENTS)
         swept = seats.groupBy("bucket").cogroup(parents.groupBy("bucket")).applyInArrow(_trimmed(_sweep(d, theta, sweep, keep, whole)), _SEATS)
-        swept = stash(swept, f"lm-seats-{sweep}", **LARGE_ROWS)
-        whole = _whole(swept) if large else whole
-        fits = {r.k: r.f for r in swept.select(F.posexplode("fit").alias("k", "f")).groupBy("k").agg(F.sum("f").alias("f")).collect()}  # a row for each of GRID
-        spared = swept.select(F.explode(F.arrays_zip("ew", "ee")).alias("z")).groupBy(F.col("z.ew").alias("h")).agg(F.sum("z.ee").alias("e"))
+        seats = stash(swept, f"lm-seats-{sweep}", **_LARGE)
+        whole = _whole(seats) if large else whole
+        fits = {r.k: r.f for r in seats.select(F.posexplode("fit").alias("k", "f")).groupBy("k").agg(F.sum("f").alias("f")).collect()}  # a row for each of GRID
+        spared = seats.select("w", "c", "t").mapInArrow(_spared(buckets), _SPARED)
         # What the contexts' tables send to the parent; its own tables are drawn from them.
-        sent = state.select("h", "c", *kept).join(spared, "h", "left").select("h", "c", *kept, (F.col("c") - F.coalesce("e", zero)).alias("sent"))
-        columns = ", ".join(f"{n} {k}" for n, k in (*sent.dtypes, ("t", "long")))
-        opened = stash(sent.mapInArrow(_root(d0, theta0, tables0, p0, sweep), columns), f"lm-opened-{sweep}")
-        customers0, tables0 = (w1 + x for x in opened.agg(F.coalesce(F.sum("sent"), zero), F.coalesce(F.sum("t"), zero)).first())
-        fresh = (theta0 + d0 * tables0) * p0
-        p = (F.col("sent") - d0 * F.col("t") + fresh) / (theta0 + customers0)
-        state = opened.withColumn("p", p)
+        state = stash(state.groupBy("of").cogroup(spared.groupBy("of")).applyInArrow(_trimmed(_root(d0, theta0, tables0, p0, sweep, keep)), _STATE), f"lm-state-{sweep}", **_LARGE)
+        customers0, tables0 = sums(state, "customers", "tables")
+        opening = ((theta0 + d0 * tables0) * p0, theta0 + customers0)
         if keep:
             thetas.append(theta)
-            kept.append(f"p{len(kept)}")
-            seldom.append((fresh / (theta0 + customers0), (1 - d0 + fresh) / (theta0 + customers0)))  # of words that occur never, and once
-            state = state.withColumn(kept[-1], F.col("p"))
-        state = state.select("h", "c", "p", *kept)
-        seats = swept.drop("ew", "ee", "fit")
-        purge(spark, mark, keep=("lm-parts", "lm-words", "lm-pairs", "lm-needed", f"lm-seats-{sweep}", f"lm-opened-{sweep}"))
-        del parents, swept, spared, sent, opened
+            fresh.append(opening)
+        purge(spark, mark, keep=("lm-parts", "lm-pairs", "lm-needed", f"lm-seats-{sweep}", f"lm-state-{sweep}"))
+        del parents, swept, spared
         free_shuffles(spark)
         theta = _drawn(np.array([fits.get(k, 0.0) for k in range(len(GRID))]) + fit(whole[1], whole[2], np.ones(len(whole[1])), d), rng)
         theta0 = _drawn(fit(np.array([customers0]), np.array([tables0]), np.ones(1), d0), rng)
 
-    final = pairs.select("bucket", "n_parts", "parts", "places", "one_parts", "one_places").join(seats.select("bucket", "u", "c", "ctx", "past"), "bucket")
-    spares = [f"e{s}" for s in range(KEPT)]
-    spare = seats.select("u", "c", "ctx", "past").mapInArrow(_spared, f"u long, {', '.join(f'{e} long' for e in spares)}").groupBy("u").agg(*(F.sum(e).alias(e) for e in spares))
-    facts = words.select("h", "c").join(state.select("h", *kept), "h", "left").join(spare, F.col("h") == F.col("u"), "left")
-    seen = [F.coalesce(k, F.when(F.col("c") == 1, once).otherwise(never)).alias(k) for k, (never, once) in zip(kept, seldom, strict=True)]
-    facts = stash(facts.select("h", "c", *seen, *(F.coalesce(e, zero).alias(e) for e in spares)), "lm-facts")
-    told = stash(final.select("bucket", "n_parts", "parts", "places", "one_parts", "one_places", "c", "past").mapInArrow(_answers, _TOLD), "lm-told")
-    del final, spare, seats, pairs, state
+    spare = seats.select("u", "c", "ctx", "past").mapInArrow(_spared_contexts(buckets), _SPARED)
+    facts = stash(state.groupBy("of").cogroup(spare.groupBy("of")).applyInArrow(_trimmed(_summary(fresh)), _SUMMARY), "lm-facts", **_LARGE)
+    asking = pairs.select("bucket", "c", "n_parts", "parts", "places", "one_parts", "one_places")
+    told = stash(asking.groupBy("bucket").cogroup(seats.select("bucket", "past").groupBy("bucket")).applyInArrow(_trimmed(_answers), _TOLD), "lm-told", **_LARGE)
+    del asking, spare, seats, pairs, state
     purge(spark, mark, keep=("lm-parts", "lm-facts", "lm-told"))
     free_shuffles(spark)
-    facts = facts.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     lots = []
     for lot in range(LOTS):
-        some = F.pmod("part", F.lit(LOTS)) == lot
+        # A range of parts, so that the others' row groups are passed over.
+        some = (F.col("part") >= _LAST * lot // LOTS) & (F.col("part") < _LAST * (lot + 1) // LOTS)
         mine = parts.where(some)
-        by_word = mine.select("part", "vocab").mapInArrow(_ask_words(buckets), _WORDS).groupBy("bucket").cogroup(facts.groupBy("bucket")).applyInArrow(_trimmed(_tell_words), _FACTS)
+        by_word = mine.select("part", "vocab").mapInArrow(_ask_words(buckets), _WANTED).groupBy("of").cogroup(facts.groupBy("of")).applyInArrow(_trimmed(_tell_words), _FACTS)
         every = mine.unionByName(told.where(some), allowMissingColumns=True).unionByName(by_word, allowMissingColumns=True)
         lots.append(stash(every.groupBy("part").applyInArrow(_trimmed(_scored(d, thetas, total, known, buckets, hot)), _SCORES), "lm-scores"))
         del by_word, every

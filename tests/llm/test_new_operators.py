@@ -249,3 +249,36 @@ def test_a_slice_sees_its_whole_context(monkeypatch):
     whole = tuple(np.array([x]) for x in (7, 110, 50))
     pitman_yor._sweep(0.5, 8.0, 0, False, whole)(seats, pa.table({"h": [1, 2], "p": [0.5, 0.5]}))
     assert met["rest"] == [47, 49]
+
+
+def test_the_model_moves_no_row_for_each_word_or_pair(shipped, monkeypatch):
+    """What is staged between steps has a row for each bucket and asker, whose numbers the JVM moves as one value."""
+    met, stash = {}, pitman_yor.stash
+
+    def seen(df, label, **options):
+        met[label] = (out := stash(df, label, **options)).count(), dict(df.dtypes)
+        return out
+
+    monkeypatch.setattr(pitman_yor, "stash", seen)
+    docs = [(k, " ".join(f"w{(k * j) % 97}" for j in range(40))) for k in range(60)]
+    assert pitman_yor.score(shipped.createDataFrame(docs, "doc_id long, text string").repartition(2)).count() == 60
+    staged = {label: found for label, found in met.items() if label != "lm-scores"}
+    assert len(staged) > 8 and all(n <= 4 for n, _ in staged.values())
+    assert all(kinds.get(name, "binary") == "binary" for _, kinds in staged.values() for name in ("h", "w", "c", "t", "past", "places", "place", "pt"))
+
+
+def test_numbers_pass_through_binary_columns():
+    schema = "part long, hs binary, runs binary, large array<long>"
+    batch = pitman_yor._rows(schema, part=[1, 2, 3], hs=(np.array([5, -1, 1 << 62]), [0, 1, 1, 3]), runs=(np.array([7, 8]), [0, 0, 2, 2]), large=([4, 5], [0, 1, 2, 2]))
+    rows = list(pitman_yor._each(iter([batch.slice(1, 2)])))
+    assert [r["hs"].tolist() for r in rows] == [[], [-1, 1 << 62]] and [r["runs"].tolist() for r in rows] == [[7, 8], []]
+    assert pitman_yor._flat(batch, "hs").tolist() == [5, -1, 1 << 62] and pitman_yor._lengths(batch, "hs").tolist() == [1, 0, 2]
+    assert pitman_yor._flat(batch, "large").tolist() == [4, 5] and pitman_yor._no_rows(schema).num_rows == 0
+
+
+def test_order_of_pairs_holds_where_words_share_their_upper_bits():
+    rng = np.random.default_rng(3)
+    for w in (rng.integers(-(1 << 63), 1 << 63, 5_000), rng.integers(0, 4, 5_000) << 5):
+        u = rng.integers(-(1 << 63), 1 << 63, 50)[rng.integers(0, 50, len(w))]
+        order, want = pitman_yor._in_order(u, w), np.lexsort((w, u))
+        assert (u[order] == u[want]).all() and (w[order] == w[want]).all()
