@@ -84,6 +84,28 @@ def test_a_wire_story_told_many_times(spark):
     assert time.time() - began < 60
 
 
+def test_a_chain_of_titles_takes_few_rounds(spark, monkeypatch):
+    """Each title is like its neighbours alone: one story of them all, passed along in a logarithm of rounds, and never gathered in a task."""
+    n, rounds = 1000, []
+    stash = cluster.stash
+    monkeypatch.setattr(cluster, "stash", lambda df, label, **options: (rounds.append(label), stash(df, label, **options))[1])
+    words = F.concat(F.array(F.lit("all")), F.transform(F.array(*map(F.lit, range(3))), lambda k: F.concat(F.lit("w"), (F.col("id") + k).cast("string"))))
+    df = spark.range(n).select("id", F.lit("s").alias("source"), F.lit("").alias("url"), F.lit("c").alias("category"), words.alias("words"))
+    found = cluster.cluster(df, "category", 0.7)
+    assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.groupBy("story_id").count().collect()] == [(0, n)]
+    assert 2 < rounds.count("stories") < 16
+
+
+def test_many_sources_at_an_address(spark):
+    """Of an address's sources each hears all others and not itself, a null source too."""
+    sources = [None, "a", "b", "c", "d", None, "a"]
+    rows = [(k, s, "u", ["x"], "c") for k, s in enumerate(sources)] + [(10, "a", "v", ["y"], "c"), (11, "a", "v", ["z"], "c")]
+    df = spark.createDataFrame(rows, "id long, source string, url string, words array<string>, category string")
+    assert {x.id: x.story_id for x in cluster.cluster(df, "category").collect()} == {k: 0 for k in range(7)} | {10: 10, 11: 11}
+    assert {x.id: x.story_id for x in cluster.cluster(df.where("id in (0, 5)"), "category").collect()} == {0: 0, 5: 5}
+
+
 def test_an_item_joins_the_first_cluster_with_a_match():
     a, b = ["a1", "a2", "a3"], ["b1", "b2", "b3"]
     assert cluster.fold([("s", "", a), ("t", "", b), ("u", "", ["a1", "a2", "b1", "b2"]), ("v", "", b)], 0.6) == [0, 1, 0, 0]
