@@ -97,6 +97,38 @@ def test_a_chain_of_titles_takes_few_rounds(spark, monkeypatch):
     assert 2 < rounds.count("stories") < 16
 
 
+def test_a_chain_goes_on_behind_stored_titles(spark, monkeypatch):
+    """The second half of a chain follows the stored first one in few rounds, and its words are numbered once."""
+    n, labels = 300, []
+    words = F.concat(F.array(F.lit("all")), F.transform(F.array(*map(F.lit, range(3))), lambda k: F.concat(F.lit("w"), (F.col("id") + k).cast("string"))))
+    df = spark.range(n).select("id", F.lit("s").alias("source"), F.lit("").alias("url"), F.lit("c").alias("category"), words.alias("words"))
+    stash = cluster.stash
+    monkeypatch.setattr(cluster, "stash", lambda df, label, **options: (labels.append(label), stash(df, label, **options))[1])
+    found = cluster.extend(df.where("id < 150").withColumn("story_id", F.lit(0).cast("long")), df.where("id >= 150"), "category", 0.7)
+    assert [tuple(r) for r in found.groupBy("story_id").count().collect()] == [(0, 150)]
+    assert 2 < labels.count("stories") < 14 and labels.count("word-numbers") == 1
+
+
+def test_words_with_and_without_bits(spark):
+    """A group of more words than there are bits: pairs by frequent words, by rare ones and by both, against all pairs."""
+    import random
+
+    r = random.Random(5)
+    weights = [1 / (k + 1) for k in range(1500)]
+    rows = [(i, "c", sorted({f"w{k}" for k in r.choices(range(1500), weights, k=r.randrange(2, 30))})) for i in range(500)]
+    rows += [(500 + i, "c", sorted({*rows[i][2][: len(rows[i][2]) // 2 + 1], f"w{i}"})) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, category string, words array<string>")
+    assert len({w for _, _, words in rows for w in words}) > 64 * cluster.BITS
+    sets = {}
+    for i, _, words in rows:
+        sets.setdefault(frozenset(words), i)
+    sets = [(w, i) for w, i in sets.items() if len(w) > 1]
+    for threshold in (0.5, 0.7):
+        brute = {(i, j): len(w & v) / min(len(w), len(v)) for w, i in sets for v, j in sets if i < j and len(w & v) / min(len(w), len(v)) >= threshold}
+        found = cluster.similar_pairs(df, "category", threshold).collect()
+        assert len(found) == len(brute) and {(x.a, x.b): x.overlap for x in found} == brute
+
+
 def test_many_sources_at_an_address(spark):
     """Of an address's sources each hears all others and not itself, a null source too."""
     sources = [None, "a", "b", "c", "d", None, "a"]
