@@ -129,6 +129,18 @@ def test_words_with_and_without_bits(spark):
         assert len(found) == len(brute) and {(x.a, x.b): x.overlap for x in found} == brute
 
 
+def test_a_story_row_gathers_no_titles(spark):
+    """Of a story's titles only the first is kept; domains stay in order of appearance, a null one and repeated ones too."""
+    import re
+
+    rows = [(5, "b", "y.org", "late"), (1, "a", "x.org", "first"), (2, "b", None, "next"), (3, "c", "x.org", "more"), (9, "a", "z.org", "alone")]
+    df = spark.createDataFrame(rows, "id long, source string, domain string, title string")
+    clustered = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (5, 1), (9, 9)], "id long, story_id long")
+    found = cluster.stories(df, clustered)
+    assert not re.search(r"collect_list\([^)]*title", found._jdf.queryExecution().toString())
+    assert sorted(tuple(x) for x in found.collect()) == [(1, 4, 3, [1, 2, 3, 5], ["x.org", None, "y.org"], "first"), (9, 1, 1, [9], ["z.org"], "alone")]
+
+
 def test_many_sources_at_an_address(spark):
     """Of an address's sources each hears all others and not itself, a null source too."""
     sources = [None, "a", "b", "c", "d", None, "a"]
