@@ -129,6 +129,21 @@ def test_words_with_and_without_bits(spark):
         assert len(found) == len(brute) and {(x.a, x.b): x.overlap for x in found} == brute
 
 
+def test_copies_are_found_in_stored_words(spark, monkeypatch):
+    """Titles are taken apart once, for the sets and for their copies."""
+    counted, labels, stash = spark.sparkContext.accumulator(0), [], cluster.stash
+
+    @F.udf("array<string>")
+    def words(k):
+        counted.add(1)
+        return ["a", "b", f"w{k % 3}"]
+
+    monkeypatch.setattr(cluster, "stash", lambda df, label, **options: (labels.append(label), stash(df, label, **options))[1])
+    df = spark.range(12).select("id", F.lit("c").alias("category"), words.asNondeterministic()("id").alias("words"))
+    assert cluster.pairs_and_members(df, "category", 0.5).count() == 3 + 9
+    assert counted.value == 12 and labels[0] == "told-items"
+
+
 def test_a_story_row_gathers_no_titles(spark):
     """Of a story's titles only the first is kept; domains stay in order of appearance, a null one and repeated ones too."""
     import re
